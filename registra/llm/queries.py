@@ -3,14 +3,25 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import lines, mixing, shards
+from . import lines, mixing, packing, shards, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "severity", "p_toxic", "grade", "is_toxic")
+
+
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = packing.pack_documents(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
 def op5_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lines.drop_boilerplate_lines(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "text", "n_lines", "n_dropped")
@@ -28,6 +39,8 @@ def op10_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
+    "op2_best_fit_packing": op2_best_fit_packing,
     "op5_line_templates": op5_line_templates,
     "op6_temperature_mix": op6_temperature_mix,
     "op10_extendible_shards": op10_extendible_shards,
