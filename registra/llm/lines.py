@@ -25,13 +25,20 @@ BROADCAST_ROWS = 200_000
 
 
 def _masked(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(line, "[0-9]+", "<*>"), r"\s+", " "))
+    """Digit runs as a wildcard, white-space runs as one space; regular expressions only where needed."""
+    digits = F.when(line.rlike("[0-9]"), F.regexp_replace(line, "[0-9]+", "<*>")).otherwise(line)
+    spaces = line.contains("  ") | line.contains("\t") | line.contains("\r") | line.contains("\f") | line.contains("\x0b")
+    return F.trim(F.when(spaces, F.regexp_replace(digits, r"\s+", " ")).otherwise(digits))
 
 
 def _head(line: Column) -> Column:
     return F.coalesce(F.substring_index(line, " ", 2), F.lit("<>"))
 
 
+def _spaces(text: Column) -> Column:
+    return F.octet_length(text) - F.octet_length(F.replace(text, F.lit(" "), F.lit("")))
+
+
 def _split_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row for each line: row key, position, masked line, token count, surroundings."""
     at = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")
@@ -47,7 +54,7 @@ def _split_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         ),
     )
     rows = lines.select("_k", F.posexplode(near).alias("pos", "x")).select("_k", "pos", "x.place", _masked(F.col("x.line")).alias("m"))
-    return rows.withColumn("n", F.when(F.col("m") == "", 0).otherwise(F.size(F.split("m", " "))))
+    return rows.withColumn("n", F.when(F.col("m") == "", 0).otherwise(_spaces(F.col("m")) + 1))
 
 
 def line_templates(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, mixing, packing, shards, toxicity
+from . import lines, mixing, neardup, packing, shards, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op6_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents"))
 
 
+def op9_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 SHARD_BYTES = 1 << 20
 
 
@@ -43,6 +47,7 @@ QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op5_line_templates": op5_line_templates,
     "op6_temperature_mix": op6_temperature_mix,
+    "op9_dart_minhash": op9_dart_minhash,
     "op10_extendible_shards": op10_extendible_shards,
 }
 ORACLE = {
