@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, mixing, neardup, packing, shards, toxicity
+from . import lines, mixing, neardup, packing, shards, suffix, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,11 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
+def op4_prefix_free_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix.remove_repeats(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lines.drop_boilerplate_lines(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "text", "n_lines", "n_dropped")
@@ -45,6 +50,7 @@ def op10_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op4_prefix_free_repeats": op4_prefix_free_repeats,
     "op5_line_templates": op5_line_templates,
     "op6_temperature_mix": op6_temperature_mix,
     "op9_dart_minhash": op9_dart_minhash,
