@@ -47,3 +47,10 @@ def hex_long(digest: Column, start: int, digits: int) -> Column:
 def row_key(id_col: str, text_col: str) -> Column:
     """Key of a document row; rows with equal id and text share it, and share every result."""
     return F.xxhash64(F.col(id_col), F.col(text_col))
+
+
+def finite_vectors(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """(id, v array<double>, dim) of the rows whose vector is not null or empty and all finite."""
+    v = F.col(vector_col).cast("array<double>")
+    odd = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    return rows.select(F.col(id_col).alias("id"), v.alias("v")).filter(F.col("v").isNotNull() & ~odd & (F.size("v") > 0)).withColumn("dim", F.size("v"))

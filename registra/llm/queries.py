@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, mixing, neardup, packing, shards, suffix, toxicity
+from . import ann, html_extract, lines, maxscore, mixing, neardup, packing, shards, suffix, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,11 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
+def op3_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings")
+    return ann.nearest_neighbours(rows, rows.filter("vec_id % 100 = 0"), 10)
+
+
 def op4_prefix_free_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix.remove_repeats(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
@@ -36,6 +41,15 @@ def op6_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents"))
 
 
+def op7_host_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_main_text(_table(spark, sf_dir, "pages"))
+
+
+def op8_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings")
+    return maxscore.top_inner_products(rows, rows.filter("vec_id % 50 = 0"), 5)
+
+
 def op9_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -50,14 +64,18 @@ def op10_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_cross_polytope": op3_cross_polytope,
     "op4_prefix_free_repeats": op4_prefix_free_repeats,
     "op5_line_templates": op5_line_templates,
     "op6_temperature_mix": op6_temperature_mix,
+    "op7_host_consensus": op7_host_consensus,
+    "op8_maxscore": op8_maxscore,
     "op9_dart_minhash": op9_dart_minhash,
     "op10_extendible_shards": op10_extendible_shards,
 }
 ORACLE = {
     "op5_line_templates": lines.ORACLE,
     "op6_temperature_mix": mixing.ORACLE,
+    "op8_maxscore": maxscore.ORACLE,
     "op10_extendible_shards": shards.ORACLE.format(limit=SHARD_BYTES),
 }
