@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -304,14 +304,40 @@ def _links_between(x: pd.DataFrame, left: np.ndarray, right: np.ndarray) -> pd.D
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Class of every row: ``id_col`` and ``class_id``, a row for each row of ``docs``.
 
-    ``class_id`` is the smallest id of the rows in the class. Rows with equal texts are in one class. Equal means equal in a
-    64-bit hash. A null text counts as empty; texts without words are equal only to equal texts. A class of which all ids
-    are null has a null ``class_id``. An empty table gives no rows.
+    ``class_id`` is the smallest id of the rows in the class. Rows with equal texts are in one
+    class. Equal means equal in a 64-bit hash. A null text counts as empty; texts without words are
+    equal only to equal texts. A class of which all ids are null has a null ``class_id``. An empty
+    table gives no rows.
     """
+    keyed = docs.select(F.col(id_col).alias("_id"), _text_key(text_col).alias("_k"))
+    return keyed.join(text_classes(docs, id_col, text_col), "_k").select(F.col("_id").alias(id_col), "class_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each near-duplicate class: the one with the smallest id (null ids come last).
+
+    All columns stay. Texts without words are no duplicates of each other and all stay.
+    """
+    wordless = ~F.coalesce(F.col(text_col), F.lit("")).rlike(r"\S")
+    worded = docs.filter(~wordless)
+    lead = text_classes(worded, id_col, text_col).filter("lead").select(F.col("_k").alias("__k"), F.col("_first").alias("__first"), F.col("_n").alias("__n"))
+    found = worded.join(lead, _text_key(text_col) == F.col("__k")).filter(F.col(id_col).eqNullSafe(F.col("__first")))
+    # only rows that are equal in id and text are left to choose from
+    chosen = found.filter("__n = 1").unionByName(found.filter("__n > 1").dropDuplicates(["__k"]))
+    return chosen.select(docs.columns).unionByName(docs.filter(wordless))
+
+
+def _text_key(text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
+def text_classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """For each different text its key ``_k``, ``class_id``, smallest id ``_first``, number of rows
+    ``_n`` and whether it is the ``lead`` of its class, the text with the smallest id."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_k"), text.alias("_text"))
+    keyed = docs.select(F.col(id_col).alias("_id"), _text_key(text_col).alias("_k"), text.alias("_text"))
     # equal texts meet on the map side first, however many they are
-    texts = materialize(keyed.groupBy("_k").agg(F.min("_text").alias("_text"), F.min("_id").alias("_first")), "texts")
+    texts = materialize(keyed.groupBy("_k").agg(F.min("_text").alias("_text"), F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n")), "texts")
     signed = materialize(texts.select("_k", "_text").mapInArrow(_signatures, "_k long, bands array<long>, sig binary"), "signatures")
     banded = signed.select("_k", F.posexplode("bands").alias("band", "h")).select("_k", F.xxhash64("band", "h").alias("group"))
     many = banded.groupBy("group").agg(F.count(F.lit(1)).alias("_n"), F.min("_k").alias("lo"), F.max("_k").alias("hi")).filter("lo != hi")
@@ -336,10 +362,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     alive = materialize(alive, "alive").join(texts.select(F.col("_k").alias("k"), "_text"), "k")
     more = materialize(_in_blocks(alive, ["k", "_text"], _links_between, "a long, b long").distinct(), "open-links")
     comp = components(links.unionByName(more))
-    named = texts.select("_k", "_first").join(comp, F.col("_k") == F.col("k"), "left").select("_k", "_first", F.coalesce("comp", "_k").alias("comp"))
-    least = named.groupBy("comp").agg(F.min("_first").alias("class_id"))
-    label = materialize(named.join(least, "comp").select("_k", "class_id"), "classes")
-    return keyed.select("_id", "_k").join(label, "_k").select(F.col("_id").alias(id_col), "class_id")
+    named = texts.select("_k", "_first", "_n").join(comp, F.col("_k") == F.col("k"), "left").select("_k", "_first", "_n", F.coalesce("comp", "_k").alias("comp"))
+    order = F.struct(F.col("_first").isNull(), "_first", "_k")
+    least = materialize(named.groupBy("comp").agg(F.min("_first").alias("class_id"), F.min(order).getField("_k").alias("_lead")), "leads")
+    return materialize(named.join(least, "comp").select("_k", "class_id", "_first", "_n", (F.col("_k") == F.col("_lead")).alias("lead")), "classes")
 
 
 def _possible(pairs: DataFrame) -> DataFrame:

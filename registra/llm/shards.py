@@ -55,13 +55,12 @@ def extendible_shards(
             "_cell", "_b", F.explode(F.sequence(F.lit(0 if lo == 0 else lo + 1), F.lit(hi))).alias("_d")
         ).withColumn("_p", F.expr(f"shiftright(_cell, {hi} - _d)"))
         fits = levels.groupBy("_d", "_p").agg(F.sum("_b").alias("_b")).filter(F.col("_b") <= limit)
-        # the first level that fits closes the bucket; a cell without one is split further
-        directory = materialize(
-            levels.join(fits.select("_d", "_p", F.lit(1).alias("_fit")), ["_d", "_p"], "left")
-            .groupBy("_cell")
-            .agg(F.min(F.when(F.col("_fit") == 1, F.col("_d"))).alias("depth")),
-            "shard-dir",
-        )
+        fits = materialize(fits.select("_d", "_p", F.lit(1).alias("_fit")), "shard-fits")
+        # the first level that fits closes the bucket; a cell without one is split further. Levels
+        # at which no bucket fits would only bring all cells to a few keys
+        least = fits.agg(F.min("_d")).first()[0]
+        directory = levels.filter(F.col("_d") >= (hi if least is None else least)).select("_cell", "_d", "_p").join(fits, ["_d", "_p"], "left")
+        directory = materialize(directory.groupBy("_cell").agg(F.min(F.when(F.col("_fit") == 1, F.col("_d"))).alias("depth")), "shard-dir")
         placed = rows.withColumn("_cell", F.shiftright("_h", BITS - hi)).join(directory, "_cell")
         last = hi == BITS
         left = last or directory.filter("depth is null").limit(1).count() == 0
