@@ -1,4 +1,9 @@
 """Registered queries of the register operators and their SQL twins."""
 
+from . import electors
+
 QUERIES: dict = {}
 ORACLE: dict = {}
+for _module in (electors,):
+    QUERIES |= _module.QUERIES
+    ORACLE |= _module.ORACLE
