@@ -36,8 +36,8 @@ DARTS = int(K * math.log(K) + 2 * K)
 POSSIBLE = 0.62
 BLOCK = 512
 
-#: Upper ends of the rank cells; beyond the last they go on in steps of 1.
-CELLS = np.array([1 / 64, 1 / 16, 1 / 4, 1.0])
+#: Ends of the first rank cells; beyond the last they go on in steps of 1.
+CELLS = np.array([0.0, 1 / 64, 1 / 16, 1 / 4, 1.0])
 
 _M1, _M2, _G = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -101,87 +101,115 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
     return float(low / (total - low))
 
 
-def _darts(keys: np.ndarray, weights: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and ranks of the darts in the regions of the elements with rank below ``limit``.
+def _poisson(mean: float) -> np.ndarray:
+    """Cumulative probabilities of 0, 1, 2 ... until they reach 1 but for 1e-13."""
+    p, out = math.exp(-mean), []
+    total, j = 0.0, 0
+    while total < 1 - 1e-13:
+        total += p
+        out.append(total)
+        j += 1
+        p *= mean / j
+    return np.array(out)
 
-    The plane of weight x rank over an element is cut into cells: unit steps of weight times the
-    rank cells. The number of darts in a cell and their places are hashes of element and cell, so
-    two texts see the same darts wherever their regions overlap.
+
+_COUNTS = [_poisson(m) for m in [*np.diff(CELLS), 1.0]]
+
+
+def _uniform(x: np.ndarray) -> np.ndarray:
+    return (x >> np.uint64(11)).astype(float) / 2.0**53
+
+
+def _darts(owner: np.ndarray, unit: np.ndarray, room: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sets, ids and ranks of the darts below the rank limit of their set.
+
+    ``unit``: hash of an element and a unit step of its weight; ``room``: how much of the step the
+    weight fills. The plane of weight x rank is cut into these steps times the rank cells; the
+    number of darts in a cell and their places are hashes of it, so two sets see the same darts
+    wherever their regions overlap.
+    """
+    own_limit = limit[owner]
+    parts = []
+    first = len(CELLS) - 1
+    with np.errstate(over="ignore"):
+        for c in range(first + 1):
+            if c < first:
+                at = np.flatnonzero(own_limit > CELLS[c])
+                number = np.full(len(at), c)
+            else:  # cells [1, 2), [2, 3) ... up to the limit
+                many = np.maximum(np.ceil(own_limit).astype(np.int64) - 1, 0)
+                at = np.repeat(np.arange(len(owner)), many)
+                number = first + np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)
+            if not len(at):
+                continue
+            cell = mix(unit[at] ^ ((number.astype(np.uint64) + np.uint64(1)) * np.uint64(0x2545F4914F6CDD1D)))
+            n = np.searchsorted(_COUNTS[c], _uniform(cell), "right")
+            which = np.repeat(np.arange(len(at)), n)
+            nth = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+            dart = mix(cell[which] + (nth.astype(np.uint64) + np.uint64(1)) * _G)
+            place = mix(dart ^ _M1)
+            lo = CELLS[c] if c < first else (number - first + 1.0)[which]
+            rank = lo + (CELLS[c + 1] - CELLS[c] if c < first else 1.0) * ((place >> np.uint64(32)).astype(float) / 2.0**32)
+            source = at[which]
+            ok = (rank < own_limit[source]) & ((place & np.uint64(0xFFFFFFFF)).astype(float) / 2.0**32 < room[source])
+            parts.append((owner[source[ok]], dart[ok], rank[ok]))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def dart_signatures(owner: np.ndarray, keys: np.ndarray, weights: np.ndarray, sets: int, k: int = K) -> np.ndarray:
+    """Earliest dart of each of ``k`` coordinates for each set; a set without elements has zeros.
+
+    owner: number of the set of each element; keys: element hashes, different within a set;
+    weights: above 0.
     """
     units = np.ceil(weights).astype(np.int64)
-    owner = np.repeat(np.arange(len(keys)), units)
-    step = np.arange(len(owner)) - np.repeat(np.cumsum(units) - units, units)
+    element = np.repeat(np.arange(len(keys)), units)
+    step = np.arange(len(element)) - np.repeat(np.cumsum(units) - units, units)
     with np.errstate(over="ignore"):
-        base = mix(keys[owner] + step.astype(np.uint64) * _G)
-    room = weights[owner] - step  # of the unit; below 1 in the last one of a broken weight
-    ends = CELLS if limit <= 1 else np.concatenate([CELLS, np.arange(2, math.ceil(limit) + 1)])
-    ids, ranks = [], []
-    lo = 0.0
-    for c, hi in enumerate(ends):
-        if lo >= limit:
-            break
-        with np.errstate(over="ignore"):
-            cell = mix(base ^ np.uint64((c + 1) * 0x2545F4914F6CDD1D & 0xFFFFFFFFFFFFFFFF))
-        u = (cell >> np.uint64(11)).astype(float) / 2.0**53
-        # number of darts: Poisson with the cell's area as mean, by inversion
-        p = math.exp(lo - hi)
-        total, n, j = p, (u >= p).astype(np.int64), 1
-        while total < 1 - 1e-12 and (n == j).any():
-            p *= (hi - lo) / j
-            total += p
-            j += 1
-            n[(n == j - 1) & (u >= total)] += 1
-        has = np.flatnonzero(n)
-        for j in range(int(n.max()) if len(n) else 0):
-            some = has[n[has] > j]
-            with np.errstate(over="ignore"):
-                dart = mix(cell[some] + np.uint64(j + 1) * _G)
-                place = mix(dart ^ _M1)
-            rank = lo + (hi - lo) * (place >> np.uint64(32)).astype(float) / 2.0**32
-            height = (place & np.uint64(0xFFFFFFFF)).astype(float) / 2.0**32
-            ok = (rank < limit) & (height < room[some])
-            ids.append(dart[ok])
-            ranks.append(rank[ok])
-        lo = hi
-    if not ids:
-        return np.zeros(0, np.uint64), np.zeros(0)
-    return np.concatenate(ids), np.concatenate(ranks)
+        unit = mix(keys[element] + step.astype(np.uint64) * _G)
+    room, owner_of = weights[element] - step, owner[element]
+    total = np.bincount(owner, weights, sets)
+    limit = np.where(total > 0, (k * math.log(k) + 2 * k) / np.maximum(total, 1e-300), 0.0)
+    out, filled = np.zeros((sets, k), np.uint64), np.zeros((sets, k), bool)
+    todo = total > 0
+    while todo.any():
+        mine = todo[owner_of]
+        own, ids, ranks = _darts(owner_of[mine], unit[mine], room[mine], limit)
+        order = np.argsort(ranks)[::-1]  # the earliest is written last
+        own, ids = own[order], ids[order]
+        where = (mix(ids ^ _M2) % np.uint64(k)).astype(np.int64)
+        out[own, where] = ids
+        filled[own, where] = True
+        todo &= ~filled.all(1)
+        limit = limit * 2
+    return out
 
 
 def dart_signature(keys: np.ndarray, weights: np.ndarray, k: int = K) -> np.ndarray:
-    """Earliest dart of each of ``k`` coordinates (weights above 0, some element at least)."""
-    rate = k * math.log(k) + 2 * k
-    limit = rate / weights.sum()
-    while True:
-        ids, ranks = _darts(keys, weights, limit)
-        order = np.lexsort((ids, ranks))[::-1]
-        out, filled = np.zeros(k, np.uint64), np.zeros(k, bool)
-        where = (mix(ids ^ _M2) % np.uint64(k)).astype(np.int64)[order]
-        out[where], filled[where] = ids[order], True  # the earliest is written last
-        if filled.all():
-            return out
-        limit *= 2
+    return dart_signatures(np.zeros(len(keys), np.int64), keys, weights, 1, k)[0]
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, text) to (key, bands, compact signature); texts without words have no bands."""
     hashed = WordHash()
     for batch in batches:
-        bands, compact = [], []
-        for text in batch.column(1).to_pylist():
-            keys, weights = weighted(shingles(hashed(text)))
-            if not len(keys):
-                bands.append([])
-                compact.append(b"")
-                continue
-            s = dart_signature(keys, weights)
+        for at in range(0, batch.num_rows, 128):
+            some = batch.slice(at, 128)
+            sets = [np.sort(shingles(hashed(t))) for t in some.column(1).to_pylist()]
+            size = np.array([len(x) for x in sets])
+            flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+            new = np.ones(len(flat), bool)
+            new[1:] = (flat[1:] != flat[:-1]) | (owner[1:] != owner[:-1])
+            begin = np.flatnonzero(new)
+            weight = np.diff(np.append(begin, len(flat))).astype(float)
+            s = dart_signatures(owner[begin], flat[begin], weight, len(sets))
+            h = np.zeros((len(sets), BANDS), np.uint64)
             with np.errstate(over="ignore"):
-                h = np.zeros(BANDS, np.uint64)
-                for r in s.reshape(BANDS, ROWS).T:
-                    h = mix(h + r + _G)
-            bands.append(h.view(np.int64).tolist())
-            compact.append((s >> np.uint64(40)).astype(np.uint8).tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bands, pa.list_(pa.int64())), pa.array(compact, pa.binary())], names=["_k", "bands", "sig"])
+                for r in range(ROWS):
+                    h = mix(h + s.reshape(len(sets), BANDS, ROWS)[:, :, r] + _G)
+            bands = [x if n else [] for x, n in zip(h.view(np.int64).tolist(), size, strict=True)]
+            compact = [x.tobytes() if n else b"" for x, n in zip((s >> np.uint64(40)).astype(np.uint8), size, strict=True)]
+            yield pa.RecordBatch.from_arrays([some.column(0), pa.array(bands, pa.list_(pa.int64())), pa.array(compact, pa.binary())], names=["_k", "bands", "sig"])
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
