@@ -1,9 +1,9 @@
 """Registered queries of the register operators and their SQL twins."""
 
-from . import electors
+from . import electors, records
 
 QUERIES: dict = {}
 ORACLE: dict = {}
-for _module in (electors,):
+for _module in (electors, records):
     QUERIES |= _module.QUERIES
     ORACLE |= _module.ORACLE
