@@ -7,8 +7,10 @@ the run with all the bytes its strings cover is a phrase. Phrases make the dicti
 occurrences the parse:
 
 * a phrase that occurs twice repeats every string in it, wherever it occurs;
-* a phrase that occurs once can share strings only with other phrases around an equal core. Only
-  the strings of those phrases are looked at one by one, each phrase of the dictionary once.
+* a phrase that occurs once can share strings only with other phrases around an equal core. Those
+  phrases, each of the dictionary once, are cut into blocks of BLOCK string starts, for which the
+  same is done again: equal blocks repeat all their strings, and blocks that agree in the bytes
+  common to all their strings are looked at string by string.
 
 Suffixes need no total order here: two of them matter to each other only if their first LENGTH
 bytes are equal, so suffix ranks are 128-bit fingerprints of that prefix, and equal neighbours in
@@ -30,6 +32,7 @@ from .common import materialize, row_key
 
 LENGTH = 400
 CORE = 128
+BLOCK = 16
 CHUNK = 1 << 20
 
 
@@ -98,7 +101,7 @@ def _groups(raw: list[bytes]) -> Iterator[list[int]]:
 
 def phrases(raw: list[bytes], length: int = LENGTH, core: int = CORE) -> dict[str, np.ndarray]:
     """Phrases of the texts: text number, first and last string start, core hash, phrase hashes."""
-    out: dict[str, list[np.ndarray]] = {k: [] for k in ("text", "lo", "hi", "core", "h1", "h2")}
+    out: dict[str, list[np.ndarray]] = {k: [] for k in ("text", "lo", "hi", "trig", "core", "h1", "h2")}
     texts = [i for i, x in enumerate(raw) if len(x) >= length]
     picked = [raw[i] for i in texts]
     hasher = RollingHash(max([CHUNK, *map(len, picked)]))
@@ -114,9 +117,11 @@ def phrases(raw: list[bytes], length: int = LENGTH, core: int = CORE) -> dict[st
             cut = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
             lo, hi = cut + begin, np.concatenate([cut[1:], [n]]) - 1 + begin
             trigger = own[cut]
+            trigger = own[cut]
             out["text"].append(np.full(len(cut), texts[i]))
             out["lo"].append(lo - begin)
             out["hi"].append(hi - begin)
+            out["trig"].append(trigger - begin)
             out["core"].append(grams[trigger])
             # the place of the trigger in the phrase is part of what must agree
             place = (trigger - lo).astype(np.uint64)
@@ -132,26 +137,61 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.astype(np.uint64).view(np.int64))
 
 
+ROWS = ["_k", "lo", "hi", "trig", "weight", "core", "h1", "h2"]
+ROWS_SCHEMA = ", ".join(f"{c} long" for c in ROWS)
+
+
+def _rows(key: pa.Array, lo: np.ndarray, hi: np.ndarray, trig: np.ndarray, weight: np.ndarray, *hashes: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([key, *[pa.array(x, pa.int64()) for x in (lo, hi, trig, weight)], *map(_signed, hashes)], names=ROWS)
+
+
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keys = batch.column(0)
         p = phrases([x.encode("utf-8", "surrogatepass") if x else b"" for x in batch.column(1).to_pylist()])
-        columns = [keys.take(pa.array(p["text"], pa.int64())), pa.array(p["lo"], pa.int64()), pa.array(p["hi"], pa.int64()), *[_signed(p[k]) for k in ("core", "h1", "h2")]]
-        yield pa.RecordBatch.from_arrays(columns, names=["_k", "lo", "hi", "core", "h1", "h2"])
+        yield _rows(batch.column(0).take(pa.array(p["text"], pa.int64())), p["lo"], p["hi"], p["trig"], np.ones(len(p["lo"]), np.int64), p["core"], p["h1"], p["h2"])
 
 
-def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, text, runs of (lo, hi, weight)) to a row for each string that starts in a run."""
+def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(key, text, runs) as key, hasher, sums of both hashes and the columns of the runs."""
     hasher = None
     for batch in batches:
-        for key, text, runs in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+        for key, text, runs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
             if hasher is None or len(data) >= len(hasher.power[0]):
                 hasher = RollingHash(max(CHUNK, len(data)))
-            start = np.concatenate([np.arange(r["lo"], r["hi"] + 1) for r in runs])
-            weight = np.concatenate([np.full(r["hi"] - r["lo"] + 1, r["weight"]) for r in runs])
-            h = [_signed(hasher.of(hasher.sums(data, w), start, start + LENGTH, w)) for w in (0, 1)]
-            yield pa.RecordBatch.from_arrays([pa.array([key.as_py()] * len(start), pa.int64()), pa.array(start), pa.array(weight, pa.int64()), *h], names=["_k", "start", "weight", "h1", "h2"])
+            table = np.array([(r["lo"], r["hi"], r["trig"], r["weight"]) for r in runs], np.int64)
+            yield key, hasher, [hasher.sums(data, w) for w in (0, 1)], table.T
+
+
+def _spread(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number of the run and value for each value from first to last of each run."""
+    n = last - first + 1
+    which = np.repeat(np.arange(len(n)), n)
+    return which, first[which] + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs cut into blocks of starts, aligned by the distance to the trigger.
+
+    The core of a block is the bytes that all its BLOCK strings hold.
+    """
+    for key, hasher, sums, (lo, hi, trig, weight) in _opened(batches):
+        which, q = _spread((trig - hi) // BLOCK, (trig - lo) // BLOCK)
+        end = trig[which] - BLOCK * q  # last start of the whole block
+        first, last = np.maximum(lo[which], end - BLOCK + 1), np.minimum(hi[which], end)
+        with np.errstate(over="ignore"):
+            core = hasher.of(sums[0], end, end - BLOCK + 1 + LENGTH, 0) + q.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            cut = ((end - first) * BLOCK + end - last).astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
+            whole = [hasher.of(sums[w], first, last + LENGTH, w) + cut for w in (0, 1)]
+        yield _rows(pa.array([key] * len(q), pa.int64()), first, last, trig[which], weight[which], core, *whole)
+
+
+def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each string that starts in a run."""
+    for key, hasher, sums, (lo, hi, trig, weight) in _opened(batches):
+        which, start = _spread(lo, hi)
+        h = [hasher.of(sums[w], start, start + LENGTH, w) for w in (0, 1)]
+        yield _rows(pa.array([key] * len(start), pa.int64()), start, start, trig[which], weight[which], h[0], *h)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,23 +223,34 @@ def repeated_runs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """
     keyed = docs.select(row_key(id_col, text_col).alias("_k"), F.col(text_col).alias("_text"))
     long = keyed.filter(F.octet_length("_text") >= LENGTH)
-    parsed = materialize(long.mapInArrow(_parse, "_k long, lo long, hi long, core long, h1 long, h2 long"), "phrases")
+    marks, rest = _resolved(long.mapInArrow(_parse, ROWS_SCHEMA), "phrase")
+    for cut, name in ((_blocks, "block"), (_strings, "string")):
+        rest = materialize(rest.groupBy("_k").agg(F.collect_set(F.struct("lo", "hi", "trig", "weight")).alias("runs")), f"{name}-runs")
+        # rows equal in id and text would come as often as there are; their runs count once
+        texts = long.join(rest, "_k").dropDuplicates(["_k"]).select("_k", "_text", "runs")
+        found, rest = _resolved(texts.mapInArrow(cut, ROWS_SCHEMA), name)
+        marks = marks.unionByName(found)
+    return marks
+
+
+def _resolved(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """Runs of which every string is repeated, and runs to look at more closely.
+
+    rows: as ROWS, of which (h1, h2) stand for all the bytes and core for those that every string
+    of the run holds. A run to look at has a core that other runs share; of equal runs it is one.
+    """
     kind = ["core", "h1", "h2"]
-    dictionary = parsed.groupBy(*kind).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("_k", "lo")).alias("first"))
-    dictionary = materialize(dictionary, "dictionary")
-    cores = materialize(dictionary.groupBy("core").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds")).filter("total > 1"), "cores")
-    known = dictionary.join(cores, "core").filter("n > 1 or kinds > 1")
-    known = materialize(known.select(*kind, "n", "kinds", "first"), "known")
-    here = parsed.join(known, kind)
-    here = materialize(here.withColumn("alone", F.expr("kinds > 1 and (n = 1 or (first._k = _k and first.lo = lo))")).select("_k", "lo", "hi", "n", "alone"), "occurrences")
-    whole = here.filter("n > 1").select("_k", "lo", "hi")
-    single = here.filter("alone").groupBy("_k").agg(F.collect_set(F.struct("lo", "hi", F.least("n", F.lit(2)).alias("weight"))).alias("runs"))
-    single = materialize(single, "single")
-    texts = long.join(single, "_k").groupBy("_k").agg(F.min("_text").alias("_text"), F.min("runs").alias("runs"))
-    strings = materialize(texts.mapInArrow(_strings, "_k long, start long, weight long, h1 long, h2 long"), "strings")
-    again = strings.groupBy("h1", "h2").agg(F.sum("weight").alias("n")).filter("n > 1").select("h1", "h2")
-    alone = strings.join(materialize(again, "again"), ["h1", "h2"], "left_semi").select("_k", F.col("start").alias("lo"), F.col("start").alias("hi"))
-    return whole.unionByName(alone)
+    rows = materialize(rows, f"{name}-parse")
+    dictionary = rows.groupBy(*kind).agg(F.sum("weight").alias("n"), F.count(F.lit(1)).alias("places"), F.min(F.struct("_k", "lo")).alias("first"))
+    dictionary = materialize(dictionary, f"{name}-dictionary")
+    cores = dictionary.groupBy("core").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"), F.sum("places").alias("of")).filter("total > 1")
+    # one run alone with its core has nothing to be compared with
+    cores = materialize(cores.filter("kinds > 1 or of > 1").select("core", "kinds"), f"{name}-cores")
+    known = materialize(dictionary.join(cores, "core").filter("n > 1 or kinds > 1").select(*kind, "n", "kinds", "first"), f"{name}-known")
+    here = rows.join(known, kind).select("_k", "lo", "hi", "trig", "n", F.expr("kinds > 1 and (n = 1 or (first._k = _k and first.lo = lo))").alias("open"))
+    here = materialize(here, f"{name}-found")
+    open_runs = here.filter("open").select("_k", "lo", "hi", "trig", F.least("n", F.lit(2)).alias("weight"))
+    return here.filter("n > 1").select("_k", "lo", "hi"), open_runs
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

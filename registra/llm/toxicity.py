@@ -30,7 +30,8 @@ MARKER_PRECISION = 0.9
 GRADE_STEPS = (4, 8)
 THRESHOLD = 0.5
 ROUNDS = 300
-L2 = 1e-5
+#: Weight of the squared weights against the whole sample's log likelihood.
+L2 = 0.2
 
 _word = re.compile(r"[^\W\d_]+")
 
@@ -77,7 +78,7 @@ def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, n_features: int, rou
         likely = np.maximum(padded[at, grades] - padded[at, grades + 1], 1e-9)
         lo, hi = slope[at, grades] / likely / len(rows), slope[at, grades + 1] / likely / len(rows)
         d_score = lo - hi
-        g_w = np.bincount(flat, d_score[owner], n_features) - l2 * w
+        g_w = np.bincount(flat, d_score[owner], n_features) - l2 / len(rows) * w
         g_theta = np.array([hi[grades == j].sum() - lo[grades == j + 1].sum() for j in range(k)])
         tail = np.cumsum(g_theta[::-1])[::-1]
         g = np.concatenate([g_w, [tail[0]], tail[1:] * np.exp(p[1:])])
