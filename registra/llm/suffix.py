@@ -237,17 +237,18 @@ def _resolved(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
     """Runs of which every string is repeated, and runs to look at more closely.
 
     rows: as ROWS, of which (h1, h2) stand for all the bytes and core for those that every string
-    of the run holds. A run to look at has a core that other runs share; of equal runs it is one.
+    of the run holds. A run to look at has a core that other runs share; of equal
+    runs one row's are enough (its key is a plain minimum, which needs no sort).
     """
     kind = ["core", "h1", "h2"]
     rows = materialize(rows, f"{name}-parse")
-    dictionary = rows.groupBy(*kind).agg(F.sum("weight").alias("n"), F.count(F.lit(1)).alias("places"), F.min(F.struct("_k", "lo")).alias("first"))
+    dictionary = rows.groupBy(*kind).agg(F.sum("weight").alias("n"), F.count(F.lit(1)).alias("places"), F.min("_k").alias("first"))
     dictionary = materialize(dictionary, f"{name}-dictionary")
     cores = dictionary.groupBy("core").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"), F.sum("places").alias("of")).filter("total > 1")
     # one run alone with its core has nothing to be compared with
     cores = materialize(cores.filter("kinds > 1 or of > 1").select("core", "kinds"), f"{name}-cores")
     known = materialize(dictionary.join(cores, "core").filter("n > 1 or kinds > 1").select(*kind, "n", "kinds", "first"), f"{name}-known")
-    here = rows.join(known, kind).select("_k", "lo", "hi", "trig", "n", F.expr("kinds > 1 and (n = 1 or (first._k = _k and first.lo = lo))").alias("open"))
+    here = rows.join(known, kind).select("_k", "lo", "hi", "trig", "n", F.expr("kinds > 1 and first = _k").alias("open"))
     here = materialize(here, f"{name}-found")
     open_runs = here.filter("open").select("_k", "lo", "hi", "trig", F.least("n", F.lit(2)).alias("weight"))
     return here.filter("n > 1").select("_k", "lo", "hi"), open_runs
