@@ -12,9 +12,10 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc(texts: pd.Series) -> pd.Series:
     """Unicode normal form C with white-space runs as one space."""
     return texts.map(lambda t: None if t is None else " ".join(unicodedata.normalize("NFC", t).split()))
@@ -61,7 +62,7 @@ def jaro_winkler(a: str, b: str) -> float:
 
 
 def _scored(measure):
-    @F.pandas_udf("double")
+    @F.pandas_udf(T.DoubleType())
     def run(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for a, b in pairs:
             yield pd.Series([None if x is None or y is None else measure(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
