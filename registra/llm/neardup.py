@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import hinted, materialize
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -35,6 +35,8 @@ DARTS = int(K * math.log(K) + 2 * K)
 #: share this low is five standard deviations away.
 POSSIBLE = 0.62
 BLOCK = 512
+CALL = 2048
+BROADCAST_ROWS = 500_000
 
 #: Ends of the first rank cells; beyond the last they go on in steps of 1.
 CELLS = np.array([0.0, 1 / 64, 1 / 16, 1 / 4, 1.0])
@@ -252,27 +254,39 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _in_blocks(members: DataFrame, columns: list[str], compare, schema: str) -> DataFrame:
-    """``compare(left, right)`` on every two blocks of each group, and on each block with itself.
+    """``compare`` on every two blocks of each group, and on each block with itself.
 
     A block holds about BLOCK members, so the memory of a task is bounded whatever a group holds.
+    Most groups are small, so pairs of blocks are dealt to calls of about CALL rows.
     """
     size = members.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_blocks"))
-    size = materialize(size.filter("_blocks > 0"), "open-sizes")
+    size = materialize(size, "open-sizes")
+    calls = max(1, -(-members.count() // CALL))
     dealt = members.join(size, "group").withColumn("_own", F.pmod(F.hash("k", F.lit(5)), F.col("_blocks")))
     other = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_other")
     tasks = dealt.select("group", *columns, "_own", other).withColumns({"_i": F.least("_own", "_other"), "_j": F.greatest("_own", "_other")})
+    names = [c.split()[0] for c in schema.split(", ")]
 
-    def run(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
-        x = x.sort_values(["_own", "k"], ignore_index=True)
-        return compare(x, (x["_own"] == key[1]).to_numpy(), (x["_own"] == key[2]).to_numpy())
+    def run(x: pd.DataFrame) -> pd.DataFrame:
+        x = x.sort_values(["group", "_i", "_j", "_own", "k"])
+        data = {c: x[c].to_numpy() for c in ("group", "_i", "_j", "_own", *columns)}
+        new = np.any([data[c][1:] != data[c][:-1] for c in ("group", "_i", "_j")], axis=0)
+        ends = [0, *(np.flatnonzero(new) + 1).tolist(), len(x)]
+        out = []
+        for lo, hi in zip(ends[:-1], ends[1:], strict=True):
+            own = data["_own"][lo:hi]
+            out += compare({c: v[lo:hi] for c, v in data.items()}, own == data["_i"][lo], own == data["_j"][lo])
+        return pd.DataFrame(out, columns=names, dtype="int64")
 
-    return tasks.groupBy("group", "_i", "_j").applyInPandas(run, schema)
+    call = F.pmod(F.xxhash64("group", "_i", "_j"), F.lit(calls)).alias("_call")
+    return tasks.groupBy(call).applyInPandas(run, schema)
 
 
-def _has_partner(x: pd.DataFrame, left: np.ndarray, right: np.ndarray) -> pd.DataFrame:
+def _has_partner(x: dict[str, np.ndarray], left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
     """Members whose signature leaves a link possible to one of another component."""
-    sig = np.frombuffer(b"".join(x["sig"]), np.uint8).reshape(len(x), K)
-    comp, hit = x["comp"].to_numpy(), np.zeros(len(x), bool)
+    n = len(left)
+    sig = np.frombuffer(b"".join(x["sig"]), np.uint8).reshape(n, K)
+    comp, hit = x["comp"], np.zeros(n, bool)
     right = np.flatnonzero(right)
     for a in np.flatnonzero(left):
         cand = right[comp[right] != comp[a]]
@@ -280,10 +294,10 @@ def _has_partner(x: pd.DataFrame, left: np.ndarray, right: np.ndarray) -> pd.Dat
             near = cand[(sig[cand] == sig[a]).mean(1) >= POSSIBLE]
             hit[near] = True
             hit[a] |= len(near) > 0
-    return x.loc[hit, ["group", "k"]]
+    return list(zip(x["group"][hit].tolist(), x["k"][hit].tolist(), strict=True))
 
 
-def _links_between(x: pd.DataFrame, left: np.ndarray, right: np.ndarray) -> pd.DataFrame:
+def _links_between(x: dict[str, np.ndarray], left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
     """Enough links of SIMILARITY to connect all members that such links connect.
 
     Weights are whole numbers, so a text is the set of its (shingle, number) units, and what two
@@ -314,8 +328,8 @@ def _links_between(x: pd.DataFrame, left: np.ndarray, right: np.ndarray) -> pd.D
     # in whole numbers: both / (a + b - both) >= SIMILARITY
     near = both * (1 + SIMILARITY) >= SIMILARITY * (size[:, None] + size[None, :]) - 1e-3
     near &= (left[:, None] & right[None, :]) | (right[:, None] & left[None, :])
-    k, todo, found = x["k"].to_numpy(), np.ones(len(x), bool), []
-    for root in range(len(x)):
+    k, todo, found = x["k"].tolist(), np.ones(len(units), bool), []
+    for root in range(len(units)):
         if not todo[root]:
             continue
         todo[root] = False
@@ -326,7 +340,7 @@ def _links_between(x: pd.DataFrame, left: np.ndarray, right: np.ndarray) -> pd.D
             todo[new] = False
             front += new.tolist()
             found += [(min(k[a], k[b]), max(k[a], k[b])) for b in new]
-    return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+    return found
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -364,9 +378,15 @@ def text_classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     ``_n`` and whether it is the ``lead`` of its class, the text with the smallest id."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select(F.col(id_col).alias("_id"), _text_key(text_col).alias("_k"), text.alias("_text"))
-    # equal texts meet on the map side first, however many they are
-    texts = materialize(keyed.groupBy("_k").agg(F.min("_text").alias("_text"), F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n")), "texts")
-    signed = materialize(texts.select("_k", "_text").mapInArrow(_signatures, "_k long, bands array<long>, sig binary"), "signatures")
+    # equal texts meet on the map side first, however many they are; the texts themselves stay put
+    texts = materialize(keyed.groupBy("_k").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n")), "texts")
+    signed = keyed.select("_k", "_text").mapInArrow(_signatures, "_k long, bands array<long>, sig binary")
+    signed = materialize(signed.groupBy("_k").agg(F.first("bands").alias("bands"), F.first("sig").alias("sig")), "signatures")
+
+    def texts_of(keys: DataFrame) -> DataFrame:
+        keys = hinted(materialize(keys.distinct(), "wanted"), BROADCAST_ROWS)
+        return materialize(keyed.select("_k", "_text").join(keys, "_k", "left_semi").groupBy("_k").agg(F.min("_text").alias("_text")), "wanted-texts")
+
     banded = signed.select("_k", F.posexplode("bands").alias("band", "h")).select("_k", F.xxhash64("band", "h").alias("group"))
     many = banded.groupBy("group").agg(F.count(F.lit(1)).alias("_n"), F.min("_k").alias("lo"), F.max("_k").alias("hi")).filter("lo != hi")
     grouped = materialize(banded.join(materialize(many.drop("hi"), "many"), "group"), "groups")
@@ -379,15 +399,17 @@ def text_classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     sig = signed.select("_k", "sig")
     star = star.join(sig.select(F.col("_k").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("_k").alias("b"), F.col("sig").alias("sb")), "b")
     star = materialize(_possible(star), "star")
-    links = materialize(_verified(star, texts), "star-links")
+    links = materialize(_verified(star, texts_of(star.select(F.explode(F.array("a", "b")).alias("_k")))), "star-links")
     comp = components(links)
-    member = grouped.select("group", "_k").join(comp, F.col("_k") == F.col("k"), "left")
+    # of a group of two the only pair has been compared
+    member = grouped.filter("_n > 2").select("group", "_k").join(comp, F.col("_k") == F.col("k"), "left")
     member = materialize(member.select("group", F.col("_k").alias("k"), F.coalesce("comp", "_k").alias("comp")), "members")
     open_groups = member.groupBy("group").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).filter("_lo != _hi").select("group")
     open_groups = materialize(open_groups, "open-groups")
     rest = materialize(member.join(open_groups, "group").join(sig.withColumnRenamed("_k", "k"), "k"), "open")
     alive = _in_blocks(rest, ["k", "comp", "sig"], _has_partner, "group long, k long").distinct()
-    alive = materialize(alive, "alive").join(texts.select(F.col("_k").alias("k"), "_text"), "k")
+    alive = materialize(alive, "alive")
+    alive = alive.join(texts_of(alive.select(F.col("k").alias("_k"))).withColumnRenamed("_k", "k"), "k")
     more = materialize(_in_blocks(alive, ["k", "_text"], _links_between, "a long, b long").distinct(), "open-links")
     comp = components(links.unionByName(more))
     named = texts.select("_k", "_first", "_n").join(comp, F.col("_k") == F.col("k"), "left").select("_k", "_first", "_n", F.coalesce("comp", "_k").alias("comp"))
