@@ -1,9 +1,9 @@
 """Registered queries of the register operators and their SQL twins."""
 
-from . import electors, records
+from . import electors, records, storage
 
 QUERIES: dict = {}
 ORACLE: dict = {}
-for _module in (electors, records):
+for _module in (electors, records, storage):
     QUERIES |= _module.QUERIES
     ORACLE |= _module.ORACLE
