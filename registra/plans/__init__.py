@@ -1,9 +1,9 @@
 """Registered queries of the register operators and their SQL twins."""
 
-from . import electors, records, storage
+from . import electors, pages, records, storage
 
 QUERIES: dict = {}
 ORACLE: dict = {}
-for _module in (electors, records, storage):
+for _module in (electors, records, pages, storage):
     QUERIES |= _module.QUERIES
     ORACLE |= _module.ORACLE
