@@ -28,11 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, row_key
+from .common import hinted, materialize, row_key
 
 LENGTH = 400
 CORE = 128
 BLOCK = 16
+BROADCAST_ROWS = 1_000_000
 CHUNK = 1 << 20
 
 
@@ -226,8 +227,9 @@ def repeated_runs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     marks, rest = _resolved(long.mapInArrow(_parse, ROWS_SCHEMA), "phrase")
     for cut, name in ((_blocks, "block"), (_strings, "string")):
         rest = materialize(rest.groupBy("_k").agg(F.collect_set(F.struct("lo", "hi", "trig", "weight")).alias("runs")), f"{name}-runs")
-        # rows equal in id and text would come as often as there are; their runs count once
-        texts = long.join(rest, "_k").dropDuplicates(["_k"]).select("_k", "_text", "runs")
+        # only the texts with open runs move; of rows equal in id and text one is enough
+        texts = long.join(hinted(rest.select("_k"), BROADCAST_ROWS), "_k", "left_semi").dropDuplicates(["_k"])
+        texts = texts.join(rest, "_k").select("_k", "_text", "runs")
         found, rest = _resolved(texts.mapInArrow(cut, ROWS_SCHEMA), name)
         marks = marks.unionByName(found)
     return marks
@@ -242,13 +244,12 @@ def _resolved(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
     """
     kind = ["core", "h1", "h2"]
     rows = materialize(rows, f"{name}-parse")
-    dictionary = rows.groupBy(*kind).agg(F.sum("weight").alias("n"), F.count(F.lit(1)).alias("places"), F.min("_k").alias("first"))
-    dictionary = materialize(dictionary, f"{name}-dictionary")
-    cores = dictionary.groupBy("core").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"), F.sum("places").alias("of")).filter("total > 1")
+    cores = rows.groupBy("core").agg(F.sum("weight").alias("total"), F.count(F.lit(1)).alias("places"), F.min("h1").alias("_a"), F.max("h1").alias("_b"))
     # one run alone with its core has nothing to be compared with
-    cores = materialize(cores.filter("kinds > 1 or of > 1").select("core", "kinds"), f"{name}-cores")
-    known = materialize(dictionary.join(cores, "core").filter("n > 1 or kinds > 1").select(*kind, "n", "kinds", "first"), f"{name}-known")
-    here = rows.join(known, kind).select("_k", "lo", "hi", "trig", "n", F.expr("kinds > 1 and first = _k").alias("open"))
+    cores = cores.filter("total > 1 and places > 1").select("core", F.expr("_a != _b").alias("mixed"))
+    held = materialize(rows.join(hinted(materialize(cores, f"{name}-cores"), BROADCAST_ROWS), "core"), f"{name}-held")
+    dictionary = materialize(held.groupBy(*kind).agg(F.sum("weight").alias("n"), F.min("_k").alias("first")), f"{name}-dictionary")
+    here = held.join(dictionary, kind).select("_k", "lo", "hi", "trig", "n", F.expr("mixed and first = _k").alias("open")).filter("n > 1 or open")
     here = materialize(here, f"{name}-found")
     open_runs = here.filter("open").select("_k", "lo", "hi", "trig", F.least("n", F.lit(2)).alias("weight"))
     return here.filter("n > 1").select("_k", "lo", "hi"), open_runs
