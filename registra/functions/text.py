@@ -207,3 +207,39 @@ def long_vowels(c: Column, vowels: str) -> Column:
 
 def progress_percent(done: Column, total: Column) -> Column:
     return F.when(total > 0, F.round(done * 100.0 / total)).otherwise(0.0)
+
+
+def repaired_signs(c: Column, pairs: dict[str, str], signs: str) -> Column:
+    """Vowel signs put right: known pairs composed first, then only the last of a run is kept."""
+    out = c
+    for a, b in pairs.items():
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return F.regexp_replace(out, f"[{signs}]+(?=[{signs}])", "")
+
+
+def enum_by_containment(c: Column, options: list[str]) -> Column:
+    """The first option that the text holds."""
+    low = F.lower(F.coalesce(c, F.lit("")))
+    out = None
+    for o in options:
+        out = F.when(low.contains(o.lower()), o) if out is None else out.when(low.contains(o.lower()), o)
+    return out
+
+
+def spelling_score(count: Column, word: Column, vowels: str) -> Column:
+    """Votes, weighted by a quarter for each long vowel."""
+    return count * (1 + 0.25 * long_vowels(word, vowels))
+
+
+def reservation(c: Column) -> Column:
+    """Reservation status in brackets: GEN, SC or ST."""
+    got = F.upper(F.regexp_extract(F.coalesce(c, F.lit("")), r"(?i)\((gen|sc|st)\)", 1))
+    return filled(got)
+
+
+def label_windows(c: Column, label: str) -> Column:
+    """The pieces of a text about as long as a label: from one shorter to two longer, in order."""
+    n = len(label)
+    sizes = F.array(*[F.lit(k) for k in range(max(1, n - 1), n + 3)])
+    of = lambda k: F.when(F.length(c) >= k, F.transform(F.sequence(F.lit(1), F.length(c) - k + 1), lambda i: F.substring(c, i, k))).otherwise(F.array().cast("array<string>"))
+    return F.flatten(F.transform(sizes, of))

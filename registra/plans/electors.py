@@ -51,12 +51,10 @@ def g4_average_age(spark, sf_dir):
 
 
 @query(
-    """SELECT part_number AS label, sum(is_deleted::INT)::DOUBLE AS value, round(sum(is_deleted::INT) * 100.0 / sum(sum(is_deleted::INT)) OVER (), 1) AS share,
-    1 AS rank FROM electors WHERE false GROUP BY part_number UNION ALL
-    (WITH p AS (SELECT part_number AS label, sum(is_deleted::INT) AS value FROM electors WHERE age >= 30 AND verified GROUP BY 1),
+    """WITH p AS (SELECT part_number AS label, sum(is_deleted::INT) AS value FROM electors WHERE age >= 30 AND verified GROUP BY 1),
     r AS (SELECT *, row_number() OVER (ORDER BY value DESC, label) AS rank FROM p),
     f AS (SELECT CASE WHEN rank <= 12 THEN label ELSE 'Other' END AS label, least(rank, 13) AS rank, sum(value) AS value FROM r GROUP BY ALL)
-    SELECT label, value::DOUBLE, round(value * 100.0 / sum(value) OVER (), 1), rank::INT FROM f)""",
+    SELECT label, value::DOUBLE AS value, round(value * 100.0 / sum(value) OVER (), 1) AS share, rank::INT AS rank FROM f""",
     "electors",
 )
 def g7_top_parts_and_other(spark, sf_dir):

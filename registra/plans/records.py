@@ -304,12 +304,9 @@ def r22_question_routes(spark, sf_dir):
 @query(
     """WITH s AS (SELECT doc_id, unnest(string_split_regex(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))) AS s, unnest(range(0, len(string_split_regex(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))))) AS pos FROM documents),
     e AS (SELECT DISTINCT user_id, regexp_extract(props, '\\d+') AS n FROM events),
-    b AS (SELECT doc_id, pos, s, len(list_filter(list_distinct(regexp_extract_all(s, '\\d+(?:\\.\\d+)?')), lambda n: NOT EXISTS (SELECT 1 FROM e WHERE false) AND n IS NOT NULL)) AS k FROM s),
     u AS (SELECT doc_id, pos, unnest(regexp_extract_all(s, '\\d+(?:\\.\\d+)?')) AS n FROM s),
     bad AS (SELECT DISTINCT u.doc_id, pos FROM u LEFT JOIN e ON e.user_id = u.doc_id % 150 AND e.n = u.n WHERE e.n IS NULL)
-    SELECT s.doc_id, coalesce(string_agg(CASE WHEN bad.pos IS NULL THEN s.s END, ' ' ORDER BY s.pos), '') AS text, count(bad.pos) AS dropped FROM s LEFT JOIN bad ON s.doc_id = bad.doc_id AND s.pos = bad.pos GROUP BY s.doc_id""".replace(
-        "b AS (SELECT doc_id, pos, s, len(list_filter(list_distinct(regexp_extract_all(s, '\\d+(?:\\.\\d+)?')), lambda n: NOT EXISTS (SELECT 1 FROM e WHERE false) AND n IS NOT NULL)) AS k FROM s),\n    ", ""
-    )
+    SELECT s.doc_id, coalesce(string_agg(CASE WHEN bad.pos IS NULL THEN s.s END, ' ' ORDER BY s.pos), '') AS text, count(bad.pos) AS dropped FROM s LEFT JOIN bad ON s.doc_id = bad.doc_id AND s.pos = bad.pos GROUP BY s.doc_id"""
 )
 def r24_grounded_replies(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
