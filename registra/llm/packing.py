@@ -94,7 +94,17 @@ def _pieces(tokenizer: str, capacity: int, end_id: int, schema: pa.Schema):
 
 
 def complement_plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[tuple[int, int]], int]]:
-    """Patterns ``([(length, times), ...], sequences)`` that place every piece once."""
+    """Patterns ``([(length, times), ...], sequences)`` that place every piece once.
+
+    Filling a sequence exactly with many small pieces can leave larger ones without company, so the
+    plan is made with combinations of up to 3, 2, 1 and no further lengths, and the one with the
+    fewest sequences is kept.
+    """
+    plans = [_plan(counts, capacity, most) for most in (3, 2, 1, 0)]
+    return min(plans, key=lambda plan: sum(times for _, times in plan))
+
+
+def _plan(counts: dict[int, int], capacity: int, most: int) -> list[tuple[list[tuple[int, int]], int]]:
     left = np.zeros(capacity + 1, np.int64)
     for length, n in counts.items():
         left[length] = n
@@ -110,11 +120,11 @@ def complement_plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tu
         return ()
 
     def combination(gap: int) -> tuple[int, ...]:
-        if left[gap] > 0:
+        if most >= 1 and left[gap] > 0:
             return (gap,)
-        if found := pair(gap):
+        if most >= 2 and (found := pair(gap)):
             return found
-        for a in np.flatnonzero(left[: gap - 1])[::-1]:
+        for a in [] if most < 3 else np.flatnonzero(left[: gap - 1])[::-1]:
             left[a] -= 1
             found = pair(gap - int(a))
             left[a] += 1
