@@ -116,8 +116,8 @@ def drop_boilerplate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: st
 
     Adds ``n_lines`` (lines before; null text: 0) and ``n_dropped``. All rows and columns stay; a
     text of which every line goes becomes ''; a null text stays null; equal rows get equal results.
-    Blank lines and lines under the token minimum stay. Columns named ``_k`` or ``_drop`` in the
-    input are not allowed to matter: the helper columns are joined under fresh names.
+    Blank lines and lines under the token minimum stay. Input columns named ``n_lines`` or
+    ``n_dropped`` are replaced; other columns may have any name that does not start with ``__line``.
     """
     bad = line_templates(docs, id_col, text_col, **limits).withColumnsRenamed({"_k": "__line_k", "_drop": "__line_drop"})
     lines = F.split(F.col(text_col), "\n")
@@ -126,7 +126,6 @@ def drop_boilerplate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: st
     out = keyed.join(bad, F.col("__line_key") == F.col("__line_k"), "left")
     counts = {
         "n_lines": F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("long"),
-        "n_dropped": F.coalesce(F.size("__line_drop"), F.lit(0)).cast("long"),
     }
     dropped = F.when(F.col("__line_drop").isNull(), 0).otherwise(F.size("__line_drop")).cast("long")
     counts["n_dropped"] = dropped
