@@ -124,3 +124,13 @@ def families(people: DataFrame) -> DataFrame:
         .otherwise("Resident")
     )
     return out.select("id", "block", F.coalesce("family", "id").alias("family"), role.alias("role"), F.coalesce("confidence", F.lit(0)).alias("confidence"))
+
+
+def household_of(people: DataFrame, target: int) -> DataFrame:
+    """The household of one elector: its members with roles, and whether they are of the elector's
+    own family. Only the elector's block is resolved."""
+    block = people.filter(F.col("id") == target).select("block").distinct()
+    members = stored(people.join(F.broadcast(block), "block", "left_semi"), "block")
+    out = families(members)
+    own = out.filter(F.col("id") == target).select(F.col("family").alias("_own"))
+    return out.join(F.broadcast(own)).select("id", "family", "role", "confidence", (F.col("family") == F.col("_own")).alias("own_family"))

@@ -130,3 +130,47 @@ def key_values(lines: DataFrame, id_cols: list[str], text: str, labels: list[str
         hit = F.col("key").endswith(label.lower())
         best = F.when(hit, label) if best is None else best.when(hit, label)
     return parts.select(*id_cols, "pos", key.alias("key"), value.alias("value")).withColumn("label", best).filter("label is not null").select(*id_cols, "pos", "label", "value")
+
+
+def cell_records(lines: DataFrame, cell: list[str], order: str, text: str, labels: list[str], identifier: str = "[A-Z]{3}[0-9]{7}") -> DataFrame:
+    """One record a cell: the first value of each label in line order, and the first identifier by
+    shape. A label without a value takes the next line of its cell."""
+    following = F.lead(text).over(Window.partitionBy(*cell).orderBy(order))
+    wrapped = lines.withColumn("_line", F.when(F.trim(F.col(text)).rlike(r"[:=]$"), F.concat_ws(" ", F.col(text), following)).otherwise(F.col(text)))
+    pairs = key_values(wrapped, [*cell, order], "_line", labels).filter("value != ''")
+    first = lambda label: F.min(F.when(F.col("label") == label, F.struct(order, "pos", "value"))).getField("value").alias(label.replace(" ", "_"))
+    values = pairs.groupBy(*cell).agg(*[first(x) for x in labels])
+    shape = F.regexp_extract(F.upper(F.coalesce(F.col(text), F.lit(""))), f"({identifier})", 1)
+    ids = lines.withColumn("_id", shape).filter("_id != ''").groupBy(*cell).agg(F.min(F.struct(order, "_id")).getField("_id").alias("identifier"))
+    return values.join(ids, cell, "full_outer")
+
+
+def summary_rows(lines: DataFrame, page: str, id_col: str, text: str, labels: dict[str, str], reach: float) -> DataFrame:
+    """Printed totals of each page: for each labelled line the number to its right on the same line.
+
+    ``labels``: column -> stem. Adds ``consistent``: base + additions - deletions = net.
+    """
+    from registra.functions.text import count_text
+    from registra.operators.joins import nearest_right
+
+    low = F.lower(F.coalesce(F.col(text), F.lit("")))
+    kind = None
+    for k, stem in labels.items():
+        kind = F.when(low.contains(stem), k) if kind is None else kind.when(low.contains(stem), k)
+    named = lines.withColumns({"_kind": kind, "_n": count_text(F.col(text))})
+    left, right = named.filter("_kind is not null"), named.filter("_n is not null")
+    pairs = nearest_right(left, right, page, id_col, F.lit(reach))
+    got = pairs.join(left.select(page, F.col(id_col).alias("label_id"), "_kind"), [page, "label_id"]).join(right.select(page, F.col(id_col).alias("value_id"), "_n"), [page, "value_id"])
+    out = got.groupBy(page).agg(*[F.max(F.when(F.col("_kind") == k, F.col("_n"))).alias(k) for k in labels])
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    return out.withColumn("consistent", zero("base") + zero("additions") - zero("deletions") == zero("net"))
+
+
+def cover_rows(lines: DataFrame, page: str, order: str, text: str, labels: list[str]) -> DataFrame:
+    """Station row of each cover: values of its labels, the first date and the first pin code."""
+    pairs = key_values(lines, [page, order], text, labels).filter("value != ''")
+    first = lambda label: F.min(F.when(F.col("label") == label, F.struct(order, "pos", "value"))).getField("value").alias(label.replace(" ", "_"))
+    values = pairs.groupBy(page).agg(*[first(x) for x in labels])
+    dates = first_match(lines, page, order, text, r"(\d{2}[-/.]\d{2}[-/.]\d{4})", "qualifying_date")
+    pins = first_match(lines, page, order, text, r"(?:^|\D)(\d{6})(?:\D|$)", "pincode")
+    return values.join(dates, page, "left").join(pins, page, "left")

@@ -12,9 +12,11 @@ from registra.operators import household as H
 from registra.operators import infographic as G
 from registra.operators import listing as L
 from registra.operators import mutations as M
+from registra.operators import pages as P
 from registra.registry import run_sql
 from registra.sources import sinks as K
 from registra.sources import tables as T
+from registra.streaming import pages as S
 
 from .bindings import bound, table, twin
 
@@ -295,3 +297,56 @@ def w17_family_roots(spark, sf_dir):
     rows = people.filter("house_number is not null").join(named, "name", "left")
     way = Window.partitionBy("part_number", "house_number").orderBy(F.desc(F.coalesce("children", F.lit(0))), F.desc_nulls_last("age"), "serial", "id")
     return rows.withColumn("_rn", F.row_number().over(way)).filter("_rn = 1").select("part_number", F.col("house_number").alias("family"), F.col("id").alias("root"))
+
+
+@query(
+    """SELECT c_custkey AS cell, c_name AS name, (c_custkey % 50)::VARCHAR AS house_number, (20 + c_custkey % 60)::VARCHAR AS age, 'ABC' || lpad(c_custkey::VARCHAR, 7, '0') AS identifier FROM customer"""
+)
+def r6_cell_records(spark, sf_dir):
+    k, s = F.col("c_custkey"), lambda c: c.cast("string")
+    texts = F.array(
+        F.concat(F.lit("7 abc"), F.lpad(s(k), 7, "0")), F.concat(F.lit("Name: "), F.col("c_name")), F.concat(F.lit("House Number = "), s(k % 50), F.lit(" | Age:")), F.concat(F.lit(""), s(20 + k % 60)), F.lit("Name: second")
+    )
+    lines = table(spark, sf_dir, "customer").select(k.alias("cell"), F.posexplode(texts).alias("pos_in_cell", "text"))
+    return P.cell_records(lines, ["cell"], "pos_in_cell", "text", ["name", "house number", "age"])
+
+
+@query(
+    """SELECT n_nationkey AS page, (100 + n_nationkey)::INT AS base, n_nationkey::INT AS additions, (n_nationkey % 4)::INT AS deletions, CASE WHEN n_nationkey % 5 = 0 THEN 1 ELSE 100 + n_nationkey * 2 - n_nationkey % 4 END::INT AS net,
+    n_nationkey % 5 <> 0 AS consistent FROM nation"""
+)
+def r10_summary_rows(spark, sf_dir):
+    k, s = F.col("n_nationkey"), lambda c: c.cast("string")
+    net = F.when(k % 5 == 0, 1).otherwise(100 + k * 2 - k % 4)
+    rows = F.array(*[F.struct(F.lit(float(20 * i)).alias("y"), F.lit(name).alias("label"), s(v).alias("value")) for i, (name, v) in enumerate((("Base roll", 100 + k), ("Additions list", k), ("Deletions list", k % 4), ("Net roll", net)))])
+    each = table(spark, sf_dir, "nation").select(k.alias("page"), F.explode(rows).alias("r"))
+    box = lambda x, w, t, i: each.select("page", F.concat(F.lit(i), s(F.col("r.y"))).alias("line_id"), F.lit(x).alias("x"), F.col("r.y").alias("y"), F.lit(w).alias("w"), F.lit(12.0).alias("h"), F.col(f"r.{t}").alias("text"))
+    lines = box(10.0, 80.0, "label", "l").unionByName(box(700.0, 30.0, "value", "v"))
+    return P.summary_rows(lines, "page", "line_id", "text", {"base": "base", "additions": "additions", "deletions": "deletions", "net": "net"}, 8.0)
+
+
+@query("SELECT n_nationkey AS page, n_name AS station_name, n_regionkey::VARCHAR AS part_number, '01-01-20' || lpad(n_nationkey::VARCHAR, 2, '0') AS qualifying_date, (600000 + n_nationkey)::VARCHAR AS pincode FROM nation")
+def r9_cover_rows(spark, sf_dir):
+    k, s = F.col("n_nationkey"), lambda c: c.cast("string")
+    texts = F.array(F.lit("Electoral roll"), F.concat(F.lit("Station name: "), "n_name"), F.concat(F.lit("Part number = "), s(F.col("n_regionkey")), F.lit(" | x")), F.concat(F.lit("as on 01-01-20"), F.lpad(s(k), 2, "0")), F.concat(F.lit("Town "), s(600000 + k)))
+    lines = table(spark, sf_dir, "nation").select(k.alias("page"), F.posexplode(texts).alias("place", "text"))
+    return P.cover_rows(lines, "page", "place", "text", ["station name", "part number"])
+
+
+@query("")
+def r15_household_of_elector(spark, sf_dir):
+    people = bound(spark, sf_dir, "electors").filter("house_number is not null").select(
+        "id", F.concat_ws("|", "part_number", X.building_key(F.col("house_number"))).alias("block"), "name", "relation_type", "relation_name", "age", "gender", "serial", F.col("house_number").alias("house")
+    )
+    return H.household_of(people, 101)
+
+
+@query(
+    """WITH e AS (SELECT user_id AS job, event_id % 6 AS batch, count(*) AS n FROM events WHERE user_id < 40 GROUP BY 1, 2), d AS (SELECT *, batch = 4 AS done FROM e)
+    SELECT job, -1 AS batch, 0 AS n, 'snapshot' AS event FROM (SELECT DISTINCT job FROM d) UNION ALL SELECT job, batch, n, CASE WHEN done THEN 'job_done' ELSE 'progress' END FROM d a WHERE batch <= 4 OR NOT EXISTS (SELECT 1 FROM d b WHERE b.job = a.job AND b.done)"""
+)
+def t4_snapshot_then_changes(spark, sf_dir):
+    e = table(spark, sf_dir, "events").filter("user_id < 40")
+    changes = e.groupBy(F.col("user_id").alias("job"), (F.col("event_id") % 6).alias("batch")).agg(F.count(F.lit(1)).alias("n")).withColumn("done", F.col("batch") == 4)
+    snapshot = e.select(F.col("user_id").alias("job"), F.lit(0).cast("long").alias("n")).distinct()
+    return S.snapshot_then_changes(snapshot, changes, "job").select("job", "batch", "n", "event")

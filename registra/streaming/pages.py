@@ -72,3 +72,13 @@ def run_available(spark: SparkSession, folder: str, schema: T.StructType, build,
     query = build(stream).writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", new_path(spark, f"{name}-state")).trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.parquet(out).drop("n")
+
+
+def snapshot_then_changes(snapshot: DataFrame, changes: DataFrame, key: str) -> DataFrame:
+    """Events for a reader that joins late: the stored counts first, then each later batch, up to
+    and with the one in which the job is done (column ``done``)."""
+    first = snapshot.withColumns({"batch": F.lit(-1).cast("long"), "event": F.lit("snapshot")})
+    later = changes.withColumn("event", F.when(F.col("done"), "job_done").otherwise("progress"))
+    end = changes.filter("done").groupBy(key).agg(F.min("batch").alias("_end"))
+    later = later.join(end, key, "left").filter("_end is null or batch <= _end").drop("_end")
+    return first.unionByName(later, allowMissingColumns=True)
