@@ -36,6 +36,9 @@ DARTS = int(K * math.log(K) + 2 * K)
 POSSIBLE = 0.62
 BLOCK = 512
 CALL = 2048
+#: Bytes of text.
+BLOCK_BYTES = 8 << 20
+CALL_BYTES = 16 << 20
 BROADCAST_ROWS = 500_000
 
 #: Ends of the first rank cells; beyond the last they go on in steps of 1.
@@ -253,18 +256,53 @@ def components(links: DataFrame) -> DataFrame:
             return label
 
 
+def _dealt(members: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows of every comparison: group, blocks ``_i`` and ``_j``, own block ``_own``, call ``_call``.
+
+    A group of at most a block is compared as a whole. In a larger one, the members of its largest
+    component are linked already and are not compared with each other: their blocks meet those of
+    the others only, and those of the others meet all. Blocks and calls are bounded in rows and in
+    bytes of text (a longer text is a block of its own), whatever a group holds.
+    """
+    n_bytes = F.octet_length("_text") if "_text" in columns else F.lit(0)
+    by_comp = members.groupBy("group", "comp").agg(F.count(F.lit(1)).alias("n"), F.sum(n_bytes).alias("b"))
+    main = F.max(F.struct("n", "comp", "b"))
+    size = by_comp.groupBy("group").agg(F.sum("n").alias("_n"), F.sum("b").alias("_b"), main.alias("_m"))
+
+    def blocks(n: Column, b: Column) -> Column:
+        return F.greatest(F.ceil(n / BLOCK), F.ceil(b / BLOCK_BYTES)).cast("int")
+
+    whole = (F.col("_n") <= BLOCK) & (F.col("_b") <= BLOCK_BYTES)
+    size = size.select(
+        "group",
+        F.when(~whole, F.col("_m.comp")).alias("_main"),
+        F.when(whole, 1).otherwise(blocks(F.col("_n") - F.col("_m.n"), F.col("_b") - F.col("_m.b"))).alias("_others"),
+        F.when(whole, 0).otherwise(blocks(F.col("_m.n"), F.col("_m.b"))).alias("_mains"),
+        *[F.col(c).cast("long").alias(c) for c in ("_n", "_b")],
+        *[F.when(whole, 0).otherwise(F.col(f"_m.{c}")).cast("long").alias(f"_main_{c}") for c in "nb"],
+    )
+    # a group of one component has nothing to compare
+    size = materialize(size.filter("_others > 0"), "open-sizes")
+
+    def sent(c: str) -> Column:
+        return F.sum((F.col(f"_{c}") - F.col(f"_main_{c}")) * (F.col("_others") + F.col("_mains")) + F.col(f"_main_{c}") * F.col("_others"))
+
+    rows, total = size.agg(sent("n"), sent("b")).first()
+    calls = max(1, -(-(rows or 0) // CALL), -(-(total or 0) // CALL_BYTES))
+    dealt = members.join(size.select("group", "_main", "_others", "_mains"), "group")
+    is_main, at = F.col("comp").eqNullSafe(F.col("_main")), F.hash("k", F.lit(5))
+    own = F.when(is_main, F.col("_others") + F.pmod(at, F.col("_mains"))).otherwise(F.pmod(at, F.col("_others")))
+    meets = F.when(is_main, F.col("_others")).otherwise(F.col("_others") + F.col("_mains"))
+    other = F.explode(F.sequence(F.lit(0), meets - 1)).alias("_other")
+    tasks = dealt.select("group", *columns, own.alias("_own"), other).withColumns({"_i": F.least("_own", "_other"), "_j": F.greatest("_own", "_other")})
+    return tasks.withColumn("_call", F.pmod(F.xxhash64("group", "_i", "_j"), F.lit(calls)))
+
+
 def _in_blocks(members: DataFrame, columns: list[str], compare, schema: str) -> DataFrame:
-    """``compare`` on every two blocks of each group, and on each block with itself.
+    """``compare`` on the blocks of each group that ``_dealt`` lets meet.
 
-    A block holds about BLOCK members, so the memory of a task is bounded whatever a group holds.
     Most groups are small, so pairs of blocks are dealt to calls of about CALL rows.
     """
-    size = members.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_blocks"))
-    size = materialize(size, "open-sizes")
-    calls = max(1, -(-members.count() // CALL))
-    dealt = members.join(size, "group").withColumn("_own", F.pmod(F.hash("k", F.lit(5)), F.col("_blocks")))
-    other = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_other")
-    tasks = dealt.select("group", *columns, "_own", other).withColumns({"_i": F.least("_own", "_other"), "_j": F.greatest("_own", "_other")})
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(x: pd.DataFrame) -> pd.DataFrame:
@@ -278,8 +316,7 @@ def _in_blocks(members: DataFrame, columns: list[str], compare, schema: str) ->
             out += compare({c: v[lo:hi] for c, v in data.items()}, own == data["_i"][lo], own == data["_j"][lo])
         return pd.DataFrame(out, columns=names, dtype="int64")
 
-    call = F.pmod(F.xxhash64("group", "_i", "_j"), F.lit(calls)).alias("_call")
-    return tasks.groupBy(call).applyInPandas(run, schema)
+    return _dealt(members, columns).groupBy("_call").applyInPandas(run, schema)
 
 
 def _has_partner(x: dict[str, np.ndarray], left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
@@ -409,7 +446,7 @@ def text_classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rest = materialize(member.join(open_groups, "group").join(sig.withColumnRenamed("_k", "k"), "k"), "open")
     alive = _in_blocks(rest, ["k", "comp", "sig"], _has_partner, "group long, k long").distinct()
     alive = materialize(alive, "alive")
-    alive = alive.join(texts_of(alive.select(F.col("k").alias("_k"))).withColumnRenamed("_k", "k"), "k")
+    alive = alive.join(rest.select("group", "k", "comp"), ["group", "k"]).join(texts_of(alive.select(F.col("k").alias("_k"))).withColumnRenamed("_k", "k"), "k")
     more = materialize(_in_blocks(alive, ["k", "_text"], _links_between, "a long, b long").distinct(), "open-links")
     comp = components(links.unionByName(more))
     named = texts.select("_k", "_first", "_n").join(comp, F.col("_k") == F.col("k"), "left").select("_k", "_first", "_n", F.coalesce("comp", "_k").alias("comp"))

@@ -235,6 +235,27 @@ def test_near_duplicates_against_brute_force(spark, odd):
     assert len(kept) == len(worded) + sum(not (t or "").split() for _, t, _ in rows)
 
 
+def test_blocks_are_bounded_and_meet_all_other_components(spark):
+    def deal(comps, text=None):
+        rows = [(1, k, c) + ((text,) if text else ()) for k, c in enumerate(comps)] + [(2, k, k % 2) + ((text,) if text else ()) for k in range(6)]
+        members = spark.createDataFrame(rows, "group long, k long, comp long" + ", _text string" * bool(text))
+        return neardup._dealt(members, ["k", "comp"] + ["_text"] * bool(text)).select("group", "k", "comp", "_own", "_i", "_j", "_call").toPandas()
+
+    stray = deal([0] * 9000 + [1])
+    assert len(stray) <= 2 * 9001 + 12  # one stray member does not make the others meet each other
+    for dealt in (stray, deal([k % 3 for k in range(4000)]), deal(list(range(3000)))):
+        assert dealt.groupby("_call").size().max() <= 10 * neardup.CALL
+        n, comp = dealt[dealt.group == 1].k.max() + 1, dealt[dealt.group == 1].drop_duplicates("k").sort_values("k").comp.to_numpy()
+        met = np.zeros((n, n), bool)
+        for (group, i, j), x in dealt.groupby(["group", "_i", "_j"]):
+            if group == 1:
+                left, right = x.k[x._own == i].to_numpy(), x.k[x._own == j].to_numpy()
+                met[np.ix_(left, right)] = met[np.ix_(right, left)] = True
+        assert met[comp[:, None] != comp[None, :]].all()
+    long = deal([k % 3 for k in range(100)], "x" * 500_000)
+    assert long.groupby("_call").size().max() * 500_000 <= 10 * neardup.CALL_BYTES
+
+
 def test_dart_signatures_estimate_weighted_jaccard():
     keys = np.arange(1, 6, dtype=np.uint64) * np.uint64(1_000_003)
     a, b = np.array([3, 1.5, 2, 1, 1]), np.array([2, 1.5, 1, 1, 0.5])
