@@ -49,6 +49,11 @@ def row_key(id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.col(id_col), F.col(text_col))
 
 
+def text_key(text_col: str) -> Column:
+    """Key of a text; a null text counts as empty."""
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
 def finite_vectors(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(id, v array<double>, dim) of the rows whose vector is not null or empty and all finite."""
     v = F.col(vector_col).cast("array<double>")

@@ -7,6 +7,10 @@ wildcard. Lines that agree with it on ``SIMILARITY`` of their positions belong t
 that recurs in enough different surroundings is boilerplate, and its lines are dropped.
 Surroundings are the leading words of the lines before and after, so the lines of copied documents,
 which recur in the same surroundings, stay for document-level dedup.
+
+Given the classes of near-duplicate documents, a template is boilerplate if it stands in enough
+different classes, whatever its length, neighbours and frequency; a class has one vote, so copies
+of documents stay here too.
 """
 
 from __future__ import annotations
@@ -14,11 +18,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hinted, materialize, row_key
+from .common import hinted, materialize, row_key, text_key
 
 MIN_PLACES = 3
 MIN_SHARE = 0.1
 MIN_TOKENS = 4
+#: Document classes that a template recurs in at least, where classes are given.
+MIN_CLASSES = 3
 DEPTH = 3
 SIMILARITY = 0.7
 BROADCAST_ROWS = 200_000
@@ -66,14 +72,26 @@ def line_templates(
     min_tokens: int = MIN_TOKENS,
     depth: int = DEPTH,
     similarity: float = SIMILARITY,
+    classes: DataFrame | None = None,
+    min_classes: int = MIN_CLASSES,
 ) -> DataFrame:
     """Lines to drop: row key ``_k`` and the array ``_drop`` of line positions (from 0).
 
     A template is dropped if it recurs in at least ``min_places`` different surroundings, and in
     one for each ``1 / min_share`` of its lines. Lines of fewer than ``min_tokens`` tokens stay.
+
+    ``classes`` has a row (``_k``, ``comp``) for each different text: the hash of ``text_key`` and
+    its class. With it a template is dropped if it recurs in at least ``min_classes`` classes;
+    then only blank lines stay for their length, and the other two limits are not used.
     """
+    if classes is not None:
+        min_places, min_share, min_tokens = min_classes, 0.0, 1
     leaf = F.xxhash64(F.col("n"), F.substring_index("m", " ", depth))
     rows = _split_lines(docs, id_col, text_col).filter(F.col("n") >= min_tokens).withColumn("leaf", leaf)
+    if classes is not None:
+        votes = docs.select(row_key(id_col, text_col).alias("_k"), text_key(text_col).alias("_t")).distinct()
+        votes = votes.join(classes.select(F.col("_k").alias("_t"), F.col("comp").alias("place")), "_t").select("_k", "place")
+        rows = rows.drop("place").join(materialize(votes, "line-votes"), "_k")
     narrow = materialize(rows.select("_k", "pos", "place", "leaf", F.xxhash64("m", F.lit(7)).alias("tpl"), "n"), "lines")
 
     def recurring(kinds: DataFrame, keys: list[str]) -> DataFrame:
@@ -116,7 +134,7 @@ def drop_boilerplate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: st
 
     Adds ``n_lines`` (lines before; null text: 0) and ``n_dropped``. All rows and columns stay; a
     text of which every line goes becomes ''; a null text stays null; equal rows get equal results.
-    Blank lines and lines under the token minimum stay. Input columns named ``n_lines`` or
+    Blank lines and lines under the token minimum (none with ``classes``) stay. Input columns named ``n_lines`` or
     ``n_dropped`` are replaced; other columns may have any name that does not start with ``__line``.
     """
     bad = line_templates(docs, id_col, text_col, **limits).withColumnsRenamed({"_k": "__line_k", "_drop": "__line_drop"})

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hinted, materialize
+from .common import hinted, materialize, text_key
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -388,7 +388,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     equal only to equal texts. A class of which all ids are null has a null ``class_id``. An empty
     table gives no rows.
     """
-    keyed = docs.select(F.col(id_col).alias("_id"), _text_key(text_col).alias("_k"))
+    keyed = docs.select(F.col(id_col).alias("_id"), text_key(text_col).alias("_k"))
     return keyed.join(text_classes(docs, id_col, text_col), "_k").select(F.col("_id").alias(id_col), "class_id")
 
 
@@ -400,21 +400,17 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     wordless = ~F.coalesce(F.col(text_col), F.lit("")).rlike(r"\S")
     worded = docs.filter(~wordless)
     lead = text_classes(worded, id_col, text_col).filter("lead").select(F.col("_k").alias("__k"), F.col("_first").alias("__first"), F.col("_n").alias("__n"))
-    found = worded.join(lead, _text_key(text_col) == F.col("__k")).filter(F.col(id_col).eqNullSafe(F.col("__first")))
+    found = worded.join(lead, text_key(text_col) == F.col("__k")).filter(F.col(id_col).eqNullSafe(F.col("__first")))
     # only rows that are equal in id and text are left to choose from
     chosen = found.filter("__n = 1").unionByName(found.filter("__n > 1").dropDuplicates(["__k"]))
     return chosen.select(docs.columns).unionByName(docs.filter(wordless))
 
 
-def _text_key(text_col: str) -> Column:
-    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-
-
 def text_classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """For each different text its key ``_k``, ``class_id``, smallest id ``_first``, number of rows
-    ``_n`` and whether it is the ``lead`` of its class, the text with the smallest id."""
+    """For each different text its key ``_k``, ``class_id``, class number ``comp`` (never null),
+    smallest id ``_first``, number of rows ``_n`` and whether it is the ``lead`` of its class, the text with the smallest id."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.select(F.col(id_col).alias("_id"), _text_key(text_col).alias("_k"), text.alias("_text"))
+    keyed = docs.select(F.col(id_col).alias("_id"), text_key(text_col).alias("_k"), text.alias("_text"))
     # equal texts meet on the map side first, however many they are; the texts themselves stay put
     texts = materialize(keyed.groupBy("_k").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n")), "texts")
     signed = keyed.select("_k", "_text").mapInArrow(_signatures, "_k long, bands array<long>, sig binary")
@@ -452,7 +448,7 @@ def text_classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     named = texts.select("_k", "_first", "_n").join(comp, F.col("_k") == F.col("k"), "left").select("_k", "_first", "_n", F.coalesce("comp", "_k").alias("comp"))
     order = F.struct(F.col("_first").isNull(), "_first", "_k")
     least = materialize(named.groupBy("comp").agg(F.min("_first").alias("class_id"), F.min(order).getField("_k").alias("_lead")), "leads")
-    return materialize(named.join(least, "comp").select("_k", "class_id", "_first", "_n", (F.col("_k") == F.col("_lead")).alias("lead")), "classes")
+    return materialize(named.join(least, "comp").select("_k", "class_id", "comp", "_first", "_n", (F.col("_k") == F.col("_lead")).alias("lead")), "classes")
 
 
 def _possible(pairs: DataFrame) -> DataFrame:

@@ -177,6 +177,29 @@ def test_line_templates(spark, odd):
     assert all(r.n_dropped == 0 for r in lines.drop_boilerplate_lines(table(spark, copies)).collect())
 
 
+def test_line_dedup_of_the_pipeline_counts_document_classes(spark):
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    foot = "Contact us by post only\nAll rights reserved\nMade in one place by us\nEnd"
+    rows = [(i, f"{prose(rng, 90)}\n\nA line between two blank ones\n\n{prose(rng, 90)}\n{foot}", "a") for i in range(60)]
+    base = [prose(rng, 60) for _ in range(4)]
+    own = "\n".join(base)
+    rows += [(100 + i, own, "a") for i in range(400)]  # exact copies
+    rows += [(600 + i, own + f"\n{prose(rng, 3)}", "a") for i in range(5)]  # near copies
+    rows += [(1000, None, "a"), (None, foot, None), (1001, "", "a")]
+    out = corpus_pipeline.drop_boilerplate(spark, table(spark, rows), "").collect()
+    assert len(out) == len(rows)
+    got = {r.doc_id: r.text for r in out if r.doc_id is not None}
+    for i, text, _ in rows:
+        if i is not None and i < 60:  # a footer of four lines, short ones and one between blank lines
+            x = text.split("\n")
+            assert got[i] == "\n".join([x[0], "", "", x[4]])
+        elif i is not None:  # copies have one vote together
+            assert got[i] == text
+    assert [r.text for r in out if r.doc_id is None] == [""]
+
+
 def test_mixing(spark, odd):
     rng = random.Random(5)
     rows = list(odd) + [(1000 + i, prose(rng, rng.randint(1, 60)), "abcd"[min(3, int(rng.expovariate(1)))]) for i in range(900)]
