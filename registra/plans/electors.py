@@ -9,7 +9,7 @@ from registra.functions import text as X
 from registra.operators import infographic as G
 from registra.operators import listing as L
 
-from .bindings import bound, table, twin
+from .bindings import bound, share, table, twin
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -144,10 +144,10 @@ def p7_station_list(spark, sf_dir):
     SELECT key, tier, id FROM t QUALIFY row_number() OVER (PARTITION BY key ORDER BY tier, id) = 1""",
     "electors",
 )
-def p8_cascading_lookup(spark, sf_dir):
+def p8_cascading_lookup(spark, sf_dir, whole=False):
     k, pad = F.col("c_custkey"), lambda c: F.lpad(c.cast("string"), 7, "0")
     key = F.when(k % 4 == 0, k.cast("string")).when(k % 4 == 1, F.concat(F.lit("abc"), pad(k))).when(k % 4 == 2, F.concat(F.lit("c"), pad(k * 9))).otherwise(F.concat(F.lit("nobody"), k.cast("string")))
-    keys = table(spark, sf_dir, "customer").filter(k % 100 < 4).select(key.alias("key")).distinct()
+    keys = share(table(spark, sf_dir, "customer"), k % 100 < 4, whole).select(key.alias("key")).distinct()
     return L.cascade(keys, bound(spark, sf_dir, "electors"), "key", "id", ["id", "epic"], ["epic"])
 
 

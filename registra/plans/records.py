@@ -10,7 +10,7 @@ from registra.operators import joins as JN
 from registra.operators import listing as L
 from registra.operators import windows as WN
 
-from .bindings import bound, table, twin
+from .bindings import bound, share, table, twin
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -319,8 +319,8 @@ def r24_grounded_replies(spark, sf_dir):
     """WITH a AS (SELECT * FROM lineitem WHERE l_orderkey % 20 = 0)
     SELECT a.l_orderkey, a.l_linenumber, a.l_suppkey, s.s_suppkey FROM a LEFT JOIN supplier s ON a.l_suppkey = s.s_suppkey OR (a.l_linenumber = s.s_nationkey AND a.l_partkey % 10 = s.s_suppkey % 10)"""
 )
-def j3_either_join(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").filter("l_orderkey % 20 = 0").withColumn("row_id", F.monotonically_increasing_id())
+def j3_either_join(spark, sf_dir, whole=False):
+    lines = share(table(spark, sf_dir, "lineitem"), "l_orderkey % 20 = 0", whole).withColumn("row_id", F.monotonically_increasing_id())
     lines = lines.select("row_id", "l_orderkey", "l_linenumber", "l_suppkey", (F.col("l_partkey") % 10).alias("digit"))
     suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", (F.col("s_suppkey") % 10).alias("s_digit"))
     out = JN.either_join(lines, suppliers, "row_id", "s_suppkey", (["l_suppkey"], ["s_suppkey"]), (["l_linenumber", "digit"], ["s_nationkey", "s_digit"]))
@@ -328,9 +328,9 @@ def j3_either_join(spark, sf_dir):
 
 
 @query("SELECT a.part_number, a.id AS a, b.id AS b, abs(a.serial - b.serial)::INT AS distance FROM electors a JOIN electors b ON a.part_number = b.part_number AND a.id <> b.id AND abs(a.serial - b.serial) <= 15 WHERE a.serial % 10 = 0", "electors")
-def j12_serial_range(spark, sf_dir):
+def j12_serial_range(spark, sf_dir, whole=False):
     pairs = JN.near_numbers(bound(spark, sf_dir, "electors"), "part_number", "serial", "id", 15)
-    asked = bound(spark, sf_dir, "electors").filter("serial % 10 = 0").select(F.col("id").alias("a"))
+    asked = share(bound(spark, sf_dir, "electors"), "serial % 10 = 0", whole).select(F.col("id").alias("a"))
     return pairs.join(asked, "a", "left_semi").select("part_number", "a", "b", F.col("distance").cast("int").alias("distance"))
 
 
@@ -351,10 +351,10 @@ def j11_buildings(spark, sf_dir):
     "electors",
     "stations",
 )
-def j19_match_with_fallback(spark, sf_dir):
+def j19_match_with_fallback(spark, sf_dir, whole=False):
     people = bound(spark, sf_dir, "electors")
-    first = people.filter("id % 5 = 0 and cast(part_number as int) < 20").select("file_id", "id")
-    second = people.filter("id % 50 = 0").select(F.substring("constituency", 1, 1).alias("ac_number"), "id")
+    first = share(people, "id % 5 = 0 and cast(part_number as int) < 20", whole).select("file_id", "id")
+    second = share(people, "id % 50 = 0", whole).select(F.substring("constituency", 1, 1).alias("ac_number"), "id")
     return JN.with_fallback(bound(spark, sf_dir, "stations"), first, second, ["file_id"], ["ac_number"]).select("station_id", "id", "matched_by")
 
 
@@ -405,8 +405,8 @@ def j25_last_turns(spark, sf_dir):
     WHERE l.page_id % 10 = 0 QUALIFY row_number() OVER (PARTITION BY l.page_id, l.line_id ORDER BY off, v.x, v.line_id) = 1""",
     "boxes",
 )
-def j15_value_right_of_label(spark, sf_dir):
-    rows = bound(spark, sf_dir, "boxes").filter("page_id % 10 = 0")
+def j15_value_right_of_label(spark, sf_dir, whole=False):
+    rows = share(bound(spark, sf_dir, "boxes"), "page_id % 10 = 0", whole)
     return JN.nearest_right(rows.filter("text = 'label'"), rows.filter("text != 'label'"), "page_id", "line_id", F.lit(30.0))
 
 

@@ -13,7 +13,7 @@ from registra.sources import sinks as K
 from registra.sources import tables as T
 from registra.streaming import pages as P
 
-from .bindings import bound, table, twin
+from .bindings import bound, share, table, twin
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -107,8 +107,8 @@ def p2_record_summary(spark, sf_dir):
 
 
 @query("SELECT l_orderkey AS page, l_linenumber AS idx, l_partkey AS part FROM lineitem WHERE l_orderkey % 3 = 0")
-def s3_nested_pages_round_trip(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").filter("l_orderkey % 3 = 0").select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("idx"), F.col("l_partkey").alias("part"))
+def s3_nested_pages_round_trip(spark, sf_dir, whole=False):
+    rows = share(table(spark, sf_dir, "lineitem"), "l_orderkey % 3 = 0", whole).select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("idx"), F.col("l_partkey").alias("part"))
     return T.flat_records(T.nested_pages(rows, "page", "idx", ["part"]), "page").drop("pos")
 
 
