@@ -358,3 +358,37 @@ def test_crc_matches_query(spark):
 
     r = packing.pack_documents(table(spark, [(1, "hello there", "a")])).select("ids", F.crc32("ids").alias("c")).first()
     assert r.c == zlib.crc32(bytes(r.ids))
+
+
+def test_repeats_of_large_groups_are_counted_like_small_ones(spark, monkeypatch):
+    rng = random.Random(12)
+    base = prose(rng, 160)
+    texts = []
+    for _ in range(60):  # a family of copies with edits, and a shared passage in other texts
+        words = base.split()
+        for _ in range(rng.randint(0, 3)):
+            words[rng.randrange(len(words))] = prose(rng, 1)
+        texts.append(" ".join(words))
+    texts += [prose(rng, 40) + " " + base[100:620] + " " + prose(rng, 40) for _ in range(30)] + ["a\0b" * 300, "a\0b" * 200]
+    docs = table(spark, [(i, t, "a") for i, t in enumerate(texts)])
+    want = [int(m.sum()) for m in removed([t.encode() for t in texts])]
+    assert sum(want) and [r.n_removed for r in suffix.remove_repeats(docs).orderBy("doc_id").collect()] == want
+    by_count = suffix.repeated_runs(docs, "doc_id", "text", group=1).select("_k", "_runs.lo", "_runs.hi").collect()
+    by_array = suffix.repeated_runs(docs, "doc_id", "text").select("_k", "_runs.lo", "_runs.hi").collect()
+
+    def starts(rows):
+        return {(bytes(r._k), s) for r in rows for lo, hi in zip(r.lo, r.hi, strict=True) for s in range(lo, hi + 1)}
+
+    assert starts(by_count) == starts(by_array)
+
+
+def test_suffix_array_orders_rows_and_gives_common_prefixes():
+    rng = np.random.default_rng(5)
+    rows = rng.integers(0, 2, (200, 12)).astype(np.uint8)
+    groups = rng.integers(0, 3, 200)
+    order, common = suffix.suffix_array(rows, groups)
+    listed = [(groups[i], bytes(rows[i])) for i in order]
+    assert listed == sorted(listed)
+    for a, b, n in zip(listed, listed[1:], common[1:], strict=False):
+        want = -1 if a[0] != b[0] else next((k for k in range(12) if a[1][k] != b[1][k]), 12)
+        assert n == want
