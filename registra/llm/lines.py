@@ -1,16 +1,19 @@
 """Line dedup with a fixed-depth log-template tree, in DataFrame functions only.
 
-A line goes down the tree by its token count and its leading ``DEPTH`` tokens, with runs of digits
-masked. In a leaf, equal masked lines form a template; besides, a leaf whose lines differ gets a
-generalised template: at each position the token that at least half of its templates hold, else a
-wildcard. Lines that agree with it on ``SIMILARITY`` of their positions belong to it. A template
-that recurs in enough different surroundings is boilerplate, and its lines are dropped.
-Surroundings are the leading words of the lines before and after, so the lines of copied documents,
-which recur in the same surroundings, stay for document-level dedup.
-
-Given the classes of near-duplicate documents, a template is boilerplate if it stands in enough
-different classes, whatever its length, neighbours and frequency; a class has one vote, so copies
-of documents stay here too.
+Tokens that hold a digit are masked. A line goes down the tree by its token count and its leading
+``DEPTH`` tokens, of which one may be a variable field: of the leaf of all three tokens and the
+three leaves with a wildcard at one of them, it belongs to the one with the most different lines.
+In a leaf a token is constant at its position if at least two lines and a fifth of the leaf hold it
+there; the rest is generalised to wildcards, and the lines with equal results form a template, if
+``SIMILARITY`` of its tokens are constant. A leaf may hold several templates. Equal lines form a
+template of their own.
+
+A template that stands in ``MIN_DOCS`` different documents is boilerplate, whatever its length and
+neighbours, and all its lines are dropped. Copies of a document count once, or every line of a
+family of copies would go before the stage that keeps one of them: equal texts are one document, and
+so are texts that resemble the centre of a family. The smallest ``SKETCH`` hashes of a text's shingles
+of five words are its sketch, the smallest ``KEYS`` of them find the family, and the similarity that
+the sketches of text and centre show decides.
 """
 
 from __future__ import annotations
@@ -18,135 +21,156 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hinted, materialize, row_key, text_key
+from .common import hinted, is_small, materialize, release
 
-MIN_PLACES = 3
-MIN_SHARE = 0.1
-MIN_TOKENS = 4
-#: Document classes that a template recurs in at least, where classes are given.
-MIN_CLASSES = 3
+#: Documents that a template stands in at least, copies of a document counting once.
+MIN_DOCS = 3
+#: A template in a large family of copies needs so many documents for each copy, as a few of many
+#: copies are too far from the centre to be told.
+STRAY = 0.02
 DEPTH = 3
 SIMILARITY = 0.7
+#: Share of the lines of a leaf that hold a constant token at its position at least.
+CONSTANT = 0.2
+SKETCH, KEYS = 48, 6
+#: Similarity of sketches from which a text is a copy. A sketch that holds all shingles of both is
+#: exact; the estimate of one that doesn't has a standard deviation of 0.06 at the similarity 0.8.
+COPY_EXACT, COPY = 0.75, 0.6
 BROADCAST_ROWS = 200_000
 
+SPACE = r" \t\r\f\x0B"
+WORDS = 5
 
-def _masked(line: Column) -> Column:
-    """Digit runs as a wildcard, white-space runs as one space; regular expressions only where needed."""
-    digits = F.when(line.rlike("[0-9]"), F.regexp_replace(line, "[0-9]+", "<*>")).otherwise(line)
-    spaces = line.contains("  ") | line.contains("\t") | line.contains("\r") | line.contains("\f") | line.contains("\x0b")
-    return F.trim(F.when(spaces, F.regexp_replace(digits, r"\s+", " ")).otherwise(digits))
-
-
-def _head(line: Column) -> Column:
-    return F.coalesce(F.substring_index(line, " ", 2), F.lit("<>"))
-
-
-def _spaces(text: Column) -> Column:
-    return F.octet_length(text) - F.octet_length(F.replace(text, F.lit(" "), F.lit("")))
 
+def _masked(line: Column) -> Column:
+    """Tokens with digits as a wildcard, white-space runs as one space; regular expressions only where needed.
 
-def _split_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row for each line: row key, position, masked line, token count, surroundings."""
-    at = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")
-    lines = docs.select(row_key(id_col, text_col).alias("_k"), at.alias("_ls"))
-    near = F.transform(
-        "_ls",
-        lambda x, i: F.struct(
-            x.alias("line"),
-            F.xxhash64(
-                _head(F.get("_ls", i - 1)),
-                _head(F.get("_ls", i + 1)),
-            ).alias("place"),
-        ),
-    )
-    rows = lines.select("_k", F.posexplode(near).alias("pos", "x")).select("_k", "pos", "x.place", _masked(F.col("x.line")).alias("m"))
-    return rows.withColumn("n", F.when(F.col("m") == "", 0).otherwise(_spaces(F.col("m")) + 1))
-
-
-def line_templates(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    min_places: int = MIN_PLACES,
-    min_share: float = MIN_SHARE,
-    min_tokens: int = MIN_TOKENS,
-    depth: int = DEPTH,
-    similarity: float = SIMILARITY,
-    classes: DataFrame | None = None,
-    min_classes: int = MIN_CLASSES,
-) -> DataFrame:
-    """Lines to drop: row key ``_k`` and the array ``_drop`` of line positions (from 0).
-
-    A template is dropped if it recurs in at least ``min_places`` different surroundings, and in
-    one for each ``1 / min_share`` of its lines. Lines of fewer than ``min_tokens`` tokens stay.
-
-    ``classes`` has a row (``_k``, ``comp``) for each different text: the hash of ``text_key`` and
-    its class. With it a template is dropped if it recurs in at least ``min_classes`` classes;
-    then only blank lines stay for their length, and the other two limits are not used.
+    The pattern starts at the beginning of a token only and never backtracks, so that it is linear
+    in the line.
     """
-    if classes is not None:
-        min_places, min_share, min_tokens = min_classes, 0.0, 1
-    leaf = F.xxhash64(F.col("n"), F.substring_index("m", " ", depth))
-    rows = _split_lines(docs, id_col, text_col).filter(F.col("n") >= min_tokens).withColumn("leaf", leaf)
-    if classes is not None:
-        votes = docs.select(row_key(id_col, text_col).alias("_k"), text_key(text_col).alias("_t")).distinct()
-        votes = votes.join(classes.select(F.col("_k").alias("_t"), F.col("comp").alias("place")), "_t").select("_k", "place")
-        rows = rows.drop("place").join(materialize(votes, "line-votes"), "_k")
-    narrow = materialize(rows.select("_k", "pos", "place", "leaf", F.xxhash64("m", F.lit(7)).alias("tpl"), "n"), "lines")
-
-    def recurring(kinds: DataFrame, keys: list[str]) -> DataFrame:
-        """kinds: a row for each key and place, with its number of lines."""
-        many = F.count(F.lit(1)) >= F.greatest(F.lit(min_places), F.sum("c") * min_share)
-        return kinds.groupBy(*keys).agg(many.alias("_many")).filter("_many").select(*keys)
-
-    places = materialize(narrow.groupBy("leaf", "tpl", "place").agg(F.count(F.lit(1)).alias("c")), "line-places")
-    exact = recurring(places, ["leaf", "tpl"])
-    # leaves of several templates in several places: only their lines are looked at token by token
-    busy = (
-        places.groupBy("leaf")
-        .agg(F.min("tpl").alias("_a"), F.max("tpl").alias("_b"), F.count(F.lit(1)).alias("_n"))
-        .filter((F.col("_a") != F.col("_b")) & (F.col("_n") >= min_places))
-        .select("leaf")
-    )
-    busy = hinted(materialize(busy, "line-busy"), BROADCAST_ROWS)
-    texts = rows.join(busy, "leaf", "left_semi").groupBy("leaf", F.xxhash64("m", F.lit(7)).alias("tpl")).agg(F.min("m").alias("m"))
-    tokens = materialize(texts.select("leaf", "tpl", F.posexplode(F.split("m", " ")).alias("i", "t")), "line-tokens")
-    size = tokens.filter("i = 0").groupBy("leaf").agg(F.count(F.lit(1)).alias("_of"))
-    held = tokens.groupBy("leaf", "i", "t").agg(F.count(F.lit(1)).alias("_c"))
-    top = held.groupBy("leaf", "i").agg(F.max(F.struct("_c", "t")).alias("_top"))
-    general = top.join(size, "leaf").filter(F.col("_top._c") * 2 >= F.col("_of")).filter("_top._c > 1").select("leaf", "i", F.col("_top.t").alias("t"))
-    like = (
-        tokens.join(general.withColumn("_hit", F.lit(1)), ["leaf", "i", "t"], "left")
-        .groupBy("leaf", "tpl")
-        .agg((F.count("_hit") >= similarity * F.count(F.lit(1))).alias("_like"))
-        .filter("_like")
-        .select("leaf", "tpl")
-    )
-    like = materialize(like, "line-like")
-    again = places.join(like, ["leaf", "tpl"]).groupBy("leaf", "place").agg(F.sum("c").alias("c"))
-    drop = exact.unionByName(like.join(recurring(again, ["leaf"]), "leaf")).distinct()
-    drop = hinted(materialize(drop, "line-drop"), BROADCAST_ROWS)
-    return narrow.join(drop, ["leaf", "tpl"], "left_semi").groupBy("_k").agg(F.collect_set("pos").alias("_drop"))
+    pattern = rf"(?<![^{SPACE}])[^{SPACE}0-9]*+[0-9][^{SPACE}]*+"
+    digits = F.when(line.rlike("[0-9]"), F.regexp_replace(line, pattern, "<*>")).otherwise(line)
+    spaces = line.contains("  ") | line.contains("\t") | line.contains("\r") | line.contains("\f") | line.contains("\x0b")
+    return F.trim(F.when(spaces, F.regexp_replace(digits, f"[{SPACE}]+", " ")).otherwise(digits))
+
+
+def _text(text_col: str) -> Column:
+    return F.coalesce(F.col(text_col), F.lit(""))
+
+
+def _key(text_col: str) -> Column:
+    """16 bytes that stand for a text; a null text counts as empty."""
+    return F.unhex(F.md5(_text(text_col).cast("binary")))
+
+
+def copy_classes(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(``_t``, ``vote``) of the texts that are copies of another: text key and the key of their
+    family's centre. A written table."""
+    words = docs.select(_key(text_col).alias("_t"), F.filter(F.split(_text(text_col), "[ \t\r\n]+"), lambda w: w != "").alias("w"))
+    first = F.slice("w", 1, F.greatest(F.size("w") - (WORDS - 1), F.lit(1)))
+    shingles = F.transform(first, lambda w, i: F.concat_ws(" ", w, *[F.get("w", i + k) for k in range(1, WORDS)]))
+    hashes = F.array_sort(F.array_distinct(F.transform(shingles, lambda c: F.substring(F.md5(c.cast("binary")), 1, 16))))
+    sketches = materialize(words.select("_t", F.slice(hashes, 1, SKETCH).alias("s")), "sketches")
+    keyed = sketches.select("_t", F.explode(F.slice("s", 1, KEYS)).alias("h")).distinct()
+    counted = keyed.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    shared = materialize(keyed.join(hinted(materialize(counted, "sketch-keys"), BROADCAST_ROWS), "h"), "shared-keys")
+    weight = shared.groupBy("_t").agg(F.sum("n").alias("w"), F.max(F.struct("n", "h")).getField("h").alias("h"))
+    weight = materialize(weight, "sketch-weights")
+    # the centre of a hash's texts is the one whose hashes are the most common
+    centre = shared.join(weight.select("_t", "w"), "_t").groupBy("h").agg(F.max(F.struct("w", "_t")).getField("_t").alias("vote"))
+    pairs = weight.join(materialize(centre, "centres"), "h").select("_t", "vote").filter("_t != vote")
+    one = sketches.groupBy("_t").agg(F.first("s").alias("s"))
+    two = one.select(F.col("_t").alias("vote"), F.col("s").alias("z"))
+    pairs = materialize(pairs, "copy-pairs")
+    both = pairs.join(one, "_t").join(two, "vote")
+    least = F.slice(F.array_sort(F.array_union("s", "z")), 1, SKETCH)
+    alike = F.size(F.array_intersect(F.array_intersect(least, F.col("s")), F.col("z"))) >= F.when(F.size(least) < SKETCH, COPY_EXACT).otherwise(COPY) * F.size(least)
+    found = materialize(both.filter(alike).select("_t", "vote"), "copies")
+    release(sketches, shared, weight, pairs)
+    return found
+
+
+def line_templates(docs: DataFrame, text_col: str = "text", min_docs: int = MIN_DOCS, similarity: float = SIMILARITY) -> DataFrame:
+    """Lines to drop: text key ``_t`` and the array ``_drop`` of line positions (from 0). A written table."""
+    copies = copy_classes(docs, text_col)
+
+    def documents(rows: DataFrame, *keys: str) -> DataFrame:
+        """The keys that stand in ``min_docs`` documents at least. rows: keys and ``_t``."""
+        voted = rows.select(*keys, "_t").distinct().join(hinted(copies, BROADCAST_ROWS), "_t", "left")
+        voted = voted.groupBy(*keys, F.coalesce("vote", "_t").alias("vote")).agg(F.count(F.lit(1)).alias("_copies"))
+        found = voted.groupBy(*keys).agg(F.count(F.lit(1)).alias("_docs"), F.max("_copies").alias("_copies"))
+        return found.filter((F.col("_docs") >= min_docs) & (F.col("_docs") >= STRAY * F.col("_copies"))).select(*keys)
+
+    listed = docs.select(_key(text_col).alias("_t"), F.posexplode(F.split(_text(text_col), "\n")).alias("pos", "line"))
+    rows = listed.select("_t", "pos", _masked(F.col("line")).alias("m")).filter("m != ''")
+    token = lambda i: F.substring_index(F.substring_index("m", " ", i), " ", -1)
+    size = F.octet_length("m") - F.octet_length(F.replace("m", F.lit(" "), F.lit(""))) + 1
+    rows = rows.withColumns({"n": size.cast("int"), "a": token(1), "b": token(2), "c": token(3)})
+    paths = [F.xxhash64(F.lit(i), "n", *kept) for i, kept in enumerate((["a", "b", "c"], ["b", "c"], ["a", "c"], ["a", "b"]))]
+    narrow = materialize(rows.select("_t", "pos", F.xxhash64("m").alias("tpl"), "n", *[p.alias(f"k{i}") for i, p in enumerate(paths)]), "lines")
+
+    # each different line once
+    kinds = narrow.groupBy("tpl").agg(F.count(F.lit(1)).alias("times"), *[F.min(c).alias(c) for c in ("n", "k0", "k1", "k2", "k3")])
+    kinds = materialize(kinds, "line-kinds")
+    again = hinted(kinds.filter(F.col("times") >= min_docs).select("tpl"), BROADCAST_ROWS)
+    exact = materialize(documents(narrow.join(again, "tpl", "left_semi"), "tpl"), "line-exact")
+
+    # fewer than four tokens with a wildcard are not alike enough
+    rest = kinds.filter(F.col("n") * similarity <= F.col("n") - 1).join(hinted(exact, BROADCAST_ROWS), "tpl", "left_anti")
+    rest = rest.select("tpl", "n", F.posexplode(F.array("k0", "k1", "k2", "k3")).alias("i", "leaf"))
+    leaves = materialize(rest.groupBy("leaf").agg(F.count(F.lit(1)).alias("many")).filter("many > 1"), "line-leaves")
+    chosen = rest.join(hinted(leaves, BROADCAST_ROWS), "leaf").groupBy("tpl", "n").agg(F.max(F.struct("many", -F.col("i"), "leaf")).getField("leaf").alias("leaf"))
+    chosen = materialize(chosen, "line-chosen")
+    alone = chosen.groupBy("leaf").agg(F.count(F.lit(1)).alias("many"))
+    leaf_of = hinted(chosen.select("tpl", "leaf"), BROADCAST_ROWS)
+    # the tokens of one place of each of these lines
+    place = narrow.join(leaf_of, "tpl").groupBy("tpl", "leaf").agg(F.min(F.struct("_t", "pos")).alias("p"))
+    wanted = place.groupBy("p._t").agg(F.collect_list(F.struct("tpl", "leaf", "p.pos")).alias("w"))
+    wanted = materialize(wanted, "line-wanted")
+    texts = docs.select(_key(text_col).alias("_t"), _text(text_col).alias("_text"))
+    texts = texts.join(hinted(wanted.select("_t"), BROADCAST_ROWS), "_t", "left_semi").groupBy("_t").agg(F.first("_text").alias("_text")).join(wanted, "_t")
+    found = texts.select(F.split("_text", "\n").alias("ls"), F.explode("w").alias("w")).select("w.tpl", "w.leaf", _masked(F.get("ls", F.col("w.pos"))).alias("m"))
+    tokens = materialize(found.select("tpl", "leaf", F.posexplode(F.split("m", " ")).alias("i", "t")), "line-tokens")
+    held = tokens.groupBy("leaf", "i", "t").agg(F.count(F.lit(1)).alias("lines")).join(alone, "leaf")
+    constant = held.filter((F.col("lines") > 1) & (F.col("lines") >= CONSTANT * F.col("many"))).select("leaf", "i", "t", F.xxhash64("i", "t").alias("hit"))
+    shapes = tokens.join(constant, ["leaf", "i", "t"], "left").groupBy("tpl", "leaf")
+    shapes = shapes.agg(F.bit_xor("hit").alias("shape"), F.count("hit").alias("fixed"), F.count(F.lit(1)).alias("all"))
+    shapes = materialize(shapes.filter(F.col("fixed") >= similarity * F.col("all")).select("tpl", "leaf", "shape"), "line-shapes")
+    general = documents(narrow.join(hinted(shapes, BROADCAST_ROWS), "tpl").select("leaf", "shape", "_t"), "leaf", "shape")
+    bad = materialize(exact.unionByName(shapes.join(general, ["leaf", "shape"]).select("tpl")), "line-bad")
+    drop = narrow.join(hinted(bad, BROADCAST_ROWS), "tpl", "left_semi").groupBy("_t").agg(F.collect_set("pos").alias("_drop"))
+    drop = materialize(drop, "line-drop")
+    release(copies, narrow, kinds, exact, leaves, chosen, wanted, tokens, shapes, bad)
+    return drop
 
 
 def drop_boilerplate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
     """``docs`` with the lines of recurring templates taken out of ``text_col``.
 
     Adds ``n_lines`` (lines before; null text: 0) and ``n_dropped``. All rows and columns stay; a
-    text of which every line goes becomes ''; a null text stays null; equal rows get equal results.
-    Blank lines and lines under the token minimum (none with ``classes``) stay. Input columns named ``n_lines`` or
-    ``n_dropped`` are replaced; other columns may have any name that does not start with ``__line``.
+    text of which every line goes becomes ''; a null text stays null; equal texts get equal results,
+    whatever their ids. Blank lines stay. Input columns named ``n_lines`` or ``n_dropped`` are
+    replaced; other columns may have any name that does not start with ``__line``. An empty table
+    gives no rows.
     """
-    bad = line_templates(docs, id_col, text_col, **limits).withColumnsRenamed({"_k": "__line_k", "_drop": "__line_drop"})
-    lines = F.split(F.col(text_col), "\n")
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("__line_drop"), i)), "\n")
-    keyed = docs.withColumn("__line_key", row_key(id_col, text_col))
-    out = keyed.join(bad, F.col("__line_key") == F.col("__line_k"), "left")
+    bad = line_templates(docs, text_col, **limits).withColumnsRenamed({"_t": "__line_k", "_drop": "__line_drop"})
+    keyed = docs.withColumn("__line_key", _key(text_col))
+    on = F.col("__line_key") == F.col("__line_k")
+    if is_small(bad, BROADCAST_ROWS):  # texts that lose nothing stay where they are
+        keys = F.broadcast(bad.select("__line_k"))
+        whole = keyed.join(keys, on, "left_anti").withColumn("__line_drop", F.lit(None).cast("array<int>"))
+        out = keyed.join(keys, on, "left_semi").join(bad, on).drop("__line_k").unionByName(whole)
+    else:
+        out = keyed.join(bad, on, "left").drop("__line_k")
+    # a column of its own, so that the text is split once and not for each line
+    out = out.withColumn("__line_ls", F.split(F.col(text_col), "\n"))
+    lines = F.col("__line_ls")
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__line_drop"))
+    kept = F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
     counts = {
         "n_lines": F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("long"),
+        "n_dropped": F.when(F.col("__line_drop").isNull(), 0).otherwise(F.size("__line_drop")).cast("long"),
     }
-    dropped = F.when(F.col("__line_drop").isNull(), 0).otherwise(F.size("__line_drop")).cast("long")
-    counts["n_dropped"] = dropped
     text = F.when(F.col("__line_drop").isNull(), F.col(text_col)).otherwise(kept)
     return out.select(
         *[text.alias(c) if c == text_col else F.col(c) for c in docs.columns if c not in counts],
@@ -156,45 +180,54 @@ def drop_boilerplate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: st
 
 #: fixed values of the defaults above stand in the text
 ORACLE = r"""
-WITH s AS (
-  SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
-raw AS (
-  SELECT doc_id, text, unnest(range(1, len(ls) + 1)) AS i, unnest(ls) AS line, ls FROM s),
-two AS (
-  SELECT doc_id, text, i,
-         trim(regexp_replace(regexp_replace(line, '[0-9]+', '<*>', 'g'), '\s+', ' ', 'g'), ' ') AS m,
-         coalesce(array_to_string(string_split(ls[i - 1], ' ')[1:2], ' '), '<>') AS before,
-         coalesce(array_to_string(string_split(ls[i + 1], ' ')[1:2], ' '), '<>') AS after
-  FROM (SELECT doc_id, text, i, line, CASE WHEN i = 1 THEN list_concat(ls, [NULL]) ELSE ls END AS ls FROM raw)),
-n AS (
-  SELECT *, len(string_split(m, ' ')) AS n,
-         array_to_string(string_split(m, ' ')[1:3], ' ') AS lead
-  FROM two WHERE m <> '' AND len(string_split(m, ' ')) >= 4),
-places AS (SELECT n, lead, m, before, after, count(*) AS c FROM n GROUP BY ALL),
-exact AS (
-  SELECT n, lead, m FROM places GROUP BY ALL HAVING count(*) >= greatest(3, sum(c) * 0.1)),
-tok AS (
-  SELECT n, lead, m, unnest(range(0, n)) AS i, unnest(string_split(m, ' ')) AS t
-  FROM (SELECT DISTINCT n, lead, m FROM places)),
-held AS (SELECT n, lead, i, t, count(*) AS c FROM tok GROUP BY ALL),
-top AS (SELECT n, lead, i, max({'c': c, 't': t}) AS top FROM held GROUP BY ALL),
-size AS (SELECT n, lead, count(*) AS k FROM tok WHERE i = 0 GROUP BY ALL),
+WITH s AS (SELECT doc_id, text, coalesce(text, '') AS x, md5(coalesce(text, '')) AS t FROM documents),
+words AS (SELECT t, [w FOR w IN string_split_regex(x, '[ \t\r\n]+') IF w <> ''] AS w FROM (SELECT DISTINCT t, x FROM s)),
+sketch AS (
+  SELECT t, CASE WHEN len(w) = 0 THEN [] ELSE list_sort(list_distinct(
+    [md5(array_to_string(w[i:i + 4], ' '))[1:16] FOR i IN range(1, greatest(len(w) - 4, 1) + 1)]))[1:48] END AS s FROM words),
+keyed AS (SELECT t, unnest(s[1:6]) AS h FROM sketch),
+shared AS (SELECT t, h, count(*) OVER (PARTITION BY h) AS n FROM keyed QUALIFY n > 1),
+weight AS (SELECT t, sum(n)::BIGINT AS w, max({'n': n, 'h': h}).h AS h FROM shared GROUP BY t),
+centre AS (SELECT s.h, max({'w': w, 't': t}).t AS vote FROM shared s JOIN weight USING (t) GROUP BY s.h),
+pair AS (SELECT t, vote FROM weight JOIN centre USING (h) WHERE t <> vote),
+twin AS (
+  SELECT p.t, p.vote, a.s AS a, b.s AS b, list_sort(list_distinct(list_concat(a.s, b.s)))[1:48] AS low
+  FROM pair p JOIN sketch a ON p.t = a.t JOIN sketch b ON p.vote = b.t),
+copies AS (SELECT t, vote FROM twin WHERE len(list_intersect(list_intersect(low, a), b)) >= CASE WHEN len(low) < 48 THEN 0.75 ELSE 0.6 END * len(low)),
+raw AS (SELECT t, unnest(range(1, len(ls) + 1)) AS i, unnest(ls) AS line FROM (SELECT DISTINCT t, string_split(x, chr(10)) AS ls FROM s)),
+line AS (
+  SELECT raw.t, i, coalesce(vote, raw.t) AS vote,
+         trim(regexp_replace(regexp_replace(line, '[^ \t\r\f\x0B0-9]*[0-9][^ \t\r\f\x0B]*', '<*>', 'g'), '[ \t\r\f\x0B]+', ' ', 'g'), ' ') AS m
+  FROM raw LEFT JOIN copies USING (t)),
+n AS (SELECT *, len(w) AS n FROM (SELECT *, string_split(m, ' ') AS w FROM line WHERE m <> '')),
+voted AS (SELECT m, vote, count(DISTINCT t) AS copies FROM n GROUP BY ALL),
+exact AS (SELECT m FROM voted GROUP BY m HAVING count(*) >= 3 AND count(*) >= 0.02 * max(copies)),
+rest AS (SELECT DISTINCT m, w, n FROM n ANTI JOIN exact USING (m) WHERE n * 0.7 <= n - 1),
+path AS (
+  SELECT m, w, unnest([0, 1, 2, 3]) AS k,
+         unnest([[n::VARCHAR, w[1], w[2], w[3]], [n::VARCHAR, NULL, w[2], w[3]], [n::VARCHAR, w[1], NULL, w[3]], [n::VARCHAR, w[1], w[2], NULL]]) AS leaf FROM rest),
+most AS (SELECT *, count(*) OVER (PARTITION BY k, leaf) AS many FROM path QUALIFY many > 1),
+chosen AS (SELECT * FROM most QUALIFY row_number() OVER (PARTITION BY m ORDER BY many DESC, k) = 1),
+size AS (SELECT k, leaf, count(*) AS many FROM chosen GROUP BY ALL),
+tok AS (SELECT k, leaf, m, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS t FROM chosen),
+held AS (SELECT k, leaf, i, t, count(*) AS c FROM tok GROUP BY ALL),
+constant AS (SELECT k, leaf, i, t FROM held JOIN size USING (k, leaf) WHERE c > 1 AND c >= 0.2 * many),
+marked AS (
+  SELECT tok.*, c.t IS NOT NULL AS fixed FROM tok
+  LEFT JOIN constant c ON tok.k = c.k AND tok.leaf = c.leaf AND tok.i = c.i AND tok.t = c.t),
+shape AS (
+  SELECT k, leaf, m, list(CASE WHEN fixed THEN t END ORDER BY i) AS shape FROM marked
+  GROUP BY ALL HAVING count(*) FILTER (WHERE fixed) >= 0.7 * count(*)),
+shared_shape AS (SELECT k, leaf, shape, vote, count(DISTINCT t) AS copies FROM shape JOIN n USING (m) GROUP BY ALL),
 general AS (
-  SELECT n, lead, i, top.t AS t FROM top JOIN size USING (n, lead) WHERE top.c * 2 >= k AND top.c > 1),
-alike AS (
-  SELECT tok.n, tok.lead, tok.m FROM tok LEFT JOIN general g ON tok.n = g.n AND tok.lead = g.lead AND tok.i = g.i AND tok.t = g.t
-  GROUP BY ALL HAVING count(g.t) >= 0.7 * count(*)),
-again AS (
-  SELECT n, lead, before, after, sum(c) AS c FROM places SEMI JOIN alike USING (n, lead, m) GROUP BY ALL),
-leaves AS (SELECT n, lead FROM again GROUP BY ALL HAVING count(*) >= greatest(3, sum(c) * 0.1)),
-bad AS (
-  SELECT n, lead, m FROM exact UNION SELECT n, lead, m FROM alike SEMI JOIN leaves USING (n, lead)),
-gone AS (
-  SELECT doc_id, text, list(DISTINCT i) AS gone FROM n SEMI JOIN bad USING (n, lead, m) GROUP BY ALL)
-SELECT s.doc_id,
-       CASE WHEN gone IS NULL THEN s.text
+  SELECT k, leaf, shape FROM shared_shape GROUP BY ALL HAVING count(*) >= 3 AND count(*) >= 0.02 * max(copies)),
+bad AS (SELECT m FROM exact UNION SELECT m FROM shape SEMI JOIN general USING (k, leaf, shape)),
+gone AS (SELECT t, list(DISTINCT i) AS gone FROM n SEMI JOIN bad USING (m) GROUP BY t),
+ls AS (SELECT doc_id, text, t, string_split(x, chr(10)) AS ls FROM s)
+SELECT doc_id,
+       CASE WHEN gone IS NULL THEN text
             ELSE coalesce(array_to_string([ls[j] FOR j IN range(1, len(ls) + 1) IF NOT list_contains(gone, j)], chr(10)), '') END AS text,
-       CASE WHEN s.text IS NULL THEN 0 ELSE len(ls) END::BIGINT AS n_lines,
+       CASE WHEN text IS NULL THEN 0 ELSE len(ls) END::BIGINT AS n_lines,
        coalesce(len(gone), 0)::BIGINT AS n_dropped
-FROM s LEFT JOIN gone ON s.doc_id IS NOT DISTINCT FROM gone.doc_id AND s.text IS NOT DISTINCT FROM gone.text
+FROM ls LEFT JOIN gone USING (t)
 """

@@ -40,7 +40,7 @@ LENGTH = 400
 CORE = 128
 BLOCK = 16
 #: Different phrases around one trigger for which suffix arrays are built.
-GROUP = 4096
+GROUP = 1024
 BROADCAST_ROWS = 1_000_000
 CHUNK = 1 << 20
 
