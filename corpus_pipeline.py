@@ -24,9 +24,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines of recurring templates; n_chars follows the text.
 
-    A template recurs if it stands in several classes of near-duplicate documents.
+    Copies of a document count once for a template, so they stay for the next stage.
     """
-    out = lines.drop_boilerplate_lines(docs, classes=neardup.text_classes(docs, "doc_id", "text"))
+    out = lines.drop_boilerplate_lines(docs)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
