@@ -1,12 +1,13 @@
 """Line dedup with a fixed-depth log-template tree, in DataFrame functions only.
 
 Tokens that hold a digit are masked. A line goes down the tree by its token count and its leading
-``DEPTH`` tokens, of which one may be a variable field: of the leaf of all three tokens and the
-three leaves with a wildcard at one of them, it belongs to the one with the most different lines.
-In a leaf a token is constant at its position if at least two lines and a fifth of the leaf hold it
-there; the rest is generalised to wildcards, and the lines with equal results form a template, if
-``SIMILARITY`` of its tokens are constant. A leaf may hold several templates. Equal lines form a
-template of their own.
+tokens, a third of them, so that a leaf stays small in a large corpus of prose. As leading tokens may
+be variable fields themselves, its middle and its last third lead to a leaf each too, and it belongs
+to the leaf with the most different lines. In a leaf a token is constant at its position if at least
+two lines and a fifth of the leaf hold it there; the rest is generalised to wildcards, and the lines
+with equal results form a template, if ``SIMILARITY`` of its tokens are constant. A leaf may hold
+several templates; a line with variable fields in all three thirds has no leaf to share. Equal lines
+form a template of their own.
 
 A template that stands in ``MIN_DOCS`` different documents is boilerplate, whatever its length and
 neighbours, and all its lines are dropped. Copies of a document count once, or every line of a
@@ -28,14 +29,15 @@ MIN_DOCS = 3
 #: A template in a large family of copies needs so many documents for each copy, as a few of many
 #: copies are too far from the centre to be told.
 STRAY = 0.02
-DEPTH = 3
+#: Parts of a line, each of which leads to a leaf.
+PARTS = 3
 SIMILARITY = 0.7
 #: Share of the lines of a leaf that hold a constant token at its position at least.
 CONSTANT = 0.2
 SKETCH, KEYS = 48, 6
 #: Similarity of sketches from which a text is a copy. A sketch that holds all shingles of both is
 #: exact; the estimate of one that doesn't has a standard deviation of 0.06 at the similarity 0.8.
-COPY_EXACT, COPY = 0.75, 0.6
+COPY_EXACT, COPY = 0.7, 0.6
 BROADCAST_ROWS = 200_000
 
 SPACE = r" \t\r\f\x0B"
@@ -68,9 +70,9 @@ def copy_classes(docs: DataFrame, text_col: str = "text") -> DataFrame:
     family's centre. A written table."""
     words = docs.select(_key(text_col).alias("_t"), F.filter(F.split(_text(text_col), "[ \t\r\n]+"), lambda w: w != "").alias("w"))
     first = F.slice("w", 1, F.greatest(F.size("w") - (WORDS - 1), F.lit(1)))
-    shingles = F.transform(first, lambda w, i: F.concat_ws(" ", w, *[F.get("w", i + k) for k in range(1, WORDS)]))
-    hashes = F.array_sort(F.array_distinct(F.transform(shingles, lambda c: F.substring(F.md5(c.cast("binary")), 1, 16))))
-    sketches = materialize(words.select("_t", F.slice(hashes, 1, SKETCH).alias("s")), "sketches")
+    hashes = F.transform(first, lambda w, i: F.md5(F.concat_ws(" ", w, *[F.get("w", i + k) for k in range(1, WORDS)]).cast("binary")))
+    least = F.slice(F.array_distinct(F.sort_array(hashes)), 1, SKETCH)
+    sketches = materialize(words.select("_t", F.transform(least, lambda h: F.substring(h, 1, 16)).alias("s")), "sketches")
     keyed = sketches.select("_t", F.explode(F.slice("s", 1, KEYS)).alias("h")).distinct()
     counted = keyed.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     shared = materialize(keyed.join(hinted(materialize(counted, "sketch-keys"), BROADCAST_ROWS), "h"), "shared-keys")
@@ -103,21 +105,21 @@ def line_templates(docs: DataFrame, text_col: str = "text", min_docs: int = MIN_
 
     listed = docs.select(_key(text_col).alias("_t"), F.posexplode(F.split(_text(text_col), "\n")).alias("pos", "line"))
     rows = listed.select("_t", "pos", _masked(F.col("line")).alias("m")).filter("m != ''")
-    token = lambda i: F.substring_index(F.substring_index("m", " ", i), " ", -1)
-    size = F.octet_length("m") - F.octet_length(F.replace("m", F.lit(" "), F.lit(""))) + 1
-    rows = rows.withColumns({"n": size.cast("int"), "a": token(1), "b": token(2), "c": token(3)})
-    paths = [F.xxhash64(F.lit(i), "n", *kept) for i, kept in enumerate((["a", "b", "c"], ["b", "c"], ["a", "c"], ["a", "b"]))]
-    narrow = materialize(rows.select("_t", "pos", F.xxhash64("m").alias("tpl"), "n", *[p.alias(f"k{i}") for i, p in enumerate(paths)]), "lines")
+    rows = rows.withColumn("w", F.split("m", " ")).withColumn("n", F.size("w"))
+    cut = [F.floor(F.col("n") * i / PARTS).cast("int") for i in range(PARTS + 1)]
+    parts = [F.xxhash64(F.lit(i), "n", F.slice("w", cut[i] + 1, cut[i + 1] - cut[i])) for i in range(PARTS)]
+    leaf_keys = [f"k{i}" for i in range(PARTS)]
+    narrow = materialize(rows.select("_t", "pos", F.xxhash64("m").alias("tpl"), "n", *[p.alias(k) for p, k in zip(parts, leaf_keys, strict=True)]), "lines")
 
     # each different line once
-    kinds = narrow.groupBy("tpl").agg(F.count(F.lit(1)).alias("times"), *[F.min(c).alias(c) for c in ("n", "k0", "k1", "k2", "k3")])
+    kinds = narrow.groupBy("tpl").agg(F.count(F.lit(1)).alias("times"), *[F.min(c).alias(c) for c in ("n", *leaf_keys)])
     kinds = materialize(kinds, "line-kinds")
     again = hinted(kinds.filter(F.col("times") >= min_docs).select("tpl"), BROADCAST_ROWS)
     exact = materialize(documents(narrow.join(again, "tpl", "left_semi"), "tpl"), "line-exact")
 
     # fewer than four tokens with a wildcard are not alike enough
     rest = kinds.filter(F.col("n") * similarity <= F.col("n") - 1).join(hinted(exact, BROADCAST_ROWS), "tpl", "left_anti")
-    rest = rest.select("tpl", "n", F.posexplode(F.array("k0", "k1", "k2", "k3")).alias("i", "leaf"))
+    rest = rest.select("tpl", "n", F.posexplode(F.array(*leaf_keys)).alias("i", "leaf"))
     leaves = materialize(rest.groupBy("leaf").agg(F.count(F.lit(1)).alias("many")).filter("many > 1"), "line-leaves")
     chosen = rest.join(hinted(leaves, BROADCAST_ROWS), "leaf").groupBy("tpl", "n").agg(F.max(F.struct("many", -F.col("i"), "leaf")).getField("leaf").alias("leaf"))
     chosen = materialize(chosen, "line-chosen")
@@ -193,7 +195,7 @@ pair AS (SELECT t, vote FROM weight JOIN centre USING (h) WHERE t <> vote),
 twin AS (
   SELECT p.t, p.vote, a.s AS a, b.s AS b, list_sort(list_distinct(list_concat(a.s, b.s)))[1:48] AS low
   FROM pair p JOIN sketch a ON p.t = a.t JOIN sketch b ON p.vote = b.t),
-copies AS (SELECT t, vote FROM twin WHERE len(list_intersect(list_intersect(low, a), b)) >= CASE WHEN len(low) < 48 THEN 0.75 ELSE 0.6 END * len(low)),
+copies AS (SELECT t, vote FROM twin WHERE len(list_intersect(list_intersect(low, a), b)) >= CASE WHEN len(low) < 48 THEN 0.7 ELSE 0.6 END * len(low)),
 raw AS (SELECT t, unnest(range(1, len(ls) + 1)) AS i, unnest(ls) AS line FROM (SELECT DISTINCT t, string_split(x, chr(10)) AS ls FROM s)),
 line AS (
   SELECT raw.t, i, coalesce(vote, raw.t) AS vote,
@@ -204,9 +206,8 @@ voted AS (SELECT m, vote, count(DISTINCT t) AS copies FROM n GROUP BY ALL),
 exact AS (SELECT m FROM voted GROUP BY m HAVING count(*) >= 3 AND count(*) >= 0.02 * max(copies)),
 rest AS (SELECT DISTINCT m, w, n FROM n ANTI JOIN exact USING (m) WHERE n * 0.7 <= n - 1),
 path AS (
-  SELECT m, w, unnest([0, 1, 2, 3]) AS k,
-         unnest([[n::VARCHAR, w[1], w[2], w[3]], [n::VARCHAR, NULL, w[2], w[3]], [n::VARCHAR, w[1], NULL, w[3]], [n::VARCHAR, w[1], w[2], NULL]]) AS leaf FROM rest),
-most AS (SELECT *, count(*) OVER (PARTITION BY k, leaf) AS many FROM path QUALIFY many > 1),
+  SELECT m, w, n, unnest([0, 1, 2]) AS k, unnest([w[1:n // 3], w[n // 3 + 1:n * 2 // 3], w[n * 2 // 3 + 1:n]]) AS part FROM rest),
+most AS (SELECT *, {'n': n, 'part': part} AS leaf, count(*) OVER (PARTITION BY k, n, part) AS many FROM path QUALIFY many > 1),
 chosen AS (SELECT * FROM most QUALIFY row_number() OVER (PARTITION BY m ORDER BY many DESC, k) = 1),
 size AS (SELECT k, leaf, count(*) AS many FROM chosen GROUP BY ALL),
 tok AS (SELECT k, leaf, m, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS t FROM chosen),
