@@ -15,7 +15,9 @@ a task, of which only the links that connect something leave it.
 
 from __future__ import annotations
 
+import functools
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hinted, materialize, text_key
+from .common import hinted, materialize, release, text_key
+from .suffix import RollingHash
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -44,6 +47,7 @@ BROADCAST_ROWS = 500_000
 #: Ends of the first rank cells; beyond the last they go on in steps of 1.
 CELLS = np.array([0.0, 1 / 64, 1 / 16, 1 / 4, 1.0])
 
+_white = re.compile(rb"[\t-\r ]")
 _M1, _M2, _G = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -56,25 +60,37 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class WordHash:
-    """64-bit hashes of words, remembered within a task up to a bound."""
+    """64-bit hashes of the words of a text, which white space (of ASCII) parts.
 
-    def __init__(self, most: int = 1_000_000):
-        self.known: dict[str, int] = {}
-        self.most = most
+    Words are hashed all at once as polynomials of their bytes, in pieces of about PIECE bytes.
+    """
 
-    def __call__(self, text: str) -> np.ndarray:
-        import xxhash
+    PIECE = 1 << 18
+
+    def __init__(self):
+        self.roller = RollingHash(self.PIECE)
+        self.space = np.zeros(256, bool)
+        self.space[[9, 10, 11, 12, 13, 32]] = True
 
-        known, words = self.known, text.split()
-        if len(known) > self.most:
-            known.clear()
-        try:
-            return np.array([known[w] for w in words], np.uint64)
-        except KeyError:
-            for w in words:
-                if w not in known:
-                    known[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
-            return np.array([known[w] for w in words], np.uint64)
+    def __call__(self, text: str) -> np.ndarray:
+        raw, at, out = text.encode("utf-8", "surrogatepass"), 0, []
+        while at < len(raw):
+            end = at + self.PIECE
+            if end < len(raw):  # up to white space, however far it is
+                gap = _white.search(raw, end)
+                end = gap.start() if gap else len(raw)
+            out.append(self._hashed(np.frombuffer(raw[at:end], np.uint8)))
+            at = end
+        return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+    def _hashed(self, data: np.ndarray) -> np.ndarray:
+        if len(data) >= len(self.roller.power[0]):
+            self.roller = RollingHash(2 * len(data))
+        edge = np.diff(np.concatenate([[True], self.space[data], [True]]).astype(np.int8))
+        start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+        sums = self.roller.sums(data, 0)
+        with np.errstate(over="ignore"):
+            return mix((sums[end] - sums[start]) * self.roller.inverse[0][start] + (end - start).astype(np.uint64) * _G)
 
 
 def shingles(words: np.ndarray, size: int = WORDS) -> np.ndarray:
@@ -393,22 +409,68 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each near-duplicate class: the one with the smallest id (null ids come last).
+    """One row of each group of near duplicates; a row goes only if a kept one is that similar to it.
 
-    All columns stay. Texts without words are no duplicates of each other and all stay.
+    Of each class the text with the most links is kept (of two texts alone the one with the smallest
+    id, null ids last) and the texts linked with it go; what is left of the class, as in a chain of texts
+    that drift apart, is treated likewise until no text is left. Of equal texts the row with the
+    smallest id stays. All columns stay. Texts without words are no duplicates of each other and
+    all stay.
     """
     wordless = ~F.coalesce(F.col(text_col), F.lit("")).rlike(r"\S")
     worded = docs.filter(~wordless)
-    lead = text_classes(worded, id_col, text_col).filter("lead").select(F.col("_k").alias("__k"), F.col("_first").alias("__first"), F.col("_n").alias("__n"))
+    texts, links = text_links(worded, id_col, text_col)
+    gone = covered(links, texts)
+    lead = texts.join(gone, "_k", "left_anti").select(F.col("_k").alias("__k"), F.col("_first").alias("__first"), F.col("_n").alias("__n"))
     found = worded.join(lead, text_key(text_col) == F.col("__k")).filter(F.col(id_col).eqNullSafe(F.col("__first")))
     # only rows that are equal in id and text are left to choose from
     chosen = found.filter("__n = 1").unionByName(found.filter("__n > 1").dropDuplicates(["__k"]))
     return chosen.select(docs.columns).unionByName(docs.filter(wordless))
 
 
+def covered(links: DataFrame, texts: DataFrame) -> DataFrame:
+    """The texts ``_k`` that a kept text has a link with; the others are kept.
+
+    links: (a, b); texts: (``_k``, ``_first``). In each round the texts that come before all their
+    open neighbours are kept and their neighbours go. More links come first, then the smaller id of
+    two texts alone, else the smaller hash.
+    """
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    degree = both.groupBy(F.col("a").alias("_k")).agg(F.count(F.lit(1)).alias("_links")).join(texts, "_k")
+    # smaller comes first; a hash keeps chains in the order of their ids from taking many rounds
+    chance = F.when(F.col("_links") > 1, F.xxhash64("_k")).otherwise(0)
+    order = degree.select("_k", F.struct(-F.col("_links"), chance.alias("_h"), F.col("_first").isNull().alias("_null"), "_first", "_k").alias("_o"))
+    order = materialize(order, "link-order")
+    one = order.select(F.col("_k").alias("a"), F.col("_o").alias("oa"))
+    two = order.select(F.col("_k").alias("b"), F.col("_o").alias("ob"))
+    left, gone = materialize(both.join(one, "a").join(two, "b"), "open-links"), []
+    while left.limit(1).count():
+        kept = left.groupBy("a").agg(F.min(F.col("oa") < F.col("ob")).alias("first")).filter("first").select("a")
+        kept = materialize(kept, "kept")
+        lost = materialize(left.join(kept, "a").select(F.col("b").alias("_k")).distinct(), "lost")
+        gone.append(lost)
+        done = kept.select(F.col("a").alias("_k")).unionByName(lost)
+        rest = left.join(done, F.col("a") == F.col("_k"), "left_anti").join(done, F.col("b") == F.col("_k"), "left_anti")
+        rest = materialize(rest, "open-links")
+        release(left, kept)
+        left = rest
+    release(left, order)
+    return functools.reduce(DataFrame.unionByName, gone) if gone else texts.select("_k").limit(0)
+
+
 def text_classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """For each different text its key ``_k``, ``class_id``, class number ``comp`` (never null),
-    smallest id ``_first``, number of rows ``_n`` and whether it is the ``lead`` of its class, the text with the smallest id."""
+    """For each different text its key ``_k`` and ``class_id``."""
+    texts, links = text_links(docs, id_col, text_col)
+    named = texts.join(components(links), F.col("_k") == F.col("k"), "left").select("_k", "_first", F.coalesce("comp", "_k").alias("comp"))
+    least = materialize(named.groupBy("comp").agg(F.min("_first").alias("class_id")), "leads")
+    out = materialize(named.join(least, "comp").select("_k", "class_id"), "classes")
+    release(texts, links, least)
+    return out
+
+
+def text_links(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Each different text (key ``_k``, smallest id ``_first``, number of rows ``_n``), and links
+    (a, b) of SIMILARITY that connect all texts which such links connect. Written tables."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select(F.col(id_col).alias("_id"), text_key(text_col).alias("_k"), text.alias("_text"))
     # equal texts meet on the map side first, however many they are; the texts themselves stay put
@@ -432,7 +494,9 @@ def text_classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     sig = signed.select("_k", "sig")
     star = star.join(sig.select(F.col("_k").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("_k").alias("b"), F.col("sig").alias("sb")), "b")
     star = materialize(_possible(star), "star")
-    links = materialize(_verified(star, texts_of(star.select(F.explode(F.array("a", "b")).alias("_k")))), "star-links")
+    star_texts = texts_of(star.select(F.explode(F.array("a", "b")).alias("_k")))
+    links = materialize(_verified(star, star_texts), "star-links")
+    release(star_texts)
     comp = components(links)
     # of a group of two the only pair has been compared
     member = grouped.filter("_n > 2").select("group", "_k").join(comp, F.col("_k") == F.col("k"), "left")
@@ -441,14 +505,13 @@ def text_classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     open_groups = materialize(open_groups, "open-groups")
     rest = materialize(member.join(open_groups, "group").join(sig.withColumnRenamed("_k", "k"), "k"), "open")
     alive = _in_blocks(rest, ["k", "comp", "sig"], _has_partner, "group long, k long").distinct()
-    alive = materialize(alive, "alive")
-    alive = alive.join(rest.select("group", "k", "comp"), ["group", "k"]).join(texts_of(alive.select(F.col("k").alias("_k"))).withColumnRenamed("_k", "k"), "k")
+    alive_keys = materialize(alive, "alive")
+    alive_texts = texts_of(alive_keys.select(F.col("k").alias("_k")))
+    alive = alive_keys.join(rest.select("group", "k", "comp"), ["group", "k"]).join(alive_texts.withColumnRenamed("_k", "k"), "k")
     more = materialize(_in_blocks(alive, ["k", "_text"], _links_between, "a long, b long").distinct(), "open-links")
-    comp = components(links.unionByName(more))
-    named = texts.select("_k", "_first", "_n").join(comp, F.col("_k") == F.col("k"), "left").select("_k", "_first", "_n", F.coalesce("comp", "_k").alias("comp"))
-    order = F.struct(F.col("_first").isNull(), "_first", "_k")
-    least = materialize(named.groupBy("comp").agg(F.min("_first").alias("class_id"), F.min(order).getField("_k").alias("_lead")), "leads")
-    return materialize(named.join(least, "comp").select("_k", "class_id", "comp", "_first", "_n", (F.col("_k") == F.col("_lead")).alias("lead")), "classes")
+    found = materialize(links.unionByName(more), "all-links")
+    release(signed, grouped, popular, star, links, member, open_groups, rest, alive_keys, alive_texts, more)
+    return texts, found
 
 
 def _possible(pairs: DataFrame) -> DataFrame:

@@ -266,8 +266,54 @@ def test_near_duplicates_against_brute_force(spark, odd):
     want = sorted((str(k), str(least.get(top(i)))) for i, (k, _, _) in enumerate(rows))
     assert want == sorted((str(r.doc_id), str(r.class_id)) for r in out)
     kept = neardup.keep_one(docs).collect()
-    worded = {top(i) for i, (_, t, _) in enumerate(rows) if (t or "").split()}
-    assert len(kept) == len(worded) + sum(not (t or "").split() for _, t, _ in rows)
+    stay = [i for i, (k, x, _) in enumerate(rows) if any(r.doc_id == k and r.text == x for r in kept)]
+    assert len({(r.doc_id, r.text) for r in kept if (r.text or "").split()}) == sum(bool((r.text or "").split()) for r in kept)
+    similar = lambda i, j: rows[i][1] == rows[j][1] or (len(sets[i][0]) and len(sets[j][0]) and neardup.weighted_jaccard(sets[i], sets[j]) >= 0.8)
+    for i in set(range(len(rows))) - set(stay):  # what goes is that similar to something kept
+        assert any(similar(i, j) for j in stay)
+    worded = [i for i in stay if len(sets[i][0])]
+    close = sum(similar(i, j) for i in worded for j in worded if i < j)
+    assert close <= 0.02 * len(rows)
+    assert {top(i) for i in stay} == {top(i) for i in range(len(rows))}
+
+
+def test_a_chain_of_drifting_texts_is_not_cut_to_its_first(spark):
+    rng = random.Random(31)
+    words, texts = prose(rng, 200).split(), []
+    for _ in range(8):
+        texts.append(" ".join(words))
+        words = words[16:] + prose(rng, 16).split()
+    out = neardup.keep_one(table(spark, [(i, t, "a") for i, t in enumerate(texts)])).collect()
+    sets = [neardup.weighted(neardup.shingles(neardup.WordHash()(t))) for t in texts]
+    kept = sorted(r.doc_id for r in out)
+    assert 1 < len(kept) < 8
+    for i in range(8):
+        assert i in kept or max(neardup.weighted_jaccard(sets[i], sets[k]) for k in kept) >= 0.8
+
+
+def test_signatures_lose_no_links_at_the_threshold():
+    """Pairs of 0.8 to 0.85: found as candidates and not refused by the compact signatures."""
+    rng = random.Random(32)
+    hashed, found, refused, n = neardup.WordHash(), 0, 0, 0
+    while n < 300:
+        base = prose(rng, 300).split()
+        other = [w if rng.random() > 0.02 else prose(rng, 1) for w in base]
+        a, b = (neardup.weighted(neardup.shingles(hashed(" ".join(x)))) for x in (base, other))
+        if not 0.8 <= neardup.weighted_jaccard(a, b) <= 0.85:
+            continue
+        x, y = neardup.dart_signature(*a), neardup.dart_signature(*b)
+        same = (x == y).reshape(neardup.BANDS, neardup.ROWS).all(1)
+        found += same.any()
+        refused += (x >> np.uint64(40) & np.uint64(255) == y >> np.uint64(40) & np.uint64(255)).mean() < neardup.POSSIBLE
+        n += 1
+    assert found >= 0.99 * n and refused == 0
+
+
+def test_word_hashes_do_not_depend_on_place_or_piece():
+    hashed = neardup.WordHash()
+    hashed.PIECE = 50
+    one, two = hashed("aa bb  cc\u00a0d " * 40 + "x" * 500), neardup.WordHash()("\n" + "aa bb  cc\u00a0d " * 40 + "\t" + "x" * 500)
+    assert (one == two).all() and len(one) == 121 and len(set(one.tolist())) == 4
 
 
 def test_blocks_are_bounded_and_meet_all_other_components(spark):
