@@ -2,8 +2,8 @@
 
 Texts are tokenised and cut on the executors. Only the histogram of piece lengths, at most
 ``capacity`` numbers, goes to the driver. There combinations of one, two or three further lengths
-that fill a sequence exactly are looked up and consumed as often as their counts allow; what is
-left is placed best-fit, longest first. The plan is a list of patterns with multiplicities, bounded
+that fill a sequence exactly are looked up by their sums and consumed as often as their counts
+allow; what is left is placed best-fit, longest first. The plan is a list of patterns with multiplicities, bounded
 by the number of lengths and not by the data, and pieces find their place in it by their rank among
 the pieces of their length.
 """
@@ -31,43 +31,63 @@ BROADCAST_ROWS = 200_000
 _double_space = re.compile(r"\s\s")
 
 
-def encoder(name: str = TOKENIZER) -> tuple[Callable[[str], list[int]], str]:
-    """Function from text to ids, and the numpy type that holds them.
+def added_tokens(path: str) -> tuple[str, ...]:
+    """Texts of the tokens that a tokenizer file adds to its vocabulary."""
+    from tokenizers import Tokenizer
+
+    return tuple(t.content for t in Tokenizer.from_file(path).get_added_tokens_decoder().values())
+
+
+def encoder(name: str = TOKENIZER, added: tuple[str, ...] | None = None) -> tuple[Callable[[str], list[int]], str]:
+    """Function from text to the ids that ``tokenizers`` gives, and the numpy type that holds them.
 
     ``name`` is a file of public_tokenizers or a path. For a byte-level BPE that is also there as
     ``.tiktoken`` ranks the same ids are found through those, which is faster. Its pattern has a
     look-ahead that matters only where two white-space characters meet; texts without such a place
-    take the same pattern without it.
+    take the same pattern without it. Texts that hold an added token of the file, which has an id of
+    its own, go to ``tokenizers`` itself; ``added`` spares reading the file for them.
     """
     import base64
+    import functools
     import os
 
     import public_tokenizers
 
     path = name if os.path.exists(name) else public_tokenizers.path(name)
+
+    @functools.cache
+    def own():
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(path)
+
+    exact = lambda text: own().encode(text, add_special_tokens=False).ids
     ranks_path = os.path.splitext(path)[0] + ".tiktoken"
-    if os.path.exists(ranks_path):
-        import tiktoken
-
-        with open(ranks_path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        pattern = public_tokenizers.PATTERN
-        plain = tiktoken.Encoding("full", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        quick = tiktoken.Encoding("quick", pat_str=pattern.replace(r"|\s+(?!\S)", ""), mergeable_ranks=ranks, special_tokens={})
-        slow, fast, search = plain.encode_ordinary, quick.encode_ordinary, _double_space.search
-        return lambda text: (slow if search(text) else fast)(text), "<u2" if len(ranks) < 65_536 else "<u4"
-    from tokenizers import Tokenizer
+    if not os.path.exists(ranks_path):
+        return exact, "<u2" if own().get_vocab_size() < 65_536 else "<u4"
+    import tiktoken
+
+    added = added_tokens(path) if added is None else added
+    with open(ranks_path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    pattern = public_tokenizers.PATTERN
+    plain = tiktoken.Encoding("full", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    quick = tiktoken.Encoding("quick", pat_str=pattern.replace(r"|\s+(?!\S)", ""), mergeable_ranks=ranks, special_tokens={})
+    slow, fast, search = plain.encode_ordinary, quick.encode_ordinary, _double_space.search
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    return lambda text: tokenizer.encode(text, add_special_tokens=False).ids, "<u2" if tokenizer.get_vocab_size() < 65_536 else "<u4"
+    def encode(text: str) -> list[int]:
+        if any(token in text for token in added):
+            return exact(text)
+        return (slow if search(text) else fast)(text)
 
+    return encode, "<u2" if len(ranks) + len(added) < 65_536 else "<u4"
 
-def _pieces(tokenizer: str, capacity: int, end_id: int, schema: pa.Schema):
+
+def _pieces(tokenizer: str, added: tuple[str, ...], capacity: int, end_id: int, schema: pa.Schema):
     """Function for mapInArrow: documents to pieces with their ids."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, kind = encoder(tokenizer)
+        encode, kind = encoder(tokenizer, added)
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
@@ -93,65 +113,80 @@ def _pieces(tokenizer: str, capacity: int, end_id: int, schema: pa.Schema):
     return cut
 
 
-def complement_plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[tuple[int, int]], int]]:
+#: Shortest piece, as a share of the capacity, that pairs and triples may complete. A combination
+#: spends short pieces, which longer ones without a complement need; the longer a piece, the less it
+#: spends. All are tried, the largest choice of combinations first.
+SHARES = (0.0, 0.5, 0.625, 0.75, 0.875, 0.9375)
+
+Pattern = tuple[list[tuple[int, int]], int]
+
+
+def complement_plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[Pattern]:
     """Patterns ``([(length, times), ...], sequences)`` that place every piece once.
 
-    Filling a sequence exactly with many small pieces can leave larger ones without company, so the
-    plan is made with combinations of up to 3, 2, 1 and no further lengths, and the one with the
-    fewest sequences is kept.
+    Exact complements of a single length come first, then those of two and of three lengths, then
+    best fit. Of the plans for each of SHARES the one with the fewest sequences is kept, in a tie
+    the one with the most combinations.
     """
-    plans = [_plan(counts, capacity, most) for most in (3, 2, 1, 0)]
+    plans = [_plan(counts, capacity, int(share * capacity)) for share in SHARES]
     return min(plans, key=lambda plan: sum(times for _, times in plan))
 
 
-def _plan(counts: dict[int, int], capacity: int, most: int) -> list[tuple[list[tuple[int, int]], int]]:
-    left = np.zeros(capacity + 1, np.int64)
-    for length, n in counts.items():
-        left[length] = n
-    plan: list[tuple[list[tuple[int, int]], int]] = []
-
-    def pair(total: int) -> tuple[int, ...]:
-        """Two available lengths of this sum, the larger as large as can be."""
-        big = np.arange(total - 1, (total - 1) // 2, -1)
-        hits = big[(left[big] > 0) & (left[total - big] > 0)]
-        for b in hits:
-            if b * 2 != total or left[b] > 1:
-                return int(b), int(total - b)
-        return ()
+class Sums:
+    """Available pairs of lengths by their sum, and triples found through them.
 
-    def combination(gap: int) -> tuple[int, ...]:
-        if most >= 1 and left[gap] > 0:
-            return (gap,)
-        if most >= 2 and (found := pair(gap)):
-            return found
-        for a in [] if most < 3 else np.flatnonzero(left[: gap - 1])[::-1]:
-            left[a] -= 1
-            found = pair(gap - int(a))
-            left[a] += 1
+    The pairs of a sum are listed when it is first asked for, most available last. Counts only
+    fall, so a pair that has run out is dropped for good.
+    """
+
+    def __init__(self, left: np.ndarray):
+        self.left = left
+        self.pairs: dict[int, list[tuple[int, int]]] = {}
+
+    def free(self, *lengths: int) -> bool:
+        return all(self.left[x] >= lengths.count(x) for x in lengths)
+
+    def single(self, start: int, total: int) -> tuple[int, ...]:
+        return (total,) if self.free(start, total) else ()
+
+    def pair(self, start: int, total: int, *others: int) -> tuple[int, ...]:
+        """Two lengths of this sum that are there beside the piece and the others."""
+        if total not in self.pairs:
+            small = np.arange(1, total // 2 + 1)
+            small = small[(self.left[small] > 0) & (self.left[total - small] > 0)]
+            most = np.minimum(self.left[small], self.left[total - small])
+            self.pairs[total] = [(int(total - x), int(x)) for x in small[np.argsort(most, kind="stable")]]
+        listed = self.pairs[total]
+        while listed and not self.free(*listed[-1]):
+            listed.pop()
+        return next((p for p in reversed(listed) if self.free(start, *others, *p)), ())
+
+    def triple(self, start: int, total: int) -> tuple[int, ...]:
+        for x in np.flatnonzero(self.left[: max(total - 1, 0)])[::-1].tolist():
+            found = self.pair(start, total - x, x)
             if found:
-                return (int(a), *found)
+                return (x, *found)
         return ()
 
+
+def _plan(counts: dict[int, int], capacity: int, shortest: int) -> list[Pattern]:
+    left = np.zeros(capacity + 1, np.int64)
+    for length, n in counts.items():
+        left[length] = n
+    plan: list[Pattern] = []
     if left[capacity]:
         plan.append(([(capacity, 1)], int(left[capacity])))
         left[capacity] = 0
-    residual: dict[int, int] = {}
-    for length in range(capacity - 1, 0, -1):
-        while left[length] > 0:
-            left[length] -= 1
-            found = combination(capacity - length)
-            left[length] += 1
-            if not found:
-                residual[length] = int(left[length])
-                left[length] = 0
-                break
-            uses = dict.fromkeys((length, *found), 0)
-            for x in (length, *found):
-                uses[x] += 1
-            times = min(int(left[x]) // k for x, k in uses.items())
-            plan.append((list(uses.items()), times))
-            for x, k in uses.items():
-                left[x] -= k * times
+    sums = Sums(left)
+    for find, least in ((sums.single, 1), (sums.pair, shortest), (sums.triple, shortest)):
+        for length in range(capacity - 1, max(least, 1) - 1, -1):
+            while left[length] > 0 and (found := find(length, capacity - length)):
+                uses = {x: (length, *found).count(x) for x in (length, *found)}
+                times = min(int(left[x]) // k for x, k in uses.items())
+                plan.append((list(uses.items()), times))
+                for x, k in uses.items():
+                    left[x] -= k * times
+    residual = {length: int(left[length]) for length in np.flatnonzero(left)[::-1].tolist()}
     # best fit: open sequences by the room they have
     room: dict[int, list[list]] = {}
     for length, n in residual.items():  # longest first
@@ -218,7 +253,12 @@ def pack_documents(
     null or empty text is the end id alone. Null ids and repeated rows are packed like any others.
     An empty table gives no rows. Sequence ids run from 0 without gaps.
     """
-    kind = encoder(tokenizer)[1]
+    import os
+
+    import public_tokenizers
+
+    added = () if not tokenizer.endswith(".json") else added_tokens(tokenizer if os.path.exists(tokenizer) else public_tokenizers.path(tokenizer))
+    kind = encoder(tokenizer, added)[1]
     id_field = docs.schema[id_col]
     long = T.LongType()
     made = T.StructType(
@@ -229,7 +269,7 @@ def pack_documents(
     from pyspark.sql.pandas.types import to_arrow_type
 
     arrow = pa.schema([pa.field(id_col, to_arrow_type(id_field.dataType)), *[pa.field(f.name, to_arrow.get(f.name, pa.int64())) for f in made[1:]]])
-    pieces = materialize(docs.select(id_col, text_col).mapInArrow(_pieces(tokenizer, capacity, end_id, arrow), made), "pieces")
+    pieces = materialize(docs.select(id_col, text_col).mapInArrow(_pieces(tokenizer, added, capacity, end_id, arrow), made), "pieces")
     counts = pieces.groupBy("_part", "length").agg(F.count(F.lit(1)).alias("_n"))
     counts = materialize(counts, "piece-counts")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("_n").alias("n")).collect()}

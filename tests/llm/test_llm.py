@@ -99,10 +99,42 @@ def test_complement_plan_places_every_piece():
             for a, k in pattern:
                 used[a] = used.get(a, 0) + k * times
         assert used == counts
+    # pairs and triples take part
+    plan = packing.complement_plan({800: 7, 124: 7, 100: 7, 700: 4, 200: 4, 90: 4, 34: 4})
+    assert sum(t for _, t in plan) == 11 and {len(p) for p, _ in plan} == {3, 4}
     exact = packing.complement_plan({600: 5, 424: 5, 500: 3, 300: 3, 224: 3})
     assert sum(t for _, t in exact) == 8
 
 
+def fewest(pieces, capacity):
+    """The fewest sequences that hold the pieces, by trying all ways."""
+    best = len(pieces)
+
+    def place(i, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if i == len(pieces):
+            best = len(rooms)
+            return
+        for k in {rooms[j]: j for j in range(len(rooms)) if rooms[j] >= pieces[i]}.values():
+            place(i + 1, rooms[:k] + [rooms[k] - pieces[i]] + rooms[k + 1 :])
+        place(i + 1, [*rooms, capacity - pieces[i]])
+
+    place(0, [])
+    return best
+
+
+def test_packing_is_close_to_the_fewest_sequences():
+    rng = random.Random(11)
+    over = 0
+    for _ in range(60):
+        pieces = sorted((rng.randint(1, 16) for _ in range(rng.randint(1, 10))), reverse=True)
+        plan = packing.complement_plan({x: pieces.count(x) for x in pieces}, 16)
+        over += sum(t for _, t in plan) - fewest(pieces, 16)
+    assert over <= 2
+
+
 def test_toxicity(spark, odd):
     rng = random.Random(2)
     rows = [(i, prose(rng, 50) + (" vile nasty" if i % 3 == 0 else ""), "a") for i in range(400)]
