@@ -15,13 +15,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import hex_long, materialize
+from .common import hex_long, is_small, materialize
 
 ENTROPY_SHARE = 0.97
 MAX_REPEAT = 2.0
 BLOCK_ROWS = 256
 MAX_BLOCKS = 65_536
-MAX_SOURCES = 100_000
+#: Sources whose shares are summed on the driver; those of more are summed by Spark, round by round.
+DRIVER_SOURCES = 100_000
 ROUNDS = 60
 SEED = "mix"
 
@@ -31,21 +32,62 @@ def n_tokens(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0)).cast("long")
 
 
-def _entropy(shares: list[float], a: float) -> float:
-    powers = [p**a for p in shares]
-    total = sum(powers)
-    return -sum(w / total * math.log(w / total) for w in powers)
+class Shares:
+    """Sums over the sources at an exponent. tokens: counts, all above 0."""
 
+    def __init__(self, tokens: list[int]):
+        self.tokens, self.total, self.count = tokens, sum(tokens), len(tokens)
+        self.shares = [t / self.total for t in tokens]
 
-def temperature(tokens: list[int], budget: int, entropy_share: float, max_repeat: float) -> float:
-    """Exponent in [0, 1] for the given token counts (all above 0), by bisection.
+    def norm(self, a: float) -> float:
+        return sum(p**a for p in self.shares)
+
+    def entropy(self, a: float) -> float:
+        powers = [p**a for p in self.shares]
+        total = sum(powers)
+        return -sum(w / total * math.log(w / total) for w in powers)
+
+    def repeat(self, a: float, budget: int) -> float:
+        """How often the source that is drawn most often is drawn."""
+        powers = [p**a for p in self.shares]
+        total = sum(powers)
+        return max(budget * w / total / t for w, t in zip(powers, self.tokens, strict=True))
+
+
+class SparkShares:
+    """The same for any number of sources. per: a row for each source, ``t`` its tokens."""
+
+    def __init__(self, per: DataFrame):
+        self.per = per.filter("t > 0")
+        first = self.per.agg(F.sum("t").alias("t"), F.count(F.lit(1)).alias("n")).first()
+        self.total, self.count = first["t"], first["n"]
+
+    def _sums(self, a: float):
+        p = F.col("t") / F.lit(float(self.total))
+        w = F.pow(p, F.lit(a))
+        return self.per.agg(F.sum(w).alias("norm"), F.sum(w * F.ln(p)).alias("logs"), F.max(w / F.col("t")).alias("most")).first()
+
+    def norm(self, a: float) -> float:
+        return self._sums(a)["norm"]
+
+    def entropy(self, a: float) -> float:
+        s = self._sums(a)
+        return math.log(s["norm"]) - a * s["logs"] / s["norm"]
+
+    def repeat(self, a: float, budget: int) -> float:
+        s = self._sums(a)
+        return budget * s["most"] / s["norm"]
+
+
+def temperature(shares: Shares | SparkShares, budget: int, entropy_share: float, max_repeat: float) -> float:
+    """Exponent in [0, 1] for the sources' shares, by bisection.
 
     The largest exponent whose weights have ``entropy_share`` of the highest entropy, or 1 if the
     plain shares have it; raised where needed to the smallest one at which no source is drawn more
-    than ``max_repeat`` times.
+    than ``max_repeat`` times. A budget of more than ``max_repeat`` times all tokens is an error.
     """
-    total = sum(tokens)
-    shares = [t / total for t in tokens]
+    if budget > max_repeat * shares.total * (1 + 1e-9):
+        raise ValueError(f"{budget} tokens can't be drawn from {shares.total} without drawing some more than {max_repeat} times")
 
     def bisect(lo_is_true) -> float:
         lo, hi = 0.0, 1.0
@@ -54,15 +96,10 @@ def temperature(tokens: list[int], budget: int, entropy_share: float, max_repeat
             lo, hi = (mid, hi) if lo_is_true(mid) else (lo, mid)
         return lo
 
-    goal = entropy_share * math.log(len(tokens))
-    a = 1.0 if _entropy(shares, 1.0) >= goal else bisect(lambda x: _entropy(shares, x) >= goal)
-
-    def repeat(x: float) -> float:
-        powers = [p**x for p in shares]
-        return max(budget * w / sum(powers) / t for w, t in zip(powers, tokens, strict=True))
-
-    if repeat(a) > max_repeat:
-        a = max(a, bisect(lambda x: repeat(x) > max_repeat))
+    goal = entropy_share * math.log(shares.count)
+    a = 1.0 if shares.entropy(1.0) >= goal else bisect(lambda x: shares.entropy(x) >= goal)
+    if shares.repeat(a, budget) > max_repeat:
+        a = max(a, bisect(lambda x: shares.repeat(x, budget) > max_repeat))
     return a
 
 
@@ -75,6 +112,7 @@ def mix_sources(
     budget: int | None = None,
     entropy_share: float = ENTROPY_SHARE,
     max_repeat: float = MAX_REPEAT,
+    driver_sources: int = DRIVER_SOURCES,
 ) -> DataFrame:
     """Rows drawn for the mixture, once for each epoch in which they are drawn.
 
@@ -83,8 +121,9 @@ def mix_sources(
     is in tokens; by default all tokens of the input. A null source is a source of its own. Rows
     without tokens cost nothing: they come once in each whole epoch, and in the last epoch as the
     permutation has them. A source without tokens is taken once. Rows that share an id fall in one
-    block and are ordered by size. An empty table gives no rows. The table of sources is read on
-    the driver and must have at most ``MAX_SOURCES`` rows; more raises ValueError.
+    block and are ordered by size. An empty table gives no rows. A budget that ``max_repeat`` does
+    not allow raises ValueError. The shares of up to ``driver_sources`` sources are summed on the
+    driver, those of more by Spark.
     """
     rows = materialize(
         docs.select(
@@ -98,25 +137,37 @@ def mix_sources(
     )
     spark = docs.sparkSession
     per = rows.groupBy(source_col).agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("n"))
-    found = per.limit(MAX_SOURCES + 1).collect()
-    if len(found) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    # order matters for the last bits of the sums
-    found = sorted(found, key=lambda r: (r[0] is not None, str(r[0])))
-    full = [r for r in found if r["t"] > 0]
-    total = sum(r["t"] for r in full)
-    budget = total if budget is None else budget
-    a = temperature([r["t"] for r in full], budget, entropy_share, max_repeat) if full else 1.0
-    norm = sum((r["t"] / total) ** a for r in full)
-    plan = []
-    for r in found:
-        want = math.floor((r["t"] / total) ** a / norm * budget + 1e-6) if r["t"] else 0
-        epochs, rest = divmod(want, r["t"]) if r["t"] else (1, 0)
-        plan.append((r[0], r["n"], epochs, rest, min(MAX_BLOCKS, math.ceil(r["n"] / BLOCK_ROWS))))
+    per = materialize(per, "mix-sources")
+    few = is_small(per, driver_sources)
+    if few:  # order matters for the last bits of the sums
+        found = sorted(per.collect(), key=lambda r: (r[0] is not None, str(r[0])))
+        shares = Shares([r["t"] for r in found if r["t"] > 0])
+    else:
+        shares = SparkShares(per)
+    budget = shares.total if budget is None else budget
+    a = temperature(shares, budget, entropy_share, max_repeat) if shares.count else 1.0
+    norm = shares.norm(a) if shares.count else 1.0
     kind = rows.schema[source_col].dataType.simpleString()
-    plan = spark.createDataFrame(plan, f"_s {kind}, _n long, _epochs long, _rest long, _blocks long")
+    if few:
+        plan = []
+        for r in found:
+            want = math.floor((r["t"] / shares.total) ** a / norm * budget + 1e-6) if r["t"] else 0
+            epochs, rest = divmod(want, r["t"]) if r["t"] else (1, 0)
+            plan.append((r[0], r["n"], epochs, rest, min(MAX_BLOCKS, math.ceil(r["n"] / BLOCK_ROWS))))
+        plan = F.broadcast(spark.createDataFrame(plan, f"_s {kind}, _n long, _epochs long, _rest long, _blocks long"))
+    else:
+        share = F.pow(F.col("t") / F.lit(float(shares.total)), F.lit(a))
+        want = F.floor(share / F.lit(norm) * F.lit(float(budget)) + 1e-6).cast("long")
+        some = F.col("t") > 0
+        plan = per.withColumn("_w", want).select(
+            F.col(source_col).alias("_s"),
+            F.col("n").alias("_n"),
+            F.when(some, F.expr("_w div t")).otherwise(1).cast("long").alias("_epochs"),
+            F.when(some, F.expr("_w % t")).otherwise(0).cast("long").alias("_rest"),
+            F.least(F.lit(MAX_BLOCKS), F.ceil(F.col("n") / BLOCK_ROWS)).cast("long").alias("_blocks"),
+        )
     same = F.col(source_col).eqNullSafe(F.col("_s"))
-    placed = rows.join(F.broadcast(plan), same).drop("_s").withColumn("block", F.pmod(hex_long(F.col("_md5"), 1, 12), F.col("_blocks")))
+    placed = rows.join(plan, same).drop("_s").withColumn("block", F.pmod(hex_long(F.col("_md5"), 1, 12), F.col("_blocks")))
     blocks = placed.groupBy(source_col, "block", "_epochs", "_rest").agg(F.sum("n_tokens").alias("_t"))
 
     def order(epoch: Column, thing: Column) -> Column:

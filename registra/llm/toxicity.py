@@ -3,9 +3,13 @@
 Features are the distinct lower-case words of a text and their prefixes of 4 and 5 letters. The
 model has one weight for each feature, shared by all thresholds: P(grade > k) is the logistic
 function of ``weights . x - threshold_k``. It is fitted to a bounded sample of labelled rows; every
-row is scored. Labels give only 0 and 1, so ``graded_sample`` makes ordered grades from them: 0 for
-clean, and for toxic rows 1 to 3 by the number of marker words, features that the sample holds
-nearly always in toxic rows.
+row is scored.
+
+Labels give only 0 and 1, so ordered grades are made from them by held-out scores: the sample is
+halved by hash, a model with one threshold is fitted to each half and scores the other, and a toxic
+row has grade 1, 2 or 3 as its score is in the lowest, middle or highest third of the toxic rows of
+its half. Grade 0 is clean. Severity, the expected grade, so says how sure a model that has not
+seen the row would be of it; it is not a count of words.
 """
 
 from __future__ import annotations
@@ -18,18 +22,21 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-#: Bounds of what is fitted on: rows and features.
+from .common import materialize, release
+
+#: Bound of the labelled rows that are fitted on.
 MAX_TRAIN = 12_000
-MAX_FEATURES = 4096
-#: A feature is in this share of the toxic rows of the sample at least.
-MIN_SHARE = 0.02
-MARKER_PRECISION = 0.9
-#: Marker words from which on a toxic row has grade 2, 3.
-GRADE_STEPS = (4, 8)
+#: A feature is in so many rows of the sample at least, and its chi-square statistic against the
+#: label, with one degree of freedom, reaches this value (one in a thousand by chance).
+MIN_ROWS, MIN_CHI2 = 3, 10.83
+#: Grades of toxic rows.
+GRADES = 3
 THRESHOLD = 0.5
 ROUNDS = 300
+HALF_ROUNDS = 150
+#: Words whose features a task remembers.
+MAX_KNOWN = 50_000
 #: Weight of the squared weights against the whole sample's log likelihood.
 L2 = 0.2
 
@@ -103,44 +110,60 @@ def graded_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
 
     def features(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in frames:
-            yield pd.DataFrame({"label": x["label"], "words": [sorted(text_features(t)) for t in x["text"]]})
+            yield pd.DataFrame({"id_hash": x["id_hash"], "label": x["label"], "words": [sorted(text_features(t)) for t in x["text"]]})
 
-    return rows.mapInPandas(features, "label int, words array<string>")
+    return rows.select(F.xxhash64("_id").alias("id_hash"), "label", "text").mapInPandas(features, "id_hash long, label int, words array<string>")
 
 
-def _vocabulary(sample: DataFrame) -> pd.DataFrame:
+def _vocabulary(sample: DataFrame) -> list[str]:
+    """The features that tell toxic from clean rows, by the counts of the whole sample."""
     toxic = F.sum((F.col("label") > 0).cast("int"))
-    n = sample.agg(toxic.alias("t")).first()["t"] or 0
-    found = sample.select("label", F.explode("words").alias("f")).groupBy("f").agg(toxic.alias("t"), F.count(F.lit(1)).alias("n"))
-    found = found.filter(F.col("t") >= max(3, MIN_SHARE * n))
-    gain = F.abs(F.col("t") / F.lit(max(n, 1)) - F.col("n") / F.lit(max(MAX_TRAIN, 1)))
-    return found.orderBy(F.desc(gain), "f").limit(MAX_FEATURES).toPandas()
+    of = sample.agg(toxic.alias("t"), F.count(F.lit(1)).alias("n")).first()
+    n_toxic, n_all = of["t"] or 0, of["n"]
+    found = sample.select("label", F.explode("words").alias("f")).groupBy("f").agg(toxic.cast("double").alias("t"), F.count(F.lit(1)).cast("double").alias("n"))
+    off = F.col("t") * n_all - F.col("n") * n_toxic
+    spread = F.col("n") * (n_all - F.col("n")) * float(n_toxic * (n_all - n_toxic))
+    return [r["f"] for r in found.filter((F.col("n") >= MIN_ROWS) & (n_all * off * off >= MIN_CHI2 * spread)).select("f").orderBy("f").collect()]
+
+
+def severity_grades(rows: list[np.ndarray], toxic: np.ndarray, n_features: int) -> np.ndarray:
+    """Grades of the sample's rows, given in the order of their hashes: see the head of the module."""
+    grades = np.zeros(len(rows), int)
+    half = np.arange(len(rows)) % 2
+    for own in (0, 1):
+        fit, rest = np.flatnonzero(half != own), np.flatnonzero((half == own) & toxic)
+        if not len(rest):
+            continue
+        grades[rest] = 1
+        if toxic[fit].any() and not toxic[fit].all():
+            w, _ = fit_ordinal([rows[i] for i in fit], toxic[fit].astype(int), n_features, HALF_ROUNDS)
+            score = np.array([w[rows[i]].sum() for i in rest])
+            grades[rest] += np.searchsorted(np.quantile(score, np.arange(1, GRADES) / GRADES), score, "left")
+    return grades
 
 
 def train_toxicity(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_train: int = MAX_TRAIN
 ) -> OrdinalModel | None:
     """Fit on a bounded sample; None if it lacks toxic or clean rows."""
-    from .common import materialize
-
     sample = materialize(graded_sample(docs, labels, id_col, text_col, label_col, max_train), "toxic-sample")
     words = _vocabulary(sample)
-    number = {f: i for i, f in enumerate(words["f"])}
-    markers = {number[f] for f, t, n in words.itertuples(index=False) if t >= MARKER_PRECISION * n and not f.startswith("^")}
+    number = {f: i for i, f in enumerate(words)}
 
     def numbered(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in frames:
-            yield pd.DataFrame({"label": x["label"], "x": [[number[w] for w in ws if w in number] for ws in x["words"]]})
+            yield pd.DataFrame({"id_hash": x["id_hash"], "label": x["label"], "x": [[number[w] for w in ws if w in number] for ws in x["words"]]})
 
-    rows = sample.mapInPandas(numbered, "label int, x array<int>").toPandas()
-    label = rows["label"].to_numpy() > 0
-    if not label.any() or label.all() or not number:
+    found = sample.mapInPandas(numbered, "id_hash long, label int, x array<int>").toPandas().sort_values("id_hash")
+    release(sample)
+    toxic = found["label"].to_numpy() > 0
+    if not toxic.any() or toxic.all() or not number:
         return None
-    marks = np.array([len(markers.intersection(x)) for x in rows["x"]])
-    grades = np.where(label, 1 + sum((marks >= s).astype(int) for s in GRADE_STEPS), 0)
+    rows = [np.asarray(x, int) for x in found["x"]]
+    grades = severity_grades(rows, toxic, len(number))
     present = {g: i for i, g in enumerate(sorted(set(grades.tolist())))}
     grades = np.array([present[g] for g in grades.tolist()])
-    w, theta = fit_ordinal([np.asarray(x, int) for x in rows["x"]], grades, len(number))
+    w, theta = fit_ordinal(rows, grades, len(number))
     return OrdinalModel({f: float(w[i]) for f, i in number.items()}, [float(x) for x in theta])
 
 
@@ -165,7 +188,7 @@ def score_toxicity(docs: DataFrame, model: OrdinalModel | None, text_col: str =
             for w in set(_word.findall((text or "").lower())):
                 own = known.get(w)
                 if own is None:
-                    if len(known) > 500_000:
+                    if len(known) > MAX_KNOWN:
                         known.clear()
                     own = known[w] = tuple(f for f in word_features(w) if f in weights)
                 hits.update(own)
@@ -176,12 +199,23 @@ def score_toxicity(docs: DataFrame, model: OrdinalModel | None, text_col: str =
             each = -np.diff(np.concatenate([np.ones((len(above), 1)), above, np.zeros((len(above), 1))], 1), axis=1)
             yield pd.DataFrame({"severity": above.sum(1), "p_toxic": above[:, 0], "grade": each.argmax(1).astype("int32")})
 
-    out = docs.withColumn("_toxic", score(F.col(text_col)))
-    return out.select(*docs.columns, *[F.col(f"_toxic.{n}").alias(n) for n in names])
+    scored = "_scored"
+    while scored in docs.columns:
+        scored += "_"
+    out = docs.withColumn(scored, score(F.col(text_col)))
+    return out.select(*docs.columns, *[F.col(f"{scored}.{n}").alias(n) for n in names])
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_train: int = MAX_TRAIN) -> DataFrame:
-    """Train on the labelled rows of ``docs`` and score all of them; adds ``is_toxic``."""
+    """Train on the labelled rows of ``docs`` and score all of them.
+
+    Returns ``docs`` with ``severity``, ``p_toxic``, ``grade`` (as ``score_toxicity``) and ``is_toxic``,
+    a row for each row of ``docs``; input columns of these names are replaced and all others kept,
+    whatever their names. Null and empty texts have no features and are scored by the thresholds
+    alone. Rows with equal texts get equal scores. Labels or ids that are null are not trained on,
+    and of repeated ids the smallest text is. Without both kinds of labels, as with an empty table,
+    nothing is toxic and all scores are 0.
+    """
     model = train_toxicity(docs, labels, id_col, text_col, label_col, max_train)
     scored = score_toxicity(docs.drop("is_toxic"), model, text_col)
     return scored.withColumn("is_toxic", F.col("p_toxic") >= THRESHOLD)

@@ -12,7 +12,7 @@ from registra.llm import ann, html_extract, lines, maxscore, mixing, neardup, pa
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 #: helper names of the operators, to clash with
-EXTRA = {"_k": "long", "_id": "string", "_text": "string", "n_bytes": "string", "sequence_id": "string", "severity": "string", "_drop": "string", "length": "string", "piece": "string", "epoch": "string", "block": "string", "_md5": "string", "depth": "string", "class_id": "string"}
+EXTRA = {"_k": "long", "_id": "string", "_text": "string", "n_bytes": "string", "sequence_id": "string", "severity": "string", "_drop": "string", "length": "string", "piece": "string", "epoch": "string", "_toxic": "string", "_scored": "string", "block": "string", "_md5": "string", "depth": "string", "class_id": "string"}
 
 
 def prose(rng, n):
@@ -144,6 +144,7 @@ def test_toxicity(spark, odd):
     held = [r for r in out if r.doc_id is not None and 300 <= r.doc_id < 400]
     assert all(r.is_toxic == (r.doc_id % 3 == 0) for r in held)
     assert not any(r.is_toxic for r in out if not r.text)
+    assert all(r._toxic == "x" and r._scored == "x" for r in out)
     none = toxicity.toxicity(table(spark, odd), labels.filter("false")).collect()
     assert len(none) == len(odd) and not any(r.is_toxic for r in none)
 
@@ -159,6 +160,31 @@ def test_ordinal_thresholds_are_ordered_and_shared():
     assert np.corrcoef(model.above(score).sum(1), grades)[0, 1] > 0.9
 
 
+def test_held_out_grades_order_what_was_not_counted(spark):
+    """Severity follows a hidden grade that the labels don't hold, and scores equal a plain sum."""
+    rng = random.Random(14)
+    vile = [prose(rng, 1) + "vile" for _ in range(40)]
+    hidden, rows = {}, []
+    for i in range(1500):
+        hidden[i] = rng.choice([0, 0, 0, 1, 2, 3])
+        words = prose(rng, 60).split()
+        for _ in range(2 * hidden[i]):
+            words[rng.randrange(60)] = rng.choice(vile)
+        rows.append((i, " ".join(words), "a"))
+    labels = spark.createDataFrame([(i, int(hidden[i] > 0)) for i in range(1000)], "doc_id long, toxic int")
+    docs = table(spark, rows)
+    model = toxicity.train_toxicity(docs, labels)
+    out = {r.doc_id: r for r in toxicity.score_toxicity(docs, model).collect()}
+    held = [i for i in range(1000, 1500)]
+    mean = [np.mean([out[i].severity for i in held if hidden[i] == g]) for g in range(4)]
+    assert mean == sorted(mean) and mean[3] - mean[1] > 0.5
+    assert np.mean([(out[i].p_toxic >= 0.5) == (hidden[i] > 0) for i in held]) > 0.95
+    for i in held[:50]:  # brute force
+        score = sum(model.weights.get(f, 0.0) for f in toxicity.text_features(rows[i][1]))
+        above = [1 / (1 + np.exp(t - score)) for t in model.thresholds]
+        assert abs(out[i].severity - sum(above)) < 1e-9
+
+
 def removed(texts, n=suffix.LENGTH):
     where = {}
     for t in texts:
@@ -252,7 +278,7 @@ def test_mixing(spark, odd):
     tokens = {}
     for _, t, s in rows:
         tokens[s] = tokens.get(s, 0) + len((t or "").split())
-    a = mixing.temperature([v for v in tokens.values() if v], 20_000, 1.0, 3.0)
+    a = mixing.temperature(mixing.Shares([v for v in tokens.values() if v]), 20_000, 1.0, 3.0)
     norm = sum((v / sum(tokens.values())) ** a for v in tokens.values() if v)
     for s, have in tokens.items():
         want = (have / sum(tokens.values())) ** a / norm * 20_000
@@ -264,6 +290,16 @@ def test_mixing(spark, odd):
             assert sum(r.n_tokens for r in out if r.source == s and r.epoch == e) == have
 
 
+def test_mixing_of_many_sources_and_impossible_budgets(spark, odd):
+    rng = random.Random(15)
+    rows = list(odd) + [(1000 + i, prose(rng, rng.randint(1, 60)), rng.choice("abcdefgh") * rng.randint(1, 3)) for i in range(400)]
+    docs = table(spark, rows)
+    few, many = (mixing.mix_sources(docs, budget=12_000, driver_sources=n).collect() for n in (10**5, 3))
+    assert sorted(map(str, few)) == sorted(map(str, many)) and few
+    with pytest.raises(ValueError):
+        mixing.mix_sources(docs, budget=10**9)
+
+
 def test_near_duplicates_against_brute_force(spark, odd):
     rng = random.Random(6)
     rows = list(odd)
