@@ -12,9 +12,10 @@ form a template of their own.
 A template that stands in ``MIN_DOCS`` different documents is boilerplate, whatever its length and
 neighbours, and all its lines are dropped. Copies of a document count once, or every line of a
 family of copies would go before the stage that keeps one of them: equal texts are one document, and
-so are texts that resemble the centre of a family. The smallest ``SKETCH`` hashes of a text's shingles
-of five words are its sketch, the smallest ``KEYS`` of them find the family, and the similarity that
-the sketches of text and centre show decides.
+so are texts that resemble the centre of a family. For this a text is cut behind its longer words and
+at line ends into phrases of a few words. The smallest ``SKETCH`` hashes of them are its sketch, the
+smallest ``KEYS`` find the family, and the similarity that the sketches of text and centre show
+decides.
 """
 
 from __future__ import annotations
@@ -35,13 +36,15 @@ SIMILARITY = 0.7
 #: Share of the lines of a leaf that hold a constant token at its position at least.
 CONSTANT = 0.2
 SKETCH, KEYS = 48, 6
-#: Similarity of sketches from which a text is a copy. A sketch that holds all shingles of both is
-#: exact; the estimate of one that doesn't has a standard deviation of 0.06 at the similarity 0.8.
-COPY_EXACT, COPY = 0.7, 0.6
+#: Similarity in phrases from which a text is a copy. A changed word costs one phrase of about four
+#: words, but five shingles of five words; 0.8 of shingles is about 0.84 of phrases. A sketch that
+#: holds all phrases of both is exact, the estimate of others has a standard deviation of 0.05.
+COPY_EXACT, COPY = 0.75, 0.65
 BROADCAST_ROWS = 200_000
 
 SPACE = r" \t\r\f\x0B"
-WORDS = 5
+#: A longer word with the white space behind it.
+LONG_WORD = r"([^ \t\r\n]{7,})[ \t\r\n]+"
 
 
 def _masked(line: Column) -> Column:
@@ -68,11 +71,12 @@ def _key(text_col: str) -> Column:
 def copy_classes(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(``_t``, ``vote``) of the texts that are copies of another: text key and the key of their
     family's centre. A written table."""
-    words = docs.select(_key(text_col).alias("_t"), F.filter(F.split(_text(text_col), "[ \t\r\n]+"), lambda w: w != "").alias("w"))
-    first = F.slice("w", 1, F.greatest(F.size("w") - (WORDS - 1), F.lit(1)))
-    hashes = F.transform(first, lambda w, i: F.md5(F.concat_ws(" ", w, *[F.get("w", i + k) for k in range(1, WORDS)]).cast("binary")))
-    least = F.slice(F.array_distinct(F.sort_array(hashes)), 1, SKETCH)
-    sketches = materialize(words.select("_t", F.transform(least, lambda h: F.substring(h, 1, 16)).alias("s")), "sketches")
+    # the space at the end lets a long last word match at once
+    ends = F.regexp_replace(F.concat(_text(text_col), F.lit(" ")), LONG_WORD, "$1\n")
+    phrases = F.filter(F.split(ends, "\n"), lambda c: F.trim(c) != "")
+    hashes = F.sort_array(F.transform(phrases, lambda c: F.md5(c.cast("binary"))))
+    least = F.slice(F.array_distinct(hashes), 1, SKETCH)
+    sketches = materialize(docs.select(_key(text_col).alias("_t"), F.transform(least, lambda h: F.substring(h, 1, 16)).alias("s")), "sketches")
     keyed = sketches.select("_t", F.explode(F.slice("s", 1, KEYS)).alias("h")).distinct()
     counted = keyed.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     shared = materialize(keyed.join(hinted(materialize(counted, "sketch-keys"), BROADCAST_ROWS), "h"), "shared-keys")
@@ -183,10 +187,9 @@ def drop_boilerplate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: st
 #: fixed values of the defaults above stand in the text
 ORACLE = r"""
 WITH s AS (SELECT doc_id, text, coalesce(text, '') AS x, md5(coalesce(text, '')) AS t FROM documents),
-words AS (SELECT t, [w FOR w IN string_split_regex(x, '[ \t\r\n]+') IF w <> ''] AS w FROM (SELECT DISTINCT t, x FROM s)),
 sketch AS (
-  SELECT t, CASE WHEN len(w) = 0 THEN [] ELSE list_sort(list_distinct(
-    [md5(array_to_string(w[i:i + 4], ' '))[1:16] FOR i IN range(1, greatest(len(w) - 4, 1) + 1)]))[1:48] END AS s FROM words),
+  SELECT t, list_sort(list_distinct([md5(c)[1:16] FOR c IN string_split(regexp_replace(x || ' ', '([^ \t\r\n]{7,})[ \t\r\n]+', '\1' || chr(10), 'g'), chr(10)) IF trim(c, ' ') <> '']))[1:48] AS s
+  FROM (SELECT DISTINCT t, x FROM s)),
 keyed AS (SELECT t, unnest(s[1:6]) AS h FROM sketch),
 shared AS (SELECT t, h, count(*) OVER (PARTITION BY h) AS n FROM keyed QUALIFY n > 1),
 weight AS (SELECT t, sum(n)::BIGINT AS w, max({'n': n, 'h': h}).h AS h FROM shared GROUP BY t),
@@ -195,7 +198,7 @@ pair AS (SELECT t, vote FROM weight JOIN centre USING (h) WHERE t <> vote),
 twin AS (
   SELECT p.t, p.vote, a.s AS a, b.s AS b, list_sort(list_distinct(list_concat(a.s, b.s)))[1:48] AS low
   FROM pair p JOIN sketch a ON p.t = a.t JOIN sketch b ON p.vote = b.t),
-copies AS (SELECT t, vote FROM twin WHERE len(list_intersect(list_intersect(low, a), b)) >= CASE WHEN len(low) < 48 THEN 0.7 ELSE 0.6 END * len(low)),
+copies AS (SELECT t, vote FROM twin WHERE len(list_intersect(list_intersect(low, a), b)) >= CASE WHEN len(low) < 48 THEN 0.75 ELSE 0.65 END * len(low)),
 raw AS (SELECT t, unnest(range(1, len(ls) + 1)) AS i, unnest(ls) AS line FROM (SELECT DISTINCT t, string_split(x, chr(10)) AS ls FROM s)),
 line AS (
   SELECT raw.t, i, coalesce(vote, raw.t) AS vote,
