@@ -7,8 +7,10 @@ won on its host, and its own best container only where none of them occurs in it
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -19,11 +21,14 @@ from .common import hinted, materialize
 
 #: A path wins on a host with this share of the pages at least, so a host has few winners.
 MIN_VOTES = 0.1
+#: Characters without links from which a container is an article although its name is that of a
+#: notice, a menu or the like, if the page has nothing else.
+MIN_NAMED = 500
 BROADCAST_ROWS = 50_000
 
 # HTML element names and the usual names of page parts.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script|style|noscript|template|iframe|svg|math|object|canvas|audio|video|textarea|select|title"
+RAW = frozenset("script style noscript template iframe svg math object canvas audio video textarea select title".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 SAME_LEVEL = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -39,29 +44,102 @@ PARTS = frozenset(
 #: Parts that stay inside an article, where they hold its own heading.
 HEADS = frozenset({"header"})
 
-_token = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<({RAW})\b[^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*)>",
-    re.S | re.I,
-)
-_attribute = re.compile(r"([a-zA-Z-]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)")
+_tag = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
+_between = re.compile(r"[\s/]*")
+_attribute = re.compile(r"(=?[^\s/>=]*)(\s*=\s*)?")
+_bare = re.compile(r"[^\s>]*")
 _space = re.compile(r"\s+")
 _number = re.compile(r"\d+")
 _name = re.compile(r"[a-z]+")
 
 
+class Scanner:
+    """Pieces of a source in order, in time linear in its length, however broken it is."""
+
+    def __init__(self, source: str):
+        self.source = source
+        self.last = source.rfind(">")
+        self.odd = False  # a tag whose quotes swallow the rest was met: quotes no longer hide a ">"
+        self.missing: set[str] = set()  # quotes that don't occur any more
+
+    def __iter__(self) -> Iterator[tuple[str, str, dict[str, str]]]:
+        """("text", text, {}), ("open", name, attributes), ("close", name, {}) or ("raw", name, {})."""
+        source, at, n = self.source, 0, len(self.source)
+        while at < n:
+            lt = source.find("<", at)
+            if lt < 0:
+                lt = n
+            if lt > at:
+                yield "text", source[at:lt], {}
+            if lt == n:
+                return
+            tag = _tag.match(source, lt)
+            if tag:
+                found, at = self._attributes(tag.end())
+                if at < 0:  # no tag ends here or later, so this one takes the rest
+                    return
+                name = tag[1].lower()
+                closing = source[lt + 1] == "/"
+                if not closing and name in RAW:
+                    end = re.compile(f"</{name}", re.I).search(source, at)
+                    at = n if end is None else (source.find(">", end.end()) + 1 or n)
+                    yield "raw", name, {}
+                else:
+                    yield ("close", name, {}) if closing else ("open", name, found)
+            elif source.startswith(("<!", "<?"), lt):
+                close = "-->" if source.startswith("<!--", lt) else "]]>" if source.startswith("<![CDATA[", lt) else ">"
+                end = source.find(close, lt + 2)
+                at = n if end < 0 else end + len(close)
+            elif source.startswith("</", lt):  # an end tag without a name is a comment
+                at = source.find(">", lt) + 1 or n
+            else:
+                yield "text", "<", {}
+                at = lt + 1
+
+    def _attributes(self, at: int) -> tuple[dict[str, str], int]:
+        """Attributes from here, and the place behind the tag's end, -1 if it has none."""
+        source, start, found = self.source, at, {}
+        if at > self.last:
+            return found, -1
+        while not self.odd:
+            at = _between.match(source, at).end()
+            if at > self.last:
+                self.odd = True
+                break
+            if source[at] == ">":
+                return found, at + 1
+            m = _attribute.match(source, at)
+            at, value = m.end(), ""
+            if m[2]:
+                quote = source[at : at + 1]
+                end = source.find(quote, at + 1) if quote in ("'", '"') and quote not in self.missing else -1
+                if end >= 0:
+                    value, at = source[at + 1 : end], end + 1
+                else:
+                    if quote in ("'", '"'):
+                        self.missing.add(quote)
+                    v = _bare.match(source, at)
+                    value, at = v[0], v.end()
+            found.setdefault(m[1].lower(), value)
+        return {}, source.find(">", start) + 1
+
+
 class Page:
     """Containers and text blocks of a page, in page order."""
 
-    def __init__(self, source: str):
-        #: of each container: parent, path, tag, whether it is set apart from the article
-        self.parent, self.path, self.tag, self.apart = [-1], [""], ["html"], [False]
+    def __init__(self, source: str, by_names: bool = True):
+        #: whether the usual names of page parts set a container apart, besides its element and role
+        self.by_names = by_names
+        #: of each container: parent, path (as a hash), tag, whether it is set apart from the
+        #: article, whether it or one around it is, and whether an article is around it
+        self.parent, self.path, self.tag, self.apart, self.outside, self.inside = [-1], [""], ["html"], [False], [False], [False]
         self.blocks: list[tuple[int, str, int]] = []  # container, text, characters in links
         self._read(source)
 
     def _read(self, source: str) -> None:
         stack: list[tuple[str, int]] = []  # open elements: name, their container
-        at, node, text, linked, links = 0, 0, [], 0, 0
+        opened: Counter[str] = Counter()
+        node, text, linked, links = 0, [], 0, 0
 
         def flush() -> None:
             nonlocal linked
@@ -72,70 +150,63 @@ class Page:
                 text.clear()
             linked = 0
 
-        for m in _token.finditer(source):
-            if m.start() > at:
-                piece = source[at : m.start()]
-                text.append(piece)
+        def pop() -> int:
+            name, around = stack.pop()
+            opened[name] -= 1
+            return around
+
+        for kind, name, attributes in Scanner(source):
+            if kind == "text":
+                text.append(name)
                 if links:
-                    linked += len(piece.strip())
-            at = m.end()
-            name = m[3]
-            if not name:
-                if m[1] and m[1].lower() in ("title", "textarea", "select"):
+                    linked += len(name.strip())
+                continue
+            if kind == "raw":
+                if name in ("title", "textarea", "select"):
                     flush()
                 continue
-            name = name.lower()
             if name in INLINE:
                 if name == "a":
-                    links = 0 if m[2] else 1
+                    links = 0 if kind == "close" else 1
                 continue
             flush()
-            if m[2]:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == name:
-                        node = stack[i][1]
-                        del stack[i:]
-                        break
-                    if name == "p" and stack[i][0] not in ("p",):
-                        break
+            if kind == "close":
+                if opened[name] and (name != "p" or stack[-1][0] == "p"):
+                    while stack[-1][0] != name:
+                        pop()
+                    node = pop()
                 links = 0
                 continue
             if name in VOID:
                 continue
             if name in CLOSES_P and stack and stack[-1][0] == "p":
-                node = stack.pop()[1]
+                node = pop()
             if name in SAME_LEVEL and stack and stack[-1][0] in SAME_LEVEL[name]:
-                node = stack.pop()[1]
+                node = pop()
             stack.append((name, node))
+            opened[name] += 1
             if name in ("html", "body") or not (name == "p" or name in ("h1", "h2", "h3", "h4", "h5", "h6", "li", "tr", "td", "th", "tbody", "thead", "dt", "dd", "pre")):
-                node = self._container(name, m[4], node)
-        if at < len(source):
-            text.append(source[at:])
+                node = self._container(name, attributes, node)
         flush()
 
-    def _container(self, name: str, attributes: str, parent: int) -> int:
-        found = {k.lower(): v.strip("\"'") for k, v in _attribute.findall(attributes)} if attributes else {}
+    def _container(self, name: str, found: dict[str, str], parent: int) -> int:
         classes = [_number.sub("", c) for c in found.get("class", "").lower().split()]
-        words = set(_name.findall(" ".join([*classes, found.get("id", "").lower()])))
-        inside = self._within(parent, ("article", "main"))
+        inside = self.inside[parent]
+        words = set(_name.findall(" ".join([*classes, found.get("id", "").lower()]))) if self.by_names else set()
         parts = words & PARTS - (HEADS if inside else frozenset())
         apart = name in APART or (name == "header" and not inside) or bool(parts) or found.get("role", "").lower() in ROLES
-        apart |= "hidden" in attributes.lower().split() or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
+        apart |= "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
         if name in ("body", "html", "main", "article"):
             apart = False
+        step = ".".join([self.path[parent], name, *sorted(set(filter(None, classes)))])
         self.parent.append(parent)
-        self.path.append(self.path[parent] + "/" + ".".join([name, *sorted(set(filter(None, classes)))]))
+        self.path.append(hashlib.blake2b(step.encode("utf-8", "surrogatepass"), digest_size=12).hexdigest())
         self.tag.append(name)
         self.apart.append(apart)
+        self.outside.append(apart or self.outside[parent])
+        self.inside.append(inside or name in ("article", "main"))
         return len(self.parent) - 1
 
-    def _within(self, node: int, names: tuple[str, ...]) -> bool:
-        while node > 0:
-            if self.tag[node] in names:
-                return True
-            node = self.parent[node]
-        return False
-
     def _chain(self, node: int) -> Iterator[int]:
         while node >= 0:
             yield node
@@ -148,7 +219,7 @@ class Page:
         """
         score: dict[int, float] = {}
         for node, text, linked in self.blocks:
-            if any(self.apart[n] for n in self._chain(node)):
+            if self.outside[node]:
                 continue
             worth = len(text) - 2.0 * linked
             for n in self._chain(node):
@@ -168,14 +239,10 @@ class Page:
     def text(self, paths: list[str]) -> str | None:
         """Text of the blocks under the first of these paths that occurs with text; else None."""
         for path in paths:
-            found = []
-            for node, text, _ in self.blocks:
-                for n in self._chain(node):
-                    if self.path[n] == path:
-                        found.append(text)
-                        break
-                    if self.apart[n]:
-                        break
+            under = [False] * len(self.parent)  # whether a container belongs to one of this path
+            for n in range(len(self.parent)):
+                under[n] = self.path[n] == path or (n > 0 and not self.apart[n] and under[self.parent[n]])
+            found = [text for node, text, _ in self.blocks if under[node]]
             if found:
                 return "\n".join(found)
         return None
@@ -185,19 +252,38 @@ class Page:
         if found is None:
             found = self.text([self.best()[0]])
         if found is None:
-            found = "\n".join(t for node, t, _ in self.blocks if not any(self.apart[n] for n in self._chain(node)))
+            found = "\n".join(t for node, t, _ in self.blocks if not self.outside[node])
         return found
 
 
+def page_votes(source: str) -> tuple[str, float]:
+    """The path that a page votes for, and its score."""
+    found = Page(source).best()
+    if found[0]:
+        return found
+    # parts by their names leave nothing: so much text under such a name is the article
+    found = Page(source, by_names=False).best()
+    return found if found[1] >= MIN_NAMED else ("", 0.0)
+
+
+def page_text(source: str, paths: list[str]) -> str:
+    found = Page(source).main_text(paths)
+    if not found:
+        page = Page(source, by_names=False)
+        if page.best()[1] >= MIN_NAMED:
+            found = page.main_text(paths)
+    return found
+
+
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        best = [Page(x or "").best() for x in batch.column(1).to_pylist()]
+        best = [page_votes(x or "") for x in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([b[0] for b in best], pa.string()), pa.array([b[1] for b in best], pa.float64())], names=["_host", "path", "score"])
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [Page(x or "").main_text(p or []) for x, p in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+        texts = [page_text(x or "", p or []) for x, p in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
         sizes = pa.array([len(t) for t in texts], pa.int64())
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), sizes], names=["_id", "_url", "text", "n_chars"])
 

@@ -479,6 +479,49 @@ def test_html(spark):
     assert all(r.n_chars == len(r.text) for r in out)
 
 
+def test_html_of_broken_and_deep_pages_is_read_in_linear_time():
+    import time
+
+    read = lambda x: html_extract.page_text(x, [])
+    began = time.time()
+    assert read("<script " * 20_000) == "" and read("<p>kept <script " + "<a 'b \"" * 20_000) == "kept"
+    assert read("<a 'b \"" * 40_000) == "" and read("<a b=\"" * 40_000 + "x>y") in ("", "y")
+    assert read("<div>" * 100_000 + "deep text" + "</span></nope></div>" * 100_000) == "deep text"
+    assert len(read("".join(f"<div class='c{i}'>text {i} is here" for i in range(50_000))).split("\n")) == 50_000
+    assert len(read("<p>" + "long word " * 500_000)) == 4_999_999
+    assert read("<!--" * 50_000) == "" and read("<![CDATA[" * 50_000) == "" and read("</" * 50_000) == ""
+    assert time.time() - began < 30
+    assert read("<p class=it's>Hello world here") == "Hello world here"
+    assert read("<p title='a > b'>Hello</p> 3 < 4 <b>bold</b>") == "Hello\n3 < 4 bold"
+    whole = "The whole article stands here. " * 20
+    assert read(f"<div class='search-results-article'><p>{whole}</p></div>") == whole.strip()
+
+
+def test_html_consensus_against_a_plain_count(spark):
+    """Winning paths on generated hosts, by counting the pages' votes in Python."""
+    from collections import Counter
+
+    rng = random.Random(21)
+    rows = []
+    for h in range(4):
+        for i in range(9):
+            main = f"<div class='m{'abcd'[h]}'><p>{prose(rng, 40)}</p></div>"
+            side = f"<div class='x{'abcd'[h]}'><p>{prose(rng, 60 if i == 0 else 5)}</p></div>"
+            rows.append((10 * h + i, f"https://u:p@Host{h}.example:80/p{i}", f"<body>{side}{main}</body>"))
+    out = {r.page_id: r.text for r in html_extract.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for h in range(4):
+        own = [r for r in rows if r[0] // 10 == h]
+        votes = Counter(html_extract.page_votes(r[2])[0] for r in own)
+        score = Counter()
+        for r in own:
+            path, worth = html_extract.page_votes(r[2])
+            score[path] += worth
+        paths = sorted((p for p, n in votes.items() if n >= 0.1 * len(own)), key=lambda p: (votes[p], score[p], p), reverse=True)
+        for r in own:
+            assert out[r[0]] == html_extract.page_text(r[2], paths)
+            assert out[r[0]] == r[2].split("</p>")[1].split("<p>")[1]  # page 0 follows the others
+
+
 def test_crc_matches_query(spark):
     from pyspark.sql import functions as F
 
