@@ -15,7 +15,7 @@ from registra.functions.similarity import name_scores
 from registra.operators.storage import stored
 
 # Fixed values of the rules.
-PARENT_GAP, MOST_GAP, ACCEPT = 18, 60, 60.0
+PARENT_GAP, MOST_GAP, SPOUSE_GAP, ACCEPT = 18, 60, 35, 60.0
 
 
 def gates(relation: Column, age: Column, other_age: Column, other_gender: Column) -> Column:
@@ -27,14 +27,15 @@ def gates(relation: Column, age: Column, other_age: Column, other_gender: Column
         hit = (relation == k) & (other_gender != v)
         sex = F.when(hit, "gender") if sex is None else sex.when(hit, "gender")
     parent = relation.isin("Father", "Mother")
-    return F.coalesce(sex, F.when(parent & (gap < PARENT_GAP), "too young"), F.when(parent & (gap > MOST_GAP), "too old"))
+    apart = (relation == "Husband") & (F.abs(gap) > SPOUSE_GAP)
+    return F.coalesce(sex, F.when(parent & (gap < PARENT_GAP), "too young"), F.when(parent & (gap > MOST_GAP), "too old"), F.when(apart, "too far apart"))
 
 
 def link_score(name_score: Column, same_house: Column, relation: Column, age: Column, other_age: Column, serial_gap: Column) -> Column:
-    """0 to 100: name 50, house 20, ages 20, nearness on the roll 10."""
+    """0 to 100: name 50, house 20, ages 20, nearness on the roll 10. Unknown ages earn nothing."""
     gap = other_age - age
     parent = relation.isin("Father", "Mother")
-    ages = F.when(gap.isNull(), 8.0).when(parent & gap.between(20, 45), 20.0).when(parent, 10.0).when(F.abs(gap) <= 15, 20.0).otherwise(5.0)
+    ages = F.when(gap.isNull(), 0.0).when(parent & gap.between(20, 45), 20.0).when(parent, 10.0).when(F.abs(gap) <= 15, 20.0).otherwise(5.0)
     near = F.when(serial_gap.isNull(), 0.0).when(serial_gap <= 3, 10.0).when(serial_gap <= 15, 5.0).otherwise(0.0)
     return name_score * 50 + F.when(same_house, 20.0).otherwise(0.0) + ages + near
 
@@ -76,12 +77,17 @@ def accepted_links(links: DataFrame) -> DataFrame:
     kept = stored(wed.unionByName(open_links.filter("relation_type != 'Husband'")), "links")
     # follow the links 2, 4, 8 ... steps: whoever comes back to itself is in a cycle
     hop = kept.select("id", F.col("relative").alias("far"))
-    reach = hop.select("id", "far", F.col("far").alias("least"))
-    for _ in range(8):
+    reach, ends = hop.select("id", "far", F.col("far").alias("least")), -1
+    while True:
         nxt = reach.select(F.col("id").alias("_i"), F.col("far").alias("_f"), F.col("least").alias("_l"))
-        reach = stored(reach.join(nxt, F.col("far") == F.col("_i"), "left").select("id", F.col("_f").alias("far"), F.least("least", "_l").alias("least")), "reach")
-    # 256 steps on, every far end that is left lies on a cycle, and each member of a cycle is one
-    on = reach.filter("far is not null").select(F.col("far").alias("id")).distinct()
+        step = reach.join(nxt, F.col("far") == F.col("_i"), "left")
+        reach = stored(step.select("id", F.col("_f").alias("far"), F.least("least", "_l").alias("least"), F.coalesce(F.col("_l") < F.col("least"), F.lit(False)).alias("moved")), "reach")
+        on = reach.filter("far is not null").select(F.col("far").alias("id")).distinct()
+        left = on.count()
+        # the far ends stay the same once they are the members of cycles, each of which is one
+        if left == 0 or (left == ends and not reach.join(on, "id", "left_semi").filter("moved").limit(1).count()):
+            break
+        reach, ends = reach.drop("moved"), left
     ring = kept.join(on, "id", "left_semi").join(reach.select("id", F.col("least").alias("_ring")), "id")
     last = ring.groupBy("_ring").agg(F.max(F.struct(F.col("age").isNull(), -F.coalesce("age", F.lit(0)), "serial", "id")).getField("id").alias("id"))
     return kept.join(last, "id", "left_anti")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from registra.operators.joins import missing_numbers
+
 from registra.operators.windows import best_per, carried, pick_candidates
 
 # Fixed values of the rules.
@@ -47,7 +49,7 @@ def promote(candidates: DataFrame, current: DataFrame, overwrite: bool = True, o
     return joined.select("epic", "record_id", value.alias("quantity"), "deleted", "reason", status.alias("status"))
 
 
-def audit_findings(rows: DataFrame, documents: DataFrame, most: int = 100_000) -> DataFrame:
+def audit_findings(rows: DataFrame, documents: DataFrame) -> DataFrame:
     """Findings of an audit: ``doc``, ``serial``, ``kind``.
 
     rows: doc, serial, record_id, epic, age. documents: doc, expected. A row without serial is
@@ -62,9 +64,10 @@ def audit_findings(rows: DataFrame, documents: DataFrame, most: int = 100_000) -
     )
     checks = marked.select("doc", "serial", F.explode(kinds).alias("kind"))
     known = numbered.select("doc", "serial").distinct()
-    wanted = documents.filter("expected >= 1").select("doc", F.explode(F.sequence(F.lit(1), F.least(F.col("expected"), F.lit(most)).cast("int"))).alias("serial"))
-    missing = wanted.join(known, ["doc", "serial"], "left_anti").withColumn("kind", F.lit("missing"))
-    extra = known.join(wanted, ["doc", "serial"], "left_anti").withColumn("kind", F.lit("extra"))
+    missing = missing_numbers(documents, known, "doc", "serial", "expected").withColumn("kind", F.lit("missing"))
+    # a number within the expected ones needs no look at each of them
+    within = F.col("serial").between(1, F.coalesce("expected", F.lit(0)))
+    extra = known.join(documents.select("doc", "expected").distinct(), "doc", "left").groupBy("doc", "serial").agg(F.max(within).alias("_in")).filter(~F.col("_in")).withColumn("kind", F.lit("extra"))
     out = null_serial
     for part in (checks, missing, extra):
         out = out.unionByName(part.select("doc", "serial", "kind"))

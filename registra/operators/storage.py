@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def working_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder, or a temporary one where none is set (tests in local mode)."""
+    """The cluster's shared folder, or a temporary one where none is set, in local mode only."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir is not set: written tables need a folder that all executors share")
         found = tempfile.mkdtemp(prefix="registra-")
         sc.setCheckpointDir(found)
     return found.rstrip("/")

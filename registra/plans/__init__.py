@@ -1,7 +1,5 @@
 """Registered queries of the register operators and their SQL twins."""
 
-import functools
-
 from . import electors, pages, records, reports, storage
 
 QUERIES: dict = {}
@@ -9,10 +7,3 @@ ORACLE: dict = {}
 for _module in (electors, records, pages, reports, storage):
     QUERIES |= _module.QUERIES
     ORACLE |= _module.ORACLE
-
-#: Queries of which the twin reads a share of the rows. ``<name>_whole`` reads all and has no twin.
-PARTIAL = (
-    "j3_either_join", "j12_serial_range", "j15_value_right_of_label", "j19_match_with_fallback", "r3_generic_records", "r28_proportional_grid",
-    "w12_x27_best_overlap", "s3_nested_pages_round_trip", "p8_cascading_lookup", "b2_bulk_record_edit", "t4_snapshot_then_changes",
-)
-QUERIES |= {f"{name}_whole": functools.partial(QUERIES[name], whole=True) for name in PARTIAL}

@@ -89,8 +89,3 @@ def twin(sql: str, *names: str) -> str:
     if not names:
         return body
     return f"WITH {heads}, {body[5:].strip()}" if body.upper().startswith("WITH ") else f"WITH {heads}\n{body}"
-
-
-def share(rows: DataFrame, condition, whole: bool) -> DataFrame:
-    """The rows that the SQL twin of a query is confined to, or all of them."""
-    return rows if whole else rows.filter(condition)

@@ -9,7 +9,7 @@ from registra.functions import text as X
 from registra.operators import infographic as G
 from registra.operators import listing as L
 
-from .bindings import bound, share, table, twin
+from .bindings import bound, table, twin
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -137,17 +137,17 @@ def p7_station_list(spark, sf_dir):
 
 
 @query(
-    """WITH k AS (SELECT DISTINCT CASE c_custkey % 4 WHEN 0 THEN c_custkey::VARCHAR WHEN 1 THEN 'abc' || lpad(c_custkey::VARCHAR, 7, '0') WHEN 2 THEN 'c' || lpad((c_custkey * 9)::VARCHAR, 7, '0') ELSE 'nobody' || c_custkey END AS key FROM customer WHERE c_custkey % 100 < 4),
+    """WITH k AS (SELECT DISTINCT CASE c_custkey % 4 WHEN 0 THEN c_custkey::VARCHAR WHEN 1 THEN 'abc' || lpad(c_custkey::VARCHAR, 7, '0') WHEN 2 THEN 'c' || lpad((c_custkey * 9)::VARCHAR, 7, '0') ELSE 'nobody' || c_custkey END AS key FROM customer),
     t AS (SELECT key, 0 AS tier, id FROM k JOIN electors ON lower(key) = lower(id::VARCHAR)
           UNION ALL SELECT key, 1, id FROM k JOIN electors ON lower(key) = lower(epic)
           UNION ALL SELECT key, 2, id FROM k JOIN electors ON contains(lower(epic), lower(key)))
     SELECT key, tier, id FROM t QUALIFY row_number() OVER (PARTITION BY key ORDER BY tier, id) = 1""",
     "electors",
 )
-def p8_cascading_lookup(spark, sf_dir, whole=False):
+def p8_cascading_lookup(spark, sf_dir):
     k, pad = F.col("c_custkey"), lambda c: F.lpad(c.cast("string"), 7, "0")
     key = F.when(k % 4 == 0, k.cast("string")).when(k % 4 == 1, F.concat(F.lit("abc"), pad(k))).when(k % 4 == 2, F.concat(F.lit("c"), pad(k * 9))).otherwise(F.concat(F.lit("nobody"), k.cast("string")))
-    keys = share(table(spark, sf_dir, "customer"), k % 100 < 4, whole).select(key.alias("key")).distinct()
+    keys = table(spark, sf_dir, "customer").select(key.alias("key")).distinct()
     return L.cascade(keys, bound(spark, sf_dir, "electors"), "key", "id", ["id", "epic"], ["epic"])
 
 

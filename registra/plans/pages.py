@@ -12,7 +12,7 @@ from registra.operators import pages as P
 from registra.registry import Argument, Catalog, run_sql
 from registra.sources import sinks as K
 
-from .bindings import bound, share, table, twin
+from .bindings import bound, table, twin
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -59,10 +59,10 @@ def r2_template_detection(spark, sf_dir):
 
 
 @query(
-    f"""WITH {LINES} SELECT doc_id, (pos + 1)::INT AS line_number, line AS text, round(1.0 / (1 + pos % 3), 4) AS confidence, CASE WHEN trim(line) = '' THEN 'empty' WHEN 1.0 / (1 + pos % 3) < 0.6 THEN 'low confidence' END AS issue FROM l WHERE doc_id % 5 = 0"""
+    f"""WITH {LINES} SELECT doc_id, (pos + 1)::INT AS line_number, line AS text, round(1.0 / (1 + pos % 3), 4) AS confidence, CASE WHEN trim(line) = '' THEN 'empty' WHEN 1.0 / (1 + pos % 3) < 0.6 THEN 'low confidence' END AS issue FROM l"""
 )
-def r3_generic_records(spark, sf_dir, whole=False):
-    rows = share(_lines(spark, sf_dir), "doc_id % 5 = 0", whole).withColumn("c", 1.0 / (1 + F.col("pos") % 3))
+def r3_generic_records(spark, sf_dir):
+    rows = _lines(spark, sf_dir).withColumn("c", 1.0 / (1 + F.col("pos") % 3))
     return P.generic_records(rows, "doc_id", [F.col("pos")], "line", "c")
 
 
@@ -92,9 +92,9 @@ def r20_head_and_foot(spark, sf_dir):
     return P.head_and_foot(rows, body, "page_id", "y", "h", "text", "line_id")
 
 
-@query("WITH b AS (SELECT page_id, min(x) AS x, min(y) AS y, max(w) AS w, max(h) AS h FROM boxes WHERE page_id % 10 = 0 GROUP BY 1) SELECT page_id, (r * 3 + c)::INT AS cell, x + c * w / 3 AS cx, y + r * h / 2 AS cy, w / 3 AS cw, h / 2 AS ch FROM b, range(0, 2) t(r), range(0, 3) u(c)", "boxes")
-def r28_proportional_grid(spark, sf_dir, whole=False):
-    body = share(bound(spark, sf_dir, "boxes"), "page_id % 10 = 0", whole).groupBy("page_id").agg(F.min("x").alias("x"), F.min("y").alias("y"), F.max("w").alias("w"), F.max("h").alias("h"))
+@query("WITH b AS (SELECT page_id, min(x) AS x, min(y) AS y, max(w) AS w, max(h) AS h FROM boxes GROUP BY 1) SELECT page_id, (r * 3 + c)::INT AS cell, x + c * w / 3 AS cx, y + r * h / 2 AS cy, w / 3 AS cw, h / 2 AS ch FROM b, range(0, 2) t(r), range(0, 3) u(c)", "boxes")
+def r28_proportional_grid(spark, sf_dir):
+    body = bound(spark, sf_dir, "boxes").groupBy("page_id").agg(F.min("x").alias("x"), F.min("y").alias("y"), F.max("w").alias("w"), F.max("h").alias("h"))
     return P.grid(body, "page_id", 2, 3)
 
 
@@ -110,12 +110,12 @@ def x26_r19_grid_boxes(spark, sf_dir):
 
 
 @query(
-    """WITH a AS (SELECT * FROM boxes WHERE page_id % 20 = 0), i AS (SELECT a.page_id, a.line_id, b.line_id AS other, greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)) AS i, a.w * a.h + b.w * b.h AS u FROM a JOIN a b ON a.page_id = b.page_id AND a.line_id <> b.line_id)
+    """WITH a AS (SELECT * FROM boxes), i AS (SELECT a.page_id, a.line_id, b.line_id AS other, greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)) AS i, a.w * a.h + b.w * b.h AS u FROM a JOIN a b ON a.page_id = b.page_id AND a.line_id <> b.line_id)
     SELECT page_id, line_id, round(max(i / (u - i)), 6) AS best FROM i GROUP BY 1, 2""",
     "boxes",
 )
-def w12_x27_best_overlap(spark, sf_dir, whole=False):
-    rows = share(bound(spark, sf_dir, "boxes"), "page_id % 20 = 0", whole)
+def w12_x27_best_overlap(spark, sf_dir):
+    rows = bound(spark, sf_dir, "boxes")
     a = rows.select("page_id", "line_id", *[F.col(c).alias(f"a{c}") for c in "xywh"])
     b = rows.select("page_id", F.col("line_id").alias("other"), *[F.col(c).alias(f"b{c}") for c in "xywh"])
     overlap = B.iou(tuple(F.col(f"a{c}") for c in "xywh"), tuple(F.col(f"b{c}") for c in "xywh"))

@@ -9,8 +9,9 @@ from registra.operators import jobs as J
 from registra.operators import joins as JN
 from registra.operators import listing as L
 from registra.operators import windows as WN
+from registra.operators.storage import stored
 
-from .bindings import bound, share, table, twin
+from .bindings import bound, table, twin
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -316,21 +317,22 @@ def r24_grounded_replies(spark, sf_dir):
 
 
 @query(
-    """WITH a AS (SELECT * FROM lineitem WHERE l_orderkey % 20 = 0)
+    """WITH a AS (SELECT * FROM lineitem)
     SELECT a.l_orderkey, a.l_linenumber, a.l_suppkey, s.s_suppkey FROM a LEFT JOIN supplier s ON a.l_suppkey = s.s_suppkey OR (a.l_linenumber = s.s_nationkey AND a.l_partkey % 10 = s.s_suppkey % 10)"""
 )
-def j3_either_join(spark, sf_dir, whole=False):
-    lines = share(table(spark, sf_dir, "lineitem"), "l_orderkey % 20 = 0", whole).withColumn("row_id", F.monotonically_increasing_id())
+def j3_either_join(spark, sf_dir):
+    # numbered once and written, as a second scan may number otherwise
+    lines = stored(table(spark, sf_dir, "lineitem").withColumn("row_id", F.monotonically_increasing_id()), "numbered")
     lines = lines.select("row_id", "l_orderkey", "l_linenumber", "l_suppkey", (F.col("l_partkey") % 10).alias("digit"))
     suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", (F.col("s_suppkey") % 10).alias("s_digit"))
     out = JN.either_join(lines, suppliers, "row_id", "s_suppkey", (["l_suppkey"], ["s_suppkey"]), (["l_linenumber", "digit"], ["s_nationkey", "s_digit"]))
     return out.select("l_orderkey", "l_linenumber", "l_suppkey", "s_suppkey")
 
 
-@query("SELECT a.part_number, a.id AS a, b.id AS b, abs(a.serial - b.serial)::INT AS distance FROM electors a JOIN electors b ON a.part_number = b.part_number AND a.id <> b.id AND abs(a.serial - b.serial) <= 15 WHERE a.serial % 10 = 0", "electors")
-def j12_serial_range(spark, sf_dir, whole=False):
+@query("SELECT a.part_number, a.id AS a, b.id AS b, abs(a.serial - b.serial)::INT AS distance FROM electors a JOIN electors b ON a.part_number = b.part_number AND a.id <> b.id AND abs(a.serial - b.serial) <= 15", "electors")
+def j12_serial_range(spark, sf_dir):
     pairs = JN.near_numbers(bound(spark, sf_dir, "electors"), "part_number", "serial", "id", 15)
-    asked = share(bound(spark, sf_dir, "electors"), "serial % 10 = 0", whole).select(F.col("id").alias("a"))
+    asked = bound(spark, sf_dir, "electors").select(F.col("id").alias("a"))
     return pairs.join(asked, "a", "left_semi").select("part_number", "a", "b", F.col("distance").cast("int").alias("distance"))
 
 
@@ -345,16 +347,16 @@ def j11_buildings(spark, sf_dir):
 
 
 @query(
-    """WITH f AS (SELECT s.station_id, e.id, 'first' AS matched_by FROM stations s JOIN electors e ON s.file_id = e.file_id WHERE e.id % 5 = 0 AND e.part_number::INT < 20),
-    r AS (SELECT s.station_id, e.id, 'second' FROM stations s JOIN electors e ON s.ac_number = substr(e.constituency, 1, 1) WHERE e.id % 50 = 0 AND s.station_id NOT IN (SELECT station_id FROM f))
+    """WITH f AS (SELECT s.station_id, e.id, 'first' AS matched_by FROM stations s JOIN electors e ON s.file_id = e.file_id),
+    r AS (SELECT s.station_id, e.id, 'second' FROM stations s JOIN electors e ON s.ac_number = substr(e.constituency, 1, 1) WHERE s.station_id NOT IN (SELECT station_id FROM f))
     SELECT * FROM f UNION ALL SELECT * FROM r""",
     "electors",
     "stations",
 )
-def j19_match_with_fallback(spark, sf_dir, whole=False):
+def j19_match_with_fallback(spark, sf_dir):
     people = bound(spark, sf_dir, "electors")
-    first = share(people, "id % 5 = 0 and cast(part_number as int) < 20", whole).select("file_id", "id")
-    second = share(people, "id % 50 = 0", whole).select(F.substring("constituency", 1, 1).alias("ac_number"), "id")
+    first = people.select("file_id", "id")
+    second = people.select(F.substring("constituency", 1, 1).alias("ac_number"), "id")
     return JN.with_fallback(bound(spark, sf_dir, "stations"), first, second, ["file_id"], ["ac_number"]).select("station_id", "id", "matched_by")
 
 
@@ -402,11 +404,11 @@ def j25_last_turns(spark, sf_dir):
 @query(
     """WITH l AS (SELECT * FROM boxes WHERE text = 'label'), v AS (SELECT * FROM boxes WHERE text <> 'label')
     SELECT l.page_id, l.line_id AS label_id, v.line_id AS value_id, abs(l.y + l.h / 2 - v.y - v.h / 2) AS off FROM l JOIN v ON l.page_id = v.page_id AND v.x >= l.x + l.w AND abs(l.y + l.h / 2 - v.y - v.h / 2) <= 30
-    WHERE l.page_id % 10 = 0 QUALIFY row_number() OVER (PARTITION BY l.page_id, l.line_id ORDER BY off, v.x, v.line_id) = 1""",
+    QUALIFY row_number() OVER (PARTITION BY l.page_id, l.line_id ORDER BY off, v.x, v.line_id) = 1""",
     "boxes",
 )
-def j15_value_right_of_label(spark, sf_dir, whole=False):
-    rows = share(bound(spark, sf_dir, "boxes"), "page_id % 10 = 0", whole)
+def j15_value_right_of_label(spark, sf_dir):
+    rows = bound(spark, sf_dir, "boxes")
     return JN.nearest_right(rows.filter("text = 'label'"), rows.filter("text != 'label'"), "page_id", "line_id", F.lit(30.0))
 
 

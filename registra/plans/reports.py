@@ -18,7 +18,7 @@ from registra.sources import sinks as K
 from registra.sources import tables as T
 from registra.streaming import pages as S
 
-from .bindings import bound, share, table, twin
+from .bindings import bound, table, twin
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -189,10 +189,10 @@ def k12_dataset_columns(spark, sf_dir):
 
 
 @query(
-    """SELECT l_orderkey AS page, l_linenumber AS idx, l_partkey AS part, l_orderkey % 5 = 0 AS reviewed, CASE WHEN l_orderkey % 5 = 0 THEN NULL ELSE 'x' || l_partkey END AS edited FROM lineitem WHERE l_orderkey % 7 = 0"""
+    """SELECT l_orderkey AS page, l_linenumber AS idx, l_partkey AS part, l_orderkey % 5 = 0 AS reviewed, CASE WHEN l_orderkey % 5 = 0 THEN NULL ELSE 'x' || l_partkey END AS edited FROM lineitem"""
 )
-def b2_bulk_record_edit(spark, sf_dir, whole=False):
-    rows = share(table(spark, sf_dir, "lineitem"), "l_orderkey % 7 = 0", whole).select(
+def b2_bulk_record_edit(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("idx"), F.col("l_partkey").alias("part"), F.lit(False).alias("reviewed"),
         F.create_map(F.lit("part"), F.struct(F.concat(F.lit("x"), F.col("l_partkey").cast("string")).alias("edited_value"))).alias("fields"),
     )
@@ -277,7 +277,7 @@ def x35_label_windows(spark, sf_dir):
 
 
 @query(
-    """SELECT id, CASE WHEN relation_type IN ('Father', 'Husband') AND gender <> 'Male' THEN 'gender' WHEN relation_type = 'Mother' AND gender <> 'Female' THEN 'gender' WHEN relation_type IN ('Father', 'Mother') AND 60 - age < 18 THEN 'too young' WHEN relation_type IN ('Father', 'Mother') AND 60 - age > 60 THEN 'too old' END AS refused,
+    """SELECT id, CASE WHEN relation_type IN ('Father', 'Husband') AND gender <> 'Male' THEN 'gender' WHEN relation_type = 'Mother' AND gender <> 'Female' THEN 'gender' WHEN relation_type IN ('Father', 'Mother') AND 60 - age < 18 THEN 'too young' WHEN relation_type IN ('Father', 'Mother') AND 60 - age > 60 THEN 'too old' WHEN relation_type = 'Husband' AND abs(60 - age) > 35 THEN 'too far apart' END AS refused,
     CASE WHEN serial >= 85 THEN 'High' WHEN serial >= 70 THEN 'Medium' WHEN serial >= 60 THEN 'Low' ELSE 'None' END AS level FROM electors""",
     "electors",
 )
@@ -335,18 +335,18 @@ def r9_cover_rows(spark, sf_dir):
 
 @query("")
 def r15_household_of_elector(spark, sf_dir):
-    people = bound(spark, sf_dir, "electors").filter("house_number is not null").select(
-        "id", F.concat_ws("|", "part_number", X.building_key(F.col("house_number"))).alias("block"), "name", "relation_type", "relation_name", "age", "gender", "serial", F.col("house_number").alias("house")
+    people = bound(spark, sf_dir, "electors").select(
+        "id", F.when(F.col("house_number").isNotNull(), F.concat_ws("|", "part_number", X.building_key(F.col("house_number")))).alias("block"), "name", "relation_type", "relation_name", "age", "gender", "serial", F.col("house_number").alias("house")
     )
     return H.household_of(people, 101)
 
 
 @query(
-    """WITH e AS (SELECT user_id AS job, event_id % 6 AS batch, count(*) AS n FROM events WHERE user_id < 40 GROUP BY 1, 2), d AS (SELECT *, batch = 4 AS done FROM e)
+    """WITH e AS (SELECT user_id AS job, event_id % 6 AS batch, count(*) AS n FROM events GROUP BY 1, 2), d AS (SELECT *, batch = 4 AS done FROM e)
     SELECT job, -1 AS batch, 0 AS n, 'snapshot' AS event FROM (SELECT DISTINCT job FROM d) UNION ALL SELECT job, batch, n, CASE WHEN done THEN 'job_done' ELSE 'progress' END FROM d a WHERE batch <= 4 OR NOT EXISTS (SELECT 1 FROM d b WHERE b.job = a.job AND b.done)"""
 )
-def t4_snapshot_then_changes(spark, sf_dir, whole=False):
-    e = share(table(spark, sf_dir, "events"), "user_id < 40", whole)
+def t4_snapshot_then_changes(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
     changes = e.groupBy(F.col("user_id").alias("job"), (F.col("event_id") % 6).alias("batch")).agg(F.count(F.lit(1)).alias("n")).withColumn("done", F.col("batch") == 4)
     snapshot = e.select(F.col("user_id").alias("job"), F.lit(0).cast("long").alias("n")).distinct()
     return S.snapshot_then_changes(snapshot, changes, "job").select("job", "batch", "n", "event")

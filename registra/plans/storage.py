@@ -13,7 +13,7 @@ from registra.sources import sinks as K
 from registra.sources import tables as T
 from registra.streaming import pages as P
 
-from .bindings import bound, share, table, twin
+from .bindings import bound, table, twin
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -106,9 +106,9 @@ def p2_record_summary(spark, sf_dir):
     return rows.groupBy("page").agg(F.count(F.lit(1)).alias("n"), F.sum("e").alias("edited"), F.round(F.min("c"), 6).alias("min_confidence"), F.round(F.avg("m"), 6).alias("mean_confidence"))
 
 
-@query("SELECT l_orderkey AS page, l_linenumber AS idx, l_partkey AS part FROM lineitem WHERE l_orderkey % 3 = 0")
-def s3_nested_pages_round_trip(spark, sf_dir, whole=False):
-    rows = share(table(spark, sf_dir, "lineitem"), "l_orderkey % 3 = 0", whole).select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("idx"), F.col("l_partkey").alias("part"))
+@query("SELECT l_orderkey AS page, l_linenumber AS idx, l_partkey AS part FROM lineitem")
+def s3_nested_pages_round_trip(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("idx"), F.col("l_partkey").alias("part"))
     return T.flat_records(T.nested_pages(rows, "page", "idx", ["part"]), "page").drop("pos")
 
 
@@ -290,7 +290,7 @@ def x10_x12_name_pairs(spark, sf_dir):
 
 @query("")
 def r14_families(spark, sf_dir):
-    people = bound(spark, sf_dir, "electors").filter("house_number is not null").select(
-        "id", F.concat_ws("|", "part_number", X.building_key(F.col("house_number"))).alias("block"), "name", "relation_type", "relation_name", "age", "gender", "serial", F.col("house_number").alias("house")
+    people = bound(spark, sf_dir, "electors").select(
+        "id", F.when(F.col("house_number").isNotNull(), F.concat_ws("|", "part_number", X.building_key(F.col("house_number")))).alias("block"), "name", "relation_type", "relation_name", "age", "gender", "serial", F.col("house_number").alias("house")
     )
     return H.families(people)
