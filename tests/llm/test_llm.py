@@ -450,6 +450,30 @@ def test_nearest_neighbours_and_recall(spark):
     assert ann.nearest_neighbours(few, few.filter("vec_id = 0"), 10).collect() == [Row(query_id=0, rank=1, vec_id=1, score=2**0.5), Row(query_id=0, rank=2, vec_id=2, score=2**0.5), Row(query_id=0, rank=3, vec_id=3, score=2.0)]
 
 
+
+def test_nearest_neighbours_in_divided_buckets(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(10, 16))
+    x = np.float32(centres[rng.integers(0, 10, 2000)] + rng.normal(size=(2000, 16))).astype(float)
+    assert len(ann.level_axes(2000, 16, 4)) == 2 and ann.level_axes(2000, 16, 4096) == [16]
+    # one vector many times, ids that come twice, vectors of any size
+    x[:300] = x[0]
+    rows = vectors(spark, [*x, *x[:60], [1e30] * 16, [1e-30] * 16], [*range(2000), *range(60), 5000, 5001])
+    out = ann.nearest_neighbours(rows, rows.filter("vec_id % 50 = 0"), 10, bucket=4).toPandas()
+    hits = 0
+    for q, g in out.groupby("query_id"):
+        if q >= 2000:
+            continue
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        g = g.sort_values("rank")
+        assert g.vec_id.is_unique and (g.score.to_numpy() == d[g.vec_id]).all()
+        hits += (g.score <= np.sort(d)[9]).sum()
+        if q < 300:
+            assert g.vec_id.tolist() == [i for i in range(11) if i != q][:10]
+    assert hits >= 0.9 * 400 and len(out) == 410
+
+
 def test_maxscore_is_exact(spark):
     rng = np.random.default_rng(3)
     x = np.float32(rng.normal(size=(700, 24)) * (rng.random((700, 24)) < 0.4)).astype(float)
