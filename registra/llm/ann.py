@@ -137,7 +137,7 @@ def _best(q: np.ndarray, q_ids: np.ndarray, rows: np.ndarray, row_ids: np.ndarra
         # first by the expanded square, then exactly among all that may be in
         rough = length[None, :] - 2 * (q @ rows.T)
         near = ~own
-        if len(rows) > k and np.isfinite(rough).all():
+        if len(rows) > k and len(np.unique(row_ids)) == len(rows) and np.isfinite(rough).all():
             rough[own] = np.inf
             kth = np.partition(rough, k - 1, 1)[:, k - 1]
             near &= rough <= (kth + 1e-9 * (1 + np.abs(kth) + (q**2).sum(1)))[:, None]
@@ -146,6 +146,9 @@ def _best(q: np.ndarray, q_ids: np.ndarray, rows: np.ndarray, row_ids: np.ndarra
         exact = [np.sqrt(((rows[of[i : i + PAIRS]] - q[at[i : i + PAIRS]]) ** 2).sum(1)) for i in cuts]
     exact = np.concatenate([np.empty(0), *exact])
     order = np.lexsort((row_ids[of], exact, at))
+    # of rows with one id the nearest
+    repeated = pd.DataFrame({"at": at[order], "id": row_ids[of[order]]}).duplicated().to_numpy()
+    order = order[~repeated]
     at, of, exact = at[order], of[order], exact[order]
     first = np.arange(len(at)) - np.searchsorted(at, at) < k
     return at[first], of[first], exact[first]
