@@ -1,9 +1,9 @@
 """Registered queries of the register operators and their SQL twins."""
 
-from . import electors, pages, records, reports, storage
+from . import electors, exports, pages, records, reports, storage
 
 QUERIES: dict = {}
 ORACLE: dict = {}
-for _module in (electors, records, pages, reports, storage):
+for _module in (electors, records, pages, reports, storage, exports):
     QUERIES |= _module.QUERIES
     ORACLE |= _module.ORACLE

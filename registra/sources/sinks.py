@@ -84,6 +84,44 @@ def digits_or_null(c: Column) -> Column:
     return F.when(c.cast("string").rlike("^[0-9]+$"), c.cast("string")).try_cast("long")
 
 
+def relational_tables(stations: DataFrame, records: DataFrame, electors: DataFrame) -> dict[str, DataFrame]:
+    """The four tables of the relational export; text becomes a number only if it is all digits."""
+    documents = stations.select(
+        F.col("file_id").alias("Document_ID"), F.col("district").alias("District"), F.col("ac_name").alias("Assembly"), F.col("part_number").alias("Part"), F.col("name").alias("Polling_Station"), F.col("revision").alias("Revision")
+    )
+    pages = records.groupBy(F.col("file_id").alias("Document_ID"), F.col("page_number").alias("Page_No")).agg(F.lit("Voter Record Pages").alias("Page_Type"), F.round(F.avg("mean_confidence"), 6).alias("Confidence"))
+    pages = pages.withColumn("Page_ID", F.concat("Document_ID", F.lit("_P"), F.col("Page_No").cast("string")))
+    text = lambda c: F.coalesce(c, F.lit(""))
+    voters = electors.select(
+        F.col("id").alias("Voter_ID"), F.col("file_id").alias("Document_ID"), F.col("page_number").alias("Page_No"), digits_or_null(F.col("serial")).alias("Serial_No"), text("epic").alias("EPIC"), text("name").alias("Name"),
+        text("relation_name").alias("Relative_Name"), text("relation_type").alias("Relation"), text("gender").alias("Gender"), digits_or_null(F.col("age")).alias("Age"), text("house_number").alias("House_No"),
+    )
+    gender = lambda g: F.count_if(F.col("Gender") == g)
+    summary = voters.groupBy("Document_ID").agg(gender("Male").alias("Male"), gender("Female").alias("Female"), F.count(F.lit(1)).alias("Total")).withColumn("Third_Gender", F.col("Total") - F.col("Male") - F.col("Female"))
+    return {"Documents": documents, "Pages": pages, "Voters": voters, "Summary": summary}
+
+
+def dataset_columns(electors: DataFrame, stations: DataFrame, confidence: float = 0.95) -> DataFrame:
+    """The 13 columns of the data set export, as text."""
+    names = stations.select("part_number", F.col("name").alias("_station"))
+    columns = {
+        "Page_No": "page_number", "Part_No": "part_number", "Serial_No": "serial", "EPIC_ID": "epic", "Name": "name", "Relation": "relation_type", "Relative_Name": "relation_name",
+        "House_No": "house_number", "Age": "age", "Gender": "gender", "Section": "constituency", "Polling_Station": "_station",
+    }
+    rows = electors.join(names, "part_number", "left")
+    return shown(rows.select(*[F.col(c).alias(k) for k, c in columns.items()], F.lit(confidence).alias("Confidence")))
+
+
+def report_columns(reports: DataFrame) -> DataFrame:
+    """The 12 columns of the validation report, the pass rate with a per cent sign."""
+    columns = {
+        "PDF File": "pdf_file", "AC Number": "ac_number", "Part Number": "part_number", "Total PDF Records": "expected", "Total DB Records": "extracted", "Matched": "matched",
+        "Missing in DB": "missing", "Extra in DB": "extra", "Incorrect": "incorrect", "Duplicates": "duplicates",
+    }
+    rate = F.concat(F.format_string("%.1f", "pass_rate"), F.lit("%"))
+    return reports.select(*[F.col(c).alias(k) for k, c in columns.items()], rate.alias("Pass %"), F.col("verdict").alias("Status"))
+
+
 def preview(rows: DataFrame, order: list[Column], limit: int = 50) -> DataFrame:
     """First rows with the number of all and whether it is cut."""
     total = rows.agg(F.count(F.lit(1)).alias("total_rows"))

@@ -44,6 +44,23 @@ def unregistered(listing: DataFrame, registered: DataFrame) -> DataFrame:
     return listing.join(registered.select(F.col("stored_path").alias("path")), "path", "left_anti")
 
 
+def scanned_files(listing: DataFrame, registered: DataFrame, counts: DataFrame) -> DataFrame:
+    """Listed files with what is known of them: id by path, else by name, status, number of records
+    and recognition seconds; ``new`` without an id. ``counts``: file_id, records, ocr_s."""
+    known = matched_files(listing, registered).join(registered.select("file_id", "status"), "file_id", "left").join(counts, "file_id", "left")
+    zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("records", "ocr_s")]
+    return known.select("path", "name", "size_bytes", "file_id", F.coalesce("status", F.lit("new")).alias("status"), *zero)
+
+
+def imported(listing: DataFrame, registered: DataFrame) -> DataFrame:
+    """Files of a folder after import: those registered by path with their id, the others with a new
+    one made of the path; ``is_new`` tells them apart."""
+    ids = registered.select(F.col("stored_path").alias("path"), "file_id")
+    old = listing.join(ids, "path").select("path", "name", "file_id", F.lit(False).alias("is_new"))
+    new = unregistered(listing, registered).select("path", "name", F.concat(F.lit("F"), F.substring(F.md5(F.col("path").cast("binary")), 1, 12)).alias("file_id"), F.lit(True).alias("is_new"))
+    return old.unionByName(new)
+
+
 def copied(source: DataFrame, target: DataFrame, defaults: dict) -> DataFrame:
     """Source rows in the target's columns: unknown columns dropped, missing ones by default."""
     kept = source.select(*[c for c in source.columns if c in target.columns])
