@@ -132,3 +132,26 @@ def test_numbers_and_chains_have_no_bound(spark):
     chain = [(i, i + 1) for i in range(700)] + [(1000, 1001), (1001, 1002), (1002, 1000), (999, 1000)]
     links = spark.createDataFrame([("x", i, "Father", 30, i, r, 90.0, None) for i, r in chain], "block string, id long, relation_type string, age int, serial int, relative long, score double, reason string")
     assert household.accepted_links(links).count() == 703
+
+
+def test_folder_scan_and_import(spark):
+    listing = spark.createDataFrame([("/a/1.pdf", "1.pdf", 5), ("/b/2.pdf", "2.pdf", 6), ("/b/3.pdf", "3.pdf", None)], "path string, name string, size_bytes long")
+    known = spark.createDataFrame([("F1", "/a/1.pdf", "1.pdf", "done"), ("F2", "/old/2.pdf", "2.pdf", "pending")], "file_id string, stored_path string, name string, status string")
+    counts = spark.createDataFrame([("F1", 7, 1.5)], "file_id string, records long, ocr_s double")
+    got = {r.name: (r.file_id, r.status, r.records, r.ocr_s) for r in tables.scanned_files(listing, known, counts).collect()}
+    assert got == {"1.pdf": ("F1", "done", 7, 1.5), "2.pdf": ("F2", "pending", 0, 0.0), "3.pdf": (None, "new", 0, 0.0)}
+    new = {r.name: (r.file_id, r.is_new) for r in tables.imported(listing, known).collect()}
+    assert new["1.pdf"] == ("F1", False) and new["2.pdf"][1] and new["3.pdf"][1] and len({f for f, _ in new.values()}) == 3
+    assert tables.imported(listing.limit(0), known).count() == 0
+
+
+def test_relational_tables_cast_digits_only(spark):
+    stations = spark.createDataFrame([("F1", "D", "A", "1", "S", "r")], "file_id string, district string, ac_name string, part_number string, name string, revision string")
+    records = spark.createDataFrame([("F1", 2, 0.5), ("F1", 2, 1.0), ("F1", 3, None)], "file_id string, page_number int, mean_confidence double")
+    people = [(1, "F1", 2, "12", "E1", "n", None, None, "Male", "4O", None), (2, "F1", 2, None, None, None, None, None, None, "40", "1/2")]
+    columns = "id long, file_id string, page_number int, serial string, epic string, name string, relation_name string, relation_type string, gender string, age string, house_number string"
+    got = sinks.relational_tables(stations, records, spark.createDataFrame(people, columns))
+    assert {r.Page_ID: r.Confidence for r in got["Pages"].collect()} == {"F1_P2": 0.75, "F1_P3": None}
+    assert {(r.Voter_ID, r.Serial_No, r.Age, r.House_No) for r in got["Voters"].collect()} == {(1, 12, None, ""), (2, None, 40, "1/2")}
+    assert [(r.Male, r.Female, r.Third_Gender, r.Total) for r in got["Summary"].collect()] == [(1, 0, 1, 2)]
+    assert got["Documents"].count() == 1
