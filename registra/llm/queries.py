@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, html_extract, lines, maxscore, mixing, neardup, packing, shards, suffix, toxicity
+from . import ann, decontaminate, html_extract, lines, manifest, maxscore, mixing, neardup, packing, runs, shards, suffix, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +61,19 @@ def op10_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.extendible_shards(_table(spark, sf_dir, "documents"), SHARD_BYTES)
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.summary(runs.periodic_runs(runs.planted(_table(spark, sf_dir, "documents"))))
+
+
+def op12_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.summary(decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
+
+
+def op13_slot_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = manifest.document_manifest(_table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0)
+    return out.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -72,10 +85,15 @@ QUERIES = {
     "op8_maxscore": op8_maxscore,
     "op9_dart_minhash": op9_dart_minhash,
     "op10_extendible_shards": op10_extendible_shards,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_fm_index": op12_fm_index,
+    "op13_slot_pivot": op13_slot_pivot,
 }
 ORACLE = {
     "op5_line_templates": lines.ORACLE,
     "op6_temperature_mix": mixing.ORACLE,
     "op8_maxscore": maxscore.ORACLE,
     "op10_extendible_shards": shards.ORACLE.format(limit=SHARD_BYTES),
+    "op12_fm_index": decontaminate.ORACLE,
+    "op13_slot_pivot": manifest.ORACLE,
 }
