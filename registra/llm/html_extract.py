@@ -3,6 +3,11 @@
 Each page scores its containers by the text they hold and votes for the generalised tag-class path
 of the best one. Spark counts the votes by host. Then each page is read again with the paths that
 won on its host, and its own best container only where none of them occurs in it.
+
+A container named like a menu, a notice or the like is no article where the page has another text.
+Where what else it has is next to nothing, the page votes for its largest such part, and the host
+decides: pages also tell what text stands in each such part, and a part that wins votes and whose text
+differs from page to page is an article there; one whose text is repeated is not. Nothing depends on a length.
 """
 
 from __future__ import annotations
@@ -17,13 +22,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hinted, materialize
+from .common import hinted, materialize, release
 
 #: A path wins on a host with this share of the pages at least, so a host has few winners.
 MIN_VOTES = 0.1
-#: Characters without links from which a container is an article although its name is that of a
-#: notice, a menu or the like, if the page has nothing else.
-MIN_NAMED = 500
+#: Where the text under no such name is less than this share of the page's, the host's votes decide
+#: about named parts.
+ELSEWHERE = 0.05
+#: Different texts for each page of the host that has a named part, at least, if it is an article.
+DIFFERENT = 0.5
 BROADCAST_ROWS = 50_000
 
 # HTML element names and the usual names of page parts.
@@ -133,6 +140,7 @@ class Page:
         #: of each container: parent, path (as a hash), tag, whether it is set apart from the
         #: article, whether it or one around it is, and whether an article is around it
         self.parent, self.path, self.tag, self.apart, self.outside, self.inside = [-1], [""], ["html"], [False], [False], [False]
+        self.part = [-1]  # the outermost container around it that only its name sets apart
         self.blocks: list[tuple[int, str, int]] = []  # container, text, characters in links
         self._read(source)
 
@@ -194,10 +202,13 @@ class Page:
         inside = self.inside[parent]
         words = set(_name.findall(" ".join([*classes, found.get("id", "").lower()]))) if self.by_names else set()
         parts = words & PARTS - (HEADS if inside else frozenset())
-        apart = name in APART or (name == "header" and not inside) or bool(parts) or found.get("role", "").lower() in ROLES
+        apart = name in APART or (name == "header" and not inside) or found.get("role", "").lower() in ROLES
         apart |= "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
+        named = bool(parts) and not apart
+        apart |= named
         if name in ("body", "html", "main", "article"):
-            apart = False
+            apart = named = False
+        self.part.append(len(self.parent) if named and not self.outside[parent] else self.part[parent])
         step = ".".join([self.path[parent], name, *sorted(set(filter(None, classes)))])
         self.parent.append(parent)
         self.path.append(hashlib.blake2b(step.encode("utf-8", "surrogatepass"), digest_size=12).hexdigest())
@@ -257,33 +268,69 @@ class Page:
 
 
 def page_votes(source: str) -> tuple[str, float]:
-    """The path that a page votes for, and its score."""
-    found = Page(source).best()
-    if found[0]:
-        return found
-    # parts by their names leave nothing: so much text under such a name is the article
-    found = Page(source, by_names=False).best()
-    return found if found[1] >= MIN_NAMED else ("", 0.0)
-
-
-def page_text(source: str, paths: list[str]) -> str:
-    found = Page(source).main_text(paths)
-    if not found:
-        page = Page(source, by_names=False)
-        if page.best()[1] >= MIN_NAMED:
-            found = page.main_text(paths)
-    return found
+    """The path that a page votes for, and its score; parts by their names have no votes here."""
+    return Page(source).best()
+
+
+def named_part(page: Page) -> tuple[str, float]:
+    """Path and score of the largest part by its name, if such parts hold nearly all text of the page."""
+    inner, whole = 0, 0
+    worth: dict[int, float] = {}
+    for node, text, linked in page.blocks:
+        whole += len(text) - linked
+        inner += 0 if page.outside[node] else len(text) - linked
+        if page.part[node] >= 0:
+            worth[page.part[node]] = worth.get(page.part[node], 0.0) + len(text) - 2.0 * linked
+    if not worth or inner >= ELSEWHERE * whole:
+        return "", 0.0
+    best = max(worth, key=lambda n: (worth[n], -n))
+    return (page.path[best], worth[best]) if worth[best] > 0 else ("", 0.0)
+
+
+def named_texts(page: Page) -> list[tuple[str, bytes]]:
+    """Path and hash of the text of each part by its name."""
+    found: dict[int, list[str]] = {}
+    for node, text, _ in page.blocks:
+        if page.part[node] >= 0:
+            found.setdefault(page.part[node], []).append(text)
+    return [(page.path[n], hashlib.blake2b("\n".join(t).encode("utf-8", "surrogatepass"), digest_size=16).digest()) for n, t in found.items()]
+
+
+def page_text(source: str, paths: list[str], named: list[str] | None = None) -> str:
+    """Main text by the winning paths. ``named``: parts by their names that are articles on the host; if
+    None there is no host to ask, and the page's own votes count."""
+    page = Page(source)
+    own = named_part(page)[0] if named is None or named else ""
+    if own and (named is None or own in named):
+        found = Page(source, by_names=False).text([own])
+        if found is not None:
+            return found
+    return page.main_text(paths)
+
+
+#: Kinds of rows by host: votes for containers, votes for parts by their names, texts of such parts.
+VOTE, NAMED, SEEN = 0, 1, 2
 
 
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        best = [page_votes(x or "") for x in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([b[0] for b in best], pa.string()), pa.array([b[1] for b in best], pa.float64())], names=["_host", "path", "score"])
+        rows: list[tuple[int, int, str, bytes | None, float]] = []
+        for i, source in enumerate(batch.column(1).to_pylist()):
+            page = Page(source or "")
+            for kind, (path, score) in ((NAMED, named_part(page)), (VOTE, page.best())):
+                if path:  # a page votes once
+                    rows.append((i, kind, path, None, score))
+                    break
+            rows += [(i, SEEN, path, seen, 0.0) for path, seen in named_texts(page)]
+        at = pa.array([r[0] for r in rows], pa.int64())
+        columns = [pa.array([r[i] for r in rows], kind) for i, kind in ((1, pa.int32()), (2, pa.string()), (3, pa.binary()), (4, pa.float64()))]
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(at), *columns], names=["_host", "kind", "path", "seen", "score"])
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [page_text(x or "", p or []) for x, p in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+        columns = [batch.column(i).to_pylist() for i in (2, 3, 4)]
+        texts = [page_text(x or "", p or [], n or []) for x, p, n in zip(*columns, strict=True)]
         sizes = pa.array([len(t) for t in texts], pa.int64())
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), sizes], names=["_id", "_url", "text", "n_chars"])
 
@@ -301,12 +348,19 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     rows are read like any others; an empty table gives no rows. No text is capped.
     """
     own = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), F.col(html_col).alias("_html"), host(url_col).alias("_host"))
-    votes = own.select("_host", "_html").mapInArrow(_votes, "_host string, path string, score double").filter("path != ''")
-    counted = materialize(votes.groupBy("_host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum("score").alias("score")), "votes")
-    total = counted.groupBy("_host").agg(F.sum("n").alias("of"))
-    won = counted.join(total, "_host").filter(F.col("n") >= MIN_VOTES * F.col("of"))
-    won = won.groupBy("_host").agg(F.sort_array(F.collect_list(F.struct("n", "score", "path")), asc=False).getField("path").alias("_paths"))
-    won = hinted(materialize(won, "paths"), BROADCAST_ROWS)
+    votes = own.select("_host", "_html").mapInArrow(_votes, "_host string, kind int, path string, seen binary, score double")
+    # equal votes meet on the map side, so a host with a third of all pages is dealt out by its paths and texts
+    votes = materialize(votes.groupBy("_host", "kind", "path", "seen").agg(F.count(F.lit(1)).alias("n"), F.sum("score").alias("score")), "votes")
+    cast = votes.filter(F.col("kind") != SEEN)
+    total = cast.groupBy("_host").agg(F.sum("n").alias("of"))
+    won = cast.join(total, "_host").filter(F.col("n") >= MIN_VOTES * F.col("of"))
+    varied = votes.filter(F.col("kind") == SEEN).groupBy("_host", "path").agg(F.sum("n").alias("times"), F.count(F.lit(1)).alias("texts"))
+    varied = varied.filter(F.col("texts") >= DIFFERENT * F.col("times")).select("_host", "path")
+    named = won.filter(F.col("kind") == NAMED).join(varied, ["_host", "path"], "left_semi")
+    ranked = lambda df, out: df.groupBy("_host").agg(F.sort_array(F.collect_list(F.struct("n", "score", "path")), asc=False).getField("path").alias(out))
+    won = materialize(ranked(won.filter(F.col("kind") == VOTE), "_paths").join(ranked(named, "_named"), "_host", "full"), "paths")
+    release(votes)
+    won = hinted(won, BROADCAST_ROWS)
     kind = {c: pages.schema[c].dataType.simpleString() for c in (id_col, url_col)}
-    out = own.join(won, "_host", "left").select("_id", "_url", "_html", "_paths").mapInArrow(_texts, f"_id {kind[id_col]}, _url {kind[url_col]}, text string, n_chars long")
+    out = own.join(won, "_host", "left").select("_id", "_url", "_html", "_paths", "_named").mapInArrow(_texts, f"_id {kind[id_col]}, _url {kind[url_col]}, text string, n_chars long")
     return out.withColumnsRenamed({"_id": id_col, "_url": url_col})

@@ -93,12 +93,16 @@ def top_inner_products(rows: DataFrame, queries: DataFrame, k: int, id_col: str
     Components are turned into floor(scale * x). Ties go to the smaller id; a row with the query's
     id is no candidate of it. Vectors that are null, empty or hold null or non-finite components
     take no part, nor do rows without id; rows of other lengths than the query's are no candidates.
-    Of repeated ids the first by vector is the query, and every row is a candidate. Components must
-    stay below 2**31 / scale. Empty tables give no rows.
+    Of repeated ids the first by vector is the query, and every row is a candidate. Scores must fit
+    64 bits: a vector of which the integers have a norm of 2**31 or more raises an error. Empty tables give no rows.
     """
 
     def ready(x: DataFrame) -> DataFrame:
         x = finite_vectors(x, id_col, vector_col).filter("id is not null")
+        square = F.aggregate("v", F.lit(0.0), lambda s, c: s + F.pow(F.floor(c * scale), F.lit(2.0)))
+        # floor() of what is beyond a long would be cut without a word
+        large = F.exists("v", lambda c: F.abs(c * scale) >= 2.0**31) | (square >= 2.0**62)
+        x = x.withColumn("v", F.when(large, F.raise_error(F.lit("components too large for integer scores"))).otherwise(F.col("v")))
         return x.select("id", "dim", quantized(F.col("v"), scale).alias("v"))
 
     data = materialize(ready(rows), "rows")

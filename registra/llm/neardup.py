@@ -233,24 +233,31 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([some.column(0), pa.array(bands, pa.list_(pa.int64())), pa.array(compact, pa.binary())], names=["_k", "bands", "sig"])
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of which the texts reach SIMILARITY."""
+def _compared(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) of which the texts reach the similarity ``least``, with that similarity."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed = WordHash()
         last: tuple[str | None, tuple] = (None, ())
         for batch in batches:
-            keep = []
+            keep, measured = [], []
             for i, (x, y) in enumerate(zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist(), strict=True)):
                 if last[0] != y:
                     last = (y, weighted(shingles(hashed(y))))
-                if weighted_jaccard(weighted(shingles(hashed(x))), last[1]) >= SIMILARITY:
+                alike = weighted_jaccard(weighted(shingles(hashed(x))), last[1])
+                if alike >= least:
                     keep.append(i)
-            yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(keep, pa.int64())) for c in ("a", "b")], names=["a", "b"])
+                    measured.append(alike)
+            pair = [batch.column(c).take(pa.array(keep, pa.int64())) for c in ("a", "b")]
+            yield pa.RecordBatch.from_arrays([*pair, pa.array(measured, pa.float64())], names=["a", "b", "similarity"])
 
     one = texts.select(F.col("_k").alias("a"), F.col("_text").alias("ta"))
     two = texts.select(F.col("_k").alias("b"), F.col("_text").alias("tb"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long, similarity double")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    return _compared(pairs, texts, SIMILARITY).select("a", "b")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -397,15 +404,16 @@ def _links_between(x: dict[str, np.ndarray], left: np.ndarray, right: np.ndarray
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Class of every row: ``id_col`` and ``class_id``, a row for each row of ``docs``.
+    """Class of every row: ``id_col``, ``class_id`` and ``similarity``, a row for each row of ``docs``.
 
-    ``class_id`` is the smallest id of the rows in the class. Rows with equal texts are in one
-    class. Equal means equal in a 64-bit hash. A null text counts as empty; texts without words are
-    equal only to equal texts. A class of which all ids are null has a null ``class_id``. An empty
-    table gives no rows.
+    ``class_id`` is the smallest id of the rows in the class. ``similarity`` is that of the whole text
+    with the text of this row, which is below SIMILARITY where only a chain of other texts
+    joins the two; 1 for the text itself. Rows with equal texts are in one class. Equal means equal in a 64-bit
+    hash. A null text counts as empty; texts without words are equal only to equal texts. A class of
+    which all ids are null has a null ``class_id``. An empty table gives no rows.
     """
     keyed = docs.select(F.col(id_col).alias("_id"), text_key(text_col).alias("_k"))
-    return keyed.join(text_classes(docs, id_col, text_col), "_k").select(F.col("_id").alias(id_col), "class_id")
+    return keyed.join(text_classes(docs, id_col, text_col), "_k").select(F.col("_id").alias(id_col), "class_id", "similarity")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -459,12 +467,23 @@ def covered(links: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def text_classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """For each different text its key ``_k`` and ``class_id``."""
+    """For each different text its key ``_k``, ``class_id`` and ``similarity`` to the first text of the class."""
     texts, links = text_links(docs, id_col, text_col)
     named = texts.join(components(links), F.col("_k") == F.col("k"), "left").select("_k", "_first", F.coalesce("comp", "_k").alias("comp"))
-    least = materialize(named.groupBy("comp").agg(F.min("_first").alias("class_id")), "leads")
-    out = materialize(named.join(least, "comp").select("_k", "class_id"), "classes")
-    release(texts, links, least)
+    named = materialize(named, "named")
+    # null ids come last; of texts that share the smallest id one is taken
+    least = named.groupBy("comp").agg(F.min("_first").alias("class_id"), F.min(F.struct(F.col("_first").isNull(), "_first", "_k")).getField("_k").alias("lead"))
+    least = materialize(least, "leads")
+    classed = materialize(named.join(least, "comp").select("_k", "class_id", "lead"), "classes")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    pairs = classed.filter("_k != lead").select(F.col("_k").alias("a"), F.col("lead").alias("b"))
+    keys = materialize(pairs.select(F.explode(F.array("a", "b")).alias("_k")).distinct(), "lead-keys")
+    some = docs.select(text_key(text_col).alias("_k"), text.alias("_text")).join(hinted(keys, BROADCAST_ROWS), "_k", "left_semi")
+    some = materialize(some.groupBy("_k").agg(F.min("_text").alias("_text")), "lead-texts")
+    measured = materialize(_compared(pairs, some, 0.0), "lead-similarity")
+    out = classed.join(measured.select(F.col("a").alias("_k"), "similarity"), "_k", "left")
+    out = materialize(out.select("_k", "class_id", F.coalesce("similarity", F.lit(1.0)).alias("similarity")), "text-classes")
+    release(texts, links, named, least, classed, keys, some, measured)
     return out
 
 

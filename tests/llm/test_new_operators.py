@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from registra.llm import decontaminate, manifest, runs
+from registra.llm import decontaminate, html_extract, manifest, maxscore, neardup, runs
 
 from .test_llm import odd, prose, table  # noqa: F401
 
@@ -269,3 +269,63 @@ def test_manifest(spark, sizes):
 
 def test_manifest_of_nothing(spark):
     assert manifest.document_manifest(table(spark, []), F.lit(True)).count() == 0
+
+
+def test_named_parts_by_consensus(spark):
+    """A part named like a notice or a menu is an article only where its text differs and nothing else is there."""
+    rng = random.Random(2)
+    long, short = prose(rng, 150), prose(rng, 40)
+    rows = [("http://one.example/a", f"<div class='share-price'><p>{short}</p></div>", short), ("http://two.example/a", f"<div class='share-price'><p>{long}</p></div>", long)]
+    rows += [("http://three.example/a", f"<div class='search-results-article'>{short}</div>", short), ("http://four.example/", f"<div class=notice>{short}</div><nav>menu</nav>", short)]
+    rows += [("http://five.example/a", f"<div id='reply-to-critics'>{short}</div><p>x</p>", short)]
+    for i in range(8):  # each with a text of its own under such a name
+        own = prose(rng, 30)
+        rows.append((f"http://six.example/{i}", f"<div class='related'><p>{own}</p></div><footer>foot</footer>", own))
+        # the same notice on every page, two of which have nothing else
+        body = f"<div class=story><p>{own}</p></div>" if i > 1 else ""
+        rows.append((f"http://seven.example/{i}", f"<div class='cookie-notice'>{short}</div>{body}", own if i > 1 else ""))
+        # comments are longer than the article and differ from page to page
+        rows.append((f"http://eight.example/{i}", f"<article><p>{own}</p></article><div class=comments>{prose(rng, 120)}</div>", own))
+    frame = spark.createDataFrame([(i, *r[:2]) for i, r in enumerate(rows)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.extract_main_text(frame).collect()}
+    assert [got[i] for i in range(len(rows))] == [r[2] for r in rows]
+
+
+def test_boilerplate_of_marked_pages(spark):
+    """Hand-marked pages: what belongs to the article is in capitals, all else is not."""
+    parts = ["<nav><a href=/>home</a></nav>", "<div class='sidebar'>latest news</div>", "<div class='cookie-banner'>we use cookies</div>", "<section id='comments'><p>first!</p></section>", "<form>mail <input></form>", "<footer>imprint</footer>", "<div class='ad'>buy now</div>", "<header><h1>site</h1></header>"]
+    rng = random.Random(4)
+    rows = []
+    for i in range(24):
+        around = rng.sample(parts, 5)
+        text = [prose(rng, rng.randint(8, 60)).upper() for _ in range(rng.randint(1, 4))]
+        body = "".join(f"<p>{t}</p>" for t in text)
+        body = f"<div class='c{i % 3} post-body'>{body}</div>" if i % 2 else f"<main><article><h2>T{i}</h2>{body}</article></main>"
+        rows.append((i, f"https://h{i % 4}.example/{i}", "<body>" + "".join(around[:2]) + body + "".join(around[2:]) + "</body>", "\n".join(([] if i % 2 else [f"T{i}"]) + text)))
+    got = html_extract.extract_main_text(spark.createDataFrame([r[:3] for r in rows], "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == {r[0]: r[3] for r in rows}
+
+
+def test_large_components_raise(spark):
+    rows = spark.createDataFrame([(0, [1e30, 1.0]), (50, [1.0, 2.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="too large"):
+        maxscore.top_inner_products(rows, rows, 5).collect()
+    rows = spark.createDataFrame([(0, [5e6, 6e6]), (1, [1.0, 2.0])], "vec_id long, embedding array<double>")
+    assert {r.score for r in maxscore.top_inner_products(rows, rows, 5).collect()} == {256 * 256 * 17_000_000}
+
+
+def test_similarity_to_the_first_text_of_a_class(spark):
+    rng = random.Random(9)
+    words = prose(rng, 120).split()
+    rows = []
+    for i in range(8):  # each differs a little from the one before it
+        rows.append((10 + i, " ".join(words), "a"))
+        words[12 * i + 6] = f"new{i}"
+    rows += [(30, rows[0][1], "a"), (31, None, "a"), (32, "", "a")]
+    got = {r.doc_id: r for r in neardup.near_duplicates(table(spark, rows)).collect()}
+    hashed = neardup.WordHash()
+    sets = {i: neardup.weighted(neardup.shingles(hashed(t or ""))) for i, t, _ in rows}
+    for i in range(10, 18):
+        assert got[i].class_id == 10 and got[i].similarity == pytest.approx(neardup.weighted_jaccard(sets[10], sets[i]))
+    assert got[30].class_id == 10 and got[30].similarity == 1.0 and got[17].similarity < 0.8
+    assert got[31].class_id == got[32].class_id == 31 and got[32].similarity == 1.0
