@@ -73,27 +73,36 @@ def looks_like_id(c: Column) -> Column:
     return F.upper(F.coalesce(c, F.lit(""))).rlike(PERMISSIVE_ID)
 
 
-def clean_name(c: Column, labels: str = "name|father|mother|husband") -> Column:
-    """A name without label prefix, numbering and punctuation, in lower case."""
-    out = F.regexp_replace(c, f"(?i)^\\s*({labels})\\s*(name)?\\s*[:\\-]\\s*", "")
-    out = F.regexp_replace(out, r"^\s*\d+\s*[.)]\s*", "")
-    return F.lower(F.trim(F.regexp_replace(F.regexp_replace(out, r"[^\p{L}\p{M}\p{N}\s]", " "), r"\s+", " ")))
+# Labels before a printed name.
+NAME_LABELS = "கணவர்|கணவரின்|தந்தை|தந்தையின்|தாய்|தாயின்|குடும்ப|பாதுகாவலர்|உறவினர்|husband|father|mother|family|guardian|relative"
+NAME_WORDS = "பெயர்|பெயா்|பெயா|name"
+
+
+def clean_name(c: Column, labels: str = NAME_LABELS, words: str = NAME_WORDS) -> Column:
+    """A name to compare: without label, numbering and punctuation around it, in lower case; null is ''."""
+    out = F.regexp_replace(F.coalesce(c, F.lit("")), rf"(?iu)^\s*(\d+[.:)\-\s]+)?(({labels})[\s.,]+)?({words})[\s:;=\-.,]+", "")
+    out = F.regexp_replace(out, r"^(?:\s*+\d++[.:)\s]++|[\s\-–—.,;:])++", "")
+    out = F.regexp_replace(out, r"[\s\-–—_.,;:\"'“”‘’]+$", "")
+    return F.lower(F.trim(F.regexp_replace(out, r"\s+", " ")))
 
 
 def normal_house(c: Column) -> Column:
-    """House number in lower case, white space out, separators as ``/``."""
-    return F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"\s+", ""), r"[-\\:.]+", "/")
+    """House number in upper case with ``-`` for each run of separators; null is ''."""
+    out = F.regexp_replace(F.upper(F.trim(F.coalesce(c, F.lit("")))), r"[-\s./\\_,;]+", "-")
+    return F.regexp_replace(out, "^-|-$", "")
 
 
 def is_missing_house(c: Column) -> Column:
-    return F.regexp_replace(normal_house(c), "[/0]", "").isin("", "na", "nil", "none", "x")
+    return normal_house(c).isin("", "0", "NA", "NIL")
 
 
 def building_key(c: Column) -> Column:
-    """The building part of a house number: without a last door part after ``/`` and door letters."""
-    parts = F.split(normal_house(c), "/")
-    head = F.when(F.size(parts) > 1, F.array_join(F.slice(parts, 1, F.size(parts) - 1), "/")).otherwise(parts[0])
-    return F.when(~is_missing_house(c), F.regexp_replace(head, r"(?<=\d)[\p{L}\p{M}]+$", ""))
+    """The dwelling of a house number: its first two parts, without the letters of a sub-door; null
+    where the house is missing."""
+    head = F.slice(F.split(normal_house(c), "-"), 1, 2)
+    last = F.regexp_replace(F.element_at(head, -1), r"^(\d+)\p{L}+$", "$1")
+    joined = F.when(F.size(head) > 1, F.concat_ws("-", head[0], last)).otherwise(last)
+    return F.when(~is_missing_house(c), joined)
 
 
 def number_after(c: Column, word: str) -> Column:

@@ -25,7 +25,17 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again, which cuts its lineage."""
+    """``df`` written to the shared folder and read again, which cuts its lineage; ``dropped`` deletes it."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def dropped(*frames: DataFrame) -> None:
+    """Delete the folders of stored tables that nothing reads any more."""
+    for df in frames:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(df.scratch)
+        path.getFileSystem(conf).delete(path, True)

@@ -28,6 +28,26 @@ SELECT c_custkey AS id,
        c_acctbal > 0 AS verified, c_custkey % 7 = 0 AS is_supplement, c_custkey % 11 = 0 AS is_deleted,
        CAST(floor(c_custkey / 30.0) AS INT) AS page_number, concat('F', CAST(c_nationkey AS VARCHAR(20))) AS file_id, c_acctbal AS balance
 FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""",
+    # eight residents a house: two old, their son with his wife, three of the next generations and one more;
+    # spelling of house and names, ages and sexes are damaged here and there
+    "residents": """
+SELECT id, part_number, serial, name, relation_type,
+       CASE WHEN m = 0 AND hh % 7 <> 3 THEN 'Someone Elsewhere' WHEN m = 7 AND hh % 2 = 1 THEN NULL
+            WHEN hh % 5 = 0 THEN concat('Father Name : ', replace(rel, 'a', 'e')) WHEN hh % 5 = 1 THEN substr(rel, 1, length(rel) - 2) WHEN hh % 5 = 2 THEN concat(rel, ' .') ELSE rel END AS relation_name,
+       CASE WHEN hh % 7 = 3 THEN NULL WHEN hh % 19 = 5 AND m = 2 THEN 80 ELSE CAST(CASE m WHEN 0 THEN 76 + hh % 9 WHEN 1 THEN 70 + hh % 5 WHEN 2 THEN 55 + hh % 5 WHEN 3 THEN 50 WHEN 4 THEN 36 + hh % 4 WHEN 5 THEN 30 WHEN 6 THEN 18 + hh % 5 ELSE 44 END AS INT) END AS age,
+       CASE WHEN hh % 11 = 5 THEN NULL WHEN hh % 13 = 2 AND m = 3 THEN 'Male' WHEN m = 7 AND hh % 3 = 0 THEN 'Third Gender' WHEN m % 2 = 0 THEN 'M' ELSE 'Female' END AS gender,
+       CASE WHEN hh % 9 = 4 THEN CASE m % 3 WHEN 0 THEN NULL WHEN 1 THEN ' 0 ' ELSE 'Na' END
+            ELSE concat(CAST(hh % 50 + 1 AS VARCHAR(20)), CASE m % 3 WHEN 0 THEN '-' WHEN 1 THEN ' / ' ELSE '.' END, CAST(hh % 4 + 1 AS VARCHAR(20)), CASE WHEN m = 5 THEN 'a' WHEN m = 6 THEN '/2' ELSE '' END) END AS house_number
+FROM (
+  SELECT id, hh, m, part_number, serial, concat(substr(stems, first + 1, 4), substr(ends, first % 9 * 3 + 1, 3), ' ', substr(stems, last + 1, 5)) AS name,
+         CASE m WHEN 0 THEN 'father' WHEN 1 THEN 'Husband' WHEN 2 THEN 'Father' WHEN 3 THEN 'husband' WHEN 4 THEN 'Father' WHEN 5 THEN 'Mother' WHEN 6 THEN 'Father' ELSE CASE WHEN hh % 2 = 0 THEN 'Husband' ELSE 'Other' END END AS relation_type,
+         concat(substr(stems, rel_first + 1, 4), substr(ends, rel_first % 9 * 3 + 1, 3), ' ', substr(stems, last + 1, 5)) AS rel
+  FROM (
+    SELECT c_custkey AS id, CAST(floor((c_custkey - 1) / 8) AS INT) AS hh, CAST((c_custkey - 1) % 8 AS INT) AS m, CAST(CAST(floor((c_custkey - 1) / 400) AS INT) AS VARCHAR(20)) AS part_number, CAST((c_custkey - 1) % 400 + 1 AS INT) AS serial,
+           'arulbalachitdevaelangopiharikalajayakumamaniselvravivaluyogasathpoonmeenvijanandnila' AS stems, 'an iahoma rajlinsamvel' AS ends,
+           CAST((floor((c_custkey - 1) / 8) * 5 + (c_custkey - 1) % 8 * 11) % 76 AS INT) AS first, CAST(floor((c_custkey - 1) / 8) * 3 % 70 AS INT) AS last,
+           CAST((floor((c_custkey - 1) / 8) * 5 + CASE (c_custkey - 1) % 8 WHEN 0 THEN 4 WHEN 1 THEN 0 WHEN 2 THEN 0 WHEN 3 THEN 2 WHEN 4 THEN 2 WHEN 5 THEN 3 WHEN 6 THEN 4 ELSE 2 END * 11) % 76 AS INT) AS rel_first
+    FROM customer) k) r""",
     # one polling station a nation, with a JSON payload
     "stations": """
 SELECT CAST(n_nationkey AS VARCHAR(20)) AS station_id, concat('F', CAST(n_nationkey AS VARCHAR(20))) AS file_id, CAST(n_nationkey AS VARCHAR(20)) AS part_number,
@@ -88,4 +108,6 @@ def twin(sql: str, *names: str) -> str:
     body = sql.strip()
     if not names:
         return body
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {heads}, {body[15:].strip()}"
     return f"WITH {heads}, {body[5:].strip()}" if body.upper().startswith("WITH ") else f"WITH {heads}\n{body}"

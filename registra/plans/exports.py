@@ -160,12 +160,14 @@ def x6_x8_identifiers(spark, sf_dir):
 
 
 @query(
-    """SELECT id, coalesce(house_number, '') AS house, regexp_replace(coalesce(house_number, ''), '[/0]', '', 'g') = '' AS missing,
-    CASE WHEN regexp_replace(coalesce(house_number, ''), '[/0]', '', 'g') <> '' THEN split_part(house_number, '/', 1) END AS building FROM electors""",
+    """WITH w AS (SELECT id, CASE id % 7 WHEN 0 THEN replace(house_number, '/', ' _ ') || 'b' WHEN 1 THEN house_number || '/3' WHEN 2 THEN ' nil ' ELSE house_number END AS h, house_number AS n FROM electors)
+    SELECT id, CASE WHEN id % 7 = 2 THEN 'NIL' WHEN n IS NULL THEN '' ELSE replace(n, '/', '-') || CASE id % 7 WHEN 0 THEN 'B' WHEN 1 THEN '-3' ELSE '' END END AS house,
+    n IS NULL OR id % 7 = 2 AS missing, CASE WHEN id % 7 <> 2 THEN replace(n, '/', '-') END AS building FROM w""",
     "electors",
 )
 def x14_house_numbers(spark, sf_dir):
-    written = F.regexp_replace("house_number", "/", " - ")  # a spelling that the normal form undoes
+    n, k = F.col("house_number"), F.col("id") % 7
+    written = F.when(k == 0, F.concat(F.regexp_replace(n, "/", " _ "), F.lit("b"))).when(k == 1, F.concat(n, F.lit("/3"))).when(k == 2, F.lit(" nil ")).otherwise(n)
     rows = bound(spark, sf_dir, "electors").select("id", written.alias("h"))
     return rows.select("id", X.normal_house(F.col("h")).alias("house"), X.is_missing_house(F.col("h")).alias("missing"), X.building_key(F.col("h")).alias("building"))
 

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from registra.functions import text as X
-from registra.operators import household as H
 from registra.operators import infographic as G
 from registra.operators import listing as L
 from registra.operators import mutations as M
@@ -246,13 +245,13 @@ def x2_sign_repair(spark, sf_dir):
 
 
 @query(
-    """SELECT c_custkey AS id, trim(regexp_replace(regexp_replace('12. ' || c_name || ' :-', '^[\\s\\d.:;,\\-=|]+', ''), '[\\s.:;,\\-=|]+$', '')) AS stripped, regexp_replace(lower(trim(regexp_replace(regexp_replace('1) ' || c_name, '^\\s*\\d+\\s*[.)]\\s*', ''), '[^\\p{L}\\p{M}\\p{N}\\s]', ' ', 'g'))), '\\s+', ' ', 'g') AS clean,
+    """SELECT c_custkey AS id, trim(regexp_replace(regexp_replace('12. ' || c_name || ' :-', '^[\\s\\d.:;,\\-=|]+', ''), '[\\s.:;,\\-=|]+$', '')) AS stripped, lower(c_name) || ' x' AS clean,
     CASE WHEN contains(lower(c_mktsegment), 'build') THEN 'BUILD' WHEN contains(lower(c_mktsegment), 'auto') THEN 'AUTO' END AS kind FROM customer"""
 )
 def x3_x9_x13_names(spark, sf_dir):
     n = F.col("c_name")
     return table(spark, sf_dir, "customer").select(
-        F.col("c_custkey").alias("id"), X.strip_value(F.concat(F.lit("12. "), n, F.lit(" :-"))).alias("stripped"), X.clean_name(F.concat(F.lit("1) "), n)).alias("clean"), X.enum_by_containment(F.col("c_mktsegment"), ["BUILD", "AUTO"]).alias("kind")
+        F.col("c_custkey").alias("id"), X.strip_value(F.concat(F.lit("12. "), n, F.lit(" :-"))).alias("stripped"), X.clean_name(F.concat(F.element_at(F.array(F.lit("1) "), F.lit("Husband Name : "), F.lit("தந்தையின் பெயர்: ")), F.col("c_custkey").cast("int") % 3 + 1), n, F.lit("  X . "))).alias("clean"), X.enum_by_containment(F.col("c_mktsegment"), ["BUILD", "AUTO"]).alias("kind")
     )
 
 
@@ -276,29 +275,6 @@ def x35_label_windows(spark, sf_dir):
     return rows.select(F.col("p_partkey").alias("id"), F.array_contains(X.label_windows(F.col("p_name"), "label"), F.substring("p_name", 2, 5)).alias("found"), F.length("p_name").alias("n"))
 
 
-@query(
-    """SELECT id, CASE WHEN relation_type IN ('Father', 'Husband') AND gender <> 'Male' THEN 'gender' WHEN relation_type = 'Mother' AND gender <> 'Female' THEN 'gender' WHEN relation_type IN ('Father', 'Mother') AND 60 - age < 18 THEN 'too young' WHEN relation_type IN ('Father', 'Mother') AND 60 - age > 60 THEN 'too old' WHEN relation_type = 'Husband' AND abs(60 - age) > 35 THEN 'too far apart' END AS refused,
-    CASE WHEN serial >= 85 THEN 'High' WHEN serial >= 70 THEN 'Medium' WHEN serial >= 60 THEN 'Low' ELSE 'None' END AS level FROM electors""",
-    "electors",
-)
-def x29_link_gates(spark, sf_dir):
-    rows = bound(spark, sf_dir, "electors")
-    return rows.select("id", H.gates(F.col("relation_type"), F.col("age"), F.lit(60), F.col("gender")).alias("refused"), H.level(F.col("serial")).alias("level"))
-
-
-@query(
-    """WITH c AS (SELECT part_number, house_number AS family, id, age, serial, (SELECT count(*) FROM electors k WHERE k.relation_name = e.name) AS children FROM electors e WHERE house_number IS NOT NULL)
-    SELECT part_number, family, id AS root FROM c QUALIFY row_number() OVER (PARTITION BY part_number, family ORDER BY children DESC, age DESC NULLS LAST, serial, id) = 1""",
-    "electors",
-)
-def w17_family_roots(spark, sf_dir):
-    people = bound(spark, sf_dir, "electors")
-    named = people.groupBy(F.col("relation_name").alias("name")).agg(F.count(F.lit(1)).alias("children"))
-    rows = people.filter("house_number is not null").join(named, "name", "left")
-    way = Window.partitionBy("part_number", "house_number").orderBy(F.desc(F.coalesce("children", F.lit(0))), F.desc_nulls_last("age"), "serial", "id")
-    return rows.withColumn("_rn", F.row_number().over(way)).filter("_rn = 1").select("part_number", F.col("house_number").alias("family"), F.col("id").alias("root"))
-
-
 @query(
     """SELECT c_custkey AS cell, c_name AS name, (c_custkey % 50)::VARCHAR AS house_number, (20 + c_custkey % 60)::VARCHAR AS age, 'ABC' || lpad(c_custkey::VARCHAR, 7, '0') AS identifier FROM customer"""
 )
@@ -333,14 +309,6 @@ def r9_cover_rows(spark, sf_dir):
     return P.cover_rows(lines, "page", "place", "text", ["station name", "part number"])
 
 
-@query("")
-def r15_household_of_elector(spark, sf_dir):
-    people = bound(spark, sf_dir, "electors").select(
-        "id", F.when(F.col("house_number").isNotNull(), F.concat_ws("|", "part_number", X.building_key(F.col("house_number")))).alias("block"), "name", "relation_type", "relation_name", "age", "gender", "serial", F.col("house_number").alias("house")
-    )
-    return H.household_of(people, 101)
-
-
 @query(
     """WITH e AS (SELECT user_id AS job, event_id % 6 AS batch, count(*) AS n FROM events GROUP BY 1, 2), d AS (SELECT *, batch = 4 AS done FROM e)
     SELECT job, -1 AS batch, 0 AS n, 'snapshot' AS event FROM (SELECT DISTINCT job FROM d) UNION ALL SELECT job, batch, n, CASE WHEN done THEN 'job_done' ELSE 'progress' END FROM d a WHERE batch <= 4 OR NOT EXISTS (SELECT 1 FROM d b WHERE b.job = a.job AND b.done)"""

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from registra.functions import similarity as S
 from registra.functions import text as X
-from registra.operators import household as H
 from registra.operators import mutations as M
 from registra.operators import storage
 from registra.sources import sinks as K
@@ -278,19 +277,3 @@ def x16_x36_file_parts(spark, sf_dir):
     name = F.concat(F.lit("AC"), F.lpad((k % 90).cast("string"), 3, "0"), F.lit("-PART-"), (k % 300).cast("string"), F.lit(".pdf"))
     ac, part = X.file_parts(F.col("f"))
     return table(spark, sf_dir, "customer").select(k.alias("k"), name.alias("f")).select("k", ac.alias("ac"), part.alias("part"))
-
-
-@query("")
-def x10_x12_name_pairs(spark, sf_dir):
-    p = table(spark, sf_dir, "part").select("p_brand", "p_size", "p_partkey", F.lower("p_name").alias("n"))
-    pairs = p.alias("a").join(p.alias("b"), [F.col("a.p_brand") == F.col("b.p_brand"), F.col("a.p_size") == F.col("b.p_size")]).filter("a.p_partkey < b.p_partkey")
-    named = pairs.select(F.col("a.p_partkey").alias("a"), F.col("b.p_partkey").alias("b"), F.col("a.n").alias("x"), F.col("b.n").alias("y"))
-    return S.name_scores(named, "x", "y").select("a", "b", F.round("score", 6).alias("score"), F.round(S.indel_ratio("x", "y"), 6).alias("ratio"))
-
-
-@query("")
-def r14_families(spark, sf_dir):
-    people = bound(spark, sf_dir, "electors").select(
-        "id", F.when(F.col("house_number").isNotNull(), F.concat_ws("|", "part_number", X.building_key(F.col("house_number")))).alias("block"), "name", "relation_type", "relation_name", "age", "gender", "serial", F.col("house_number").alias("house")
-    )
-    return H.families(people)

@@ -99,28 +99,6 @@ def test_folder_listing(spark, tmp_path):
     assert [r.name for r in tables.unregistered(listing_, known).collect()] == ["b.pdf"]
 
 
-def people(spark, rows):
-    return spark.createDataFrame([(i, "b", n, t, r, a, g, i, "1/2") for i, n, t, r, a, g in rows], "id int, block string, name string, relation_type string, relation_name string, age int, gender string, serial int, house string")
-
-
-def test_families(spark):
-    rows = [
-        (1, "Arun Kumar", None, None, 60, "Male"), (2, "Meena Devi", "Husband", "Arun Kumar", 56, "Female"), (3, "Ravi Shankar", "Father", "Arun Kumar", 30, "Male"), (4, "Young Parent", "Father", "Ravi Shankar", 20, "Male"),
-        (5, "Other Wife", "Husband", "Arun Kumar", 50, "Female"), (6, "Lone Person", None, None, 40, "Female"),
-    ]
-    out = {r.id: r for r in household.families(people(spark, rows)).collect()}
-    assert out[1].family == out[2].family == out[3].family == 1
-    assert (out[1].role, out[2].role, out[3].role, out[6].role) == ("Father", "Wife", "Son", "Resident")
-    assert out[5].family == 5  # the marriage is taken
-    assert out[4].family == 4  # ten years are too few
-
-
-def test_cycles_lose_one_link(spark):
-    rows = [(1, "Alpha Beta", "Father", "Gamma Delta", None, None), (2, "Gamma Delta", "Father", "Epsilon Zeta", None, None), (3, "Epsilon Zeta", "Father", "Alpha Beta", None, None), (4, "Theta Iota", "Father", "Alpha Beta", None, None)]
-    links = household.accepted_links(household.declared_links(people(spark, rows)))
-    assert sorted(r.id for r in links.collect()) == [1, 2, 4]
-
-
 #: what confines a SQL twin to a share of the rows
 
 
@@ -130,8 +108,10 @@ def test_numbers_and_chains_have_no_bound(spark):
     found = {(r.doc, r.serial, r.kind) for r in jobs.audit_findings(rows, groups).collect()}
     assert found == {("a", 5, "missing"), ("a", 149_999, "missing"), ("a", 150_001, "extra"), ("a", 150_002, "extra")}
     chain = [(i, i + 1) for i in range(700)] + [(1000, 1001), (1001, 1002), (1002, 1000), (999, 1000)]
-    links = spark.createDataFrame([("x", i, "Father", 30, i, r, 90.0, None) for i, r in chain], "block string, id long, relation_type string, age int, serial int, relative long, score double, reason string")
-    assert household.accepted_links(links).count() == 703
+    nodes = spark.createDataFrame([*chain, (700, None)], "node long, up long")
+    ends = {r.node: (r.root, r.steps) for r in household.chased(nodes).collect()}
+    assert ends == {**{i: (700, 700 - i) for i in range(701)}, **{i: (None, None) for i in (999, 1000, 1001, 1002)}}
+    assert {(r.node, r.ring) for r in household.ring_members(nodes.filter("up is not null")).collect()} == {(i, 1000) for i in (1000, 1001, 1002)}
 
 
 def test_folder_scan_and_import(spark):
