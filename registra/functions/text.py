@@ -218,12 +218,20 @@ def progress_percent(done: Column, total: Column) -> Column:
     return F.when(total > 0, F.round(done * 100.0 / total)).otherwise(0.0)
 
 
-def repaired_signs(c: Column, pairs: dict[str, str], signs: str) -> Column:
-    """Vowel signs put right: known pairs composed first, then only the last of a run is kept."""
-    out = c
-    for a, b in pairs.items():
-        out = F.replace(out, F.lit(a), F.lit(b))
-    return F.regexp_replace(out, f"[{signs}]+(?=[{signs}])", "")
+# Vowel signs, and pairs of them that make up one sign.
+SIGNS = "ாிீுூெேைொோௌௗ"
+SIGN_PAIRS = {"\u0bc6\u0bbe": "\u0bca", "\u0bc7\u0bbe": "\u0bcb", "\u0bc6\u0bd7": "\u0bcc", "ெெ": "ே", "ெே": "ே", "ெொ": "ொ", "ெோ": "ோ", "ிி": "ீ", "ுு": "ூ"}  # escaped where an editor would compose them
+
+
+def repaired_signs(c: Column, pairs: dict[str, str] = SIGN_PAIRS, signs: str = SIGNS) -> Column:
+    """Each run of vowel signs as one sign, composed from left to right: a pair by the table, else the later one."""
+    known = F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair])
+    pieces = F.regexp_extract_all(c, F.lit(f"[{signs}]+|[^{signs}]+"), 0)
+
+    def folded(run: Column) -> Column:
+        return F.aggregate(F.split(run, ""), F.lit(""), lambda done, sign: F.coalesce(F.try_element_at(known, F.concat(done, sign)), sign))
+
+    return F.when(c.rlike(f"[{signs}]{{2}}"), F.array_join(F.transform(pieces, lambda p: F.when((F.length(p) > 1) & p.rlike(f"^[{signs}]"), folded(p)).otherwise(p)), "")).otherwise(c)
 
 
 def enum_by_containment(c: Column, options: list[str]) -> Column:

@@ -6,32 +6,63 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from registra.operators.joins import missing_numbers
-
 from registra.operators.windows import best_per, carried, pick_candidates
 
 # Fixed values of the rules.
-CONSENSUS_LEAST, CONSENSUS_RATIO, LONG_VOWEL_WEIGHT = 3, 3.0, 0.25
+CONSENSUS_LEAST, CONSENSUS_RATIO, REPAIR_RATIO, LONG_VOWEL_WEIGHT = 3, 3.0, 0.8, 0.25
+SHORT_SIGNS, LONG_SIGNS = "ெொ", "ேோாீூ"
 
 
-def consensus(words: DataFrame, scope: str, value: str, skeleton: Column, weight: Column, confidence: str) -> DataFrame:
-    """Decisive spelling of each group of spellings with one skeleton.
+def spelling_groups(words: DataFrame, scope: str, value: str, skeleton: Column, confidence: str, short: str = SHORT_SIGNS, long: str = LONG_SIGNS) -> DataFrame:
+    """Spellings of each group with one skeleton, ranked: scope, skeleton, the spelling, votes, conf, ``rn``,
+    ``runner_up`` and its votes, ``total`` of the group, ``variants``, and ``decisive``.
 
-    Returns scope, skeleton, winner, runner_up, votes, total. A group needs CONSENSUS_LEAST votes
-    and a winner CONSENSUS_RATIO times as heavy as the next spelling.
+    Ranked by votes, each long sign adding a quarter, then plain votes, then summed confidence. The first
+    is decisive with CONSENSUS_LEAST votes in the group, more votes than the next and CONSENSUS_RATIO
+    times as many; if it has a long sign where the next has a short one, REPAIR_RATIO times as many will do.
+    Words are counted before their skeletons are formed.
     """
-    tally = words.groupBy(scope, skeleton.alias("skeleton"), value).agg(F.count(F.lit(1)).alias("votes"), F.sum(confidence).alias("conf"))
-    scored = tally.withColumn("score", F.col("votes") * weight)
-    way = Window.partitionBy(scope, "skeleton").orderBy(F.desc("score"), F.desc("votes"), F.desc("conf"), F.desc(value))
+    tally = words.groupBy(scope, value).agg(F.count(F.lit(1)).alias("votes"), F.sum(confidence).alias("conf")).withColumn("skeleton", skeleton).filter("skeleton != ''")
+    n_long = F.length(value) - F.length(F.regexp_replace(value, f"[{long}]", ""))
+    scored = tally.withColumn("score", F.col("votes") * (1 + LONG_VOWEL_WEIGHT * n_long))
     of = Window.partitionBy(scope, "skeleton")
-    ranked = scored.withColumns({"rn": F.row_number().over(way), "runner_up": F.lead(value).over(way), "next": F.lead("score").over(way), "total": F.sum("votes").over(of)})
-    decisive = (F.col("total") >= CONSENSUS_LEAST) & F.col("runner_up").isNotNull() & (F.col("score") >= CONSENSUS_RATIO * F.col("next"))
-    return ranked.filter((F.col("rn") == 1) & decisive).select(scope, "skeleton", F.col(value).alias("winner"), "runner_up", "votes", "total")
+    way = of.orderBy(F.desc("score"), F.desc("votes"), F.desc("conf"), F.desc(value))
+    ranked = scored.withColumns({"rn": F.row_number().over(way), "runner_up": F.lead(value).over(way), "next_votes": F.lead("votes").over(way), "total": F.sum("votes").over(of), "variants": F.count(F.lit(1)).over(of)})
+    repair = F.col("runner_up").rlike(f"[{short}]") & F.col(value).rlike(f"[{long}]")
+    enough = F.when(repair, F.col("votes") >= REPAIR_RATIO * F.col("next_votes")).otherwise((F.col("votes") > F.col("next_votes")) & (F.col("votes") >= CONSENSUS_RATIO * F.col("next_votes")))
+    return ranked.withColumn("decisive", (F.col("rn") == 1) & F.col("runner_up").isNotNull() & (F.col("total") >= CONSENSUS_LEAST) & F.coalesce(enough, F.lit(False)))
+
+
+def consensus(words: DataFrame, scope: str, value: str, skeleton: Column, confidence: str, short: str = SHORT_SIGNS, long: str = LONG_SIGNS) -> DataFrame:
+    """Decisive spelling of each group: scope, skeleton, winner, runner_up, votes, total."""
+    groups = spelling_groups(words, scope, value, skeleton, confidence, short, long)
+    return groups.filter("decisive").select(scope, "skeleton", F.col(value).alias("winner"), "runner_up", "votes", "total")
 
 
-def suggestions(words: DataFrame, winners: DataFrame, scope: str, value: str, skeleton: Column) -> DataFrame:
-    """Spellings that differ from the winner of their group."""
-    return words.withColumn("skeleton", skeleton).join(winners.select(scope, "skeleton", "winner"), [scope, "skeleton"]).filter(F.col(value) != F.col("winner"))
+def harmonised(fields: DataFrame, winners: DataFrame, scope: str, skeleton: Column, apply: bool = True) -> DataFrame:
+    """Fields (scope, original_value, edited_value, ...) with ``suggested_value``, the new ``edited_value`` and
+    ``spelling_issue``: where the effective value differs from the winner of its group.
+
+    Originals are never touched; ``apply`` also edits.
+    """
+    value = F.trim(F.coalesce("edited_value", "original_value", F.lit("")))
+    rows = fields.withColumn("_v", value).withColumn("skeleton", skeleton).join(winners.select(scope, "skeleton", "winner"), [scope, "skeleton"], "left")
+    odd = F.coalesce((F.col("_v") != "") & (F.col("winner") != F.col("_v")), F.lit(False))
+    if apply:
+        said = F.concat(F.lit("Spelling harmonised to '"), F.col("winner"), F.lit("' (OCR read '"), F.col("original_value"), F.lit("'); the majority reading across this batch"))
+    else:
+        said = F.concat(F.lit("Majority spelling across this batch is '"), F.col("winner"), F.lit("' (OCR read '"), F.col("_v"), F.lit("')"))
+    out = rows.withColumns({"suggested_value": F.when(odd, F.col("winner")), "spelling_issue": F.when(odd, said)})
+    if apply:
+        out = out.withColumn("edited_value", F.when(odd, F.col("winner")).otherwise(F.col("edited_value")))
+    return out.drop("_v", "skeleton", "winner")
+
+
+def consensus_report(groups: DataFrame, harmonised_fields: DataFrame) -> DataFrame:
+    """One row: groups, those with several spellings, those decided, fields with a suggestion."""
+    first = groups.filter("rn = 1")
+    n = first.agg(F.count(F.lit(1)).alias("groups_examined"), F.count_if(F.col("variants") > 1).alias("groups_with_conflict"), F.count_if(F.col("decisive")).alias("groups_decided"))
+    return n.join(F.broadcast(harmonised_fields.agg(F.count("suggested_value").alias("suggestions"))))
 
 
 def promote(candidates: DataFrame, current: DataFrame, overwrite: bool = True, only_clean: bool = False) -> DataFrame:
@@ -49,54 +80,6 @@ def promote(candidates: DataFrame, current: DataFrame, overwrite: bool = True, o
     return joined.select("epic", "record_id", value.alias("quantity"), "deleted", "reason", status.alias("status"))
 
 
-def audit_findings(rows: DataFrame, documents: DataFrame) -> DataFrame:
-    """Findings of an audit: ``doc``, ``serial``, ``kind``.
-
-    rows: doc, serial, record_id, epic, age. documents: doc, expected. A row without serial is
-    incorrect and not looked at further.
-    """
-    numbered = rows.filter("serial is not null")
-    null_serial = rows.filter("serial is null").select("doc", F.lit(None).cast("int").alias("serial"), F.lit("null serial").alias("kind"))
-    way = lambda k: Window.partitionBy("doc", k).orderBy("serial", "record_id")
-    marked = numbered.withColumns({"_s": F.row_number().over(way("serial")), "_e": F.row_number().over(way("epic"))})
-    kinds = F.array_compact(
-        F.array(F.when(F.col("_s") > 1, "duplicate serial"), F.when((F.col("_e") > 1) & (F.col("_s") == 1), "duplicate epic"), F.when(~F.col("age").between(18, 125), "age"))
-    )
-    checks = marked.select("doc", "serial", F.explode(kinds).alias("kind"))
-    known = numbered.select("doc", "serial").distinct()
-    missing = missing_numbers(documents, known, "doc", "serial", "expected").withColumn("kind", F.lit("missing"))
-    # a number within the expected ones needs no look at each of them
-    within = F.col("serial").between(1, F.coalesce("expected", F.lit(0)))
-    extra = known.join(documents.select("doc", "expected").distinct(), "doc", "left").groupBy("doc", "serial").agg(F.max(within).alias("_in")).filter(~F.col("_in")).withColumn("kind", F.lit("extra"))
-    out = null_serial
-    for part in (checks, missing, extra):
-        out = out.unionByName(part.select("doc", "serial", "kind"))
-    return out
-
-
-def audit_report(findings: DataFrame, rows: DataFrame, documents: DataFrame) -> DataFrame:
-    """A row for each document: counts by kind, pass percentage and verdict."""
-    one = lambda k, n: F.sum((F.col("kind") == k).cast("int")).alias(n)
-    incorrect = F.sum(F.col("kind").isin("null serial", "age").cast("int")).alias("incorrect")
-    counts = findings.groupBy("doc").agg(one("missing", "missing"), one("extra", "extra"), incorrect, F.sum(F.col("kind").startswith("duplicate").cast("int")).alias("duplicates"))
-    found = rows.groupBy("doc").agg(F.count(F.lit(1)).alias("extracted"))
-    out = documents.join(found, "doc", "left").join(counts, "doc", "left").fillna(0, ["extracted", "missing", "extra", "incorrect", "duplicates"])
-    matched = F.greatest(F.lit(0), F.col("extracted") - F.col("extra") - F.col("incorrect") - F.col("duplicates"))
-    rate = F.when(F.col("expected") > 0, F.least(F.lit(100.0), F.round(F.col("matched") * 100.0 / F.col("expected"), 1))).otherwise(0.0)
-    out = out.withColumn("matched", matched).withColumn("pass_rate", rate)
-    clean = (F.col("missing") + F.col("extra") + F.col("incorrect") + F.col("duplicates")) == 0
-    verdict = F.when(clean & (F.col("pass_rate") >= 100), "PASS").when(F.col("pass_rate") >= 50, "PARTIAL").otherwise("FAIL")
-    return out.withColumn("verdict", verdict)
-
-
-def audit_summary(report: DataFrame) -> DataFrame:
-    """The whole corpus in one row."""
-    n = F.count(F.lit(1))
-    passed = F.sum((F.col("verdict") == "PASS").cast("int"))
-    overall = F.when(passed == n, "PASS").when(F.avg("pass_rate") >= 50, "PARTIAL").otherwise("FAIL")
-    return report.agg(n.alias("documents"), passed.alias("passed"), F.sum("missing").alias("missing"), F.sum("duplicates").alias("duplicates"), F.round(F.avg("pass_rate"), 1).alias("pass_rate"), overall.alias("verdict"))
-
-
 def section_names(rows: DataFrame, file: str, section: str, number: Column) -> DataFrame:
     """One name for each section number of a file: most seen, then longest, then greatest."""
     seen = rows.filter(F.trim(section) != "").groupBy(file, number.alias("number"), section).agg(F.count(F.lit(1)).alias("n"))

@@ -48,6 +48,42 @@ FROM (
            CAST((floor((c_custkey - 1) / 8) * 5 + (c_custkey - 1) % 8 * 11) % 76 AS INT) AS first, CAST(floor((c_custkey - 1) / 8) * 3 % 70 AS INT) AS last,
            CAST((floor((c_custkey - 1) / 8) * 5 + CASE (c_custkey - 1) % 8 WHEN 0 THEN 4 WHEN 1 THEN 0 WHEN 2 THEN 0 WHEN 3 THEN 2 WHEN 4 THEN 2 WHEN 5 THEN 3 WHEN 6 THEN 4 ELSE 2 END * 11) % 76 AS INT) AS rel_first
     FROM customer) k) r""",
+    # a document an order; some files are named a little otherwise, some are not there
+    "roll_documents": """SELECT concat('AC', lpad(CAST(o_orderkey % 240 + 1 AS VARCHAR(20)), 3, '0'), '-PART-', CAST(o_orderkey AS VARCHAR(20)), '.pdf') AS doc FROM orders""",
+    "roll_files": """SELECT concat('F', CAST(o_orderkey AS VARCHAR(20))) AS file_id, concat('AC', lpad(CAST(o_orderkey % 240 + 1 AS VARCHAR(20)), 3, '0'), '-PART-', CAST(o_orderkey AS VARCHAR(20)), CASE WHEN o_orderkey % 2 = 0 THEN '.pdf' ELSE ' v2.pdf' END) AS name FROM orders WHERE o_orderkey % 5 <> 4""",
+    "roll_stations": """SELECT concat('F', CAST(o_orderkey AS VARCHAR(20))) AS file_id, CASE WHEN o_orderkey % 4 = 0 THEN 0 WHEN o_orderkey % 4 = 1 THEN NULL ELSE CAST(3 + o_custkey % 3 AS INT) END AS total_electors, CASE WHEN o_orderkey % 8 = 1 THEN 6 END AS serial_end FROM orders WHERE o_orderkey % 6 <> 5""",
+    "roll_summaries": """SELECT concat('F', CAST(o_orderkey AS VARCHAR(20))) AS file_id, CASE WHEN o_orderkey % 12 = 0 THEN 2 ELSE 0 END AS total_voters, CASE WHEN o_orderkey % 12 = 4 THEN 5 END AS extracted_records FROM orders WHERE o_orderkey % 3 <> 2""",
+    "roll_electors": """
+SELECT concat(CAST(l_orderkey AS VARCHAR(20)), '-', CAST(l_linenumber AS VARCHAR(20)), '-', CAST(l_partkey AS VARCHAR(20)), '-', CAST(l_suppkey AS VARCHAR(20)), '-', CAST(l_quantity AS VARCHAR(20)), '-', CAST(l_extendedprice AS VARCHAR(30))) AS record_id,
+       CASE WHEN l_orderkey % 7 <> 3 THEN concat('F', CAST(l_orderkey AS VARCHAR(20))) END AS file_id, CAST(l_orderkey AS VARCHAR(20)) AS part_number, concat('no ', CAST(l_orderkey % 240 + 1 AS VARCHAR(20)), ' north') AS constituency,
+       CASE WHEN l_partkey % 50 = 0 THEN NULL ELSE CAST(l_linenumber AS INT) END AS serial,
+       CASE WHEN l_partkey % 23 = 0 THEN '' WHEN l_partkey % 29 = 0 THEN 'unknown 1' WHEN l_partkey % 31 = 0 THEN ' ab1' ELSE concat(' ep', lpad(CAST(l_partkey % 40 AS VARCHAR(20)), 5, '0')) END AS epic,
+       CASE WHEN l_suppkey % 37 = 0 THEN NULL WHEN l_suppkey % 41 = 0 THEN ' x ' ELSE concat('N', CAST(l_suppkey AS VARCHAR(20))) END AS name,
+       CASE WHEN l_partkey % 43 = 0 THEN NULL ELSE CAST(16 + l_suppkey % 112 AS INT) END AS age,
+       CASE WHEN l_partkey % 47 = 0 THEN NULL WHEN l_linenumber = 7 THEN 'male' WHEN l_linenumber % 2 = 0 THEN 'Female' ELSE 'ஆண்' END AS gender, CAST(l_orderkey % 40 AS INT) AS page_number
+FROM lineitem""",
+    # records to promote, their pages, files and stations, and the register as it is
+    "raw_records": """
+SELECT concat(CAST(l_orderkey AS VARCHAR(20)), '-', CAST(l_linenumber AS VARCHAR(20)), '-', CAST(l_partkey AS VARCHAR(20)), '-', CAST(l_suppkey AS VARCHAR(20)), '-', CAST(l_quantity AS VARCHAR(20)), '-', CAST(l_extendedprice AS VARCHAR(30))) AS record_id,
+       l_orderkey AS page_id, concat('F', CAST(l_suppkey AS VARCHAR(20))) AS file_id, CAST(l_orderkey % 40 AS INT) AS page_number, CAST(l_linenumber AS INT) AS idx, CASE WHEN l_tax > 0.05 THEN 1 ELSE 0 END AS error_count,
+       CASE WHEN l_partkey % 53 = 0 THEN NULL WHEN l_partkey % 59 = 0 THEN ' - ' ELSE concat('abc-', lpad(CAST(l_partkey AS VARCHAR(20)), 7, '0')) END AS epic,
+       concat('Name ', CAST(l_suppkey AS VARCHAR(20))) AS name, CASE WHEN l_linenumber = 3 THEN concat('S', CAST(l_orderkey AS VARCHAR(20))) ELSE CAST(l_linenumber AS VARCHAR(20)) END AS serial,
+       CASE WHEN l_suppkey % 2 = 0 THEN 'Father' ELSE '' END AS relation_type, CASE WHEN l_suppkey % 2 = 0 THEN 'Rel' END AS relation_name, concat(CAST(l_partkey % 90 AS VARCHAR(20)), '/1') AS house_number,
+       CASE WHEN l_partkey % 11 = 0 THEN '4O' ELSE CAST(18 + l_suppkey % 80 AS VARCHAR(20)) END AS age, CASE WHEN l_partkey % 2 = 0 THEN 'Male' ELSE 'Female' END AS gender,
+       CASE WHEN l_returnflag = 'R' THEN 'Yes' ELSE '' END AS is_deleted, CASE WHEN l_returnflag = 'R' AND l_linenumber % 2 = 0 THEN concat('reason ', CAST(l_linenumber AS VARCHAR(20))) WHEN l_linenumber = 5 THEN 'stray' ELSE '' END AS deletion_reason,
+       CASE WHEN l_linenumber = 4 THEN concat('Section ', CAST(l_suppkey % 5 AS VARCHAR(20))) ELSE '' END AS section_name
+FROM lineitem""",
+    "raw_pages": """SELECT o_orderkey AS page_id, CASE WHEN o_orderstatus = 'P' THEN 'supplement_page' ELSE 'elector_page' END AS page_type, concat('Header ', o_orderpriority) AS header_text FROM orders""",
+    "raw_files": """SELECT concat('F', CAST(s_suppkey AS VARCHAR(20))) AS file_id, concat('part ', CAST(s_suppkey AS VARCHAR(20)), CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE concat(' Revision', CAST(s_suppkey % 3 AS VARCHAR(20))) END, '.pdf') AS file_name FROM supplier""",
+    "raw_stations": """
+SELECT concat('F', CAST(s_suppkey AS VARCHAR(20))) AS file_id, concat('S', CAST(s_suppkey AS VARCHAR(20))) AS station_id, CAST(s_suppkey AS VARCHAR(20)) AS part_number, CASE WHEN s_suppkey % 4 = 0 THEN '' ELSE CAST(s_nationkey AS VARCHAR(20)) END AS ac_number,
+       CASE WHEN s_suppkey % 7 = 0 THEN NULL ELSE concat('Town ', CAST(s_nationkey AS VARCHAR(20))) END AS ac_name, CASE WHEN s_suppkey % 9 = 0 THEN NULL ELSE s_name END AS address
+FROM supplier WHERE s_suppkey % 5 <> 0""",
+    "raw_current": """
+SELECT concat('ABC', lpad(CAST(p_partkey AS VARCHAR(20)), 7, '0')) AS epic, concat('V', CAST(p_partkey AS VARCHAR(20))) AS voter_id, CAST(p_size AS INT) AS serial, p_name AS name, '' AS relation_type, '' AS relation_name, '9/1' AS house_number, CAST(20 + p_size AS INT) AS age, 'Male' AS gender,
+       '1' AS part_number, 'old' AS constituency, p_size % 9 = 0 AS is_deleted, CASE WHEN p_size % 9 = 0 THEN 'gone' ELSE '' END AS deletion_reason, 'S0' AS polling_station_id, false AS is_supplement, 'Old section' AS section_name,
+       'old' AS source_record_id, CAST(0 AS BIGINT) AS source_page_id, 'F0' AS source_file_id, '' AS source_file_name, CAST(1 AS INT) AS page_number
+FROM part WHERE p_partkey % 3 = 0""",
     # one polling station a nation, with a JSON payload
     "stations": """
 SELECT CAST(n_nationkey AS VARCHAR(20)) AS station_id, concat('F', CAST(n_nationkey AS VARCHAR(20))) AS file_id, CAST(n_nationkey AS VARCHAR(20)) AS part_number,

@@ -136,61 +136,6 @@ def s10_file_list(spark, sf_dir):
     return files.select("file_id", "pages", F.when(F.col("ms") > 0, F.round(F.col("ms") / 1000, 1)).alias("ocr_seconds")).orderBy(F.desc("file_id")).limit(200)
 
 
-DOCS = """rows AS (SELECT o_orderkey AS doc, CASE WHEN l_partkey % 50 = 0 THEN NULL ELSE l_linenumber END AS serial, concat(l_partkey, '-', l_suppkey, '-', l_quantity, '-', l_extendedprice) AS record_id,
-  l_partkey % 20 AS epic, (16 + l_suppkey % 100)::INT AS age FROM orders JOIN lineitem ON l_orderkey = o_orderkey),
-documents_ AS (SELECT o_orderkey AS doc, 7 AS expected FROM orders),
-numbered AS (SELECT *, row_number() OVER (PARTITION BY doc, serial ORDER BY serial, record_id) AS s, row_number() OVER (PARTITION BY doc, epic ORDER BY serial, record_id) AS e FROM rows WHERE serial IS NOT NULL),
-known AS (SELECT DISTINCT doc, serial FROM numbered),
-wanted AS (SELECT doc, unnest(range(1, 8))::INT AS serial FROM documents_),
-findings AS (
-  SELECT doc, NULL::INT AS serial, 'null serial' AS kind FROM rows WHERE serial IS NULL
-  UNION ALL SELECT doc, serial, 'duplicate serial' FROM numbered WHERE s > 1
-  UNION ALL SELECT doc, serial, 'duplicate epic' FROM numbered WHERE e > 1 AND s = 1
-  UNION ALL SELECT doc, serial, 'age' FROM numbered WHERE NOT age BETWEEN 18 AND 125
-  UNION ALL SELECT doc, serial, 'missing' FROM wanted ANTI JOIN known USING (doc, serial)
-  UNION ALL SELECT doc, serial, 'extra' FROM known ANTI JOIN wanted USING (doc, serial)),
-c AS (SELECT doc, sum((kind = 'missing')::INT) AS missing, sum((kind = 'extra')::INT) AS extra, sum((kind IN ('null serial', 'age'))::INT) AS incorrect, sum((kind LIKE 'duplicate%')::INT) AS duplicates FROM findings GROUP BY 1),
-x AS (SELECT doc, count(*) AS extracted FROM rows GROUP BY 1),
-j AS (SELECT d.doc, expected, coalesce(extracted, 0) AS extracted, coalesce(missing, 0)::BIGINT AS missing, coalesce(extra, 0)::BIGINT AS extra, coalesce(incorrect, 0)::BIGINT AS incorrect, coalesce(duplicates, 0)::BIGINT AS duplicates
-  FROM documents_ d LEFT JOIN x USING (doc) LEFT JOIN c USING (doc)),
-r AS (SELECT *, greatest(0, extracted - extra - incorrect - duplicates)::BIGINT AS matched FROM j),
-report AS (SELECT *, least(100.0, round(matched * 100.0 / expected, 1))::DOUBLE AS pass_rate,
-  CASE WHEN missing + extra + incorrect + duplicates = 0 AND matched >= expected THEN 'PASS' WHEN round(matched * 100.0 / expected, 1) >= 50 THEN 'PARTIAL' ELSE 'FAIL' END AS verdict FROM r)"""
-
-
-def _audit(spark, sf_dir):
-    orders, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
-    rows = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
-        F.col("o_orderkey").alias("doc"),
-        F.when(F.col("l_partkey") % 50 != 0, F.col("l_linenumber")).alias("serial"),
-        F.concat_ws("-", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice").alias("record_id"),
-        (F.col("l_partkey") % 20).alias("epic"),
-        (16 + F.col("l_suppkey") % 100).cast("int").alias("age"),
-    )
-    documents = orders.select(F.col("o_orderkey").alias("doc"), F.lit(7).alias("expected"))
-    return rows, documents, J.audit_findings(rows, documents)
-
-
-@query(f"WITH {DOCS} SELECT kind, serial, count(*) AS n FROM findings GROUP BY ALL")
-def r13_audit_findings(spark, sf_dir):
-    return _audit(spark, sf_dir)[2].groupBy("kind", "serial").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query(f"WITH {DOCS} SELECT * FROM report")
-def g16_audit_report(spark, sf_dir):
-    rows, documents, findings = _audit(spark, sf_dir)
-    return J.audit_report(findings, rows, documents)
-
-
-@query(
-    f"""WITH {DOCS} SELECT count(*) AS documents, sum((verdict = 'PASS')::INT) AS passed, sum(missing)::BIGINT AS missing, sum(duplicates)::BIGINT AS duplicates, round(avg(pass_rate), 1) AS pass_rate,
-    CASE WHEN sum((verdict = 'PASS')::INT) = count(*) THEN 'PASS' WHEN avg(pass_rate) >= 50 THEN 'PARTIAL' ELSE 'FAIL' END AS verdict FROM report"""
-)
-def g17_audit_summary(spark, sf_dir):
-    rows, documents, findings = _audit(spark, sf_dir)
-    return J.audit_summary(J.audit_report(findings, rows, documents))
-
-
 @query(
     """WITH n AS (SELECT file_id, regexp_extract(section, '^\\s*(\\d+)', 1) AS number, section, count(*) AS n FROM headed WHERE trim(section) <> '' GROUP BY ALL)
     SELECT file_id, number, section AS canonical FROM n WHERE number <> '' QUALIFY row_number() OVER (PARTITION BY file_id, number ORDER BY n DESC, length(section) DESC, section DESC) = 1""",
@@ -258,19 +203,42 @@ def w15_newest_row(spark, sf_dir):
 
 
 TOKENS = """t AS (SELECT source, unnest(string_split_regex(lower(text), '[^a-zäöüéèíóñ]+')) AS word, n_chars FROM documents)"""
+GROUPS = f"""{TOKENS}, g0 AS (SELECT source, word, count(*) AS votes, sum(n_chars)::DOUBLE AS conf FROM t WHERE length(word) > 3 GROUP BY ALL),
+    g AS (SELECT *, regexp_replace(word, '[aeiouäöüéèíóñ]', '', 'g') AS skeleton, votes * (1 + 0.25 * (length(word) - length(regexp_replace(word, '[äöüéíó]', '', 'g')))) AS score FROM g0),
+    r AS (SELECT *, row_number() OVER w AS rn, lead(word) OVER w AS runner_up, lead(votes) OVER w AS next, sum(votes) OVER (PARTITION BY source, skeleton) AS total FROM g WHERE skeleton <> ''
+      WINDOW w AS (PARTITION BY source, skeleton ORDER BY score DESC, votes DESC, conf DESC, word DESC)),
+    won AS (SELECT source, skeleton, word AS winner, runner_up, votes, total::BIGINT AS total FROM r WHERE rn = 1 AND total >= 3 AND runner_up IS NOT NULL
+      AND CASE WHEN regexp_matches(runner_up, '[aeo]') AND regexp_matches(word, '[äöüéíó]') THEN votes >= 0.8 * next ELSE votes > next AND votes >= 3.0 * next END)"""
+
+
+def _words(spark, sf_dir):
+    words = table(spark, sf_dir, "documents").select("source", F.explode(F.split(F.lower("text"), "[^a-zäöüéèíóñ]+")).alias("word"), F.col("n_chars").cast("double").alias("conf"))
+    return words.filter(F.length("word") > 3)
+
+
+def _winners(spark, sf_dir):
+    return J.consensus(_words(spark, sf_dir), "source", "word", X.skeleton(F.col("word"), "[aeiouäöüéèíóñ]"), "conf", "aeo", "äöüéíó")
+
+
+@query(f"WITH {GROUPS} SELECT * FROM won")
+def r11_w8_spelling_consensus(spark, sf_dir):
+    return _winners(spark, sf_dir)
 
 
 @query(
-    f"""WITH {TOKENS}, g0 AS (SELECT source, word, count(*) AS votes, sum(n_chars)::DOUBLE AS conf FROM t WHERE length(word) > 3 GROUP BY ALL),
-    g AS (SELECT *, regexp_replace(word, '[aeiouäöüéèíóñ]', '', 'g') AS skeleton, votes * (1 + 0.25 * (length(word) - length(regexp_replace(word, '[aeiouäöü]', '', 'g')))) AS score FROM g0),
-    r AS (SELECT *, row_number() OVER w AS rn, lead(word) OVER w AS runner_up, lead(score) OVER w AS next, sum(votes) OVER (PARTITION BY source, skeleton) AS total FROM g
-      WINDOW w AS (PARTITION BY source, skeleton ORDER BY score DESC, votes DESC, conf DESC, word DESC))
-    SELECT source, skeleton, word AS winner, runner_up, votes, total::BIGINT AS total FROM r WHERE rn = 1 AND total >= 3 AND runner_up IS NOT NULL AND score >= 3.0 * next"""
+    f"""WITH {GROUPS}, f AS (SELECT doc_id, source, regexp_extract(lower(text), '^[^a-zäöüéèíóñ]*([a-zäöüéèíóñ]+)', 1) AS first, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE regexp_extract(lower(text), '([a-zäöüéèíóñ]+)[^a-zäöüéèíóñ]*$', 1) END AS last FROM documents),
+    e AS (SELECT *, trim(coalesce(last, first, '')) AS v FROM f)
+    SELECT doc_id, CASE WHEN v <> '' AND winner <> v THEN winner ELSE last END AS edited_value, CASE WHEN v <> '' AND winner <> v THEN winner END AS suggested_value,
+      CASE WHEN v <> '' AND winner <> v THEN 'Spelling harmonised to ' || chr(39) || winner || chr(39) || ' (OCR read ' || chr(39) || first || chr(39) || '); the majority reading across this batch' END AS spelling_issue
+    FROM e LEFT JOIN won ON won.source = e.source AND won.skeleton = regexp_replace(e.v, '[aeiouäöüéèíóñ]', '', 'g')"""
 )
-def r11_w8_spelling_consensus(spark, sf_dir):
-    words = table(spark, sf_dir, "documents").select("source", F.explode(F.split(F.lower("text"), "[^a-zäöüéèíóñ]+")).alias("word"), F.col("n_chars").cast("double").alias("conf")).filter(F.length("word") > 3)
-    weight = 1 + 0.25 * X.long_vowels(F.col("word"), "aeiouäöü")
-    return J.consensus(words, "source", "word", X.skeleton(F.col("word"), "[aeiouäöüéèíóñ]"), weight, "conf")
+def r11_suggestions_written_back(spark, sf_dir):
+    low, word = F.lower("text"), "[a-zäöüéèíóñ]+"
+    first = F.regexp_extract(low, f"^[^a-zäöüéèíóñ]*({word})", 1)
+    last = F.when(F.col("doc_id") % 5 != 0, F.regexp_extract(low, f"({word})[^a-zäöüéèíóñ]*$", 1))
+    fields = table(spark, sf_dir, "documents").select("doc_id", "source", first.alias("original_value"), last.alias("edited_value"))
+    out = J.harmonised(fields, stored(_winners(spark, sf_dir), "winners"), "source", X.skeleton(F.col("_v"), "[aeiouäöüéèíóñ]"))
+    return out.select("doc_id", "edited_value", "suggested_value", "spelling_issue")
 
 
 @query(

@@ -48,12 +48,6 @@ def p16_photo_list(spark, sf_dir):
     return rows.select(F.col("event_id").alias("photo_id"), F.col("user_id").alias("voter_id"))
 
 
-@query("SELECT record_id FROM candidates WHERE (is_clean OR is_deleted) AND page_number IN (1, 2, 3)", "candidates")
-def p20_promotion_scope(spark, sf_dir):
-    pages = spark.createDataFrame([(1,), (2,), (3,)], "page_number int")
-    return bound(spark, sf_dir, "candidates").join(F.broadcast(pages), "page_number", "left_semi").filter(F.col("is_clean") | F.col("is_deleted")).select("record_id")
-
-
 @query(
     """SELECT f, (row_number() OVER (ORDER BY coalesce(try_cast(regexp_extract(f, '(\\d+)', 1) AS INT), 0), f))::INT AS place FROM (SELECT DISTINCT 'file ' || s_suppkey || '.pdf' AS f FROM supplier WHERE contains(lower(s_name), '1'))"""
 )
@@ -81,23 +75,6 @@ def j13_lines_to_bands(spark, sf_dir):
     return out.filter("band between 0 and 3").select("page_id", "line_id", "band")
 
 
-@query(
-    """WITH d AS (SELECT 'AC' || lpad((n_regionkey)::VARCHAR, 3, '0') || '-PART-' || n_nationkey || CASE WHEN n_nationkey % 2 = 0 THEN '.pdf' ELSE ' v2.pdf' END AS doc, n_nationkey AS part, n_regionkey AS ac FROM nation),
-    s AS (SELECT 'AC' || lpad((n_regionkey)::VARCHAR, 3, '0') || '-PART-' || n_nationkey || '.pdf' AS name, n_nationkey AS file_id, n_nationkey AS part, n_regionkey AS ac FROM nation WHERE n_nationkey % 5 <> 4)
-    SELECT d.doc, coalesce(a.file_id, b.file_id) AS file_id, CASE WHEN a.file_id IS NOT NULL THEN 'name' WHEN b.file_id IS NOT NULL THEN 'pattern' END AS matched_by FROM d LEFT JOIN s a ON a.name = d.doc LEFT JOIN s b ON b.part = d.part AND b.ac = d.ac"""
-)
-def j18_documents_to_files(spark, sf_dir):
-    n = table(spark, sf_dir, "nation")
-    stem = F.concat(F.lit("AC"), F.lpad(F.col("n_regionkey").cast("string"), 3, "0"), F.lit("-PART-"), F.col("n_nationkey").cast("string"))
-    docs = n.select(F.concat(stem, F.when(F.col("n_nationkey") % 2 == 0, ".pdf").otherwise(" v2.pdf")).alias("doc"))
-    files = n.filter("n_nationkey % 5 != 4").select(F.concat(stem, F.lit(".pdf")).alias("name"), F.col("n_nationkey").alias("file_id"))
-    (da, dp), (fa, fp) = X.file_parts(F.col("doc")), X.file_parts(F.col("name"))
-    docs, files = docs.withColumns({"ac": da, "part": dp}), files.withColumns({"ac": fa, "part": fp})
-    out = docs.join(files.select(F.col("name").alias("doc"), F.col("file_id").alias("by_name")), "doc", "left").join(files.select("ac", "part", F.col("file_id").alias("by_pattern")), ["ac", "part"], "left")
-    how = F.when(F.col("by_name").isNotNull(), "name").when(F.col("by_pattern").isNotNull(), "pattern")
-    return out.select("doc", F.coalesce("by_name", "by_pattern").alias("file_id"), how.alias("matched_by"))
-
-
 @query(
     """SELECT e.id, e.page_number, s.name AS station, count(o_orderkey) AS sources FROM electors e LEFT JOIN stations s USING (part_number) LEFT JOIN orders ON o_custkey = e.id WHERE e.part_number = '4' GROUP BY 1, 2, 3""", "electors", "stations"
 )
@@ -237,11 +214,15 @@ def s8_catalog_scan(spark, sf_dir):
     return columns.select("table_name", "position", "column_name").join(F.broadcast(size))
 
 
+X2_PAIRS = {"aä": "ä", "oo": "ö", "ee": "i", "ue": "ü", "ei": "e", "ie": "i", "aa": "ä", "ou": "u", "ae": "ä"}
+
+
 @query(
-    """SELECT doc_id, regexp_replace(replace(text, 'aä', 'ä'), '[äöü]+([äöü])', '\\1', 'g') AS text FROM documents WHERE lang = 'de'"""
+    f"""SELECT doc_id, array_to_string(list_transform(regexp_extract_all(text, '(?s)[aeiouäöü]+|[^aeiouäöü]+'), lambda p: CASE WHEN length(p) > 1 AND regexp_matches(p, '^[aeiouäöü]')
+      THEN list_reduce(list_prepend('', string_split(p, '')), lambda done, sign: CASE done || sign {" ".join(f"WHEN '{a}' THEN '{b}'" for a, b in X2_PAIRS.items())} ELSE sign END) ELSE p END), '') AS text FROM documents"""
 )
 def x2_sign_repair(spark, sf_dir):
-    return table(spark, sf_dir, "documents").filter("lang = 'de'").select("doc_id", X.repaired_signs(F.col("text"), {"aä": "ä"}, "äöü").alias("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", X.repaired_signs(F.col("text"), X2_PAIRS, "aeiouäöü").alias("text"))
 
 
 @query(

@@ -25,7 +25,7 @@ def test_digits_and_counts(spark):
 
 
 def test_houses(spark):
-    assert values(spark, X.building_key, ["12/3", "12A", "12 - 4 - 1", "0", "NIL", None, "7"]) == ["12", "12", "12/4", None, None, None, "7"]
+    assert values(spark, X.building_key, ["12/3", "12A", "12 - 4 - 1", "0", "NIL", None, "7"]) == ["12-3", "12", "12-4", None, None, None, "7"]
 
 
 def test_file_names(spark):
@@ -35,7 +35,7 @@ def test_file_names(spark):
 
 
 def test_names_and_reasons(spark):
-    assert values(spark, X.clean_name, ["Name: 1. Ab-Cd", "Father's Name : X  Y", " q "]) == ["ab cd", "father s name x y", "q"]
+    assert values(spark, X.clean_name, ["Name: 1. Ab-Cd", "Father's Name : X  Y", " q "]) == ["ab-cd", "father's name : x y", "q"]
     assert values(spark, X.reason_text, ["E", "s 12", "Z", None]) == ["Expired", "Shifted", None, None]
 
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from registra.operators import household, infographic, jobs, joins, listing, mutations, windows
+from registra.operators import audit, household, infographic, jobs, joins, listing, mutations, windows
 from registra.sources import sinks, tables
 
 SF = "/root/testdata/sf0.001"
@@ -104,9 +104,12 @@ def test_folder_listing(spark, tmp_path):
 
 def test_numbers_and_chains_have_no_bound(spark):
     groups = spark.createDataFrame([("a", 150_000), ("b", 0)], "doc string, expected int")
-    rows = spark.range(1, 150_003).filter("id not in (5, 149999)").select(F.lit("a").alias("doc"), F.col("id").cast("int").alias("serial"), F.col("id").cast("string").alias("record_id"), F.col("id").cast("string").alias("epic"), F.lit(40).alias("age"))
-    found = {(r.doc, r.serial, r.kind) for r in jobs.audit_findings(rows, groups).collect()}
-    assert found == {("a", 5, "missing"), ("a", 149_999, "missing"), ("a", 150_001, "extra"), ("a", 150_002, "extra")}
+    rows = spark.range(1, 150_003).filter("id not in (5, 149999)").select(F.lit("a").alias("doc"), F.col("id").cast("int").alias("serial"), F.col("id").cast("string").alias("record_id"), F.concat(F.lit("EPIC"), "id").alias("epic"), F.lit(40).alias("age"), F.lit("Some Name").alias("name"), F.lit("Male").alias("gender"), F.lit(3).alias("page_number"))
+    totals = groups.withColumn("extracted", F.lit(150_000).cast("long"))
+    marked = audit.marked_electors(rows, totals)
+    found = {(r.doc, r.serial_number, r.field_name, r.db_value[:7]) for r in audit.mismatches(marked, totals).collect()}
+    assert found == {("a", 5, "record_presence", "MISSING"), ("a", 149_999, "record_presence", "MISSING"), ("a", 150_001, "record_presence", "Serial "), ("a", 150_002, "record_presence", "Serial ")}
+    assert {(r.doc, r.missing, r.extra, r.status) for r in audit.report(marked, totals).collect()} >= {("a", 2, 2, "PARTIAL")}
     chain = [(i, i + 1) for i in range(700)] + [(1000, 1001), (1001, 1002), (1002, 1000), (999, 1000)]
     nodes = spark.createDataFrame([*chain, (700, None)], "node long, up long")
     ends = {r.node: (r.root, r.steps) for r in household.chased(nodes).collect()}
