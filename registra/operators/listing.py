@@ -9,6 +9,9 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from registra.operators.similar import holders
+from registra.operators.storage import stored
+
 
 def holds(c: Column, text: str) -> Column:
     """Literal, case-insensitive search."""
@@ -70,13 +73,52 @@ def natural_number(c: Column) -> Column:
 def cascade(keys: DataFrame, rows: DataFrame, key: str, id_col: str, exact: list[str], partial: list[str]) -> DataFrame:
     """For each key the row of the first tier that holds it: exact columns in turn, then partial.
 
-    Exact tiers are equi-joins; only keys without an exact hit are searched for in part.
+    Exact tiers are equi-joins; only keys without an exact hit are searched for in part, through an
+    index of grams. An empty key is held by no row.
     """
     low = F.lower(F.col(key))
     tiers = [keys.join(rows.select(F.lower(F.col(c).cast("string")).alias("_v"), F.col(id_col).alias("_id")), low == F.col("_v")).select(key, F.lit(i).alias("tier"), "_id") for i, c in enumerate(exact)]
     found = functools.reduce(DataFrame.unionByName, tiers)
     best = found.groupBy(key).agg(F.min(F.struct("tier", "_id")).alias("_b"))
-    rest = keys.join(best, key, "left_anti")
+    rest = keys.join(best, key, "left_anti").withColumn("_low", low)
     text = F.concat_ws("\n", *[F.lower(F.col(c).cast("string")) for c in partial])
-    part = rest.join(rows.select(F.col(id_col).alias("_id"), text.alias("_t")), F.col("_t").contains(low)).groupBy(key).agg(F.min(F.struct(F.lit(len(exact)).alias("tier"), "_id")).alias("_b"))
+    part = holders(rest, rows.select(F.col(id_col).alias("_id"), text.alias("_t")), "_low", "_t").groupBy(key).agg(F.min(F.struct(F.lit(len(exact)).alias("tier"), "_id")).alias("_b"))
     return best.unionByName(part).select(key, F.col("_b.tier").alias("tier"), F.col("_b._id").alias(id_col))
+
+
+def ranked(rows: DataFrame, order: list[Column], out: str = "place") -> DataFrame:
+    """``rows`` with their place in this order, from 1, without a task that sees them all: a range sort, whose
+    partitions are numbered from the sizes of those before. What is collected are these sizes."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [c.alias(f"_o{i}") for i, c in enumerate(order)]
+    names = [f"_o{i}" for i in range(len(order))]
+    keyed = rows.select("*", *keys).repartitionByRange(parts, *names).sortWithinPartitions(*names)
+    keyed = stored(keyed.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}), "ranked")
+    sizes = sorted(keyed.groupBy("_part").agg(F.count(F.lit(1)), F.min("_at")).collect())
+    before, offsets = 0, []
+    for part, n, first in sizes:
+        offsets.append((part, before - first + 1))
+        before += n
+    shift = F.create_map(*[F.lit(x) for pair in offsets for x in pair]) if offsets else F.create_map().cast("map<int, bigint>")
+    return keyed.withColumn(out, F.col("_at") + F.element_at(shift, F.col("_part"))).drop("_part", "_at", *names)
+
+
+#: Groups of states under which files are listed.
+STATUS_GROUPS = {"queued": "active", "running": "active", "processing": "active", "pending": "active"}
+
+
+def file_items(files: DataFrame, name: str, folder: str, status: str, search: str | None = None, groups: list[str] | None = None, page: int = 1, size: int = 50, limit: int | None = None) -> DataFrame:
+    """A page of the file list in natural order: name, folder, ``status_group``, ``place`` and ``total``.
+
+    search: text in the name or folder; groups: wanted status groups. ``limit`` shows less than the page's size.
+    """
+    group = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in STATUS_GROUPS.items() for x in pair]), F.col(status)), F.col(status))
+    rows = files.withColumn("status_group", group)
+    if search:
+        rows = rows.filter(holds(F.col(name), search) | holds(F.col(folder), search))
+    if groups:
+        rows = rows.filter(F.col("status_group").isin(groups))
+    out = ranked(rows.select(name, folder, "status_group"), [natural_number(F.regexp_extract(name, r"(\d+)", 1)), F.col(name)])
+    total = F.broadcast(out.agg(F.count(F.lit(1)).alias("total")))
+    first = (page - 1) * size
+    return out.filter(F.col("place").between(first + 1, first + min(size, limit or size))).join(total)

@@ -54,24 +54,6 @@ def chunks(rows: DataFrame, keys: list[str], order: list[Column], number: str, g
     return rows.withColumn("_jump", jump).withColumn(out, F.sum("_jump").over(way.rowsBetween(Window.unboundedPreceding, 0))).drop("_jump")
 
 
-def banded(rows: DataFrame, keys: list[str], value: str, tie: str, tolerance: float, out: str = "band") -> DataFrame:
-    """Bands of sorted values, measured from the first value of the band.
-
-    The rule depends on order, so a group is folded; a group is the lines of one page.
-    """
-    items = F.array_sort(F.collect_list(F.struct(F.col(value).alias("v"), F.col(tie).alias("t"))))
-    start = F.struct(F.lit(0).alias("n"), F.lit(None).cast("double").alias("start"), F.array().cast("array<struct<t:string,n:int>>").alias("got"))
-
-    def step(acc: Column, x: Column) -> Column:
-        new = acc["start"].isNull() | (x["v"] - acc["start"] > tolerance)
-        n = acc["n"] + F.when(new, 1).otherwise(0)
-        at = F.when(new, x["v"]).otherwise(acc["start"])
-        return F.struct(n.alias("n"), at.alias("start"), F.concat(acc["got"], F.array(F.struct(x["t"].cast("string").alias("t"), n.alias("n")))).alias("got"))
-
-    folded = rows.groupBy(*keys).agg(F.aggregate(items, start, step)["got"].alias("_got"))
-    return folded.select(*keys, F.explode("_got").alias("_x")).select(*keys, F.col("_x.t").alias(tie), F.col("_x.n").alias(out))
-
-
 def median_pitch(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Median step between the sorted values of a group, and the rows that its span holds."""
     tops = rows.select(*keys, value).distinct()

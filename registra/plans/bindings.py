@@ -62,6 +62,19 @@ SELECT concat(CAST(l_orderkey AS VARCHAR(20)), '-', CAST(l_linenumber AS VARCHAR
        CASE WHEN l_partkey % 43 = 0 THEN NULL ELSE CAST(16 + l_suppkey % 112 AS INT) END AS age,
        CASE WHEN l_partkey % 47 = 0 THEN NULL WHEN l_linenumber = 7 THEN 'male' WHEN l_linenumber % 2 = 0 THEN 'Female' ELSE 'ஆண்' END AS gender, CAST(l_orderkey % 40 AS INT) AS page_number
 FROM lineitem""",
+    # twelve cells a page in four rows, a little out of place; some pages lack one
+    "grid_cells": """
+SELECT page_id, cell, CAST(c * (330 + page_id % 9) + page_id % 5 AS DOUBLE) AS x, CAST(r * (36 + page_id % 7) + (page_id + c) % 6 AS DOUBLE) AS y, CAST(310 + page_id % 13 AS DOUBLE) AS w, CAST(30 + page_id % 11 AS DOUBLE) AS h
+FROM (SELECT o_orderkey AS page_id, CAST(k.k AS INT) AS cell, CAST(floor(k.k / 3) AS INT) AS r, CAST(k.k % 3 AS INT) AS c FROM orders, (VALUES (0), (1), (2), (3), (4), (5), (6), (7), (8), (9), (10), (11)) AS k(k)) x
+WHERE NOT (page_id % 10 = 3 AND cell = page_id % 12)""",
+    # a page with one record an event; every seventh file never gets its last page
+    "stream_records": """
+SELECT CAST(event_id AS VARCHAR(20)) AS record_id, event_id AS page_id, concat('F', CAST(user_id AS VARCHAR(20))) AS file_id, CAST(event_id AS INT) AS page_number, 1 AS idx, CASE WHEN event_id % 6 = 0 THEN 1 ELSE 0 END AS error_count,
+       concat('ev ', CAST(user_id AS VARCHAR(20)), 'x', CAST(event_id % 40 AS VARCHAR(20))) AS epic,
+       replace(replace(CASE event_id % 3 WHEN 0 THEN 'arulselvi' WHEN 1 THEN 'manikandan' ELSE 'perumal' END, CASE WHEN event_id % 10 = 0 THEN 'a' ELSE '_' END, 'o'), CASE WHEN event_id % 4 = 1 THEN 'e' ELSE '_' END, 'i') AS name,
+       CAST(event_id % 17 AS VARCHAR(20)) AS serial, 'Father' AS relation_type, 'x' AS relation_name, '1' AS house_number, '40' AS age, 'Male' AS gender, CASE WHEN event_id % 13 = 0 THEN 'Yes' ELSE '' END AS is_deleted,
+       CASE WHEN event_id % 26 = 0 THEN 'Expired' ELSE '' END AS deletion_reason, CASE WHEN event_type = 'view' THEN '' ELSE concat(CAST(event_id % 5 + 1 AS VARCHAR(20)), ' - ', event_type) END AS section_name, value AS confidence, user_id % 7 = 0 AS unfinished
+FROM events""",
     # records to promote, their pages, files and stations, and the register as it is
     "raw_records": """
 SELECT concat(CAST(l_orderkey AS VARCHAR(20)), '-', CAST(l_linenumber AS VARCHAR(20)), '-', CAST(l_partkey AS VARCHAR(20)), '-', CAST(l_suppkey AS VARCHAR(20)), '-', CAST(l_quantity AS VARCHAR(20)), '-', CAST(l_extendedprice AS VARCHAR(30))) AS record_id,

@@ -218,13 +218,13 @@ def o2_fixed_order(spark, sf_dir):
 
 
 @query(
-    """WITH p AS (SELECT DISTINCT CASE WHEN n_nationkey % 5 = 4 THEN 'x' || n_nationkey ELSE n_nationkey::VARCHAR END AS part FROM nation)
-    SELECT part, (row_number() OVER (ORDER BY coalesce(try_cast(part AS INT), 0), part))::INT AS place FROM p"""
+    """WITH p AS (SELECT DISTINCT CASE WHEN o_orderkey % 5 = 4 THEN 'x' || o_orderkey ELSE o_orderkey::VARCHAR END AS part FROM orders)
+    SELECT part, row_number() OVER (ORDER BY coalesce(try_cast(part AS INT), 0), part) AS place FROM p"""
 )
 def o4_natural_order(spark, sf_dir):
-    k = F.col("n_nationkey")
-    rows = table(spark, sf_dir, "nation").select(F.when(k % 5 == 4, F.concat(F.lit("x"), k.cast("string"))).otherwise(k.cast("string")).alias("part")).distinct()
-    return rows.withColumn("place", F.row_number().over(Window.orderBy(L.natural_number(F.col("part")), "part")))
+    k = F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select(F.when(k % 5 == 4, F.concat(F.lit("x"), k.cast("string"))).otherwise(k.cast("string")).alias("part")).distinct()
+    return L.ranked(rows, [L.natural_number(F.col("part")), F.col("part")])
 
 
 @query("SELECT * FROM supplier ORDER BY s_suppkey LIMIT 10 OFFSET 5")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from registra.functions import text as X
 from registra.operators import jobs as J
 from registra.operators import joins as JN
+from registra.operators import layout as LY
 from registra.operators import listing as L
 from registra.operators import windows as WN
 from registra.operators.storage import stored
@@ -415,7 +416,64 @@ def w11_median_pitch(spark, sf_dir):
     return WN.median_pitch(bound(spark, sf_dir, "boxes"), ["page_id"], "y")
 
 
-@query("")
+@query(
+    """WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY y, line_id) AS i FROM boxes),
+    b AS (SELECT page_id, line_id, i, y, y AS start, 1 AS band FROM o WHERE i = 1
+      UNION ALL SELECT o.page_id, o.line_id, o.i, o.y, CASE WHEN o.y - b.start > 10 THEN o.y ELSE b.start END, b.band + CASE WHEN o.y - b.start > 10 THEN 1 ELSE 0 END FROM b JOIN o ON o.page_id = b.page_id AND o.i = b.i + 1)
+    SELECT page_id, max(band)::INT AS bands, count(*) AS lines FROM b GROUP BY 1""",
+    "boxes",
+)
 def w9_w10_bands(spark, sf_dir):
-    rows = WN.banded(bound(spark, sf_dir, "boxes"), ["page_id"], "y", "line_id", 10.0)
+    rows = LY.banded(bound(spark, sf_dir, "boxes"), "page_id", "y", "line_id", 10.0)
     return rows.groupBy("page_id").agg(F.max("band").alias("bands"), F.count(F.lit(1)).alias("lines"))
+
+
+ORDERED = """o AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY y, x, {id}) AS i FROM {cells}),
+    f AS (
+      SELECT page_id, {id}, i, x, y, w, h, [{{'m': y + h / 2, 'h': h}}] AS open, 0::BIGINT AS slot FROM o WHERE i = 1
+      UNION ALL SELECT page_id, {id}, i, x, y, w, h, CASE WHEN k IS NULL THEN list_append(open, {{'m': y + h / 2, 'h': h}}) ELSE open END, coalesce(k - 1, len(open)) FROM (
+        SELECT o.*, f.open, list_filter(range(1, len(f.open) + 1), lambda j: abs(o.y + o.h / 2 - f.open[j].m) < greatest(f.open[j].h, o.h) * 0.5)[1] AS k FROM f JOIN o ON o.page_id = f.page_id AND o.i = f.i + 1)),
+    placed AS (SELECT page_id, {id}, x, y, w, h, slot::INT AS row, (row_number() OVER (PARTITION BY page_id ORDER BY slot, x, y, {id}) - 1)::INT AS place FROM f)"""
+
+
+@query("WITH RECURSIVE " + ORDERED.format(id="line_id", cells="boxes") + " SELECT page_id, line_id, row, place FROM placed", "boxes")
+def w10_reading_order(spark, sf_dir):
+    return LY.reading_order(bound(spark, sf_dir, "boxes"), "page_id", "line_id").select("page_id", "line_id", "row", "place")
+
+
+@query(
+    "WITH RECURSIVE "
+    + ORDERED.format(id="cell", cells="grid_cells")
+    + """, g AS (SELECT page_id, grid, r * cols + c AS place, c * (1000.0 / cols) AS gx, r * (160.0 / rows) AS gy, 1000.0 / cols AS gw, 160.0 / rows AS gh
+      FROM (SELECT DISTINCT page_id FROM grid_cells), (VALUES ('3x3', 3, 3), ('4x2', 4, 2), ('4x3', 4, 3)) v(grid, rows, cols), range(0, 4) a(r), range(0, 3) b(c) WHERE r < rows AND c < cols),
+    n AS (SELECT page_id, count(*) AS n FROM placed GROUP BY 1), m AS (SELECT page_id, grid, count(*) AS m FROM g GROUP BY 1, 2),
+    k AS (SELECT page_id, grid, greatest(0, least(x + w, gx + gw) - greatest(x, gx)) * greatest(0, least(y + h, gy + gh) - greatest(y, gy)) AS i, w * h + gw * gh AS u FROM placed JOIN g USING (page_id, place)),
+    d AS (SELECT page_id, grid, CASE WHEN n = m THEN 1 - (SELECT avg(i / (u - i)) FROM k WHERE k.page_id = m.page_id AND k.grid = m.grid) ELSE 1.0 END AS deviation FROM m JOIN n USING (page_id))
+    SELECT page_id, grid, round(deviation, 6) AS deviation FROM d QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY deviation, grid) = 1""",
+    "grid_cells",
+)
+def w12_best_grid(spark, sf_dir):
+    cells = bound(spark, sf_dir, "grid_cells")
+    shapes = F.explode(F.array(*[F.struct(F.lit(f"{r}x{c}").alias("grid"), F.lit(r).alias("rows"), F.lit(c).alias("cols")) for r, c in ((3, 3), (4, 2), (4, 3))]))
+    grids = cells.select("page_id").distinct().select("page_id", shapes.alias("g")).select("page_id", "g.*")
+    grids = grids.withColumn("place", F.explode(F.sequence(F.lit(0), F.col("rows") * F.col("cols") - 1)))
+    w, h = F.lit(1000.0) / F.col("cols"), F.lit(160.0) / F.col("rows")
+    grids = grids.select("page_id", "grid", "place", ((F.col("place") % F.col("cols")) * w).alias("x"), (F.floor(F.col("place") / F.col("cols")) * h).alias("y"), w.alias("w"), h.alias("h"))
+    best = LY.best_grids(LY.grid_deviations(cells, grids, "page_id", "cell"), "page_id")
+    return best.select("page_id", "grid", F.round("deviation", 6).alias("deviation"))
+
+
+@query(
+    """WITH n AS (SELECT page_id, count(*) AS n FROM grid_cells GROUP BY 1),
+    r AS (SELECT page_id, cell // 3 AS i, avg(y + h / 2) AS c FROM grid_cells JOIN n USING (page_id) WHERE n = 12 GROUP BY ALL), c AS (SELECT page_id, cell % 3 AS i, avg(x + w / 2) AS c FROM grid_cells JOIN n USING (page_id) WHERE n = 12 GROUP BY ALL),
+    rs AS (SELECT page_id, median(step) AS p, min_by(c, i) AS c0 FROM (SELECT *, c - lag(c) OVER (PARTITION BY page_id ORDER BY i) AS step FROM r) GROUP BY 1), cs AS (SELECT page_id, median(step) AS p, min_by(c, i) AS c0 FROM (SELECT *, c - lag(c) OVER (PARTITION BY page_id ORDER BY i) AS step FROM c) GROUP BY 1),
+    whole AS (SELECT b.page_id, line_id, (SELECT min(k) FROM range(0, 4) t(k) WHERE b.y + b.h / 2 >= rs.c0 - rs.p * 0.5 + k * rs.p AND b.y + b.h / 2 < rs.c0 - rs.p * 0.5 + (k + 1) * rs.p) AS i, (SELECT min(k) FROM range(0, 3) t(k) WHERE b.x + b.w / 2 >= cs.c0 - cs.p * 0.5 + k * cs.p AND b.x + b.w / 2 < cs.c0 - cs.p * 0.5 + (k + 1) * cs.p) AS j
+      FROM boxes b JOIN rs USING (page_id) JOIN cs USING (page_id)),
+    d AS (SELECT b.page_id, b.line_id, g.cell, sqrt(greatest(g.x - (b.x + b.w / 2), 0, b.x + b.w / 2 - g.x - g.w) ** 2 + greatest(g.y - (b.y + b.h / 2), 0, b.y + b.h / 2 - g.y - g.h) ** 2) AS d FROM boxes b JOIN n USING (page_id) JOIN grid_cells g USING (page_id) WHERE n <> 12),
+    near AS (SELECT page_id, line_id, cell FROM d WHERE d < 15 QUALIFY row_number() OVER (PARTITION BY page_id, line_id ORDER BY d, cell) = 1)
+    SELECT page_id, line_id, (i * 3 + j)::INT AS cell FROM whole UNION ALL SELECT b.page_id, b.line_id, near.cell FROM boxes b LEFT JOIN near USING (page_id, line_id) WHERE b.page_id NOT IN (SELECT page_id FROM n WHERE n = 12)""",
+    "boxes",
+    "grid_cells",
+)
+def j13_lines_in_grid(spark, sf_dir):
+    return LY.lines_in_grid(bound(spark, sf_dir, "boxes"), bound(spark, sf_dir, "grid_cells"), "page_id", "line_id", "cell", 4, 3)

@@ -49,11 +49,16 @@ def p16_photo_list(spark, sf_dir):
 
 
 @query(
-    """SELECT f, (row_number() OVER (ORDER BY coalesce(try_cast(regexp_extract(f, '(\\d+)', 1) AS INT), 0), f))::INT AS place FROM (SELECT DISTINCT 'file ' || s_suppkey || '.pdf' AS f FROM supplier WHERE contains(lower(s_name), '1'))"""
+    """WITH f AS (SELECT 'file ' || o_orderkey || '.pdf' AS f, '/in/' || o_custkey % 10 AS folder, CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN CASE WHEN o_orderkey % 2 = 0 THEN 'queued' ELSE 'running' END ELSE 'failed' END AS status FROM orders),
+    g AS (SELECT *, CASE WHEN status IN ('queued', 'running') THEN 'active' ELSE status END AS status_group FROM f WHERE contains(f, '1') OR contains(folder, '1')),
+    r AS (SELECT *, row_number() OVER (ORDER BY coalesce(try_cast(regexp_extract(f, '(\\d+)', 1) AS INT), 0), f) AS place FROM g WHERE status_group IN ('active', 'failed'))
+    SELECT f, folder, status_group, place, (SELECT count(*) FROM r) AS total FROM r WHERE place BETWEEN 101 AND 150"""
 )
 def p22_file_items(spark, sf_dir):
-    rows = table(spark, sf_dir, "supplier").filter(L.holds(F.col("s_name"), "1")).select(F.concat(F.lit("file "), F.col("s_suppkey").cast("string"), F.lit(".pdf")).alias("f")).distinct()
-    return rows.withColumn("place", F.row_number().over(Window.orderBy(L.natural_number(F.regexp_extract("f", r"(\d+)", 1)), "f")))
+    k = F.col("o_orderkey")
+    status = F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "O", F.when(k % 2 == 0, "queued").otherwise("running")).otherwise("failed")
+    files = table(spark, sf_dir, "orders").select(F.format_string("file %d.pdf", k).alias("f"), F.format_string("/in/%d", F.col("o_custkey") % 10).alias("folder"), status.alias("status"))
+    return L.file_items(files, "f", "folder", "status", search="1", groups=["active", "failed"], page=2, size=100, limit=50)
 
 
 @query("SELECT s.station_id, s.name FROM stations s JOIN (SELECT DISTINCT part_number FROM electors WHERE verified) e USING (part_number) WHERE s.total_electors > 0", "electors", "stations")

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from registra.functions import similarity as S
 from registra.functions import text as X
+from registra.operators import filejobs as J
 from registra.operators import mutations as M
 from registra.operators import storage
 from registra.sources import sinks as K
 from registra.sources import tables as T
+from registra.streaming import completion as C
 from registra.streaming import pages as P
 
 from .bindings import bound, table, twin
@@ -247,7 +250,42 @@ def t2_streamed_page_sink(spark, sf_dir):
 def t3_completed_files(spark, sf_dir):
     counts = P.progress(_page_results(spark, sf_dir))
     files = counts.select("file_id", F.lit(60).alias("page_count")).distinct()
-    return P.completed_files(counts, files)
+    return P.files_with_all_pages(counts, files)
+
+
+@query(
+    """WITH w AS (SELECT * FROM stream_records WHERE NOT unfinished),
+    g0 AS (SELECT file_id, name, count(*) AS votes, sum(confidence) AS conf FROM w GROUP BY ALL),
+    g AS (SELECT *, regexp_replace(name, '[aeiou]', '', 'g') AS skeleton, votes * (1 + 0.25 * (length(name) - length(replace(name, 'o', '')))) AS score FROM g0),
+    r AS (SELECT *, row_number() OVER v AS rn, lead(name) OVER v AS second, lead(votes) OVER v AS next, sum(votes) OVER (PARTITION BY file_id, skeleton) AS total FROM g WINDOW v AS (PARTITION BY file_id, skeleton ORDER BY score DESC, votes DESC, conf DESC, name DESC)),
+    won AS (SELECT file_id, skeleton, name AS winner FROM r WHERE rn = 1 AND total >= 3 AND second IS NOT NULL AND CASE WHEN contains(second, 'a') AND contains(name, 'o') THEN votes >= 0.8 * next ELSE votes > next AND votes >= 3.0 * next END),
+    n AS (SELECT file_id, regexp_extract(section_name, '^\\s*(\\d+)', 1) AS number, section_name, count(*) AS n FROM w WHERE trim(section_name) <> '' GROUP BY ALL),
+    c AS (SELECT file_id, number, section_name AS canonical FROM n WHERE number <> '' QUALIFY row_number() OVER (PARTITION BY file_id, number ORDER BY n DESC, length(section_name) DESC, section_name DESC) = 1),
+    o AS (SELECT w.*, coalesce(winner, w.name) AS said, coalesce(canonical, section_name) AS own FROM w LEFT JOIN c ON w.file_id = c.file_id AND regexp_extract(w.section_name, '^\\s*(\\d+)', 1) = c.number LEFT JOIN won ON won.file_id = w.file_id AND won.skeleton = regexp_replace(w.name, '[aeiou]', '', 'g')),
+    s AS (SELECT *, last_value(nullif(trim(own), '') IGNORE NULLS) OVER (PARTITION BY file_id ORDER BY page_number ROWS UNBOUNDED PRECEDING) AS section FROM o),
+    p AS (SELECT *, row_number() OVER (PARTITION BY epic ORDER BY error_count, is_deleted DESC, page_number, record_id) AS rn, max(is_deleted) OVER (PARTITION BY epic) AS gone, first_value(deletion_reason) OVER (PARTITION BY epic ORDER BY is_deleted DESC, deletion_reason = '', page_number, record_id) AS stated FROM s)
+    SELECT upper(replace(epic, ' ', '')) AS epic, said AS name, section AS section_name, file_id, record_id, gone = 'Yes' AS is_deleted, CASE WHEN gone = 'Yes' AND stated <> '' THEN stated ELSE deletion_reason END AS deletion_reason FROM p WHERE rn = 1""",
+    "stream_records",
+)
+def t3_jobs_on_completion(spark, sf_dir):
+    records = storage.stored(bound(spark, sf_dir, "stream_records"), "records")
+    placed = records.select("file_id", (F.row_number().over(Window.partitionBy("file_id").orderBy("page_number")) - 1).alias("place"), "unfinished")
+    files = storage.stored(placed.groupBy("file_id").agg((F.count(F.lit(1)) + F.max("unfinished").cast("int")).alias("page_count")), "files")
+    folder = storage.new_path(spark, "arriving")
+    arriving = placed.select("file_id", "place")
+    arriving.repartition(3, "place").write.parquet(folder)
+    arriving.filter("place % 5 = 0").coalesce(1).write.mode("append").parquet(folder)  # delivered again
+    pages = records.select("page_id", F.lit("elector_page").alias("page_type"), F.lit("").alias("header_text"))
+    names = files.select("file_id", F.col("file_id").alias("file_name"))
+    stations = spark.createDataFrame([], "file_id string, station_id string, part_number string, ac_number string, ac_name string, address string")
+    current = bound(spark, sf_dir, "raw_current").limit(0)
+
+    def job(done):
+        own = records.join(done, "file_id", "left_semi")
+        return J.run_file_jobs(own, pages.join(own, "page_id", "left_semi"), names, stations, current, "aeiou", "a", "o")["curated"]
+
+    out = C.run_on_completion(spark, folder, arriving.schema, files, job, "completed")
+    return out.select("epic", "name", "section_name", F.col("source_file_id").alias("file_id"), F.col("source_record_id").alias("record_id"), "is_deleted", "deletion_reason")
 
 
 @query("SELECT doc_id, trim(regexp_replace(nfc_normalize(text), '\\s+', ' ', 'g')) AS text FROM documents")

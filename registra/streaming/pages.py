@@ -36,8 +36,8 @@ def without_repeats(pages: DataFrame, delay: str = "1 hour") -> DataFrame:
     return pages.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["file_id", "page_number"])
 
 
-def completed_files(counts: DataFrame, files: DataFrame) -> DataFrame:
-    """Files of which all pages are in."""
+def files_with_all_pages(counts: DataFrame, files: DataFrame) -> DataFrame:
+    """Files of which all pages are in, in a table of counts; ``completion`` follows a stream."""
     done = counts.groupBy("file_id").agg(F.sum("total").alias("pages_in"))
     return done.join(files, "file_id").filter(F.col("pages_in") >= F.col("page_count")).select("file_id", "pages_in")
 

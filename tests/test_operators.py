@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from registra.operators import audit, household, infographic, jobs, joins, listing, mutations, windows
+from registra.operators import audit, household, infographic, jobs, joins, layout, listing, mutations, windows
 from registra.sources import sinks, tables
 
 SF = "/root/testdata/sf0.001"
@@ -55,7 +55,7 @@ def test_either_join_keeps_unmatched_and_counts_pairs_once(spark):
 
 def test_bands_measure_from_their_first_value(spark):
     df = spark.createDataFrame([("p", str(i), float(v)) for i, v in enumerate([0, 6, 11, 12, 30])], "page string, line string, y double")
-    got = {r.line: r.band for r in windows.banded(df, ["page"], "y", "line", 10.0).collect()}
+    got = {r.line: r.band for r in layout.banded(df, "page", "y", "line", 10.0).collect()}
     assert got == {"0": 1, "1": 1, "2": 2, "3": 2, "4": 3}
 
 
