@@ -29,9 +29,14 @@ def collapse(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"\s+", " "))
 
 
+# What is no part of a value at its beginning (a numbering or punctuation) and at its end.
+LEADING = r"^(?:\s*+\d++[.:)\s]++|[\s\-–—.,;:])++"
+TRAILING = r"[\s\-–—_.,;:\"'“”‘’]+$"
+
+
 def strip_value(c: Column) -> Column:
-    """A value without a leading number or punctuation and without trailing punctuation."""
-    return F.trim(F.regexp_replace(F.regexp_replace(c, r"^[\s\d.:;,\-=|]+", ""), r"[\s.:;,\-=|]+$", ""))
+    """A value without numbering and punctuation before it and punctuation behind it; a bare number stays."""
+    return F.trim(F.regexp_replace(F.regexp_replace(collapse(c), LEADING, ""), TRAILING, ""))
 
 
 def skeleton(c: Column, signs: str = "[ா-ௌௗ]") -> Column:
@@ -81,8 +86,7 @@ NAME_WORDS = "பெயர்|பெயா்|பெயா|name"
 def clean_name(c: Column, labels: str = NAME_LABELS, words: str = NAME_WORDS) -> Column:
     """A name to compare: without label, numbering and punctuation around it, in lower case; null is ''."""
     out = F.regexp_replace(F.coalesce(c, F.lit("")), rf"(?iu)^\s*(\d+[.:)\-\s]+)?(({labels})[\s.,]+)?({words})[\s:;=\-.,]+", "")
-    out = F.regexp_replace(out, r"^(?:\s*+\d++[.:)\s]++|[\s\-–—.,;:])++", "")
-    out = F.regexp_replace(out, r"[\s\-–—_.,;:\"'“”‘’]+$", "")
+    out = F.regexp_replace(F.regexp_replace(out, LEADING, ""), TRAILING, "")
     return F.lower(F.trim(F.regexp_replace(out, r"\s+", " ")))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 
 from registra.functions import text as X
 from registra.operators import infographic as G
+from registra.operators import labels as LB
 from registra.operators import listing as L
 from registra.operators import mutations as M
 from registra.operators import pages as P
@@ -304,3 +305,26 @@ def t4_snapshot_then_changes(spark, sf_dir):
     changes = e.groupBy(F.col("user_id").alias("job"), (F.col("event_id") % 6).alias("batch")).agg(F.count(F.lit(1)).alias("n")).withColumn("done", F.col("batch") == 4)
     snapshot = e.select(F.col("user_id").alias("job"), F.lit(0).cast("long").alias("n")).distinct()
     return S.snapshot_then_changes(snapshot, changes, "job").select("job", "batch", "n", "event")
+
+
+WANTED = {"name": ["mame", "name of"], "house": ["house number"], "age": ["age"]}
+
+
+def _lines(spark, sf_dir):
+    """A line of printed labels and values an elector, with mistakes here and there."""
+    rows = bound(spark, sf_dir, "electors")
+    k, s = F.col("id"), lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    house = F.when(k % 7 == 0, "h0use numbr").when(k % 7 == 1, "hou5e number").otherwise("house number")
+    return rows.select("id", F.concat(F.when(k % 5 == 0, "12 nome 0f").when(k % 5 == 1, "xx").otherwise("name of"), F.lit(" : "), s(F.col("name")), F.lit(" "), house, F.lit(": "), s(F.col("house_number")), F.lit(" age ;"), s(F.col("age"))).alias("text"))
+
+
+@query("")
+def r5_fuzzy_label_pairs(spark, sf_dir):
+    return LB.segmented(_lines(spark, sf_dir), "text", WANTED, 75.0).select("id", "key", "label", F.round("score", 4).alias("score"), "start", "value")
+
+
+@query("")
+def x35_labels_located(spark, sf_dir):
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    found = LB.located(lines, "text", ["all rights reserved", "license", "e-mail address"], 80.0)
+    return found.select("doc_id", "line", "label", F.round("score", 4).alias("score"), "start", "end")
