@@ -42,7 +42,8 @@ BLOCK = 16
 #: Different phrases around one trigger for which suffix arrays are built.
 GROUP = 1024
 BROADCAST_ROWS = 1_000_000
-CHUNK = 1 << 20
+#: Bytes of text that are hashed together; arrays of a few dozen times this size are held.
+CHUNK = 1 << 18
 
 
 class RollingHash:
