@@ -13,6 +13,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -57,22 +58,29 @@ def _bound(a: str, b: str) -> float:
 def find_label(text: str, labels: list[str], threshold: float) -> tuple[str, float, int, int] | None:
     """Best window for one of the labels: label, ratio, start and end. Windows are one letter shorter to two
     longer than the label; the first label, start and width win a tie."""
-    best = None
+    best, letters = None, np.array(list(text), dtype="U1")
     for label in labels:
         n = len(label)
         if not n:
             continue
-        for start in range(max(1, len(text) - n + 2)):
-            for width in range(max(1, n - 1), n + 3):
-                window = text[start : start + width]
-                if not window.strip():
-                    continue
-                floor = threshold if best is None else best[1]
-                if _bound(label, window) < floor:
-                    continue
-                ratio = indel(label, window)
-                if ratio >= threshold and (best is None or ratio > best[1]):
-                    best = (label, ratio, start, start + len(window))
+        # letters of the label up to each place: most windows have too few of them
+        known = np.concatenate([[0], np.cumsum(np.isin(letters, list(set(label))))])
+        starts = np.arange(max(1, len(text) - n + 2))
+        found = []
+        for width in range(max(1, n - 1), n + 3):
+            ends = np.minimum(starts + width, len(text))
+            enough = 200.0 * (known[ends] - known[starts]) >= threshold * (n + ends - starts) - 1e-6
+            found += [(int(at), width) for at in starts[enough]]
+        for start, width in sorted(found):
+            window = text[start : start + width]
+            if not window.strip():
+                continue
+            floor = threshold if best is None else best[1]
+            if _bound(label, window) < floor:
+                continue
+            ratio = indel(label, window)
+            if ratio >= threshold and (best is None or ratio > best[1]):
+                best = (label, ratio, start, start + len(window))
     return best
 
 

@@ -17,7 +17,7 @@ from registra.functions import geometry as B
 from registra.operators.joins import lines_to_cells
 
 
-def _in_order(rows: DataFrame, page: str, order: list[str], columns: list[str], start: Callable[[], Callable], out: str) -> DataFrame:
+def in_order(rows: DataFrame, page: str, order: list[str], columns: list[str], start: Callable[[], Callable], out: str) -> DataFrame:
     """``rows`` with the number that a page's machine gives each of them, in this order.
 
     start: makes the machine of a page, a function of the columns' values.
@@ -53,7 +53,7 @@ def banded(rows: DataFrame, page: str, value: str, tie: str, tolerance: float, o
 
         return step
 
-    return _in_order(rows.filter(F.col(value).isNotNull()), page, [value, tie], [value], start, out)
+    return in_order(rows.filter(F.col(value).isNotNull()), page, [value, tie], [value], start, out)
 
 
 def cell_rows(cells: DataFrame, page: str, tie: str, out: str = "row") -> DataFrame:
@@ -73,7 +73,7 @@ def cell_rows(cells: DataFrame, page: str, tie: str, out: str = "row") -> DataFr
 
         return step
 
-    return _in_order(cells, page, ["y", "x", tie], ["y", "h"], start, out)
+    return in_order(cells, page, ["y", "x", tie], ["y", "h"], start, out)
 
 
 def reading_order(cells: DataFrame, page: str, tie: str, out: str = "place") -> DataFrame:

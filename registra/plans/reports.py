@@ -13,6 +13,7 @@ from registra.operators import labels as LB
 from registra.operators import listing as L
 from registra.operators import mutations as M
 from registra.operators import pages as P
+from registra.operators import summary as SU
 from registra.registry import run_sql
 from registra.sources import sinks as K
 from registra.sources import tables as T
@@ -274,18 +275,41 @@ def r6_cell_records(spark, sf_dir):
     return P.cell_records(lines, ["cell"], "pos_in_cell", "text", ["name", "house number", "age"])
 
 
+R10_STEMS = {"base": ["Basic roll"], "additions": ["Addition"], "deletions": ["Deletion"], "gender_adjustment": ["Gender"], "net": ["Net "]}
+
+
 @query(
-    """SELECT n_nationkey AS page, (100 + n_nationkey)::INT AS base, n_nationkey::INT AS additions, (n_nationkey % 4)::INT AS deletions, CASE WHEN n_nationkey % 5 = 0 THEN 1 ELSE 100 + n_nationkey * 2 - n_nationkey % 4 END::INT AS net,
-    n_nationkey % 5 <> 0 AS consistent FROM nation"""
+    """WITH k AS (SELECT o_orderkey AS k, (o_orderkey % 50 + 100)::INT AS bm, (o_orderkey % 40 + 90)::INT AS bf, (o_custkey % 9)::INT AS a1, (o_custkey % 5)::INT AS a2, (o_orderkey % 8)::INT AS d, (o_orderkey % 3)::INT AS p FROM orders),
+    v AS (SELECT *, bm + bf AS base, a1 + a2 + 1 AS adds, CASE WHEN p < 2 AND k % 7 <> 0 THEN d + 2 ELSE a2 + 1 END AS dels, CASE WHEN p < 2 THEN -1 END AS gf, CASE WHEN p < 2 THEN 0 END AS g, CASE WHEN p < 2 THEN bm + bf + a1 + a2 + 1 - d - 2 + CASE WHEN k % 11 = 0 THEN 1 ELSE 0 END END AS net FROM k)
+    SELECT 'F' || k AS file_id, bm AS base_male, base AS base_total, a1 + a2 AS additions_male, adds AS additions_total, dels AS deletions_total, gf AS gender_adjustment_female, g AS gender_adjustment_total, net AS net_total, CASE WHEN p < 2 AND k % 4 = 0 THEN k % 90 ELSE 0 END::INT AS corrections,
+      coalesce(net > 0 AND base + adds - dels + g = net, false) AS consistent FROM v"""
 )
 def r10_summary_rows(spark, sf_dir):
-    k, s = F.col("n_nationkey"), lambda c: c.cast("string")
-    net = F.when(k % 5 == 0, 1).otherwise(100 + k * 2 - k % 4)
-    rows = F.array(*[F.struct(F.lit(float(20 * i)).alias("y"), F.lit(name).alias("label"), s(v).alias("value")) for i, (name, v) in enumerate((("Base roll", 100 + k), ("Additions list", k), ("Deletions list", k % 4), ("Net roll", net)))])
-    each = table(spark, sf_dir, "nation").select(k.alias("page"), F.explode(rows).alias("r"))
-    box = lambda x, w, t, i: each.select("page", F.concat(F.lit(i), s(F.col("r.y"))).alias("line_id"), F.lit(x).alias("x"), F.col("r.y").alias("y"), F.lit(w).alias("w"), F.lit(12.0).alias("h"), F.col(f"r.{t}").alias("text"))
-    lines = box(10.0, 80.0, "label", "l").unionByName(box(700.0, 30.0, "value", "v"))
-    return P.summary_rows(lines, "page", "line_id", "text", {"base": "base", "additions": "additions", "deletions": "deletions", "net": "net"}, 8.0)
+    # where the deletions have no readable label, the second supplement row is the first without a category and takes their place
+    k, c, n = F.col("o_orderkey"), F.col("o_custkey"), lambda x: x.cast("int")
+    orders = table(spark, sf_dir, "orders").select(F.concat(F.lit("F"), k.cast("string")).alias("file_id"), n(k % 3).alias("p"), n(k % 7).alias("lost"), n(k % 4).alias("q"), n(k % 90).alias("fixes"), n(k % 50 + 100).alias("bm"), n(k % 40 + 90).alias("bf"), n(c % 9).alias("a1"), n(c % 5).alias("a2"), n(k % 8).alias("d"), n(F.when(k % 11 == 0, 1).otherwise(0)).alias("off"))
+    # the third page goes on with the table, or not; the second shares a sheet with something else
+    kind = F.when(F.col("p") == 0, "legend_page").when(F.col("p") == 1, "blank_or_signature").otherwise("photo_page")
+    page = lambda i, t: F.struct(F.lit(i).alias("page_number"), t.alias("page_type"), F.lit(900).alias("height"), F.lit(0).alias("records"))
+    pages = orders.select("file_id", F.explode(F.array(page(1, F.lit("elector_page")), page(2, F.lit("summary_page")), page(3, kind))).alias("s")).select("file_id", "s.*")
+    bm, bf, a1, a2, d = (F.col(x) for x in ("bm", "bf", "a1", "a2", "d"))
+    zero, text = F.lit(0), lambda x: x.cast("string")
+    table_rows = [
+        (2, 100, F.lit("I Basic roll"), [bm, bf, zero, bm + bf]), (2, 140, F.lit("II Addition 1"), [a1, zero, zero, a1]), (2, 180, F.lit("supplement"), [a2, zero + 1, zero, a2 + 1]), (2, 220, F.lit("Total"), [a1 + a2, zero + 1, zero, a1 + a2 + 1]),
+        (3, 50, F.when(F.col("lost") == 0, "???").otherwise("III Deletion"), [d, zero + 2, zero, d + 2]), (3, 90, F.lit("Gender change"), [zero + 1, zero - 1, zero, zero]),
+        (3, 130, F.lit("Net electors"), [bm + a1 + a2 - d, bf - 1, zero, bm + bf + a1 + a2 + 1 - d - 2 + F.col("off")]),
+    ]
+    cells = []
+    for at, y, label, numbers in table_rows:
+        shown = [label] + [F.when(x == 0, "o").otherwise(F.regexp_replace(text(x), "^-", "–")) for x in numbers]
+        for i, t in enumerate(shown):
+            cells.append(F.struct(F.lit(at).alias("page_number"), F.lit(f"{at}-{y}-{i}").alias("line_id"), t.alias("text"), F.lit(50.0 if i == 0 else 560.0 + 90 * i).alias("x"), F.lit(float(y + i % 2)).alias("y"), F.lit(70.0).alias("w"), F.lit(14.0).alias("h")))
+    ends = [(300, F.lit("Number of corrections made"), 50.0), (330, text(F.col("fixes")), 300.0)]
+    for y, t, x in ends:
+        cells.append(F.when(F.col("q") == 0, F.struct(F.lit(3).alias("page_number"), F.lit(f"3-{y}").alias("line_id"), t.alias("text"), F.lit(x).alias("x"), F.lit(float(y)).alias("y"), F.lit(70.0).alias("w"), F.lit(14.0).alias("h"))))
+    lines = orders.select("file_id", F.explode(F.array_compact(F.array(*cells))).alias("s")).select("file_id", "s.*")
+    out = SU.parsed_summaries(SU.stitched_lines(pages, lines), R10_STEMS, ["Total"], "corrections made")
+    return out.select("file_id", "base_male", "base_total", "additions_male", "additions_total", "deletions_total", "gender_adjustment_female", "gender_adjustment_total", "net_total", "corrections", "consistent")
 
 
 @query("SELECT n_nationkey AS page, n_name AS station_name, n_regionkey::VARCHAR AS part_number, '01-01-20' || lpad(n_nationkey::VARCHAR, 2, '0') AS qualifying_date, (600000 + n_nationkey)::VARCHAR AS pincode FROM nation")
