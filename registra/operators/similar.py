@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from registra.functions.similarity import name_scores
+from registra.operators.storage import dropped, stored
 
 GRAM = 3
 #: Characters or grams of which the frequency is known to the order; others count as rare.
@@ -82,8 +83,9 @@ def alike(left: DataFrame, right: DataFrame, group: list[str], a: str, b: str, l
         rows = rows.filter(F.length(name) > 0).select(*group, name).join(often).withColumn("_t", by_rarity(numbered(F.col(name)))).drop("_often")
         return rows.withColumn("_l", F.length(name))
 
-    x = side(left, a).withColumnsRenamed({"_t": "_ta", "_l": "_la"})
-    y = side(right, b).withColumnsRenamed({"_t": "_tb", "_l": "_lb"})
+    # each index reads the tokens again, so they are made once
+    x = stored(side(left, a).withColumnsRenamed({"_t": "_ta", "_l": "_la"}), "tokens")
+    y = stored(side(right, b).withColumnsRenamed({"_t": "_tb", "_l": "_lb"}), "tokens")
     first = lambda rows, name, n: rows.filter(F.length(name) >= n).withColumn("_key", F.substring(name, 1, n))
 
     def keyed(rows: DataFrame, tokens: str, size: str, name: str, ratio: float, start: int, short: bool) -> DataFrame:
@@ -107,7 +109,9 @@ def alike(left: DataFrame, right: DataFrame, group: list[str], a: str, b: str, l
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
-    return out.filter((shared > 0) & able).select(*group, a, b).distinct()
+    out = stored(out.filter((shared > 0) & able).select(*group, a, b).distinct(), "alike")
+    dropped(x, y)
+    return out
 
 
 def matching_names(left: DataFrame, right: DataFrame, group: list[str], a: str, b: str, least: float = 0.78) -> DataFrame:
@@ -116,12 +120,14 @@ def matching_names(left: DataFrame, right: DataFrame, group: list[str], a: str,
 
     left: (group, a), right: (group, b), distinct; names are clean and empty ones match nothing.
     """
-    left, right = left.select(*group, a), right.select(*group, b)
+    left, right = stored(left.select(*group, a), "names"), stored(right.select(*group, b), "names")
     long = lambda rows, name: rows.filter(F.length(name) >= 3)
     found = left.join(right.withColumn(a, F.col(b)), [*group, a]).filter(F.length(a) > 0).select(*group, a, b)
     found = found.unionByName(holders(long(left, a), long(right, b), a, b, group).select(*group, a, b))
     found = found.unionByName(holders(long(right, b), long(left, a), b, a, group).select(*group, a, b))
-    found = found.unionByName(alike(left, right, group, a, b, least)).distinct()
+    near = alike(left, right, group, a, b, least)
+    found = stored(found.unionByName(near).distinct(), "name-pairs")
+    dropped(left, right, near)
     return name_scores(found, a, b, "score", least).filter("score > 0")
 
 

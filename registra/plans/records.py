@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from registra.functions import text as X
 from registra.operators import jobs as J
@@ -110,12 +111,15 @@ def p19_auto_accept(spark, sf_dir):
 
 
 @query(
-    """SELECT part_key::VARCHAR AS epic, count(*) AS n, array_to_string(list_sort(list(record_id))[1:5], ',') AS first_records FROM records WHERE file_id = 'F7' GROUP BY 1 HAVING count(*) > 1""", "records"
+    """SELECT file_id, part_key::VARCHAR AS epic, count(*) AS n, array_to_string(list_sort(list(record_id))[1:5], ',') AS first_records FROM records GROUP BY 1, 2 HAVING count(*) > 1""", "records"
 )
 def g14_j17_duplicate_identifiers(spark, sf_dir):
-    out = bound(spark, sf_dir, "records").filter("file_id = 'F7'").groupBy(F.col("part_key").cast("string").alias("epic"))
-    out = out.agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list("record_id")).alias("ids")).filter("n > 1")
-    return out.select("epic", "n", F.array_join(F.slice("ids", 1, 5), ",").alias("first_records"))
+    # counted first; only the records of repeated identifiers are ranked, and five of each are kept
+    rows = bound(spark, sf_dir, "records").select("file_id", F.col("part_key").cast("string").alias("epic"), "record_id")
+    many = rows.groupBy("file_id", "epic").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    way = Window.partitionBy("file_id", "epic").orderBy("record_id")
+    first = rows.join(many, ["file_id", "epic"]).withColumn("rn", F.row_number().over(way)).filter("rn <= 5")
+    return first.groupBy("file_id", "epic", "n").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", "record_id"))), lambda x: x["record_id"]), ",").alias("first_records"))
 
 
 @query(
