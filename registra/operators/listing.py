@@ -39,6 +39,42 @@ def predicates(equal: dict | None = None, within: dict | None = None, search: di
     return out + [holds(F.col(c), t) for c, t in (search or {}).items() if t]
 
 
+#: Optional filters of the elector list: name -> (kind, column).
+ELECTOR_FILTERS = {
+    "search": ("holds", "search_text"), "gender": ("equal", "gender"), "relation_type": ("equal", "relation_type"), "part_number": ("equal", "part_number"), "constituency": ("equal", "constituency"),
+    "house_number": ("like", "house_number"), "has_photo": ("filled", "photo_path"), "polling_station_id": ("equal", "polling_station_id"), "is_supplement": ("flag", "is_supplement"), "is_deleted": ("flag", "is_deleted"),
+    "min_serial": ("least", "serial"), "max_serial": ("most", "serial"), "min_page": ("least", "page_number"), "max_page": ("most", "page_number"), "source_file_name": ("like", "source_file_name"),
+    "source_file_id": ("equal", "source_file_id"), "verified": ("flag", "verified"), "min_age": ("least", "age"), "max_age": ("most", "age"),
+}
+
+
+def elector_filter(name: str, value: object) -> Column:
+    """The predicate of one filter of the elector list; an empty text or None asks nothing."""
+    kind, column = ELECTOR_FILTERS[name]
+    c = F.col(column)
+    if value is None or (isinstance(value, str) and not value.strip()):
+        return F.lit(True)
+    if kind == "holds":
+        return F.coalesce(c.contains(str(value).lower().strip()), F.lit(False))
+    if kind == "like":  # case does not matter
+        return F.coalesce(F.lower(c).contains(str(value).lower().strip()), F.lit(False))
+    if kind == "filled":
+        there = F.coalesce(c, F.lit("")) != ""
+        return there if value else ~there
+    test = {"equal": c == value, "flag": c == value, "least": c >= value, "most": c <= value}[kind]
+    return F.coalesce(test, F.lit(False))
+
+
+def elector_list(rows: DataFrame, sort: str, sortable: list[str], descending: bool = True, offset: int = 0, limit: int = 50, **filters) -> DataFrame:
+    """A page of the electors that pass all filters, with ``total``, how many do."""
+    unknown = set(filters) - set(ELECTOR_FILTERS)
+    if unknown:
+        raise ValueError(f"unknown filters {sorted(unknown)}")
+    found = rows.filter(all_of(elector_filter(k, v) for k, v in filters.items()))
+    total = F.broadcast(found.agg(F.count(F.lit(1)).alias("total")))
+    return page(found, sort, "id", sortable, descending, offset, limit).join(total)
+
+
 def search_text(columns: list[str]) -> Column:
     """Non-empty values joined by a space, in lower case."""
     return F.lower(F.concat_ws(" ", *[F.when(F.col(c).cast("string") != "", F.col(c).cast("string")) for c in columns]))

@@ -99,6 +99,37 @@ def p3_elector_list(spark, sf_dir):
     return bound(spark, sf_dir, "electors").filter(L.all_of(wanted)).select("id", "name", "gender", "age")
 
 
+#: a value for each filter of the list, and the same in SQL
+ASKED = {
+    "search": (" ABC00000 ", "contains(search_text, 'abc00000')"), "gender": ("Male", "gender = 'Male'"), "relation_type": ("Father", "relation_type = 'Father'"), "part_number": ("3", "part_number = '3'"), "constituency": ("1 - AMERICA", "constituency = '1 - AMERICA'"),
+    "house_number": (" /1", "contains(house_number, '/1')"), "has_photo": (False, "coalesce(photo_path, '') = ''"), "polling_station_id": ("S2", "polling_station_id = 'S2'"), "is_supplement": (True, "is_supplement"), "is_deleted": (False, "NOT is_deleted"),
+    "min_serial": (50, "serial >= 50"), "max_serial": (90, "serial <= 90"), "min_page": (3, "page_number >= 3"), "max_page": (20, "page_number <= 20"), "source_file_name": ("ROLL 1", "contains(lower(source_file_name), 'roll 1')"),
+    "source_file_id": ("F7", "source_file_id = 'F7'"), "verified": (True, "verified"), "min_age": (30, "age >= 30"), "max_age": (60, "age <= 60"),
+}
+WIDE = "SELECT *, lower(concat_ws(' ', epic, nullif(name, ''), relation_name)) AS search_text, CASE WHEN id % 3 = 0 THEN '' WHEN id % 3 = 1 THEN 'p' || id END AS photo_path, 'S' || part_number AS polling_station_id, file_id AS source_file_id, 'Roll ' || part_number || '.pdf' AS source_file_name FROM electors"
+_EACH = " UNION ALL ".join(f"SELECT '{k}' AS filter, count(*) AS n FROM w WHERE {sql}" for k, (_, sql) in ASKED.items())
+_SOME = ("gender", "has_photo", "min_serial", "min_age", "is_deleted")
+
+
+def _wide(spark, sf_dir):
+    k = F.col("id")
+    photo = F.when(k % 3 == 0, "").when(k % 3 == 1, F.concat(F.lit("p"), k.cast("string")))
+    return bound(spark, sf_dir, "electors").withColumns({"search_text": L.search_text(["epic", "name", "relation_name"]), "photo_path": photo, "polling_station_id": F.concat(F.lit("S"), "part_number"), "source_file_id": F.col("file_id"), "source_file_name": F.concat(F.lit("Roll "), "part_number", F.lit(".pdf"))})
+
+
+@query(f"WITH w AS ({WIDE}) {_EACH}", "electors")
+def p3_every_filter(spark, sf_dir):
+    # one scan counts for all filters
+    counts = [F.struct(F.lit(k).alias("filter"), F.count_if(L.elector_filter(k, v)).alias("n")) for k, (v, _) in ASKED.items()]
+    return _wide(spark, sf_dir).agg(F.array(*counts).alias("c")).select(F.explode("c").alias("c")).select("c.*")
+
+
+@query(f"WITH w AS ({WIDE}), f AS (SELECT * FROM w WHERE {' AND '.join(ASKED[k][1] for k in _SOME)}) SELECT id, age, (SELECT count(*) FROM f) AS total FROM f ORDER BY age DESC NULLS LAST, id LIMIT 20 OFFSET 5", "electors")
+def p3_filtered_page(spark, sf_dir):
+    asked = {k: ASKED[k][0] for k in _SOME}
+    return L.elector_list(_wide(spark, sf_dir), "age", ["age", "name"], offset=5, limit=20, **asked).select("id", "age", "total")
+
+
 @query("SELECT e.id, e.epic FROM electors e WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = e.id AND o_orderpriority LIKE '1%')", "electors")
 def j8_with_photo(spark, sf_dir):
     photos = table(spark, sf_dir, "orders").filter(F.col("o_orderpriority").startswith("1")).select(F.col("o_custkey").alias("id"))

@@ -105,9 +105,9 @@ def p9_low_confidence(spark, sf_dir):
     return bound(spark, sf_dir, "records").filter("mean_confidence < 0.93").select("record_id", "mean_confidence").orderBy("mean_confidence", "record_id").limit(50)
 
 
-@query("SELECT record_id FROM records WHERE NOT reviewed AND error_count = 0 AND warning_count = 0 AND mean_confidence >= 0.95", "records")
+@query("SELECT record_id FROM records WHERE NOT reviewed AND error_count = 0 AND warning_count = 0 AND mean_confidence >= 0.85", "records")
 def p19_auto_accept(spark, sf_dir):
-    return bound(spark, sf_dir, "records").filter("not reviewed and error_count = 0 and warning_count = 0 and mean_confidence >= 0.95").select("record_id")
+    return bound(spark, sf_dir, "records").filter("not reviewed and error_count = 0 and warning_count = 0 and mean_confidence >= 0.85").select("record_id")
 
 
 @query(

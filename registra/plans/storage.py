@@ -169,10 +169,11 @@ def k17_audit_entries(spark, sf_dir):
 
 @query(
     """WITH cur AS (SELECT s_suppkey AS id, 'E' || s_suppkey AS epic, s_name AS name FROM supplier),
-    ch AS (SELECT s_suppkey AS id, CASE WHEN s_suppkey % 9 = 0 THEN 'E' || (s_suppkey - 1) END AS epic, CASE WHEN s_suppkey % 3 = 0 THEN lower(s_name) END AS name, CASE WHEN s_suppkey % 10 = 5 THEN 'delete' ELSE 'update' END AS op FROM supplier WHERE s_suppkey % 3 = 0 OR s_suppkey % 10 = 5),
-    m AS (SELECT cur.id, cur.epic AS oe, cur.name AS o_n, CASE WHEN op IS NULL THEN cur.epic ELSE coalesce(ch.epic, cur.epic) END AS epic, CASE WHEN op IS NULL THEN cur.name ELSE coalesce(ch.name, cur.name) END AS name, op FROM cur LEFT JOIN ch USING (id)),
+    ch AS (SELECT s_suppkey AS id, CASE WHEN s_suppkey % 9 = 0 THEN 'E' || (s_suppkey - 1) END AS epic, CASE WHEN s_suppkey % 3 = 0 THEN lower(s_name) END AS name, CASE WHEN s_suppkey % 10 = 5 THEN 'delete' ELSE 'update' END AS op FROM supplier WHERE s_suppkey % 3 = 0 OR s_suppkey % 10 = 5
+      UNION ALL SELECT s_suppkey + 1000000, CASE WHEN s_suppkey % 4 = 0 THEN 'E' || s_suppkey ELSE 'N' || s_suppkey END, s_name, 'create' FROM supplier WHERE s_suppkey % 4 < 2),
+    m AS (SELECT id, cur.epic AS oe, cur.name AS o_n, CASE WHEN op IS NULL THEN cur.epic ELSE coalesce(ch.epic, cur.epic) END AS epic, CASE WHEN op IS NULL THEN cur.name ELSE coalesce(ch.name, cur.name) END AS name, op FROM cur FULL JOIN ch USING (id)),
     h AS (SELECT epic, count(*) AS n FROM m WHERE op IS NULL OR op <> 'delete' GROUP BY 1)
-    SELECT id, CASE WHEN op = 'update' AND n > 1 THEN oe ELSE epic END AS epic, CASE WHEN op = 'update' AND n > 1 THEN o_n ELSE name END AS name, CASE WHEN op IS NULL THEN 'kept' WHEN n > 1 THEN 'clash' ELSE 'updated' END AS status
+    SELECT id, CASE WHEN op IS NOT NULL AND n > 1 THEN oe ELSE epic END AS epic, CASE WHEN op IS NOT NULL AND n > 1 THEN o_n ELSE name END AS name, CASE WHEN op IS NULL THEN 'kept' WHEN n > 1 THEN 'clash' WHEN op = 'create' THEN 'created' ELSE 'updated' END AS status
     FROM m LEFT JOIN h USING (epic) WHERE op IS NULL OR op <> 'delete'"""
 )
 def b1_merge_changes(spark, sf_dir):
@@ -182,7 +183,8 @@ def b1_merge_changes(spark, sf_dir):
     changes = rows.filter("s_suppkey % 3 = 0 or s_suppkey % 10 = 5").select(
         s.alias("id"), F.when(s % 9 == 0, F.concat(F.lit("E"), (s - 1).cast("string"))).alias("epic"), F.when(s % 3 == 0, F.lower("s_name")).alias("name"), F.when(s % 10 == 5, "delete").otherwise("update").alias("op")
     )
-    return M.merge_changes(current, changes, "id", "epic")
+    new = rows.filter("s_suppkey % 4 < 2").select((s + 1000000).alias("id"), F.concat(F.when(s % 4 == 0, "E").otherwise("N"), s.cast("string")).alias("epic"), F.col("s_name").alias("name"), F.lit("create").alias("op"))
+    return M.merge_changes(current, changes.unionByName(new), "id", "epic")
 
 
 @query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey = 5)")
