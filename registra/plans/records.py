@@ -310,12 +310,12 @@ def j12_serial_range(spark, sf_dir):
 
 
 @query(
-    """WITH k AS (SELECT id, part_number, CASE WHEN house_number IS NULL THEN NULL ELSE string_split(house_number, '/')[1] END AS b FROM electors WHERE house_number IS NOT NULL AND house_number <> '0/0')
-    SELECT part_number, b AS building, count(*) AS members, min(id) AS first_id FROM k GROUP BY 1, 2 HAVING count(*) > 1""",
-    "electors",
+    r"""WITH k AS (SELECT id, part_number, regexp_extract(regexp_replace(trim(house_number), '[-\s./]+', '-', 'g'), '^(\d+-\d+)', 1) AS b FROM residents)
+    SELECT part_number, b AS building, count(*) AS members, min(id) AS first_id FROM k WHERE b <> '' GROUP BY 1, 2 HAVING count(*) > 1""",
+    "residents",
 )
 def j11_buildings(spark, sf_dir):
-    keyed = bound(spark, sf_dir, "electors").withColumn("building", X.building_key(F.col("house_number"))).filter("building is not null")
+    keyed = bound(spark, sf_dir, "residents").withColumn("building", X.building_key(F.col("house_number"))).filter("building is not null")
     return keyed.groupBy("part_number", "building").agg(F.count(F.lit(1)).alias("members"), F.min("id").alias("first_id")).filter("members > 1")
 
 
