@@ -124,7 +124,11 @@ def mix_sources(
     block and are ordered by size. An empty table gives no rows. A budget that ``max_repeat`` does
     not allow raises ValueError. The shares of up to ``driver_sources`` sources are summed on the
     driver, those of more by Spark.
+    Columns in ``carry`` may not have the name of another column of the result; that raises an error.
     """
+    taken = {id_col, source_col, "n_tokens", "epoch", "block", "block_rank"} & set(carry)
+    if taken or len(set(carry)) < len(carry):
+        raise ValueError(f"carried columns clash with the result's: {sorted(taken) or list(carry)}")
     rows = materialize(
         docs.select(
             F.col(id_col),

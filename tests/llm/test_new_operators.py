@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from registra.llm import decontaminate, html_extract, manifest, maxscore, neardup, runs
+from registra.llm import decontaminate, html_extract, manifest, maxscore, mixing, neardup, runs
 
 from .test_llm import odd, prose, table  # noqa: F401
 
@@ -329,3 +329,11 @@ def test_similarity_to_the_first_text_of_a_class(spark):
         assert got[i].class_id == 10 and got[i].similarity == pytest.approx(neardup.weighted_jaccard(sets[10], sets[i]))
     assert got[30].class_id == 10 and got[30].similarity == 1.0 and got[17].similarity < 0.8
     assert got[31].class_id == got[32].class_id == 31 and got[32].similarity == 1.0
+
+
+def test_carried_columns_keep_their_names(spark):
+    docs = table(spark, [(1, "a b c", "x"), (2, "d e", "y")], extra=True)
+    for clash in (("block",), ("text", "text"), ("doc_id",)):
+        with pytest.raises(ValueError, match="clash"):
+            mixing.mix_sources(docs, carry=clash)
+    assert mixing.mix_sources(docs, carry=("text", "depth")).columns.count("text") == 1
