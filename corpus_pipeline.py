@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before kept. All but the last
 return the columns of ``documents``.
+
+Null, empty and very long texts, null ids and sources, ties and repeated rows pass as the stages'
+operators say: a null text counts as empty and is never toxic, a line or a near duplicate; of rows with equal
+texts the one with the smallest id stays (wordless texts all stay). The mixture may draw a document
+twice. Other columns of the input are left out. An empty table gives an empty result of every stage.
 """
 
 from __future__ import annotations
