@@ -11,6 +11,9 @@ Texts are compared within a group. Two indexes find candidates, an exact test fo
   may share less, so those of three letters have an index of their own.
 
 Any order of characters or grams gives the same result, so frequencies are kept for the most common ones only.
+
+The indexes are far larger than the files they are made of, by which Spark would broadcast them: their joins
+are merges of sorted rows (``SORTED``), whatever the sizes.
 """
 
 from __future__ import annotations
@@ -26,6 +29,10 @@ from registra.operators.storage import dropped, stored
 GRAM = 3
 #: Characters or grams of which the frequency is known to the order; others count as rare.
 COMMON = 4096
+#: More often than this no character stands in a text.
+TIMES = 1 << 40
+#: Hint of a join of which no side may be broadcast.
+SORTED = "merge"
 
 
 def grams(text: Column, size: int) -> Column:
@@ -35,13 +42,13 @@ def grams(text: Column, size: int) -> Column:
 
 
 def numbered(text: Column) -> Column:
-    """Characters of a text, each with how often it has occurred so far."""
+    """Characters of a text, each with how often it has occurred so far, as numbers."""
 
     def token(i: Column) -> Column:
         c, head = text.substr(i, F.lit(1)), text.substr(F.lit(1), i)
-        return F.concat(c, (F.length(head) - F.length(F.replace(head, c, F.lit("")))).cast("string"))
+        return F.ascii(c).cast("long") * TIMES + F.length(head) - F.length(F.replace(head, c, F.lit("")))
 
-    return F.when(F.length(text) > 0, F.transform(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), token)).otherwise(F.array().cast("array<string>"))
+    return F.when(F.length(text) > 0, F.transform(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), token)).otherwise(F.array().cast("array<bigint>"))
 
 
 def frequencies(rows: DataFrame, tokens: Column) -> DataFrame:
@@ -70,7 +77,7 @@ def holders(keys: DataFrame, rows: DataFrame, key: str, text: str, group: list[s
         own = F.when(F.col("_size") == n, grams(F.col(key), n)).otherwise(own)
     asked = asked.join(F.broadcast(frequencies(rows, given))).withColumn("_gram", by_rarity(own)[0]).drop("_often", "_size")
     index = rows.withColumn("_gram", F.explode(given))
-    return asked.join(index, [*group, "_gram"]).filter(F.col(text).contains(F.col(key))).drop("_gram")
+    return asked.join(index.hint(SORTED), [*group, "_gram"]).filter(F.col(text).contains(F.col(key))).drop("_gram")
 
 
 def alike(left: DataFrame, right: DataFrame, group: list[str], a: str, b: str, least: float) -> DataFrame:
@@ -93,12 +100,12 @@ def alike(left: DataFrame, right: DataFrame, group: list[str], a: str, b: str, l
         share = ratio / 2 if short else max(0.0, ratio - 1)
         must = F.greatest(F.lit(1), F.ceil(F.col(size) * share - 1e-9).cast("int"))
         head = F.slice(tokens, 1, F.greatest(F.lit(1), F.col(size) - must + 1))
-        return rows.withColumn("_key", F.explode(F.transform(head, lambda t: F.concat(F.substring(name, 1, start), F.lit("\0"), t))))
+        return rows.withColumn("_key", F.explode(F.transform(head, lambda t: F.concat(F.substring(name, 1, start), F.lit("\0"), t.cast("string")))))
 
-    found = [first(x, a, 3).join(first(y, b, 3), [*group, "_key"])]
+    found = [first(x, a, 3).join(first(y, b, 3).hint(SORTED), [*group, "_key"])]
     for ratio, start in ((need[0], 0), (need[2], 1)):
         for short in (True, False):
-            pairs = keyed(x, "_ta", "_la", a, ratio, start, short).join(keyed(y, "_tb", "_lb", b, ratio, start, not short), [*group, "_key"])
+            pairs = keyed(x, "_ta", "_la", a, ratio, start, short).join(keyed(y, "_tb", "_lb", b, ratio, start, not short).hint(SORTED), [*group, "_key"])
             found.append(pairs.filter("_la <= _lb" if short else "_la > _lb"))
     shared = F.size(F.array_intersect("_ta", "_tb"))
     jaro = (shared / F.col("_la") + shared / F.col("_lb") + 1) / 3
@@ -122,7 +129,7 @@ def matching_names(left: DataFrame, right: DataFrame, group: list[str], a: str,
     """
     left, right = stored(left.select(*group, a), "names"), stored(right.select(*group, b), "names")
     long = lambda rows, name: rows.filter(F.length(name) >= 3)
-    found = left.join(right.withColumn(a, F.col(b)), [*group, a]).filter(F.length(a) > 0).select(*group, a, b)
+    found = left.join(right.withColumn(a, F.col(b)).hint(SORTED), [*group, a]).filter(F.length(a) > 0).select(*group, a, b)
     found = found.unionByName(holders(long(left, a), long(right, b), a, b, group).select(*group, a, b))
     found = found.unionByName(holders(long(right, b), long(left, a), b, a, group).select(*group, a, b))
     near = alike(left, right, group, a, b, least)
