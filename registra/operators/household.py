@@ -147,7 +147,7 @@ def declared_links(people: DataFrame) -> DataFrame:
     # of each different name of a block the first two electors are enough: one may be the asking one
     way = Window.partitionBy("block", "_clean").orderBy(*_order())
     first = people.filter("_clean != ''").withColumn("_rn", F.row_number().over(way)).filter("_rn <= 2")
-    first = stored(first.select("block", F.col("_clean").alias("name_key"), F.struct(*_order(), *PERSON).alias("who")), "named")
+    first = stored(first.select("block", F.col("_clean").alias("name_key"), F.struct(*_order(), *PERSON).alias("who")), "named", large=True)
     names = first.select("block", "name_key").distinct()
     scored = matching_names(asking, names, ["block"], "wanted", "name_key")
     found = scored.join(first, ["block", "name_key"]).select("block", "wanted", "score", "who")
@@ -158,28 +158,28 @@ def declared_links(people: DataFrame) -> DataFrame:
     chosen = people.filter("_wanted != ''").join(two.withColumnRenamed("wanted", "_wanted"), ["block", "_wanted"])
     chosen = chosen.withColumn("_c", F.when(~own, F.col("a")).when(F.col("n") > 1, F.col("b"))).filter("_c is not null")
     # a table of plain columns: each rule below names many of them
-    chosen = stored(chosen.select("block", "relation", *PERSON, F.struct(*_order()).alias("order"), "_c.score", *[F.col(f"_c.who.{c}").alias(f"o_{c}") for c in PERSON]), "chosen")
+    chosen = stored(chosen.select("block", "relation", *PERSON, F.struct(*_order()).alias("order"), "_c.score", *[F.col(f"_c.who.{c}").alias(f"o_{c}") for c in PERSON]), "chosen", large=True)
     me, o = ({c: F.col(p + c) for c in PERSON} for p in ("", "o_"))
     reason = gates(F.col("relation"), me["age"], me["gender"], me["name"], o["age"], o["gender"], o["name"])
     place = locality(me["house_key"], o["house_key"], me["building"], o["building"])
     score = link_score(F.col("score"), place, F.col("relation"), me["age"], me["gender"], o["age"], o["gender"])
     out = chosen.select("block", F.col("id").alias("source"), o["id"].alias("target"), "relation", score.alias("score"), "order", reason.alias("reason"), reason.isNotNull().alias("gated"), F.col("name").alias("source_name"), o["name"].alias("target_name"))
-    out = stored(out, "declared")
+    out = stored(out, "declared", large=True)
     dropped(first, chosen)
     return out
 
 
 def exclusive(links: DataFrame) -> DataFrame:
     """Marriages (source, target, order) taken in order, each of which holds both its partners."""
-    rest, kept = stored(links.select("source", "target", "order"), "proposals"), []
+    rest, kept = stored(links.select("source", "target", "order"), "proposals", large=True), []
     while rest.limit(1).count():
         ends = rest.select(F.explode(F.array("source", "target")).alias("who"), "order").groupBy("who").agg(F.min("order").alias("first"))
         at = lambda c: ends.select(F.col("who").alias(c), F.col("first").alias(f"_{c}"))
         marked = rest.join(at("source"), "source").join(at("target"), "target")
-        won = stored(marked.filter((F.col("order") == F.col("_source")) & (F.col("order") == F.col("_target"))).select("source", "target", "order"), "married")
+        won = stored(marked.filter((F.col("order") == F.col("_source")) & (F.col("order") == F.col("_target"))).select("source", "target", "order"), "married", large=True)
         taken = won.select(F.explode(F.array("source", "target")).alias("who"))
         left = rest.join(taken, F.col("source") == F.col("who"), "left_anti").join(taken, F.col("target") == F.col("who"), "left_anti")
-        left = stored(left, "proposals")
+        left = stored(left, "proposals", large=True)
         dropped(rest)
         kept.append(won)
         rest = left
@@ -195,7 +195,7 @@ def chased(nodes: DataFrame) -> DataFrame:
     that never end. Doubling: as many rounds as the logarithm of the longest way.
     """
     far = nodes.select("node", F.col("up").alias("far"), F.coalesce("up", "node").alias("root"), F.when(F.col("up").isNull(), 0).otherwise(1).alias("steps"))
-    far, before = stored(far, "pointers"), -1
+    far, before = stored(far, "pointers", large=True), -1
     while True:
         n = far.filter("far is not null").count()
         # each round ends some ways, unless all that are left lead into rings
@@ -205,11 +205,11 @@ def chased(nodes: DataFrame) -> DataFrame:
         on = far.select(F.col("node").alias("_n"), F.col("far").alias("_f"), F.col("root").alias("_e"), F.col("steps").alias("_s"))
         step = far.filter("far is not null").join(on, F.col("far") == F.col("_n"), "left")
         step = step.select("node", F.col("_f").alias("far"), F.coalesce("_e", "root").alias("root"), (F.col("steps") + F.coalesce("_s", F.lit(0))).alias("steps"))
-        step = stored(step.unionByName(far.filter("far is null")), "pointers")
+        step = stored(step.unionByName(far.filter("far is null")), "pointers", large=True)
         dropped(far)
         far = step
     ended = F.col("far").isNull()
-    out = stored(far.select("node", F.when(ended, F.col("root")).alias("root"), F.when(ended, F.col("steps")).alias("steps")), "chased")
+    out = stored(far.select("node", F.when(ended, F.col("root")).alias("root"), F.when(ended, F.col("steps")).alias("steps")), "chased", large=True)
     dropped(far)
     return out
 
@@ -219,10 +219,10 @@ def ring_members(nodes: DataFrame) -> DataFrame:
 
     What can be reached by many steps grows fewer with each doubling, as long as it holds more than rings.
     """
-    far, before = stored(nodes.select("node", "up"), "hops"), -1
+    far, before = stored(nodes.select("node", "up"), "hops", large=True), -1
     while True:
         hop = far.select(F.col("node").alias("_n"), F.col("up").alias("_u"))
-        step = stored(far.join(hop, F.col("up") == F.col("_n")).select("node", F.col("_u").alias("up")).filter("up is not null"), "hops")
+        step = stored(far.join(hop, F.col("up") == F.col("_n")).select("node", F.col("_u").alias("up")).filter("up is not null"), "hops", large=True)
         dropped(far)
         far = step
         ends = far.select(F.col("up").alias("node")).distinct()
@@ -230,9 +230,9 @@ def ring_members(nodes: DataFrame) -> DataFrame:
         if n == 0 or n == before:
             break
         before = n
-    on = stored(nodes.join(ends, "node", "left_semi"), "ringed")
+    on = stored(nodes.join(ends, "node", "left_semi"), "ringed", large=True)
     ring = components(on, "node", "up") if on.limit(1).count() else on.select(F.col("node").alias("id"), F.col("up").alias("family"))
-    out = stored(ring.select(F.col("id").alias("node"), F.col("family").alias("ring")), "rings")
+    out = stored(ring.select(F.col("id").alias("node"), F.col("family").alias("ring")), "rings", large=True)
     dropped(far, on)
     return out
 
@@ -251,7 +251,7 @@ def decided(links: DataFrame) -> DataFrame:
     last = ringed.groupBy("ring").agg(F.max_by(F.struct("source", "weak"), "order").alias("l"), F.sum(F.col("weak").cast("int")).alias("weak"))
     cyclic = last.filter((F.col("weak") == 0) | ((F.col("weak") == 1) & F.col("l.weak"))).select(F.col("l.source").alias("source"), F.lit(True).alias("cycle"))
     wed = passed.filter("relation = 'Husband'")
-    married = stored(exclusive(wed.filter(~weak)), "marriages")
+    married = stored(exclusive(wed.filter(~weak)), "marriages", large=True)
     partner = married.select(F.explode(F.array(F.struct("source", F.col("target").alias("with"), "order"), F.struct(F.col("target").alias("source"), F.col("source").alias("with"), "order"))).alias("m")).select(F.col("m.source").alias("who"), F.col("m.with").alias("with"), F.col("m.order").alias("since"))
     names = links.select(F.col("source").alias("n"), F.col("source_name").alias("name")).unionByName(links.select(F.col("target").alias("n"), F.col("target_name").alias("name"))).distinct().groupBy("n").agg(F.max("name").alias("name"))
     partner = partner.join(names, F.col("with") == F.col("n")).select("who", "since", F.col("name").alias("partner"))
@@ -270,20 +270,20 @@ def decided(links: DataFrame) -> DataFrame:
         .when(taken("t_since"), held("target_name", "t_partner"))
         .when(weak, F.concat(F.lit("Evidence scores only "), F.col("score").cast("string"), F.lit(f"/100, below the {ACCEPT} threshold")))
     )
-    out = stored(out.select(*[c for c in links.columns if c != "reason"], reason.alias("reason")), "decided")
+    out = stored(out.select(*[c for c in links.columns if c != "reason"], reason.alias("reason")), "decided", large=True)
     dropped(rings, married)
     return out
 
 
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """(id, family): the smallest id that each linked id is connected with."""
-    both = stored(links.select(F.col(a).alias("x"), F.col(b).alias("y")).unionByName(links.select(F.col(b).alias("x"), F.col(a).alias("y"))).distinct(), "edges")
-    label = stored(both.groupBy(F.col("x").alias("id")).agg(F.least(F.min("y"), F.min("x")).alias("family")), "label")
+    both = stored(links.select(F.col(a).alias("x"), F.col(b).alias("y")).unionByName(links.select(F.col(b).alias("x"), F.col(a).alias("y"))).distinct(), "edges", large=True)
+    label = stored(both.groupBy(F.col("x").alias("id")).agg(F.least(F.min("y"), F.min("x")).alias("family")), "label", large=True)
     while True:
         near = both.join(label, F.col("y") == F.col("id")).groupBy("x").agg(F.min("family").alias("near"))
         step = label.join(near, F.col("id") == F.col("x")).select("id", F.least("family", "near").alias("to"), F.col("family").alias("was"))
         jump = step.select(F.col("id").alias("_j"), F.col("to").alias("_far"))
-        step = stored(step.join(jump, F.col("to") == F.col("_j")).select("id", F.least("to", "_far").alias("family"), "was"), "label")
+        step = stored(step.join(jump, F.col("to") == F.col("_j")).select("id", F.least("to", "_far").alias("family"), "was"), "label", large=True)
         dropped(label)
         label = step.select("id", "family")
         label.scratch = step.scratch
@@ -304,7 +304,7 @@ def families(people: DataFrame, links: DataFrame | None = None) -> DataFrame:
     people: as for ``households``; links: what ``decided`` gives for them, if it is there already.
     An elector without links is a family of its own. An empty table gives no rows.
     """
-    people = stored(households(people), "people")
+    people = stored(households(people), "people", large=True)
     own_links = links is None
     if own_links:
         declared = declared_links(people)
@@ -319,11 +319,11 @@ def families(people: DataFrame, links: DataFrame | None = None) -> DataFrame:
     for more in (parent, spouse, children):
         out = out.join(more, "id", "left")
     # a couple is one node, led by its smaller id
-    out = stored(out.withColumn("node", F.least("id", "spouse_id")), "kin")
+    out = stored(out.withColumn("node", F.least("id", "spouse_id")), "kin", large=True)
     ups = out.filter("parent_id is not null").select("node", F.col("parent_id").alias("p")).join(out.select(F.col("id").alias("p"), F.col("node").alias("up")), "p").select("node", "up")
     # only the wife's record names the husband, so a couple has one parent at most
     nodes = out.select("node").distinct().join(ups, "node", "left")
-    nodes = stored(nodes, "nodes")
+    nodes = stored(nodes, "nodes", large=True)
     way = chased(nodes)
     # a couple that is its own ancestor leaves its component without a root: the oldest member stands in
     unended = way.filter("root is null").select("node")

@@ -24,11 +24,17 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{working_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again, which cuts its lineage; ``dropped`` deletes it."""
+def stored(df: DataFrame, name: str, large: bool = False) -> DataFrame:
+    """``df`` written to the shared folder and read again, which cuts its lineage; ``dropped`` deletes it.
+
+    ``large``: the table grows with the input and is joined by sorted rows, as its file, by which Spark would
+    broadcast it, may be a small part of what its rows take in memory.
+    """
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
+    if large:
+        out = out.hint("merge")
     out.scratch = path
     return out
 
