@@ -21,6 +21,13 @@ def nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else " ".join(unicodedata.normalize("NFC", t).split()))
 
 
+@F.pandas_udf(T.StringType())
+def one_decimal(numbers: pd.Series) -> pd.Series:
+    """A number with one decimal as printf writes it: its exact binary value, ties to even. Spark's
+    ``format_string`` rounds decimal digits, ties up."""
+    return numbers.map(lambda x: None if pd.isna(x) else f"{x:.1f}").astype(object)
+
+
 def lcs_length(a: str, b: str) -> int:
     """Longest common subsequence, by bit-parallel addition."""
     where: dict[str, int] = {}

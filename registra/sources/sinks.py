@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from registra.functions.similarity import one_decimal
+
 BOM = "﻿"
 
 
@@ -118,7 +120,7 @@ def report_columns(reports: DataFrame) -> DataFrame:
         "PDF File": "pdf_file", "AC Number": "ac_number", "Part Number": "part_number", "Total PDF Records": "expected", "Total DB Records": "extracted", "Matched": "matched",
         "Missing in DB": "missing", "Extra in DB": "extra", "Incorrect": "incorrect", "Duplicates": "duplicates",
     }
-    rate = F.concat(F.format_string("%.1f", "pass_rate"), F.lit("%"))
+    rate = F.concat(one_decimal(F.col("pass_rate").cast("double")), F.lit("%"))
     return reports.select(*[F.col(c).alias(k) for k, c in columns.items()], rate.alias("Pass %"), F.col("verdict").alias("Status"))
 
 
