@@ -45,8 +45,8 @@ SKIP = PLACED.format(where=" WHERE r.error_count = 0 OR r.is_deleted = 'Yes'", s
 
 def _promotion(spark, sf_dir, only_clean=False, on_conflict="overwrite"):
     records, pages, files, stations, current = (bound(spark, sf_dir, n) for n in RAW)
-    rows = P.placed(P.scoped(records, all_documents=True), pages, files, stations, only_clean)
-    return P.promotion(stored(rows, "placed"), current, on_conflict)
+    rows = P.own_values(P.scoped(records, all_documents=True), only_clean)
+    return P.promotion(rows, current, on_conflict, places=(pages, files, stations))
 
 
 @query(
