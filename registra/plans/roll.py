@@ -120,15 +120,15 @@ AUDIT = """docs AS (
 
 def _audited(spark, sf_dir):
     documents, files, stations, summaries, electors = (bound(spark, sf_dir, n) for n in ROLL)
-    docs = A.matched_documents(documents, files)
-    rows = stored(A.electors_of(docs, electors), "audited")
-    totals = stored(A.expected_totals(docs, stations, summaries, rows), "totals")
-    return A.marked_electors(rows, totals), totals
+    docs = stored(A.printed_totals(A.matched_documents(documents, files), stations, summaries), "matched", large=True)
+    return A.audited(docs, electors), docs
 
 
 @query(f"WITH {AUDIT} SELECT doc, page_number::BIGINT AS page_number, serial::BIGINT AS serial_number, field_name, db_value, difference FROM listed", *ROLL)
 def r13_audit_findings(spark, sf_dir):
-    return A.mismatches(*_audited(spark, sf_dir))
+    marked, docs = _audited(spark, sf_dir)
+    # the list reads the marks three times
+    return A.mismatches(stored(marked.drop("record_id"), "marked", large=True), docs)
 
 
 @query(f"WITH {AUDIT} SELECT * FROM report", *ROLL)
