@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -23,20 +24,25 @@ def in_order(rows: DataFrame, page: str, order: list[str], columns: list[str], s
     start: makes the machine of a page, a function of the columns' values.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, machine = None, None
         for x in batches:
-            numbers = []
-            for key, *values in zip(x["_page"], *(x[c] for c in columns), strict=True):
-                if machine is None or key != last:
-                    last, machine = key, start()
+            n, key = x.num_rows, x.column("_page")
+            if not n:
+                continue
+            begins = [machine is None or key[0].as_py() != last, *pc.not_equal(key.slice(1), key.slice(0, n - 1)).to_pylist()]
+            last, numbers = key[n - 1].as_py(), []
+            for first, *values in zip(begins, *(x.column(c).to_numpy(zero_copy_only=False).tolist() for c in columns), strict=True):
+                if first:
+                    machine = start()
                 numbers.append(machine(*values))
-            yield x.assign(**{out: pd.Series(numbers, dtype="int32")})
+            # only the columns that the machine reads become Python values
+            yield pa.RecordBatch.from_arrays([*x.columns, pa.array(numbers, pa.int32())], names=[*x.schema.names, out])
 
     # the page as text, so that null pages are one page
     keyed = rows.withColumn("_page", F.coalesce(F.concat(F.lit("p"), F.col(page).cast("string")), F.lit("")))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.schema) + f", {out} int"
-    return keyed.repartition("_page").sortWithinPartitions("_page", *order).mapInPandas(run, schema).drop("_page")
+    return keyed.repartition("_page").sortWithinPartitions("_page", *order).mapInArrow(run, schema).drop("_page")
 
 
 def banded(rows: DataFrame, page: str, value: str, tie: str, tolerance: float, out: str = "band") -> DataFrame:
@@ -126,9 +132,13 @@ def grid_deviations(detected: DataFrame, grids: DataFrame, page: str, tie: str)
     """``deviation`` of each (page, grid): mean of 1 - IoU of detected cells and the grid's cells, paired in
     reading order; 1 where their numbers differ.
 
-    detected: page, x, y, w, h; grids: page, grid, place (from 0, in reading order), x, y, w, h.
+    detected: page, x, y, w, h, of which null pages play no part; grids: page, grid, place (from 0, in reading order), x, y, w, h. Grids without
+    the column page are those of every page that has cells; they are few and broadcast.
     """
+    detected = detected.filter(F.col(page).isNotNull())
     found = reading_order(detected, page, tie).select(page, "place", *[F.col(k).alias(f"d{k}") for k in "xywh"])
+    if page not in grids.columns:
+        return _shared_deviations(found, grids, page)
     n = found.groupBy(page).agg(F.count(F.lit(1)).alias("_found"))
     size = grids.groupBy(page, "grid").agg(F.count(F.lit(1)).alias("_size"))
     overlap = B.iou(tuple(F.col(f"d{k}") for k in "xywh"), tuple(F.col(k) for k in "xywh"))
@@ -138,6 +148,21 @@ def grid_deviations(detected: DataFrame, grids: DataFrame, page: str, tie: str)
     return out.select(page, "grid", F.when(same, 1 - F.coalesce("_iou", F.lit(0.0))).otherwise(1.0).alias("deviation"))
 
 
+def _shared_deviations(found: DataFrame, grids: DataFrame, page: str) -> DataFrame:
+    """Deviations from grids that all pages share: cells in reading order meet the places of all grids in the
+    partitions where they were ordered, a page gives one row, and nothing is generated for each page and grid."""
+    sizes = sorted((r["grid"], r["n"]) for r in grids.groupBy("grid").agg(F.count(F.lit(1)).alias("n")).collect())  # a row a grid
+    spots = grids.groupBy("place").pivot("grid", [g for g, _ in sizes]).agg(F.first(F.struct(*"xywh")))
+    spots = spots.select("place", *[F.col(f"`{g}`").alias(f"_g{i}") for i, (g, _) in enumerate(sizes)])
+    met = found.join(F.broadcast(spots), "place", "left")
+    own = tuple(F.col(f"d{k}") for k in "xywh")
+    mean = lambda i: F.avg(F.when(F.col(f"_g{i}").isNotNull(), B.iou(own, tuple(F.col(f"_g{i}.{k}") for k in "xywh")))).alias(f"_iou{i}")
+    pages = met.groupBy(page).agg(F.count(F.lit(1)).alias("_found"), *[mean(i) for i in range(len(sizes))])
+    deviation = lambda i, n: F.when(F.col("_found") == n, 1 - F.coalesce(f"_iou{i}", F.lit(0.0))).otherwise(1.0)
+    each = F.explode(F.array(*[F.struct(F.lit(g).alias("grid"), deviation(i, n).alias("deviation")) for i, (g, n) in enumerate(sizes)]))
+    return pages.select(page, each.alias("_d")).select(page, "_d.*")
+
+
 def best_grids(deviations: DataFrame, page: str) -> DataFrame:
     """The grid of each page that deviates least, the first by name in a tie."""
     best = F.min(F.struct("deviation", "grid"))

@@ -456,10 +456,9 @@ def w10_reading_order(spark, sf_dir):
 def w12_best_grid(spark, sf_dir):
     cells = bound(spark, sf_dir, "grid_cells")
     shapes = F.explode(F.array(*[F.struct(F.lit(f"{r}x{c}").alias("grid"), F.lit(r).alias("rows"), F.lit(c).alias("cols")) for r, c in ((3, 3), (4, 2), (4, 3))]))
-    grids = cells.select("page_id").distinct().select("page_id", shapes.alias("g")).select("page_id", "g.*")
-    grids = grids.withColumn("place", F.explode(F.sequence(F.lit(0), F.col("rows") * F.col("cols") - 1)))
+    grids = spark.range(0, 1, 1, 1).select(shapes.alias("g")).select("g.*").withColumn("place", F.explode(F.sequence(F.lit(0), F.col("rows") * F.col("cols") - 1)))
     w, h = F.lit(1000.0) / F.col("cols"), F.lit(160.0) / F.col("rows")
-    grids = grids.select("page_id", "grid", "place", ((F.col("place") % F.col("cols")) * w).alias("x"), (F.floor(F.col("place") / F.col("cols")) * h).alias("y"), w.alias("w"), h.alias("h"))
+    grids = grids.select("grid", "place", ((F.col("place") % F.col("cols")) * w).alias("x"), (F.floor(F.col("place") / F.col("cols")) * h).alias("y"), w.alias("w"), h.alias("h"))
     best = LY.best_grids(LY.grid_deviations(cells, grids, "page_id", "cell"), "page_id")
     return best.select("page_id", "grid", F.round("deviation", 6).alias("deviation"))
 
