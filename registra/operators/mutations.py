@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from registra.operators.windows import best_per
 
+#: Up to this many ids are left to Spark, which broadcasts them.
+IDS = 10_000
+
 
 def upsert(current: DataFrame, incoming: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """Current rows without the incoming keys, and the newest incoming row of each key. Applying
@@ -55,8 +58,11 @@ def delete_group(tables: dict[str, DataFrame], gone: DataFrame, key: str) -> dic
 
 
 def marked(rows: DataFrame, ids: DataFrame, key: str, values: dict[str, Column]) -> DataFrame:
-    """Rows of the given ids with new values, the others as they are."""
+    """Rows of the given ids with new values, the others as they are. Of more than IDS the
+    distinct ones of a partition are hashed, so that the rows, which may be wide, pass by them and are not sorted."""
     hit = ids.select(key).distinct().withColumn("_hit", F.lit(True))
+    if ids.limit(IDS + 1).count() > IDS:
+        hit = hit.hint("shuffle_hash")
     out = rows.join(hit, key, "left")
     return out.select(*[F.when(F.col("_hit"), values[c]).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in rows.columns])
 
