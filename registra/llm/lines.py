@@ -54,9 +54,8 @@ def _masked(line: Column) -> Column:
     in the line.
     """
     pattern = rf"(?<![^{SPACE}])[^{SPACE}0-9]*+[0-9][^{SPACE}]*+"
-    digits = F.when(line.rlike("[0-9]"), F.regexp_replace(line, pattern, "<*>")).otherwise(line)
-    spaces = line.contains("  ") | line.contains("\t") | line.contains("\r") | line.contains("\f") | line.contains("\x0b")
-    return F.trim(F.when(spaces, F.regexp_replace(digits, f"[{SPACE}]+", " ")).otherwise(digits))
+    masked = F.regexp_replace(F.regexp_replace(line, pattern, "<*>"), f"[{SPACE}]+", " ")
+    return F.trim(F.when(line.rlike(r"[0-9\t\r\f\x0B]") | line.contains("  "), masked).otherwise(line))
 
 
 def _text(text_col: str) -> Column:
@@ -107,8 +106,9 @@ def line_templates(docs: DataFrame, text_col: str = "text", min_docs: int = MIN_
         found = voted.groupBy(*keys).agg(F.count(F.lit(1)).alias("_docs"), F.max("_copies").alias("_copies"))
         return found.filter((F.col("_docs") >= min_docs) & (F.col("_docs") >= STRAY * F.col("_copies"))).select(*keys)
 
-    listed = docs.select(_key(text_col).alias("_t"), F.posexplode(F.split(_text(text_col), "\n")).alias("pos", "line"))
-    rows = listed.select("_t", "pos", _masked(F.col("line")).alias("m")).filter("m != ''")
+    # what stands beside an explode in one select is evaluated for each of its rows: the key of a text would be made once a line
+    listed = docs.select(_key(text_col).alias("_t"), F.transform(F.split(_text(text_col), "\n"), _masked).alias("ls"))
+    rows = listed.select("_t", F.posexplode("ls").alias("pos", "m")).filter("m != ''")
     rows = rows.withColumn("w", F.split("m", " ")).withColumn("n", F.size("w"))
     cut = [F.floor(F.col("n") * i / PARTS).cast("int") for i in range(PARTS + 1)]
     parts = [F.xxhash64(F.lit(i), "n", F.slice("w", cut[i] + 1, cut[i + 1] - cut[i])) for i in range(PARTS)]
@@ -135,7 +135,9 @@ def line_templates(docs: DataFrame, text_col: str = "text", min_docs: int = MIN_
     wanted = materialize(wanted, "line-wanted")
     texts = docs.select(_key(text_col).alias("_t"), _text(text_col).alias("_text"))
     texts = texts.join(hinted(wanted.select("_t"), BROADCAST_ROWS), "_t", "left_semi").groupBy("_t").agg(F.first("_text").alias("_text")).join(wanted, "_t")
-    found = texts.select(F.split("_text", "\n").alias("ls"), F.explode("w").alias("w")).select("w.tpl", "w.leaf", _masked(F.get("ls", F.col("w.pos"))).alias("m"))
+    texts = texts.select(F.split("_text", "\n").alias("ls"), "w")
+    found = texts.select(F.transform("w", lambda w: F.struct(w["tpl"].alias("tpl"), w["leaf"].alias("leaf"), _masked(F.get("ls", w["pos"])).alias("m"))).alias("w"))
+    found = found.select(F.explode("w").alias("w")).select("w.*")
     tokens = materialize(found.select("tpl", "leaf", F.posexplode(F.split("m", " ")).alias("i", "t")), "line-tokens")
     held = tokens.groupBy("leaf", "i", "t").agg(F.count(F.lit(1)).alias("lines")).join(alone, "leaf")
     constant = held.filter((F.col("lines") > 1) & (F.col("lines") >= CONSTANT * F.col("many"))).select("leaf", "i", "t", F.xxhash64("i", "t").alias("hit"))

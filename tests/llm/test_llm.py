@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -585,3 +586,14 @@ def test_suffix_array_orders_rows_and_gives_common_prefixes():
     for a, b, n in zip(listed, listed[1:], common[1:], strict=False):
         want = -1 if a[0] != b[0] else next((k for k in range(12) if a[1][k] != b[1][k]), 12)
         assert n == want
+
+
+def test_long_texts_are_keyed_once_and_not_once_a_line(spark):
+    rng = random.Random(12)
+    foot = "All rights reserved by the makers"
+    long = "\n".join([f"{prose(rng, 1)} {rng.getrandbits(160):040x} {i}" if i % 2 else f"{prose(rng, 8)}" for i in range(40_000)])
+    docs = table(spark, [(1, f"{long}\n{foot}", "a"), (2, f"{prose(rng, 30)}\n{foot}", "a"), (3, f"{prose(rng, 40)}\n{foot}", "a")])
+    began = time.perf_counter()
+    got = {r.doc_id: r for r in lines.drop_boilerplate_lines(docs).collect()}
+    assert time.perf_counter() - began < 60
+    assert got[1].n_lines == 40_001 and got[1].n_dropped >= 1 and got[2].n_dropped == got[3].n_dropped == 1
