@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from registra.functions import geometry as B
-from registra.operators.joins import lines_to_cells
+
+#: Distance from which a cell is too far from a line.
+REACH = 15.0
 
 
 def in_order(rows: DataFrame, page: str, order: list[str], columns: list[str], start: Callable[[], Callable], out: str) -> DataFrame:
@@ -88,15 +90,28 @@ def reading_order(cells: DataFrame, page: str, tie: str, out: str = "place") ->
     return cell_rows(cells, page, tie).withColumn(out, F.row_number().over(way) - 1)
 
 
-def _axis(cells: DataFrame, page: str, number: Column, centre: Column, size: str, out: str) -> DataFrame:
+def _median(values: Column) -> Column:
+    known = F.array_sort(F.array_compact(values))
+    n = F.size(known)
+    at = lambda i: F.get(known, F.floor(i / 2).cast("int"))
+    return F.when(n > 0, (at(n - 1) + at(n)) / 2)
+
+
+def _axis(pages: DataFrame, number: Callable[[Column], Column], centre: Callable[[Column], Column], size: str, out: str) -> DataFrame:
     """First bound and pitch of one axis of each page's grid: the median step between the mean centres, or
-    the median size of the cells where there is one line only."""
-    lines = cells.groupBy(page, number.alias("_i")).agg(F.avg(centre).alias("_c"))
-    step = F.col("_c") - F.lag("_c").over(Window.partitionBy(page).orderBy("_i"))
-    steps = lines.withColumn("_step", step).groupBy(page).agg(F.median("_step").alias("_pitch"), F.min_by("_c", "_i").alias("_first"))
-    sizes = cells.groupBy(page).agg(F.median(size).alias("_size"))
-    pitch = F.coalesce("_pitch", "_size")
-    return steps.join(sizes, page).select(page, (F.col("_first") - pitch * 0.5).alias(f"_{out}0"), pitch.alias(f"_{out}p"))
+    the median size of the cells where there is one line only. pages: the cells of a page as ``_cells``."""
+
+    def mean(i: Column) -> Column:
+        some = F.array_compact(F.transform(F.filter("_cells", lambda c: number(c).eqNullSafe(i)), centre))
+        return F.when(F.size(some) > 0, F.aggregate(some, F.lit(0.0), lambda x, y: x + y) / F.size(some))
+
+    pages = pages.withColumn("_i", F.array_sort(F.array_distinct(F.transform("_cells", number))))
+    pages = pages.withColumn("_c", F.transform("_i", mean))
+    more = F.size("_c") - 1
+    steps = F.zip_with(F.slice("_c", F.lit(2), more), F.slice("_c", F.lit(1), more), lambda x, y: x - y)
+    pages = pages.withColumn("_step", _median(steps)).withColumn(f"_{out}p", F.coalesce("_step", _median(F.transform("_cells", lambda c: c[size]))))
+    first = F.when(F.get("_i", F.lit(0)).isNotNull(), F.get("_c", F.lit(0)))
+    return pages.withColumn(f"_{out}0", first - F.col(f"_{out}p") * 0.5).drop("_i", "_c", "_step")
 
 
 def _line_number(value: Column, first: str, pitch: str, count: int) -> Column:
@@ -112,20 +127,27 @@ def lines_in_grid(lines: DataFrame, cells: DataFrame, page: str, line: str, cell
 
     Where a page has all ``rows`` x ``cols`` cells (numbered row by row) a line belongs to the bands of row
     and column that hold its centre, whatever the cells' own borders; elsewhere to the first cell that holds the centre,
-    else the nearest within reach. lines: x, y, w, h; cells: x, y, w, h.
+    else the nearest within reach. lines: x, y, w, h; cells: x, y, w, h. A page's cells are held in one row;
+    each row of ``lines`` is placed by its own box, also where ids repeat.
     """
-    whole = cells.groupBy(page).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") == rows * cols).select(page)
-    grid = cells.join(whole, page, "left_semi")
-    down = _axis(grid, page, F.floor(F.col(cell) / cols), F.col("y") + F.col("h") / 2, "h", "r")
-    across = _axis(grid, page, F.col(cell) % cols, F.col("x") + F.col("w") / 2, "w", "c")
-    found = lines.join(down, page).join(across, page)
-    r = _line_number(F.col("y") + F.col("h") / 2, "_r0", "_rp", rows)
-    c = _line_number(F.col("x") + F.col("w") / 2, "_c0", "_cp", cols)
-    regular = found.select(page, line, (r * cols + c).cast("int").alias(cell))
-    other = cells.join(whole, page, "left_anti").select(page, F.col(cell), *[F.col(k).alias(f"c{k}") for k in "xywh"])
-    rest = lines.join(whole, page, "left_anti")
-    irregular = lines_to_cells(rest, other, page, line, cell).select(page, line, F.col(cell).cast("int").alias(cell))
-    return regular.unionByName(irregular)
+    # cells move once and lines once: a page's cells become one row, which its lines meet
+    boxed = cells.filter(F.col(page).isNotNull()).select(F.col(page).alias("_page"), F.struct(F.col(cell).alias("cell"), *"xywh").alias("_b"))
+    pages = boxed.repartition("_page").groupBy("_page").agg(F.collect_list("_b").alias("_cells"))
+    pages = _axis(pages, lambda c: F.floor(c["cell"] / cols), lambda c: c["y"] + c["h"] / 2, "h", "r")
+    pages = _axis(pages, lambda c: c["cell"] % cols, lambda c: c["x"] + c["w"] / 2, "w", "c")
+    whole = F.size("_cells") == rows * cols
+    pages = pages.select("_page", "_r0", "_rp", "_c0", "_cp", whole.alias("_whole"), F.when(~whole, F.col("_cells")).alias("_cells"))
+    middle = lines.select(page, line, (F.col("x") + F.col("w") / 2).alias("_mx"), (F.col("y") + F.col("h") / 2).alias("_my"))
+    found = middle.join(pages, F.col(page) == F.col("_page"), "left")
+    r, c = _line_number(F.col("_my"), "_r0", "_rp", rows), _line_number(F.col("_mx"), "_c0", "_cp", cols)
+    off = lambda at, x, w: F.greatest(x - at, at - x - w, F.lit(0.0))
+
+    def near(b: Column) -> Column:
+        dx, dy = off(F.col("_mx"), b["x"], b["w"]), off(F.col("_my"), b["y"], b["h"])
+        return F.struct(F.sqrt(dx * dx + dy * dy).alias("d"), b["cell"].alias("cell"))
+
+    nearest = F.array_min(F.filter(F.transform("_cells", near), lambda x: x["d"] < REACH))["cell"]
+    return found.select(page, line, F.when(F.col("_whole"), r * cols + c).otherwise(nearest).cast("int").alias(cell))
 
 
 def grid_deviations(detected: DataFrame, grids: DataFrame, page: str, tie: str) -> DataFrame:

@@ -53,6 +53,14 @@ def test_lines_in_grid(spark):
     assert {r.line: r.cell for r in one.collect()} == {1: None, 2: None, 3: None, 4: None}
 
 
+def test_lines_in_grid_moves_lines_and_cells_once(spark):
+    cells = spark.createDataFrame(grid(1, 2, 3) + grid(2, 2, 3)[:5], BOX)
+    lines = spark.createDataFrame([(1, 1, 95.0, 2.0, 2.0, 2.0), (3, 2, 0.0, 0.0, 1.0, 1.0)], "page int, line int, x double, y double, w double, h double")
+    out = layout.lines_in_grid(lines, cells, "page", "line", "cell", 2, 3)
+    assert 0 < out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 2
+    assert {r.line: r.cell for r in out.collect()} == {1: 1, 2: None}
+
+
 def test_best_grid(spark):
     detected = [(p, c, x + 3, y + 1, w, h) for p, c, x, y, w, h in grid(1, 2, 3) + grid(2, 2, 2)]
     grids = [(p, f"{r}x{c}", *b[1:]) for p in (1, 2) for r, c in ((2, 3), (3, 2), (2, 2)) for b in grid(p, r, c)]
