@@ -63,8 +63,11 @@ def _text(text_col: str) -> Column:
 
 
 def _key(text_col: str) -> Column:
-    """16 bytes that stand for a text; a null text counts as empty."""
-    return F.unhex(F.md5(_text(text_col).cast("binary")))
+    """16 bytes that stand for a text; a null text counts as empty.
+
+    Never null, as far as Spark can tell, or a join would make it once more to look for nulls.
+    """
+    return F.coalesce(F.unhex(F.md5(_text(text_col).cast("binary"))), F.lit(b""))
 
 
 def copy_classes(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -76,7 +79,7 @@ def copy_classes(docs: DataFrame, text_col: str = "text") -> DataFrame:
     hashes = F.sort_array(F.transform(phrases, lambda c: F.md5(c.cast("binary"))))
     least = F.slice(F.array_distinct(hashes), 1, SKETCH)
     sketches = materialize(docs.select(_key(text_col).alias("_t"), F.transform(least, lambda h: F.substring(h, 1, 16)).alias("s")), "sketches")
-    keyed = sketches.select("_t", F.explode(F.slice("s", 1, KEYS)).alias("h")).distinct()
+    keyed = materialize(sketches.select("_t", F.explode(F.slice("s", 1, KEYS)).alias("h")).distinct(), "sketch-keyed")
     counted = keyed.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     shared = materialize(keyed.join(hinted(materialize(counted, "sketch-keys"), BROADCAST_ROWS), "h"), "shared-keys")
     weight = shared.groupBy("_t").agg(F.sum("n").alias("w"), F.max(F.struct("n", "h")).getField("h").alias("h"))
@@ -88,10 +91,12 @@ def copy_classes(docs: DataFrame, text_col: str = "text") -> DataFrame:
     two = one.select(F.col("_t").alias("vote"), F.col("s").alias("z"))
     pairs = materialize(pairs, "copy-pairs")
     both = pairs.join(one, "_t").join(two, "vote")
-    least = F.slice(F.array_sort(F.array_union("s", "z")), 1, SKETCH)
+    least = F.slice(F.sort_array(F.array_union("s", "z")), 1, SKETCH)
     alike = F.size(F.array_intersect(F.array_intersect(least, F.col("s")), F.col("z"))) >= F.when(F.size(least) < SKETCH, COPY_EXACT).otherwise(COPY) * F.size(least)
-    found = materialize(both.filter(alike).select("_t", "vote"), "copies")
-    release(sketches, shared, weight, pairs)
+    # no more of the least are in both than are in both at all, and the least are no fewer than one side has: most pairs end there, unsorted
+    near = F.size(F.array_intersect("s", "z")) >= COPY * F.least(F.lit(SKETCH), F.greatest(F.size("s"), F.size("z")))
+    found = materialize(both.filter(near & alike).select("_t", "vote"), "copies")
+    release(sketches, keyed, shared, weight, pairs)
     return found
 
 
@@ -106,9 +111,10 @@ def line_templates(docs: DataFrame, text_col: str = "text", min_docs: int = MIN_
         found = voted.groupBy(*keys).agg(F.count(F.lit(1)).alias("_docs"), F.max("_copies").alias("_copies"))
         return found.filter((F.col("_docs") >= min_docs) & (F.col("_docs") >= STRAY * F.col("_copies"))).select(*keys)
 
-    # what stands beside an explode in one select is evaluated for each of its rows: the key of a text would be made once a line
+    # what stands beside an explode in one select is evaluated for each of its rows: the key of a text would be made once a line;
+    # and before an explode that is not outer Spark filters by the size of its array, for which the array is made twice
     listed = docs.select(_key(text_col).alias("_t"), F.transform(F.split(_text(text_col), "\n"), _masked).alias("ls"))
-    rows = listed.select("_t", F.posexplode("ls").alias("pos", "m")).filter("m != ''")
+    rows = listed.select("_t", F.posexplode_outer("ls").alias("pos", "m")).filter("m != ''")
     rows = rows.withColumn("w", F.split("m", " ")).withColumn("n", F.size("w"))
     cut = [F.floor(F.col("n") * i / PARTS).cast("int") for i in range(PARTS + 1)]
     parts = [F.xxhash64(F.lit(i), "n", F.slice("w", cut[i] + 1, cut[i + 1] - cut[i])) for i in range(PARTS)]
@@ -137,8 +143,8 @@ def line_templates(docs: DataFrame, text_col: str = "text", min_docs: int = MIN_
     texts = texts.join(hinted(wanted.select("_t"), BROADCAST_ROWS), "_t", "left_semi").groupBy("_t").agg(F.first("_text").alias("_text")).join(wanted, "_t")
     texts = texts.select(F.split("_text", "\n").alias("ls"), "w")
     found = texts.select(F.transform("w", lambda w: F.struct(w["tpl"].alias("tpl"), w["leaf"].alias("leaf"), _masked(F.get("ls", w["pos"])).alias("m"))).alias("w"))
-    found = found.select(F.explode("w").alias("w")).select("w.*")
-    tokens = materialize(found.select("tpl", "leaf", F.posexplode(F.split("m", " ")).alias("i", "t")), "line-tokens")
+    found = found.select(F.explode_outer("w").alias("w")).select("w.*")
+    tokens = materialize(found.select("tpl", "leaf", F.posexplode_outer(F.split("m", " ")).alias("i", "t")), "line-tokens")
     held = tokens.groupBy("leaf", "i", "t").agg(F.count(F.lit(1)).alias("lines")).join(alone, "leaf")
     constant = held.filter((F.col("lines") > 1) & (F.col("lines") >= CONSTANT * F.col("many"))).select("leaf", "i", "t", F.xxhash64("i", "t").alias("hit"))
     shapes = tokens.join(constant, ["leaf", "i", "t"], "left").groupBy("tpl", "leaf")

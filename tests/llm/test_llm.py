@@ -597,3 +597,20 @@ def test_long_texts_are_keyed_once_and_not_once_a_line(spark):
     got = {r.doc_id: r for r in lines.drop_boilerplate_lines(docs).collect()}
     assert time.perf_counter() - began < 60
     assert got[1].n_lines == 40_001 and got[1].n_dropped >= 1 and got[2].n_dropped == got[3].n_dropped == 1
+
+
+def test_masked_lines_and_sketch_unions_are_not_made_again_by_filters(spark, monkeypatch):
+    plans, write = {}, lines.materialize
+
+    def noted(df, name):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return write(df, name)
+
+    monkeypatch.setattr(lines, "materialize", noted)
+    rng = random.Random(21)
+    rows = [(i, f"{prose(rng, 30)}\nuser {i} sent the file to the office {i}", "a") for i in range(6)]
+    got = lines.drop_boilerplate_lines(table(spark, rows)).collect()
+    assert [r.n_dropped for r in got] == [1] * 6
+    assert plans["lines"].count("<*>") == plans["line-tokens"].count("<*>") == 1
+    assert plans["lines"].count("md5(") == plans["line-tokens"].count("md5(") == 1
+    assert "array_sort" not in plans["copies"]
