@@ -164,8 +164,17 @@ def reason_text(c: Column) -> Column:
 
 def count_text(c: Column) -> Column:
     """A printed count: ``o`` is 0, any dash is a minus, at most six digits; null if it is no number."""
-    plain = F.translate(F.regexp_replace(F.trim(c), r"[\s,]", ""), "oO–—−", "00---")
-    return F.when(plain.rlike(r"^-?[0-9]{1,6}$"), plain).try_cast("int")
+    plain = count_signs(c)
+    return F.when(is_count(plain), plain).try_cast("int")
+
+
+def count_signs(c: Column) -> Column:
+    """Text with the digits and signs that ``o`` and dashes stand for, without white space and commas."""
+    return F.translate(c, "oO–—−, \t\n\x0b\f\r", "00---")  # what has no counterpart goes
+
+
+def is_count(plain: Column) -> Column:
+    return plain.rlike(r"^-?[0-9]{1,6}$")
 
 
 def without_bracket(c: Column) -> Column:

@@ -87,7 +87,8 @@ def grid(pages: DataFrame, page: str, rows: int, columns: int) -> DataFrame:
 def continued_pages(pages: DataFrame, file: str, number: str, starts: Column, goes_on: Column, height: str) -> DataFrame:
     """Pages of a table from its first page until one that does not go on, with the height above."""
     way = Window.partitionBy(file).orderBy(number)
-    first = F.min(F.when(starts, F.col(number))).over(Window.partitionBy(file))
+    # one order for all windows, so that pages are sorted once
+    first = F.min(F.when(starts, F.col(number))).over(way.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     rows = pages.withColumn("_first", first).filter(F.col(number) >= F.col("_first"))
     stop = F.sum(F.when(goes_on, 0).otherwise(1)).over(way.rowsBetween(Window.unboundedPreceding, 0))
     rows = rows.withColumn("_stop", stop).filter("_stop = 0").drop("_stop", "_first")
